@@ -39,7 +39,32 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+def _released(stage):
+    """The stage, giving free memory back to the system at its end: idle Python workers live on beside the next stage."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from stage(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not this C library
+
+    return run
+
+
+def arrow_stage(df: DataFrame, stage, schema) -> DataFrame:
+    """df.mapInArrow(stage, schema) that keeps no memory after its tasks."""
+    return df.mapInArrow(_released(stage), schema)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Pieces of a batch with at most `most` bytes of text each (or one row), so that scratch space is bounded."""
     if batch.num_rows == 0:
         return

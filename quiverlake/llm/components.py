@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import arrow_stage, stage_table
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b")
-    left = stage_table(pairs.mapInArrow(_forest, "a long, b long"), "edges")
+    left = stage_table(arrow_stage(pairs, _forest, "a long, b long"), "edges")
     labels: DataFrame | None = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -63,5 +63,5 @@ def components(edges: DataFrame) -> DataFrame:
         a = step.select(F.col("node").alias("a"), F.col("component").alias("x"))
         b = step.select(F.col("node").alias("b"), F.col("component").alias("y"))
         moved = left.join(a, "a").join(b, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        left = stage_table(moved.repartition(parts, "b").mapInArrow(_forest, "a long, b long"), "edges")
+        left = stage_table(arrow_stage(moved.repartition(parts, "b"), _forest, "a long, b long"), "edges")
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))

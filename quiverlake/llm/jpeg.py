@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import arrow_stage, id_and_text, slices
 
 UNIT = 576
 SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, feature string"
@@ -381,4 +381,4 @@ def _batches(batches):
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media, payload, height, width, rgb, feature): one row for each row of docs."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_batches, SCHEMA)
+    return arrow_stage(id_and_text(docs, id_col, text_col), _batches, SCHEMA)

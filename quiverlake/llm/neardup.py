@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, stage_table
+from .common import arrow_stage, id_and_text, slices, stage_table
 from .components import components
 from .wordtable import WordTable, mix, window_hashes
 
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     """
     source = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = stage_table(source.mapInArrow(lambda b: _bands(b, width, rows, bands), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
+    signed = stage_table(arrow_stage(source, lambda b: _bands(b, width, rows, bands), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0")
     classes = stage_table(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["key1", "key2", "doc_id"], "left_semi")
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "text")
     units = units.repartition(parts, "unit", "low", "high").sortWithinPartitions("unit", "low", "high", "block")
-    links = units.mapInArrow(lambda b: _verify(b, width, percent), "a long, b long")
+    links = arrow_stage(units, lambda b: _verify(b, width, percent), "a long, b long")
     same = full.join(classes, ["key1", "key2"]).select("doc_id", "rep")
     own = same.where("doc_id > rep").groupBy("doc_id").agg(F.count_distinct("rep").alias("n")).where("n > 1")  # only if an id repeats
     links = links.unionByName(same.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices, stage_table
+from .common import arrow_stage, id_and_text, slices, stage_table
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PACKED = pa.schema([(c.split()[0], pa.int64()) for c in PACKED.split(", ")])
@@ -39,7 +39,7 @@ class WordBpe:
 
     END = b"\xff"
 
-    def __init__(self, path: str, most_cached: int = 600_000):
+    def __init__(self, path: str, most_cached: int = 150_000):
         import json
 
         import regex
@@ -185,7 +185,7 @@ def curve_keys(ids: list[bytes]) -> np.ndarray:
 def _tokenized(batches, path: str, end_id: int):
     bpe, end = word_bpe(path), np.array([end_id], dtype="<u4").tobytes()
     for whole in batches:
-        for batch in slices(whole, most=2 << 20):
+        for batch in slices(whole, most=1 << 20):
             ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
             keys = curve_keys(ids)
             raw = [i + end for i in ids]
@@ -250,7 +250,7 @@ def _pack(batches, size: int):
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents."""
     spark = docs.sparkSession
-    tokens = stage_table(id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _tokenized(b, tokenizer_path, end_id), "doc_id long, curve long, ids binary"), "tokens")
+    tokens = stage_table(arrow_stage(id_and_text(docs, id_col, text_col), lambda b: _tokenized(b, tokenizer_path, end_id), "doc_id long, curve long, ids binary"), "tokens")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = tokens.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return ranges.mapInArrow(lambda b: _pack(b, size), PACKED)
+    return arrow_stage(ranges, lambda b: _pack(b, size), PACKED)

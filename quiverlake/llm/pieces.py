@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import arrow_stage, id_and_text, slices
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
@@ -135,7 +135,7 @@ class Normalizer:
 class PieceEncoder:
     """Exact ids and original byte spans; `most_cached` bounds the memory of the chunk cache."""
 
-    def __init__(self, model_path: str, most_cached: int = 400_000):
+    def __init__(self, model_path: str, most_cached: int = 150_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -218,7 +218,7 @@ def piece_encoder(model_path: str) -> PieceEncoder:
 def encode_batches(batches, model_path: str):
     encoder = piece_encoder(model_path)
     for whole in batches:
-        for batch in slices(whole, most=2 << 20):
+        for batch in slices(whole, most=1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = encoder.ids(texts)
             spans = [encoder.spans(t, i) for t, i in zip(texts, ids)]
@@ -230,4 +230,4 @@ def encode_batches(batches, model_path: str):
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, begins, ends, decoded): one row for each row of docs, in no order."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: encode_batches(b, model_path), SCHEMA)
+    return arrow_stage(id_and_text(docs, id_col, text_col), lambda b: encode_batches(b, model_path), SCHEMA)

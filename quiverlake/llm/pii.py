@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import arrow_stage, id_and_text
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 SCHEMA = "doc_id long, findings array<struct<kind:string,start:int,end:int,score:double>>"
@@ -121,4 +121,4 @@ def _batches(batches, threshold: float):
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, findings): one row for each row of docs; base kinds always stay, others from the threshold on."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _batches(b, threshold), SCHEMA)
+    return arrow_stage(id_and_text(docs, id_col, text_col), lambda b: _batches(b, threshold), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, stage_table
+from .common import arrow_stage, id_and_text, slices, stage_table
 from .wordtable import WordTable, window_hashes
 
 WIDTH, MER = 20, 8
@@ -215,17 +215,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     there = source.where("doc_id is not null and text is not null")
-    found = stage_table(there.mapInArrow(lambda b: _super_kmers(b, width, mer, buckets), "bucket int, runs binary"), "superkmers")
+    found = stage_table(arrow_stage(there, lambda b: _super_kmers(b, width, mer, buckets), "bucket int, runs binary"), "superkmers")
     open_runs = found.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    repeated = open_runs.mapInArrow(_repeated, RUN_ROWS).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count", "minimiser")).alias("runs"))
-    packed = there.join(repeated, "doc_id").mapInArrow(lambda b: _cut(b, width, buckets), "bucket int, doc_id long, first int, packed binary")
+    repeated = arrow_stage(open_runs, _repeated, RUN_ROWS).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count", "minimiser")).alias("runs"))
+    packed = arrow_stage(there.join(repeated, "doc_id"), lambda b: _cut(b, width, buckets), "bucket int, doc_id long, first int, packed binary")
     packed = packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "first")
-    later = packed.mapInArrow(lambda b: _count(b, width), RUN_ROWS)
-    decided = found.where("bucket = -1").mapInArrow(_unpacked, RUN_ROWS)
+    later = arrow_stage(packed, lambda b: _count(b, width), RUN_ROWS)
+    decided = arrow_stage(found.where("bucket = -1"), _unpacked, RUN_ROWS)
     ranges = stage_table(later.unionByName(decided).select("doc_id", "first", "count"), "ranges")
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
     out = "doc_id long, n_words long, n_removed long, kept string"
     if carry:
         source = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         out += f", row {docs.schema.simpleString()}"
-    return source.join(ranges, "doc_id", "left").mapInArrow(lambda b: _keep(b, width), out)
+    return arrow_stage(source.join(ranges, "doc_id", "left"), lambda b: _keep(b, width), out)

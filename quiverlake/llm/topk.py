@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import arrow_stage, stage_table
 
 CANDIDATES, QUERIES = 4096, 1024
 #: Shares of a block's lists that are read before the bounds are looked at again.
@@ -144,13 +144,13 @@ def top_k(vectors: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id
     """(query_id, rank, vec_id, score): for each row for which the SQL predicate `queries` on vec_id holds, its k best others."""
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    rows = stage_table(named.mapInArrow(lambda b: _integers(b, scale), "vec_id long, vector binary"), "integers")
+    rows = stage_table(arrow_stage(named, lambda b: _integers(b, scale), "vec_id long, vector binary"), "integers")
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.expr(queries)).alias("q")).first()
     blocks, query_blocks = -(-counts.n // CANDIDATES) or 1, -(-counts.q // QUERIES) or 1
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), block(blocks, 1).alias("block"), F.lit(0).alias("role"), "vec_id", "vector")
     asked = rows.where(queries).select(block(query_blocks, 2).alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "vec_id", "vector")
     units = candidates.unionByName(asked).repartition(parts, "query_block", "block").sortWithinPartitions("query_block", "block", "role", "vec_id")
-    found = units.mapInArrow(lambda b: _units(b, k), PARTIAL)
+    found = arrow_stage(units, lambda b: _units(b, k), PARTIAL)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_and_text, slices
+from .common import arrow_stage, id_and_text, slices
 from .wordtable import LOWER, NOT_ALNUM, WordTable, mix
 
 WINDOW, STEP, TRAIN_WINDOWS = 24, 12, 32
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int
     chosen = [known.where(F.col("toxic") == y).join(named.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, negatives), (1, positives))]
     wanted = chosen[0].unionByName(chosen[1])
     sample = named.join(F.broadcast(wanted), "doc_id").select("toxic", "text", "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = sample.select("toxic", "text").mapInArrow(_shortened, "toxic int, text string").collect()
+    rows = arrow_stage(sample.select("toxic", "text"), _shortened, "toxic int, text string").collect()
     if not rows:
         return None
     y = np.array([r.toxic for r in rows], np.float32)
@@ -285,10 +285,10 @@ def score_rows(docs: DataFrame, network: Network | None, text_col: str = "text",
 
     def scored(batches):
         for whole in batches:
-            for batch in slices(whole, text_col, most=2 << 20):
+            for batch in slices(whole, text_col, most=1 << 20):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)))], names=[*names, score_col])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return arrow_stage(docs, scored, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def score_documents(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +300,7 @@ def score_documents(docs: DataFrame, network: Network | None, id_col: str = "doc
 
     def scored(batches):
         for whole in batches:
-            for batch in slices(whole, most=2 << 20):
+            for batch in slices(whole, most=1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")))], names=["doc_id", "score"])
 
-    return named.mapInArrow(scored, "doc_id long, score double")
+    return arrow_stage(named, scored, "doc_id long, score double")

@@ -73,7 +73,7 @@ class WordTable:
     hashes       hash of each word's bytes, after lower-casing A-Z if asked
     """
 
-    def __init__(self, column, lower: bool = False, separators: np.ndarray = WHITE, step: int = 1 << 22):
+    def __init__(self, column, lower: bool = False, separators: np.ndarray = WHITE, step: int = 1 << 20):
         self.data, self.offsets = utf8_column(column)
         data, offsets = self.data, self.offsets
         white = separators[data]
