@@ -1,5 +1,533 @@
-"""Queries by name and their SQL oracles."""
+"""Queries by name over the `embeddings` table, and their SQL oracles.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Base vectors are those whose id is not divisible by 25; the others are the queries.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import vectors as V
+from .operators import cluster as C
+from .operators import graph as G
+from .operators import quantize as Q
+from .operators import search as S
+
+K, MINI, MEGAS_OF, CELLS = 10, 50, 4, 16
 FLAGSHIP = "two_level_search"
+
+
+def vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", V.doubles("embedding").alias("e"), "label")
+    return rows.withColumn("e", F.transform("e", lambda x: x * (1 + F.col("label")))) if scaled else rows
+
+
+def base(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    return vectors(spark, sf_dir, scaled).where("vec_id % 25 <> 0")
+
+
+def asked(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    return vectors(spark, sf_dir, scaled).where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names or ("dist",)})
+
+
+# DuckDB: vectors as lists of doubles, and the same arithmetic in the same order.
+_V = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings)"
+_W = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + label)) AS e, label FROM embeddings)"
+_BQ = "b AS (SELECT * FROM v WHERE vec_id % 25 <> 0), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 25 = 0)"
+_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_IP = "(-list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])))"
+_L1 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+
+
+def _d(metric: str, a: str, b: str) -> str:
+    if metric == "cosine":
+        return f"(1.0 - {_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})))"
+    return {"l2": _L2, "ip": _IP, "l1": _L1}[metric].format(a=a, b=b)
+
+
+def _top(source: str, k: int = K, by: str = "query_id") -> str:
+    return f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY dist, vec_id) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+def _knn(metric: str = "l2", where: str = "true", v: str = _V) -> str:
+    return f"WITH {v}, {_BQ}, d AS (SELECT query_id, vec_id, {_d(metric, 'e', 'qe')} AS dist FROM b, q WHERE {where}) {_top('d')}"
+
+
+def _means(source: str, key: str, vector: str = "e") -> str:
+    """(key, c, n) of a source with vectors, in fixed point."""
+    return f"""SELECT {key}, list(m ORDER BY pos) AS c, max(n) AS n FROM (
+  SELECT {key}, pos, CAST(sum(CAST(floor(x * 1000000000) AS BIGINT)) AS DOUBLE) / 1000000000.0 / count(*) AS m, count(*) AS n
+  FROM (SELECT {key}, unnest({vector}) AS x, generate_subscripts({vector}, 1) - 1 AS pos FROM {source}) GROUP BY {key}, pos) GROUP BY {key}"""
+
+
+_TWO = f"""WITH {_V}, {_BQ},
+a AS (SELECT *, CAST(floor(vec_id / {MINI}) AS BIGINT) AS mini_id FROM b),
+mini0 AS ({_means('a', 'mini_id')}),
+mini AS (SELECT *, CAST(floor(mini_id / {MEGAS_OF}) AS BIGINT) AS mega_id FROM mini0),
+mega AS ({_means('mini', 'mega_id', 'c')})"""
+
+
+def _search(megas: str = "3", minis: str = "5") -> str:
+    return f"""p1 AS (SELECT * FROM (SELECT query_id, qe, mega_id, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'c', 'qe')}, mega_id) AS r FROM mega, q) WHERE r <= {megas}),
+p2 AS (SELECT * FROM (SELECT query_id, qe, mini_id, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'mini.c', 'qe')}, mini_id) AS r FROM p1 JOIN mini USING (mega_id)) WHERE r <= {minis}),
+d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM p2 JOIN a USING (mini_id))"""
+
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _register_knn() -> None:
+    for metric in ("l2", "ip", "cosine", "l1"):
+        query(f"knn_{metric}", _knn(metric))(lambda s, d, m=metric: rounded(S.knn(asked(s, d), base(s, d), K, m)))
+    for metric in ("l2", "ip"):
+        query(f"knn_unnormalized_{metric}", _knn(metric, v=_W))(lambda s, d, m=metric: rounded(S.knn(asked(s, d, True), base(s, d, True), K, m)))
+    query("knn_filtered_label", _knn(where="label IN (1, 3, 7)"))(lambda s, d: rounded(S.knn(asked(s, d), base(s, d).where("label in (1, 3, 7)"), K)))
+    for p in (50, 10, 1):
+        query(f"knn_filtered_mask_{p}", _knn(where=f"(vec_id * 7919 + 13) % 100 < {p}"))(lambda s, d, p=p: rounded(S.knn(asked(s, d), base(s, d).where(S.mask(percent=p)), K)))
+    query("knn_range", _knn(where="vec_id BETWEEN 100 AND 299"))(lambda s, d: rounded(S.knn(asked(s, d), base(s, d).where("vec_id between 100 and 299"), K)))
+    allow = "vec_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"
+
+    @query("knn_semijoin_filter", _knn(where=allow))
+    def knn_semijoin_filter(s, d):
+        ids = s.read.parquet(f"{d}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("vec_id"))
+        return rounded(S.knn(asked(s, d), S.allowed(base(s, d), ids), K))
+
+
+_register_knn()
+
+
+@query("normalize_vectors", f"WITH {_W}, u AS (SELECT vec_id, unnest(e) / sqrt({_dot('e', 'e')}) AS x, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS pos FROM v) SELECT vec_id, pos, round(x, 6) AS x FROM u")
+def normalize_vectors(s, d):
+    return vectors(s, d, True).select("vec_id", F.posexplode(V.normalized(F.col("e"))).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("vector_norms", f"WITH {_W} SELECT vec_id, round(sqrt({_dot('e', 'e')}), 6) AS norm FROM v")
+def vector_norms(s, d):
+    return vectors(s, d, True).select("vec_id", F.round(V.norm(F.col("e")), 6).alias("norm"))
+
+
+@query("mask_selectivity", "SELECT CAST(p AS INTEGER) AS percent, round(avg(CASE WHEN (vec_id * 7919 + 13) % 100 < p THEN 1.0 ELSE 0.0 END), 6) AS selectivity FROM embeddings, (VALUES (50), (10), (1)) t(p) GROUP BY p")
+def mask_selectivity(s, d):
+    one = lambda p: vectors(s, d).agg(F.lit(p).alias("percent"), F.round(F.avg(S.mask(percent=p).cast("double")), 6).alias("selectivity"))
+    return one(50).unionByName(one(10)).unionByName(one(1))
+
+
+@query("mask_contiguous_range", "SELECT min(vec_id) AS low, max(vec_id) AS high, count(*) = max(vec_id) - min(vec_id) + 1 AS contiguous FROM embeddings WHERE vec_id BETWEEN 100 AND 299")
+def mask_contiguous_range(s, d):
+    return vectors(s, d).where("vec_id between 100 and 299").agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"), (F.count("*") == F.max("vec_id") - F.min("vec_id") + 1).alias("contiguous"))
+
+
+_PAIRS = f"WITH {_V}, {_BQ}, d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM b, q)"
+
+
+@query("within_factor_count", f"{_PAIRS}, m AS (SELECT query_id, min(dist) AS d0 FROM d GROUP BY query_id) SELECT query_id, count(*) AS n_within FROM d JOIN m USING (query_id) WHERE dist <= d0 + abs(d0) * (1.2 - 1) GROUP BY query_id")
+def within_factor_count(s, d):
+    return S.within_factor(S.scored(asked(s, d), base(s, d)), 1.2)
+
+
+@query("radius_join", f"{_PAIRS} SELECT query_id, vec_id, round(dist, 6) AS dist FROM d WHERE dist <= 1.6")
+def radius_join(s, d):
+    return rounded(S.within_radius(asked(s, d), base(s, d), 1.6))
+
+
+def _rows(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.posexplode("c").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+def _unrolled(source: str, key: str) -> str:
+    return f"SELECT {key}, pos, round(x, 6) AS x FROM (SELECT {key}, unnest(c) AS x, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS pos FROM {source})"
+
+
+@query("mean_centroid", f"WITH {_V}, one AS (SELECT 0 AS k, e FROM v), m AS ({_means('one', 'k')}) SELECT pos, x FROM ({_unrolled('m', 'k')})")
+def mean_centroid(s, d):
+    return _rows(C.means(vectors(s, d).withColumn("k", F.lit(0)), "k"), "k").drop("k")
+
+
+@query("label_centroids", f"WITH {_V}, m AS ({_means('v', 'label')}) {_unrolled('m', 'label')}")
+def label_centroids(s, d):
+    return _rows(C.means(vectors(s, d), "label"), "label")
+
+
+# Centroids for assignment: every 25th vector, numbered by its place.
+_CENT = "cent AS (SELECT CAST(query_id / 25 AS BIGINT) AS cid, qe AS c FROM q)"
+
+
+def cents(s, d) -> DataFrame:
+    return asked(s, d).select((F.col("query_id") / 25).cast("long").alias("cid"), F.col("qe").alias("c"))
+
+
+def _assigned(metric: str = "l2", cost: str = "dist", source: str = "b", cent: str = "cent") -> str:
+    return f"SELECT vec_id, any_value(e) AS e, arg_min(cid, row(cost, cid)) AS cid, arg_min(dist, row(cost, cid)) AS dist FROM (SELECT *, {cost} AS cost FROM (SELECT vec_id, e, {cent}.*, {_d(metric, 'e', 'c')} AS dist FROM {source}, {cent})) GROUP BY vec_id"
+
+
+def _register_assign() -> None:
+    for metric, name in (("l2", "assign_1nn"), ("ip", "assign_1nn_ip")):
+        query(name, f"WITH {_V}, {_BQ}, {_CENT}, a AS ({_assigned(metric)}) SELECT vec_id, cid, round(dist, 6) AS dist FROM a")(lambda s, d, m=metric: rounded(C.assign(base(s, d), cents(s, d), m).select("vec_id", "cid", "dist")))
+
+
+_register_assign()
+_ASSIGNED = f"WITH {_V}, {_BQ}, {_CENT}, a AS ({_assigned()})"
+_HIST = "h AS (SELECT cent.cid, any_value(cent.c) AS c, count(a.vec_id) AS n FROM cent LEFT JOIN a ON cent.cid = a.cid GROUP BY cent.cid)"
+
+
+@query("assign_lambda_prev", f"{_ASSIGNED}, {_HIST}, a2 AS ({_assigned(cost='dist + 0.01 * n', cent='h')}) SELECT vec_id, cid, round(dist, 6) AS dist FROM a2")
+def assign_lambda_prev(s, d):
+    sizes = C.histogram(C.assign(base(s, d), cents(s, d)), cents(s, d))
+    return rounded(C.assign(base(s, d), cents(s, d).join(sizes, "cid"), penalty=F.lit(0.01) * F.col("n")).select("vec_id", "cid", "dist"))
+
+
+@query("cluster_histogram", f"{_ASSIGNED}, {_HIST} SELECT cid, n FROM h")
+def cluster_histogram(s, d):
+    return C.histogram(C.assign(base(s, d), cents(s, d)), cents(s, d))
+
+
+@query("cluster_size_stats", f"{_ASSIGNED}, {_HIST} SELECT min(n) AS min_n, max(n) AS max_n, round(avg(n), 6) AS avg_n, round(stddev_pop(n), 6) AS std_n FROM h")
+def cluster_size_stats(s, d):
+    return C.size_stats(cluster_histogram(s, d))
+
+
+def _lloyd(n: int, cent: str = "cent") -> str:
+    out = ""
+    for i in range(1, n + 1):
+        last = cent if i == 1 else f"c{i - 1}"
+        out += f", s{i} AS ({_assigned(cent=last)}), m{i} AS ({_means(f's{i}', 'cid')}), c{i} AS (SELECT {last}.cid, coalesce(m{i}.c, {last}.c) AS c FROM {last} LEFT JOIN m{i} USING (cid))"
+    return out
+
+
+def _register_kmeans() -> None:
+    for n, name in ((1, "kmeans_step"), (3, "kmeans_3iter")):
+        query(name, f"WITH {_V}, {_BQ}, {_CENT}{_lloyd(n)} {_unrolled(f'c{n}', 'cid')}")(lambda s, d, n=n: _rows(C.kmeans(base(s, d), cents(s, d), n), "cid"))
+
+
+_register_kmeans()
+
+
+@query("kmeans_objective", f"WITH {_V}, {_BQ}, {_CENT}{_lloyd(1)}, z AS ({_assigned(cent='c1')}) SELECT round(sum(dist), 4) AS objective FROM z")
+def kmeans_objective(s, d):
+    return C.assign(base(s, d), C.kmeans(base(s, d), cents(s, d), 1)).agg(F.round(F.sum("dist"), 4).alias("objective"))
+
+
+@query("spherical_kmeans_step", f"WITH {_V}, {_BQ}, {_CENT}, s1 AS ({_assigned('ip')}), m AS ({_means('s1', 'cid')}), c1 AS (SELECT cent.cid, coalesce(list_transform(m.c, lambda x: x / sqrt({_dot('m.c', 'm.c')})), cent.c) AS c FROM cent LEFT JOIN m USING (cid)) {_unrolled('c1', 'cid')}")
+def spherical_kmeans_step(s, d):
+    return _rows(C.kmeans(base(s, d), cents(s, d), 1, "ip", spherical=True), "cid")
+
+
+@query("kmeans_capped")
+def kmeans_capped(s, d):
+    cap = -(-base(s, d).count() // cents(s, d).count()) + 5
+    return rounded(C.capped(base(s, d), cents(s, d), cap))
+
+
+@query("kmeans_split_step")
+def kmeans_split_step(s, d):
+    sized = C.histogram(C.assign(base(s, d), cents(s, d)), cents(s, d)).join(cents(s, d), "cid")
+    return _rows(C.split_small(sized, 8), "cid")
+
+
+def two_level(s, d):
+    return C.batches(base(s, d), MINI, MEGAS_OF)
+
+
+@query("batch_minis", f"{_TWO} {_unrolled('mini', 'mini_id')}")
+def batch_minis(s, d):
+    return _rows(two_level(s, d)[1], "mini_id")
+
+
+@query("batch_megas", f"{_TWO} {_unrolled('mega', 'mega_id')}")
+def batch_megas(s, d):
+    return _rows(two_level(s, d)[0], "mega_id")
+
+
+@query("two_level_search", f"{_TWO}, {_search()} {_top('d')}")
+def two_level_search(s, d):
+    return rounded(S.two_level_search(asked(s, d), *two_level(s, d), 3, 5, K))
+
+
+@query("search_one_mega", f"{_TWO}, p2 AS (SELECT * FROM (SELECT query_id, qe, mini_id, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'mini.c', 'qe')}, mini_id) AS r FROM q, mini WHERE mega_id = 1) WHERE r <= 2), d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM p2 JOIN a USING (mini_id)) {_top('d')}")
+def search_one_mega(s, d):
+    megas, minis, rows = two_level(s, d)
+    return rounded(S.two_level_search(asked(s, d), megas.where("mega_id = 1"), minis.where("mega_id = 1"), rows, 1, 2, K))
+
+
+_TRUTH = f"t AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'e', 'qe')}, vec_id) AS r FROM b, q) WHERE r <= {K})"
+_FOUND = f"f AS ({_top('d')})"
+_RECALL = f"r AS (SELECT t.query_id, count(f.vec_id) AS hits, count(f.vec_id) / {K}.0 AS recall FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY t.query_id)"
+
+
+def _truth(s, d):
+    return S.knn(asked(s, d), base(s, d), K)
+
+
+@query("recall_per_query", f"{_TWO}, {_search()}, {_TRUTH}, {_FOUND}, {_RECALL} SELECT query_id, hits, CAST(recall AS DOUBLE) AS recall FROM r")
+def recall_per_query(s, d):
+    return S.recall(S.two_level_search(asked(s, d), *two_level(s, d), 3, 5, K), _truth(s, d), K)
+
+
+@query("recall_summary", f"{_TWO}, {_search()}, {_TRUTH}, {_FOUND}, {_RECALL} SELECT round(avg(CAST(recall AS DOUBLE)), 6) AS avg_recall, max(CAST(recall AS DOUBLE)) AS max_recall, min(CAST(recall AS DOUBLE)) AS min_recall, CAST(count_if(recall < 0.75) AS BIGINT) AS n_low FROM r")
+def recall_summary(s, d):
+    return S.recall_summary(recall_per_query(s, d))
+
+
+def _sweep_sql() -> str:
+    one = lambda g, m: f"SELECT * FROM ({_TWO}, {_search(str(g), str(m))}, {_TRUTH}, {_FOUND}, {_RECALL} SELECT CAST({g} AS INTEGER) AS n_megas, CAST({m} AS INTEGER) AS n_minis, sum(hits) AS hits FROM r)"
+    return " UNION ALL ".join(one(g, m) for g in (1, 3) for m in (2, 8)).replace("sum(hits)", "CAST(sum(hits) AS BIGINT)")
+
+
+@query("two_level_sweep", _sweep_sql())
+def two_level_sweep(s, d):
+    truth, parts = _truth(s, d), two_level(s, d)
+    runs = [S.recall(S.two_level_search(asked(s, d), *parts, g, m, K), truth, K).agg(F.lit(g).alias("n_megas"), F.lit(m).alias("n_minis"), F.sum("hits").alias("hits")) for g in (1, 3) for m in (2, 8)]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("dist_comps_per_query", f"{_TWO}, {_search()} SELECT query_id, count(*) AS n_distances FROM d GROUP BY query_id")
+def dist_comps_per_query(s, d):
+    megas, minis, rows = two_level(s, d)
+    return S.probed_cells(asked(s, d), megas, minis, 3, 5).join(rows.select("mini_id", "vec_id"), "mini_id").groupBy("query_id").agg(F.count("*").alias("n_distances"))
+
+
+_CELL = "cent AS (SELECT mini_id AS cid, c FROM mini)"
+_IVF = f"{_TWO}, {_CELL}, z AS ({_assigned()}), p AS (SELECT * FROM (SELECT query_id, qe, cid, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'c', 'qe')}, cid) AS r FROM cent, q) WHERE r <= 3), d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM p JOIN z USING (cid))"
+
+
+def _ivf(s, d):
+    cells = two_level(s, d)[1].select(F.col("mini_id").alias("cid"), "c")
+    return S.ivf_search(asked(s, d), cells, C.assign(base(s, d), cells).drop("dist"), 3, K)
+
+
+@query("ivf_flat_search", f"{_IVF} {_top('d')}")
+def ivf_flat_search(s, d):
+    return rounded(_ivf(s, d))
+
+
+@query("ivf_flat_recall", f"{_IVF}, {_TRUTH}, {_FOUND}, {_RECALL} SELECT round(avg(CAST(recall AS DOUBLE)), 6) AS avg_recall, max(CAST(recall AS DOUBLE)) AS max_recall, min(CAST(recall AS DOUBLE)) AS min_recall, CAST(count_if(recall < 0.75) AS BIGINT) AS n_low FROM r")
+def ivf_flat_recall(s, d):
+    return S.recall_summary(S.recall(_ivf(s, d), _truth(s, d), K))
+
+
+_MD = f"{_TWO}, md AS (SELECT a.mini_id, mega_id, vec_id, {_d('l2', 'e', 'mini.c')} AS dist FROM a JOIN mini USING (mini_id)), mm AS (SELECT mini_id, any_value(mega_id) AS mega_id, avg(dist) AS mse FROM md GROUP BY mini_id)"
+
+
+def _mini_mse(s, d):
+    megas, minis, rows = two_level(s, d)
+    return C.member_distances(rows, minis).groupBy("mini_id", "mega_id").agg(F.avg("dist").alias("mse"))
+
+
+@query("mini_mse", f"{_MD} SELECT mini_id, mega_id, round(mse, 6) AS mse FROM mm")
+def mini_mse(s, d):
+    return rounded(_mini_mse(s, d), "mse")
+
+
+@query("mega_mse", f"{_MD} SELECT mega_id, round(avg(mse), 6) AS mse FROM mm GROUP BY mega_id")
+def mega_mse(s, d):
+    return _mini_mse(s, d).groupBy("mega_id").agg(F.round(F.avg("mse"), 6).alias("mse"))
+
+
+@query("worst_mega", f"{_MD} SELECT mega_id, round(max(x), 6) AS mse FROM (SELECT mega_id, avg(mse) AS x FROM mm GROUP BY mega_id) GROUP BY mega_id ORDER BY round(max(x), 6) DESC, mega_id LIMIT 1")
+def worst_mega(s, d):
+    return mega_mse(s, d).orderBy(F.desc("mse"), "mega_id").limit(1)
+
+
+_SIL = f"""{_TWO}, ab AS (SELECT vec_id, a.mini_id, any_value(own.mega_id) AS mega_id,
+  min(CASE WHEN a.mini_id = mini.mini_id THEN {_d('l2', 'e', 'mini.c')} END) AS x, min(CASE WHEN a.mini_id <> mini.mini_id THEN {_d('l2', 'e', 'mini.c')} END) AS y
+  FROM a JOIN mini own ON a.mini_id = own.mini_id, mini GROUP BY vec_id, a.mini_id),
+sil AS (SELECT *, CASE WHEN greatest(x, y) <> 0 THEN (y - x) / greatest(x, y) ELSE 0.0 END AS s FROM ab),
+ms AS (SELECT mini_id, any_value(mega_id) AS mega_id, avg(s) AS s FROM sil GROUP BY mini_id)"""
+
+
+def _sil(s, d):
+    _, minis, rows = two_level(s, d)
+    cells = minis.select(F.col("mini_id").alias("cid"), "c")
+    per = C.silhouettes(rows.withColumnRenamed("mini_id", "cid"), cells)
+    return per.groupBy(F.col("cid").alias("mini_id")).agg(F.avg("s").alias("s")).join(minis.select("mini_id", "mega_id"), "mini_id")
+
+
+@query("mini_silhouette", f"{_SIL} SELECT mini_id, mega_id, round(s, 6) AS s FROM ms")
+def mini_silhouette(s, d):
+    return rounded(_sil(s, d).select("mini_id", "mega_id", "s"), "s")
+
+
+@query("mega_silhouette", f"{_SIL} SELECT mega_id, round(avg(s), 6) AS s FROM ms GROUP BY mega_id")
+def mega_silhouette(s, d):
+    return _sil(s, d).groupBy("mega_id").agg(F.round(F.avg("s"), 6).alias("s"))
+
+
+@query("global_silhouette", f"{_SIL} SELECT round(avg(s), 6) AS s FROM sil")
+def global_silhouette(s, d):
+    _, minis, rows = two_level(s, d)
+    return C.silhouettes(rows.withColumnRenamed("mini_id", "cid"), minis.select(F.col("mini_id").alias("cid"), "c")).agg(F.round(F.avg("s"), 6).alias("s"))
+
+
+@query("centroid_silhouette_stats", f"{_SIL} SELECT round(avg(s), 6) AS avg_s, round(min(s), 6) AS min_s, round(max(s), 6) AS max_s FROM ms")
+def centroid_silhouette_stats(s, d):
+    return _sil(s, d).agg(*(F.round(f("s"), 6).alias(f"{n}_s") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))))
+
+
+@query("bad_minis", f"{_SIL} SELECT mini_id, round(s, 6) AS s FROM ms WHERE s < -0.009")
+def bad_minis(s, d):
+    return rounded(_sil(s, d).where("s < -0.009").select("mini_id", "s"), "s")
+
+
+@query("boundary_minis", f"{_TWO}, bd AS (SELECT mini.mini_id, row_number() OVER (PARTITION BY mini.mini_id ORDER BY {_d('l2', 'mini.c', 'mega.c')}, mega.mega_id) AS r, {_d('l2', 'mini.c', 'mega.c')} AS dist FROM mini, mega), two AS (SELECT mini_id, max(CASE WHEN r = 1 THEN dist END) AS d1, max(CASE WHEN r = 2 THEN dist END) AS d2 FROM bd GROUP BY mini_id) SELECT mini_id, round(abs(d2 - d1) / greatest(abs(d1), abs(d2)), 6) AS ratio FROM two WHERE abs(d2 - d1) / greatest(abs(d1), abs(d2)) <= 0.2")
+def boundary_minis(s, d):
+    megas, minis, _ = two_level(s, d)
+    return rounded(C.boundary(minis, megas), "ratio")
+
+
+@query("insert_assign", f"{_TWO}, i1 AS (SELECT query_id, qe, arg_min(mega_id, row({_d('l2', 'qe', 'c')}, mega_id)) AS mega_id FROM q, mega GROUP BY query_id, qe), i2 AS (SELECT query_id, mega_id, mini_id, {_d('l2', 'qe', 'mini.c')} AS dist FROM i1 JOIN mini USING (mega_id)) SELECT query_id AS vec_id, any_value(mega_id) AS mega_id, arg_min(mini_id, row(dist, mini_id)) AS mini_id, round(min(dist), 6) AS dist FROM i2 GROUP BY query_id")
+def insert_assign(s, d):
+    megas, minis, _ = two_level(s, d)
+    return rounded(C.insert(asked(s, d).select(F.col("query_id").alias("vec_id"), F.col("qe").alias("e")), megas, minis))
+
+
+@query("version_drift", f"{_TWO}, old AS (SELECT label AS old_id, c FROM ({_means('b', 'label')})) SELECT mega_id, CAST(arg_min(old_id, row(dist, old_id)) AS BIGINT) AS old_id, round(min(dist), 6) AS dist FROM (SELECT mega_id, old_id, {_d('l2', 'mega.c', 'old.c')} AS dist FROM mega, old) GROUP BY mega_id")
+def version_drift(s, d):
+    old = C.means(base(s, d), "label").select(F.col("label").cast("long").alias("mega_id"), "c")
+    return rounded(C.drift(two_level(s, d)[0], old))
+
+
+@query("oversized_micros", f"{_ASSIGNED}, {_HIST} SELECT cid, n FROM h WHERE n > 2 * (SELECT avg(n) FROM h)")
+def oversized_micros(s, d):
+    sizes = cluster_histogram(s, d)
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.avg("n").alias("m")))).where(F.col("n") > 2 * F.col("m")).select("cid", "n")
+
+
+@query("pull_from_neighbors", f"{_TWO}, t AS (SELECT c AS tc FROM mini WHERE mini_id = 2), near AS (SELECT mini_id, c, tc FROM (SELECT *, row_number() OVER (ORDER BY {_d('l2', 'c', 'tc')}, mini_id) AS r FROM mini, t WHERE mini_id <> 2) WHERE r <= 5) SELECT vec_id, mini_id FROM a JOIN near USING (mini_id) WHERE {_d('l2', 'e', 'tc')} < {_d('l2', 'e', 'c')}")
+def pull_from_neighbors(s, d):
+    _, minis, rows = two_level(s, d)
+    return C.pull(rows, minis, 2, 5)
+
+
+@query("recluster_fast")
+def recluster_fast(s, d):
+    _, minis, rows = two_level(s, d)
+    return C.recluster_within(rows, minis, MINI)
+
+
+_SQ = f"WITH {_V}, {_BQ}, pr AS (SELECT pos, min(x) AS low, max(x) - min(x) AS width FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM b) GROUP BY pos), pl AS (SELECT list(low ORDER BY pos) AS low, list(width ORDER BY pos) AS width FROM pr)"
+_ENC = "list_transform(list_zip({v}, low, width), lambda p: CASE WHEN p[3] > 0 THEN least(floor(least(greatest(p[1] - p[2], 0.0), p[3]) / p[3] * 256), 255) ELSE 0 END)"
+_DEC = "list_transform(list_zip({v}, low, width), lambda p: p[1] * (p[3] / 256) + (p[3] / 512 + p[2]))"
+_CODES = f"{_SQ}, en AS (SELECT vec_id, e, {_ENC.format(v='e')} AS codes, low, width FROM b, pl), de AS (SELECT vec_id, e AS was, {_DEC.format(v='codes')} AS e, codes FROM en)"
+
+
+@query("sq8_params", f"{_SQ} SELECT CAST(pos AS INTEGER) AS pos, round(low, 6) AS low, round(width, 6) AS width FROM pr")
+def sq8_params(s, d):
+    return rounded(Q.train(base(s, d)).select(F.posexplode(F.arrays_zip("low", "width")).alias("pos", "p")).select("pos", "p.low", "p.width"), "low", "width")
+
+
+@query("sq8_encode", f"{_CODES} SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(x AS INTEGER) AS code FROM (SELECT vec_id, unnest(codes) AS x, generate_subscripts(codes, 1) - 1 AS pos FROM de)")
+def sq8_encode(s, d):
+    return Q.encode(base(s, d), Q.train(base(s, d))).select("vec_id", F.posexplode("codes").alias("pos", "code"))
+
+
+@query("sq8_decode_error", f"{_CODES} SELECT vec_id, round({_d('l2', 'e', 'was')}, 9) AS error FROM de")
+def sq8_decode_error(s, d):
+    p = Q.train(base(s, d))
+    return Q.decode(Q.encode(base(s, d), p), p).select("vec_id", F.round(V.l2(F.col("decoded"), F.col("e")), 9).alias("error"))
+
+
+@query("sq8_asym_knn", f"{_CODES}, d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM de, q) {_top('d')}")
+def sq8_asym_knn(s, d):
+    p = Q.train(base(s, d))
+    return rounded(Q.search(asked(s, d), Q.encode(base(s, d), p), p, K))
+
+
+@query("sq8_sym_knn", f"{_CODES}, q1 AS (SELECT query_id, {_ENC.format(v='qe')} AS codes, low, width FROM q, pl), q2 AS (SELECT query_id, {_DEC.format(v='codes')} AS qe FROM q1), d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM de, q2) {_top('d')}")
+def sq8_sym_knn(s, d):
+    p = Q.train(base(s, d))
+    return rounded(Q.search(asked(s, d), Q.encode(base(s, d), p), p, K, symmetric=True))
+
+
+@query("sq8_rerank", f"{_CODES}, d0 AS (SELECT query_id, vec_id, was, qe, {_d('l2', 'e', 'qe')} AS dist FROM de, q), c30 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM d0) WHERE r <= 30), d AS (SELECT query_id, vec_id, {_d('l2', 'was', 'qe')} AS dist FROM c30) {_top('d')}")
+def sq8_rerank(s, d):
+    p = Q.train(base(s, d))
+    return rounded(Q.rerank(Q.search(asked(s, d), Q.encode(base(s, d), p), p, 30), asked(s, d), base(s, d), K))
+
+
+@query("sq8_histogram", f"{_SQ} SELECT CAST(pos AS INTEGER) AS pos, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM (SELECT u.pos, least(floor((x - low) / width * 512), 511) AS bin FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM b) u JOIN pr ON u.pos = pr.pos) GROUP BY pos, bin")
+def sq8_histogram(s, d):
+    return Q.histograms(base(s, d), Q.train(base(s, d)))
+
+
+@query("duplicate_members", f"{_TWO} SELECT mega_id, count(*) AS n, count(DISTINCT mini_id) AS n_distinct FROM mini GROUP BY mega_id")
+def duplicate_members(s, d):
+    return two_level(s, d)[1].groupBy("mega_id").agg(F.count("*").alias("n"), F.count_distinct("mini_id").alias("n_distinct"))
+
+
+@query("lambda_estimate", f"WITH {_V}, p AS (SELECT {_d('l2', 'x.e', 'y.e')} AS dist FROM v x JOIN v y ON y.vec_id = (x.vec_id * 31 + 7) % (SELECT count(*) FROM v)) SELECT round(max(abs(dist)) / ((SELECT count(*) FROM v) / 16.0), 9) AS lambda FROM p")
+def lambda_estimate(s, d):
+    rows, n = vectors(s, d), vectors(s, d).count()
+    other = rows.select(F.col("vec_id").alias("oid"), F.col("e").alias("oe"))
+    pairs = rows.withColumn("oid", (F.col("vec_id") * 31 + 7) % n).join(other, "oid")
+    return pairs.agg(F.round(F.max(F.abs(V.l2(F.col("e"), F.col("oe")))) / (n / 16.0), 9).alias("lambda"))
+
+
+@query("knn_graph", f"WITH {_V}, {_BQ}, d AS (SELECT x.vec_id AS query_id, y.vec_id, {_d('l2', 'y.e', 'x.e')} AS dist FROM b x JOIN b y ON x.vec_id <> y.vec_id WHERE x.vec_id < 200) {_top('d', 5)}")
+def knn_graph(s, d):
+    own = base(s, d).where("vec_id < 200").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    return rounded(S.top_k(S.scored(own, base(s, d)).where("query_id <> vec_id"), 5).select("query_id", "rank", "vec_id", "dist"))
+
+
+@query("graph_degree_stats")
+def graph_degree_stats(s, d):
+    return G.degrees(G.build(G.partitioned(base(s, d), 4)))
+
+
+@query("hnsw_search")
+def hnsw_search(s, d):
+    rows = G.partitioned(base(s, d), 4)
+    return rounded(G.search(asked(s, d), rows, G.build(rows), K))
+
+
+@query("hnsw_filtered_search")
+def hnsw_filtered_search(s, d):
+    rows = G.partitioned(base(s, d), 4)
+    return rounded(G.search(asked(s, d), rows.withColumn("allowed", F.col("label") < 3), G.build(rows), K))
+
+
+@query("hnsw_delete_search")
+def hnsw_delete_search(s, d):
+    rows = G.partitioned(base(s, d), 4)
+    gone = rows.where("vec_id % 10 = 3").select("vec_id")
+    return rounded(G.search(asked(s, d), rows.join(gone, "vec_id", "left_anti"), G.delete(G.build(rows), gone), K))
+
+
+def _register_files() -> None:
+    from .sources import vecfiles
+
+    for kind in ("fvecs", "fbin"):
+
+        def roundtrip(s, d, kind=kind):
+            at = tempfile.mkdtemp()
+            vecfiles.write(s.read.parquet(f"{d}/embeddings.parquet"), at, kind)
+            return vecfiles.read(s, at, kind).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+
+        query(f"roundtrip_{kind}", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")(roundtrip)
+
+
+_register_files()
