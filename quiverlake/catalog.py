@@ -479,12 +479,12 @@ def duplicate_members(s, d):
     return two_level(s, d)[1].groupBy("mega_id").agg(F.count("*").alias("n"), F.count_distinct("mini_id").alias("n_distinct"))
 
 
-@query("lambda_estimate", f"WITH {_V}, p AS (SELECT {_d('l2', 'x.e', 'y.e')} AS dist FROM v x JOIN v y ON y.vec_id = (x.vec_id * 31 + 7) % (SELECT count(*) FROM v)) SELECT round(max(abs(dist)) / ((SELECT count(*) FROM v) / 16.0), 9) AS lambda FROM p")
+@query("lambda_estimate", f"WITH {_V}, p AS (SELECT {_d('l2', 'x.e', 'y.e')} AS dist FROM v x JOIN v y ON y.vec_id = (x.vec_id * 31 + 7) % (SELECT count(*) FROM v)) SELECT round(max(abs(dist)) / ((SELECT count(*) FROM v) / 16.0), 9) AS penalty FROM p")
 def lambda_estimate(s, d):
     rows, n = vectors(s, d), vectors(s, d).count()
     other = rows.select(F.col("vec_id").alias("oid"), F.col("e").alias("oe"))
     pairs = rows.withColumn("oid", (F.col("vec_id") * 31 + 7) % n).join(other, "oid")
-    return pairs.agg(F.round(F.max(F.abs(V.l2(F.col("e"), F.col("oe")))) / (n / 16.0), 9).alias("lambda"))
+    return pairs.agg(F.round(F.max(F.abs(V.l2(F.col("e"), F.col("oe")))) / (n / 16.0), 9).alias("penalty"))
 
 
 @query("knn_graph", f"WITH {_V}, {_BQ}, d AS (SELECT x.vec_id AS query_id, y.vec_id, {_d('l2', 'y.e', 'x.e')} AS dist FROM b x JOIN b y ON x.vec_id <> y.vec_id WHERE x.vec_id < 200) {_top('d', 5)}")
