@@ -5,16 +5,17 @@ Base vectors are those whose id is not divisible by 25; the others are the queri
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .operators import cluster as C
 from .operators import graph as G
+from .operators import maintain as M
+from .operators import product as P
 from .operators import quantize as Q
 from .operators import search as S
+from .sources import indexfiles
 
 K, MINI, MEGAS_OF, CELLS = 10, 50, 4, 16
 FLAGSHIP = "two_level_search"
@@ -487,9 +488,9 @@ def lambda_estimate(s, d):
     return pairs.agg(F.round(F.max(F.abs(V.l2(F.col("e"), F.col("oe")))) / (n / 16.0), 9).alias("penalty"))
 
 
-@query("knn_graph", f"WITH {_V}, {_BQ}, d AS (SELECT x.vec_id AS query_id, y.vec_id, {_d('l2', 'y.e', 'x.e')} AS dist FROM b x JOIN b y ON x.vec_id <> y.vec_id WHERE x.vec_id < 200) {_top('d', 5)}")
+@query("knn_graph", f"WITH {_V}, {_BQ}, d AS (SELECT x.vec_id AS query_id, y.vec_id, {_d('l2', 'y.e', 'x.e')} AS dist FROM b x JOIN b y ON x.vec_id <> y.vec_id) {_top('d', 5)}")
 def knn_graph(s, d):
-    own = base(s, d).where("vec_id < 200").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    own = base(s, d).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
     return rounded(S.top_k(S.scored(own, base(s, d)).where("query_id <> vec_id"), 5).select("query_id", "rank", "vec_id", "dist"))
 
 
@@ -517,13 +518,188 @@ def hnsw_delete_search(s, d):
     return rounded(G.search(asked(s, d), rows.join(gone, "vec_id", "left_anti"), G.delete(G.build(rows), gone), K))
 
 
+@query("sq8_cosine_knn", f"{_CODES}, d AS (SELECT query_id, vec_id, {_d('cosine', 'e', 'qe')} AS dist FROM de, q) {_top('d')}")
+def sq8_cosine_knn(s, d):
+    p = Q.train(base(s, d))
+    return rounded(Q.search(asked(s, d), Q.encode(base(s, d), p), p, K, "cosine"))
+
+
+_BINS = "hist AS (SELECT pos, bin, count(*) AS n FROM (SELECT u.pos, least(floor((x - low) / width * 512), 511) AS bin FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM b) u JOIN pr ON u.pos = pr.pos) GROUP BY pos, bin), cum AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY pos) AS everything FROM hist)"
+
+
+def _narrow(name: str, share: float) -> str:
+    return f"{name} AS (SELECT w.pos, low + first / 512.0::DOUBLE * width AS low, wide / 512.0::DOUBLE * width AS width FROM (SELECT x.pos, min(row(y.bin - x.bin, x.bin)) AS r, r[1] AS wide, r[2] AS first FROM cum x JOIN cum y ON x.pos = y.pos AND y.bin >= x.bin AND y.upto - x.upto + x.n >= CAST(x.everything AS DOUBLE) * {share}::DOUBLE GROUP BY x.pos) w JOIN pr ON w.pos = pr.pos)"
+
+
+@query("sq8_breakpoints", f"{_SQ}, {_BINS}, {_narrow('nr', 0.7)} SELECT CAST(pos AS INTEGER) AS pos, round(low, 6) AS low, round(width, 6) AS width FROM nr")
+def sq8_breakpoints(s, d):
+    p = Q.train(base(s, d))
+    sides = Q.narrowest(Q.histograms(base(s, d), p), p, 0.7)
+    return rounded(sides.select(F.posexplode(F.arrays_zip("low", "width")).alias("pos", "p")).select("pos", "p.low", "p.width"), "low", "width")
+
+
+_PW = f"""{_SQ}, {_BINS}, {_narrow('wd', 0.95)}, {_narrow('tg', 0.8)},
+x AS (SELECT vec_id, pos, x, wd.low, wd.width, tg.low AS tl, tg.width AS tw FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM b) u JOIN wd USING (pos) JOIN tg USING (pos)),
+mk AS (SELECT *, bool_and(x >= tl AND x <= tl + tw) OVER (PARTITION BY vec_id, pos // 4) AS tight FROM x),
+rg AS (SELECT vec_id, pos, x, tight, CASE WHEN tight THEN tl ELSE low END AS lo, CASE WHEN tight THEN tw ELSE width END AS w FROM mk),
+pc AS (SELECT *, CASE WHEN w > 0 THEN CAST(least(floor(least(greatest(x - lo, 0.0), w) / w * 4), 3) AS INTEGER) ELSE 0 END AS code FROM rg)"""
+
+
+@query("pairwise2_params", f"{_PW} SELECT CAST(wd.pos AS INTEGER) AS pos, round(wd.low, 6) AS low, round(wd.width, 6) AS width, round(tg.low, 6) AS tight_low, round(tg.width, 6) AS tight_width FROM wd JOIN tg ON wd.pos = tg.pos")
+def pairwise2_params(s, d):
+    names = ("low", "width", "tight_low", "tight_width")
+    return rounded(Q.train_pairwise(base(s, d)).select(F.posexplode(F.arrays_zip(*names)).alias("pos", "p")).select("pos", *(f"p.{n}" for n in names)), *names)
+
+
+@query("pairwise2_encode", f"{_PW} SELECT vec_id, CAST(pos AS INTEGER) AS pos, code, tight FROM pc")
+def pairwise2_encode(s, d):
+    coded = Q.encode_pairwise(base(s, d), Q.train_pairwise(base(s, d)))
+    return coded.select("vec_id", "mask", F.posexplode("codes").alias("pos", "code")).select("vec_id", "pos", "code", F.get("mask", F.floor(F.col("pos") / 4).cast("int")).alias("tight"))
+
+
+@query("pairwise2_decode_error", f"{_PW} SELECT vec_id, round(sum(d * d ORDER BY pos), 6) AS error FROM (SELECT vec_id, pos, code * (w / 4) + (w / 8 + lo) - x AS d FROM pc) GROUP BY vec_id")
+def pairwise2_decode_error(s, d):
+    p = Q.train_pairwise(base(s, d))
+    return rounded(Q.decode_pairwise(Q.encode_pairwise(base(s, d), p), p).select("vec_id", V.l2(F.col("decoded"), F.col("e")).alias("error")), "error")
+
+
+@query("pq_search")
+def pq_search(s, d):
+    book = P.train(base(s, d))
+    return rounded(P.search(asked(s, d), P.encode(base(s, d), book), book, K))
+
+
+@query("pq_search_symmetric")
+def pq_search_symmetric(s, d):
+    book = P.train(base(s, d))
+    return rounded(P.search(asked(s, d), P.encode(base(s, d), book), book, K, symmetric=True))
+
+
+_BAD_SEARCH = _search("1").replace("p1 AS (", "bm AS (SELECT mega_id FROM gm WHERE mse > (SELECT avg(mse) FROM gm)), p1 AS (SELECT query_id, qe, mega_id, 0 AS r FROM q, bm UNION ALL ", 1).replace("FROM mega, q", "FROM mega, q WHERE mega_id NOT IN (SELECT mega_id FROM bm)", 1)
+
+
+@query("two_level_bad_clusters", f"{_MD}, gm AS (SELECT mega_id, avg(mse) AS mse FROM mm GROUP BY mega_id), {_BAD_SEARCH} {_top('d')}")
+def two_level_bad_clusters(s, d):
+    scores = _mini_mse(s, d).groupBy("mega_id").agg(F.avg("mse").alias("mse"))
+    bad = scores.crossJoin(F.broadcast(scores.agg(F.avg("mse").alias("m")))).where("mse > m").select("mega_id")
+    return rounded(S.two_level_search(asked(s, d), *two_level(s, d), 1, 5, K, always=bad))
+
+
+@query("boundary_fix_v2", f"{_SIL}, bad AS (SELECT ms.mini_id AS bad_id, mini.c AS bc FROM ms JOIN mini ON ms.mini_id = mini.mini_id WHERE s < -0.009), near AS (SELECT bad_id, mini_id FROM (SELECT bad_id, mini_id, row_number() OVER (PARTITION BY bad_id ORDER BY {_d('l2', 'c', 'bc')}, mini_id) AS r FROM bad, mini) WHERE r <= 5), opt AS (SELECT DISTINCT x.mini_id AS from_id, y.mini_id FROM near x JOIN near y ON x.bad_id = y.bad_id) SELECT vec_id, arg_min(mini_id, row(dist, mini_id)) AS mini_id FROM (SELECT vec_id, opt.mini_id, {_d('l2', 'a.e', 'mini.c')} AS dist FROM a JOIN opt ON a.mini_id = opt.from_id JOIN mini ON mini.mini_id = opt.mini_id) GROUP BY vec_id")
+def boundary_fix_v2(s, d):
+    _, minis, rows = two_level(s, d)
+    return M.fix_boundaries(rows, minis, _sil(s, d).where("s < -0.009"), 5)
+
+
+@query("mega_recluster_step", f"{_TWO}, mi AS (SELECT mini_id AS vec_id, c AS e FROM mini), cent AS (SELECT mega_id AS cid, c FROM mega){_lloyd(1)}, z AS ({_assigned(source='mi', cent='c1')}) SELECT vec_id AS mini_id, cid AS mega_id, round(dist, 6) AS dist FROM z".replace(" FROM b, cent", " FROM mi, cent"))
+def mega_recluster_step(s, d):
+    megas, minis, _ = two_level(s, d)
+    return rounded(M.recluster_megas(minis, megas))
+
+
+def _index(s, d) -> DataFrame:
+    return M.build(base(s, d), MINI, MEGAS_OF, 4 * MINI * MEGAS_OF)
+
+
+def _places(index: DataFrame) -> DataFrame:
+    return index.select("vec_id", "mini_id", "mega_id")
+
+
+@query("index_build")
+def index_build(s, d):
+    return _places(_index(s, d))
+
+
+@query("recluster_full")
+def recluster_full(s, d):
+    return _places(M.recluster_full(_index(s, d), 3, MINI, MEGAS_OF))
+
+
+@query("recluster_on_score")
+def recluster_on_score(s, d):
+    return _places(M.recluster_on_score(_index(s, d), 2, MINI, MEGAS_OF))
+
+
+@query("insert_buffer_merge")
+def insert_buffer_merge(s, d):
+    new = asked(s, d).select(F.col("query_id").alias("vec_id"), F.col("qe").alias("e"))
+    return _places(M.merge_buffer(_index(s, d), new, 2, MINI, MEGAS_OF, 4 * MINI * MEGAS_OF))
+
+
+@query("micro_split")
+def micro_split(s, d):
+    return M.split_large(C.assign(base(s, d), cents(s, d)).select("vec_id", "e", "cid"), cents(s, d))
+
+
+@query("write_amplification", f"{_TWO}, i1 AS (SELECT query_id, arg_min(mega_id, row({_d('l2', 'qe', 'c')}, mega_id)) AS mega_id FROM q, mega GROUP BY query_id), n AS (SELECT (SELECT count(*) FROM q) AS new, (SELECT count(*) FROM a JOIN mini USING (mini_id) WHERE mega_id IN (SELECT mega_id FROM i1)) AS old) SELECT new * 256 AS user_bytes, (new + old) * 256 AS system_bytes, round((new + old) / new, 6) AS amplification FROM n")
+def write_amplification(s, d):
+    megas, minis, rows = two_level(s, d)
+    new = asked(s, d).select(F.col("query_id").alias("vec_id"), F.col("qe").alias("e"))
+    touched = C.assign(new, megas.select(F.col("mega_id").alias("cid"), "c")).select(F.col("cid").alias("mega_id")).distinct()
+    old = rows.join(minis.select("mini_id", "mega_id"), "mini_id").join(touched, "mega_id", "left_semi").agg(F.count("*").alias("old"))
+    n = new.agg(F.count("*").alias("new")).crossJoin(F.broadcast(old))
+    return n.select((F.col("new") * 256).alias("user_bytes"), ((F.col("new") + F.col("old")) * 256).alias("system_bytes"), F.round((F.col("new") + F.col("old")) / F.col("new"), 6).alias("amplification"))
+
+
+@query("rng_prune_edges")
+def rng_prune_edges(s, d):
+    own = base(s, d).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    near = S.top_k(S.scored(own, base(s, d)).where("query_id <> vec_id"), 20).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist")
+    return rounded(G.prune_edges(near, base(s, d), 8))
+
+
+@query("partitioned_hnsw_search")
+def partitioned_hnsw_search(s, d):
+    cells = C.kmeans(base(s, d), C.hashed_init(base(s, d), 8), 3)
+    rows = C.assign(base(s, d), cells).select("vec_id", "e", F.col("cid").cast("int").alias("part"))
+    probed = S.probes(asked(s, d), cells, 6).select("query_id", F.col("cid").cast("int").alias("part"))
+    return rounded(G.search(asked(s, d), rows, G.build(rows), K, probed=probed))
+
+
+@query("ef_tuning")
+def ef_tuning(s, d):
+    rows, truth = G.partitioned(base(s, d), 4), _truth(s, d)
+    edges = G.build(rows)
+    ef = S.tune_effort(lambda e: G.search(asked(s, d), rows, edges, K, ef=e), truth, K, [10, 20, 40, 80], 0.95)
+    return S.recall_summary(S.recall(G.search(asked(s, d), rows, edges, K, ef=ef), truth, K)).select(F.lit(ef).alias("ef"), "avg_recall")
+
+
+@query("roundtrip_index", ORACLE_SQL["two_level_search"])
+def roundtrip_index(s, d):
+    at = indexfiles.scratch(s, "index")
+    megas, minis, rows = two_level(s, d)
+    indexfiles.save(at, {"mini": MINI, "megas_of": MEGAS_OF}, megas=megas, minis=minis, rows=rows)
+    _, found = indexfiles.load(s, at)
+    return rounded(S.two_level_search(asked(s, d), found["megas"], found["minis"], found["rows"], 3, 5, K))
+
+
+@query("roundtrip_bvecs", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, floor(unnest(list_transform(embedding, lambda x: CAST((CAST(x AS DOUBLE) + 1) * 100 AS FLOAT)))) AS x FROM embeddings")
+def roundtrip_bvecs(s, d):
+    from .sources import vecfiles
+
+    at = indexfiles.scratch(s, "bvecs")
+    vecfiles.write(vectors(s, d).select("vec_id", F.transform("e", lambda x: (x + 1) * 100).alias("embedding")), at, "bvecs")
+    return vecfiles.read(s, at, "bvecs").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+
+
+@query("streaming_insert", ORACLE_SQL["insert_assign"])
+def streaming_insert(s, d):
+    from .streaming.inserts import stream_insert
+
+    at = indexfiles.scratch(s, "stream")
+    megas, minis, _ = two_level(s, d)
+    s.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 25 = 0").write.parquet(f"{at}/in")
+    stream_insert(s, f"{at}/in", f"{at}/out", f"{at}/log", megas, minis)
+    return rounded(s.read.parquet(f"{at}/out").select("vec_id", "mega_id", "mini_id", "dist"))
+
+
 def _register_files() -> None:
     from .sources import vecfiles
 
     for kind in ("fvecs", "fbin"):
 
         def roundtrip(s, d, kind=kind):
-            at = tempfile.mkdtemp()
+            at = indexfiles.scratch(s, kind)
             vecfiles.write(s.read.parquet(f"{d}/embeddings.parquet"), at, kind)
             return vecfiles.read(s, at, kind).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
 

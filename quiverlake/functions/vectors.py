@@ -79,3 +79,33 @@ def sq8_decode(codes: Column, low: Column, width: Column) -> Column:
     """Middle of each code's step: alpha * code + beta, alpha = width / 256, beta = alpha / 2 + low."""
     zipped = F.arrays_zip(codes.alias("c"), low.alias("low"), width.alias("width"))
     return F.transform(zipped, lambda p: p["c"] * (p["width"] / 256) + (p["width"] / 512 + p["low"]))
+
+
+def pairwise_mask(v: Column, low: Column, width: Column, group: int = 4) -> Column:
+    """For each group of dimensions, whether all its values lie in their range."""
+    inside = F.transform(F.arrays_zip(v.alias("v"), low.alias("low"), width.alias("width")), lambda p: (p["v"] >= p["low"]) & (p["v"] <= p["low"] + p["width"]))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / group).cast("int") - 1), lambda g: F.forall(F.slice(inside, g * group + 1, group), lambda x: x))
+
+
+def _ranged(first: Column, mask: Column, low: Column, width: Column, tight_low: Column, tight_width: Column, one, group: int) -> Column:
+    zipped = F.arrays_zip(first.alias("v"), low.alias("low"), width.alias("width"), tight_low.alias("tl"), tight_width.alias("tw"))
+
+    def of(p: Column, i: Column) -> Column:
+        tight = F.get(mask, F.floor(i / group).cast("int"))
+        return one(p["v"], F.when(tight, p["tl"]).otherwise(p["low"]), F.when(tight, p["tw"]).otherwise(p["width"]))
+
+    return F.transform(zipped, of)
+
+
+def pairwise_encode(v: Column, mask: Column, low: Column, width: Column, tight_low: Column, tight_width: Column, group: int = 4) -> Column:
+    """2-bit codes: clamped to the group's range, scaled to four steps, truncated."""
+    def one(x: Column, a: Column, w: Column) -> Column:
+        inside = F.least(F.greatest(x - a, F.lit(0.0)), w)
+        return F.when(w > 0, F.least(F.floor(F.try_divide(inside, w) * 4), F.lit(3))).otherwise(F.lit(0)).cast("int")
+
+    return _ranged(v, mask, low, width, tight_low, tight_width, one, group)
+
+
+def pairwise_decode(codes: Column, mask: Column, low: Column, width: Column, tight_low: Column, tight_width: Column, group: int = 4) -> Column:
+    """Middle of each code's step in its group's range."""
+    return _ranged(codes, mask, low, width, tight_low, tight_width, lambda c, a, w: c * (w / 4) + (w / 8 + a), group)

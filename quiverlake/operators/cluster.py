@@ -30,11 +30,10 @@ def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2", penalty: C
     return rows.join(best, "vec_id").select(*rows.columns, F.col("b.cid").alias("cid"), F.col("b.dist").alias("dist"))
 
 
-def stride_init(rows: DataFrame, k: int, n: int) -> DataFrame:
-    """k starting centroids: every (n / k)-th row in order of id; n is the number of rows."""
-    ranked = rows.withColumn("rn", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    step = n // k
-    return ranked.where((F.col("rn") % step == 0) & (F.col("rn") < step * k)).select((F.col("rn") / step).cast("long").alias("cid"), F.col("e").alias("c"))
+def hashed_init(rows: DataFrame, k: int) -> DataFrame:
+    """k starting centroids: the rows whose ids hash lowest, which each task finds for itself before one merge."""
+    first = rows.select("vec_id", "e", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(k)
+    return first.select((F.row_number().over(Window.orderBy("h", "vec_id")) - 1).cast("long").alias("cid"), F.col("e").alias("c"))
 
 
 def kmeans(rows: DataFrame, centroids: DataFrame, iterations: int, metric: str = "l2", spherical: bool = False) -> DataFrame:
@@ -151,20 +150,32 @@ def pull(assignment: DataFrame, minis: DataFrame, target: int, neighbours: int,
     return rows.where(distance(metric, "e", "t") < distance(metric, "e", "c")).select("vec_id", "mini_id")
 
 
-def recluster_within(assignment: DataFrame, minis: DataFrame, size: int, iterations: int = 5, seed_step: int = 1) -> DataFrame:
+def lloyd(x, size: int, iterations: int):
+    """Cluster numbers of the rows of one matrix in clusters of about `size`, by Lloyd iterations from evenly spaced rows."""
+    import numpy as np
+
+    def nearest(c):
+        half = (c * c).sum(1) / 2
+        return np.concatenate([(half - x[at : at + 4096] @ c.T).argmin(1) for at in range(0, len(x), 4096)])
+
+    k = max(1, round(len(x) / size))
+    c = x[np.arange(k) * (len(x) // k)]
+    for _ in range(iterations):
+        own = nearest(c)
+        sums, n = np.zeros_like(c), np.bincount(own, minlength=k)
+        np.add.at(sums, own, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return nearest(c)
+
+
+def recluster_within(assignment: DataFrame, minis: DataFrame, size: int, iterations: int = 5) -> DataFrame:
     """(mega_id, mini_no, vec_id): k-means inside each mega, one task a mega at a time; megas are bounded by maintenance."""
     import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["e"].to_numpy())
-        k = max(1, round(len(x) / size))
-        c = x[np.arange(k) * (len(x) // k)]
-        for _ in range(iterations):
-            own = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-            c = np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
-        own = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        own = lloyd(np.stack(pdf["e"].to_numpy()), size, iterations)
         return pd.DataFrame({"mega_id": pdf["mega_id"], "mini_no": own.astype("int64"), "vec_id": pdf["vec_id"]})
 
     rows = assignment.join(minis.select("mini_id", "mega_id"), "mini_id").select("mega_id", "vec_id", "e")

@@ -59,12 +59,14 @@ def build(rows: DataFrame, m: int = 16, candidates: int = 64, alpha: float = 1.0
     return rows.select("part", "vec_id", "e").groupBy("part").applyInPandas(run, EDGES)
 
 
-def search(queries: DataFrame, rows: DataFrame, edges: DataFrame, k: int, ef: int = 64) -> DataFrame:
-    """Beam search in every partition, merged.  Rows may carry `allowed`: others are walked through, not returned."""
+def search(queries: DataFrame, rows: DataFrame, edges: DataFrame, k: int, ef: int = 64, probed: DataFrame | None = None) -> DataFrame:
+    """Beam search in every partition (or in those that `probed` has as (query_id, part)), merged.  Rows may carry `allowed`: others are walked through, not returned."""
     if "allowed" not in rows.columns:
         rows = rows.withColumn("allowed", F.lit(True))
     graph = rows.select("part", "vec_id", "e", "allowed").join(edges.groupBy("part", F.col("src").alias("vec_id")).agg(F.collect_list("dst").alias("out")), ["part", "vec_id"], "left")
     asked = queries.select("query_id", "qe").crossJoin(F.broadcast(rows.select(F.col("part").alias("in_part")).distinct()))
+    if probed is not None:
+        asked = queries.select("query_id", "qe").join(probed.select("query_id", F.col("part").alias("in_part")), "query_id")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -121,6 +123,21 @@ def delete(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return alive.groupBy("part", "src", "dst").agg(F.min("pos").alias("pos"), F.min("dist").alias("dist")).select("part", "src", "pos", "dst", "dist")
 
 
+def prune_edges(edges: DataFrame, rows: DataFrame, most: int, alpha: float = 1.0) -> DataFrame:
+    """(src, pos, dst, dist): each node's edges (src, dst, dist) thinned for diversity; a task holds one node's edges at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "dst"])
+        x = np.stack(pdf["e"].to_numpy())
+        kept = prune(pdf["dist"].to_numpy(), ((x[:, None] - x[None]) ** 2).sum(-1), most, alpha)
+        out = pdf.iloc[kept][["src", "dst", "dist"]]
+        out.insert(1, "pos", np.arange(len(out), dtype=np.int32))
+        return out
+
+    full = edges.select("src", "dst", "dist").join(rows.select(F.col("vec_id").alias("dst"), "e"), "dst")
+    return full.groupBy("src").applyInPandas(run, "src long, pos int, dst long, dist double")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
     return out.agg(F.min("n").alias("min_degree"), F.max("n").alias("max_degree"), F.round(F.avg("n"), 6).alias("avg_degree"))

@@ -1,11 +1,11 @@
-"""Scalar quantisation to 8 bits: training, codes, search on codes, histograms."""
+"""Scalar quantisation to 8 bits and to 2 bits with a tighter range for groups that fit it: training, codes, search on codes, histograms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance, sq8_decode, sq8_encode
+from ..functions.vectors import distance, pairwise_decode, pairwise_encode, pairwise_mask, sq8_decode, sq8_encode
 from .search import paired, top_k
 
 
@@ -43,5 +43,45 @@ def rerank(found: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric
 def histograms(rows: DataFrame, params: DataFrame, bins: int = 512, vector: str = "e") -> DataFrame:
     """(pos, bin, n): equal-width counts of each dimension."""
     parts = rows.crossJoin(F.broadcast(params)).select(F.posexplode(F.arrays_zip(F.col(vector).alias("v"), F.col("low").alias("low"), F.col("width").alias("width"))).alias("pos", "p"))
-    place = F.least(F.floor((F.col("p.v") - F.col("p.low")) / F.col("p.width") * bins), F.lit(bins - 1)).cast("int")
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("p.v") - F.col("p.low"), F.col("p.width")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     return parts.select("pos", place.alias("bin")).groupBy("pos", "bin").agg(F.count("*").alias("n"))
+
+
+def narrowest(counts: DataFrame, params: DataFrame, share: float, bins: int = 512) -> DataFrame:
+    """One row (low, width): for each dimension the narrowest run of bins with `share` of its rows; ties go to the lowest.
+
+    A run reaches to the lower edge of its last bin.  Every expression works on one
+    dimension's bins, whose number is a parameter.
+    """
+    order = Window.partitionBy("pos").orderBy("bin")
+    cells = counts.withColumn("upto", F.sum("n").over(order)).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "upto"))).alias("cells"))
+    need = F.element_at("cells", -1)["upto"].cast("double") * F.lit(float(share))
+
+    def run(c):
+        ends = F.filter("cells", lambda x: x["upto"] - (c["upto"] - c["n"]) >= need)
+        return F.when(F.size(ends) > 0, F.struct((F.get(ends, F.lit(0))["bin"] - c["bin"]).alias("wide"), c["bin"].alias("first")))
+
+    best = cells.select("pos", F.array_min(F.transform("cells", run)).alias("b")).crossJoin(F.broadcast(params))
+    low, width = F.element_at("low", F.col("pos") + 1), F.element_at("width", F.col("pos") + 1)
+    sides = best.select("pos", (low + F.col("b.first") / F.lit(float(bins)) * width).alias("low"), (F.col("b.wide") / F.lit(float(bins)) * width).alias("width"))
+    packed = sides.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "width"))).alias("d"))
+    return packed.select(F.transform("d", lambda p: p["low"]).alias("low"), F.transform("d", lambda p: p["width"]).alias("width"))
+
+
+def train_pairwise(rows: DataFrame, tight: float = 0.8, wide: float = 0.95, bins: int = 512, vector: str = "e") -> DataFrame:
+    """One row (low, width, tight_low, tight_width): each dimension's ranges for `wide` and for `tight` of the rows."""
+    params = train(rows, vector)
+    counts = histograms(rows, params, bins, vector)
+    inner = narrowest(counts, params, tight, bins).select(F.col("low").alias("tight_low"), F.col("width").alias("tight_width"))
+    return narrowest(counts, params, wide, bins).crossJoin(F.broadcast(inner))
+
+
+def encode_pairwise(rows: DataFrame, params: DataFrame, vector: str = "e") -> DataFrame:
+    """The rows with 2-bit `codes` and a `mask`: which groups of four dimensions use the tight range."""
+    both = rows.crossJoin(F.broadcast(params)).withColumn("mask", pairwise_mask(F.col(vector), F.col("tight_low"), F.col("tight_width")))
+    return both.withColumn("codes", pairwise_encode(F.col(vector), *map(F.col, ("mask", "low", "width", "tight_low", "tight_width")))).drop("low", "width", "tight_low", "tight_width")
+
+
+def decode_pairwise(rows: DataFrame, params: DataFrame) -> DataFrame:
+    both = rows.crossJoin(F.broadcast(params))
+    return both.withColumn("decoded", pairwise_decode(*map(F.col, ("codes", "mask", "low", "width", "tight_low", "tight_width")))).drop("low", "width", "tight_low", "tight_width")

@@ -76,16 +76,24 @@ def ivf_search(queries: DataFrame, centroids: DataFrame, assignment: DataFrame,
     return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
 
 
-def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas: int, n_minis: int, metric: str = "l2") -> DataFrame:
-    """(query_id, qe, mini_id): the nearest minis over all probed megas together."""
+def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas: int, n_minis: int, metric: str = "l2", always: DataFrame | None = None) -> DataFrame:
+    """(query_id, qe, mini_id): the nearest minis over all probed megas together.
+
+    Megas in `always` (badly formed ones) are probed by every query, beside the nearest of the others.
+    """
+    every = megas
+    if always is not None:
+        megas = megas.join(always.select("mega_id"), "mega_id", "left_anti")
     first = probes(queries, megas.withColumnRenamed("mega_id", "cid"), n_megas, metric).select("query_id", "qe", F.col("cid").alias("mega_id"))
+    if always is not None:
+        first = first.unionByName(paired(queries.select("query_id", "qe"), every.join(always.select("mega_id"), "mega_id", "left_semi").select("mega_id")))
     pairs = first.join(minis, "mega_id").select("query_id", "qe", "mini_id", distance(metric, "c", "qe").alias("mini_dist"))
     return top_k(pairs, n_minis, id_col="mini_id", dist="mini_dist").select("query_id", "qe", "mini_id")
 
 
-def two_level_search(queries: DataFrame, megas: DataFrame, minis: DataFrame, assignment: DataFrame, n_megas: int, n_minis: int, k: int, metric: str = "l2") -> DataFrame:
+def two_level_search(queries: DataFrame, megas: DataFrame, minis: DataFrame, assignment: DataFrame, n_megas: int, n_minis: int, k: int, metric: str = "l2", always: DataFrame | None = None) -> DataFrame:
     """Nearest megas, then minis among them, then vectors; minis have (mini_id, mega_id, c), assignment (mini_id, vec_id, e)."""
-    cells = probed_cells(queries, megas, minis, n_megas, n_minis, metric)
+    cells = probed_cells(queries, megas, minis, n_megas, n_minis, metric, always)
     pairs = cells.join(assignment.select("mini_id", "vec_id", "e"), "mini_id").select("query_id", "vec_id", distance(metric, "e", "qe").alias("dist"))
     return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
 
