@@ -71,9 +71,8 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.most = most_cached
         self.as_bytes = [np.array([i], dtype="<i4").tobytes() if i >= 0 else None for i in self.to_id]
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self._ids, most_cached)
 
     def _chunk(self, chunk: str) -> bytes | None:
         """A chunk's ids by the byte-pair core, or None if only the library can tell."""
@@ -96,25 +95,37 @@ class WordBpe:
         except TypeError:  # a symbol that the vocabulary lacks
             return None
 
+    def _ids(self, chunk: str) -> bytes:
+        ids = self._chunk(chunk)
+        return ids if ids is not None else np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*cut)
-        new = seen - self.cache.keys()
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = seen
-        left = []
-        for chunk in new:
-            ids = self._chunk(chunk)
-            if ids is None:
-                left.append(chunk)
-            else:
-                self.cache[chunk] = ids
-        if left:
-            self.cache.update(zip(left, (np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(left, add_special_tokens=False))))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out, get = [], self.cache.__getitem__
+        for text in texts:
+            self.cache.turn()
+            out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
+        return out
+
+
+class _Chunks(dict):
+    """Ids of chunks in two generations: a full one becomes the old one, and what comes again moves back to the new one."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 @functools.cache
