@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, id_and_text, slices, stage_table
+from .common import arrow_stage, free_shuffles, id_and_text, slices, stage_table
 from .wordtable import WordTable, window_hashes
 
 WIDTH, MER = 20, 8
@@ -223,6 +223,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col:
     later = arrow_stage(packed, lambda b: _count(b, width), RUN_ROWS)
     decided = arrow_stage(found.where("bucket = -1"), _unpacked, RUN_ROWS)
     ranges = stage_table(later.unionByName(decided).select("doc_id", "first", "count"), "ranges")
+    free_shuffles(docs.sparkSession)  # the texts travel once more
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
     out = "doc_id long, n_words long, n_removed long, kept string"
     if carry:
