@@ -39,11 +39,6 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that only finished jobs used: its cleaner acts when the driver's JVM collects their handles."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _released(stage):
     """The stage, giving free memory back to the system at its end: idle Python workers live on beside the next stage."""
 
