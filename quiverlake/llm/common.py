@@ -39,6 +39,24 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of the bitmap of `maybe_in`: it never broadcasts more rows than this.
+WORDS = 1 << 20
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+    """df with a boolean column `flag`: false only where `column` is in no row of `keys` (or null).
+
+    The keys set bits of a bitmap of WORDS 64-bit words, which travels by broadcast; its
+    size has a bound whatever the number of keys.  As it fills up more rows are let
+    through for nothing, and none is lost: what needs a key's rows still joins them.
+    """
+    word = F.shiftrightunsigned(F.xxhash64(column), 6) % WORDS
+    one = F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))")
+    bits = keys.where(F.col(column).isNotNull()).groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    there = F.coalesce(F.col("__bits").bitwiseAND(one) != 0, F.lit(False)) & F.col(column).isNotNull()
+    return df.withColumn("__at", word).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left").withColumn(flag, there).drop("__at", "__word", "__bits")
+
+
 def _released(stage):
     """The stage, giving free memory back to the system at its end: idle Python workers live on beside the next stage."""
 

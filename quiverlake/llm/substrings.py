@@ -9,11 +9,14 @@ same document before it).  Windows are judged on the input.
    window that repeats there is decided at once and does not travel, so that a passage
    in a third of all rows costs each bucket one entry a slice.
 2. Minimisers are dealt to buckets by hash; super-k-mers whose minimiser occurs once
-   cannot hold a repeated window and stop here.
+   cannot hold a repeated window and stop here.  Windows decided in step 1 pass through.
 3. The others are cut from their documents as packed strings and travel to their bucket,
    where sorting brings equal windows together, earliest first.
 4. Ranges of repeated windows return to their documents, whose other words are kept.
 
+In steps 3 and 4 a bitmap of document ids, of bounded size, tells which texts may be
+concerned; the others stay where they are read.
+
 Nulls, empty texts and texts of fewer words lose nothing.  Kept words are joined by one
 space.  Rows with a null id take no part and lose nothing.  Of rows with one id none
 starts earlier than another at the same word.  Other columns are ignored.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, id_and_text, slices, stage_table
+from .common import arrow_stage, id_and_text, maybe_in, slices, stage_table
 from .wordtable import WordTable, window_hashes
 
 WIDTH, MER = 20, 8
@@ -70,7 +73,7 @@ def _ranges(doc: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _super_kmers(batches, width: int, mer: int, buckets: int):
-    """(bucket, runs): undecided super-k-mers by bucket; bucket -1 has windows that repeat within the slice."""
+    """(bucket, runs): undecided super-k-mers by bucket; negative buckets have windows that repeat within the slice."""
     for whole in batches:
         for batch in slices(whole):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -100,33 +103,29 @@ def _super_kmers(batches, width: int, mer: int, buckets: int):
             parts = np.split(runs[by], cuts[1:]) if len(by) else []
             names = [int(bucket[by[c]]) for c in cuts]
             if len(decided):
-                parts, names = [*parts, decided], [*names, -1]
+                parts, names = [*parts, decided], [*names, -1 - int(least[0] % np.uint64(buckets))]  # spread over the tasks
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())], names=["bucket", "runs"])
 
 
-def _run_rows(runs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["first"]), pa.array(runs["count"]), pa.array(runs["minimiser"].view(np.int64))], names=["doc_id", "first", "count", "minimiser"])
-
-
-RUN_ROWS = "doc_id long, first int, count int, minimiser long"
+def _run_rows(runs: np.ndarray, decided: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["first"]), pa.array(runs["count"]), pa.array(runs["minimiser"].view(np.int64)), pa.array(np.full(len(runs), decided))], names=["doc_id", "first", "count", "minimiser", "decided"])
 
 
-def _unpacked(batches):
-    for batch in batches:
-        for raw in batch.column("runs"):
-            yield _run_rows(_unpack(raw.as_py()))
+RUN_ROWS = "doc_id long, first int, count int, minimiser long, decided boolean"
 
 
 def _repeated(batches):
-    """Super-k-mers whose minimiser another one shares; rows come sorted by bucket."""
+    """Decided windows, and super-k-mers whose minimiser another one shares; rows come sorted by bucket."""
     held, bucket = [], None
 
     def done():
         runs = np.concatenate(held)
+        if bucket < 0:
+            return _run_rows(runs, True)
         order = np.argsort(runs["minimiser"], kind="stable")
         key = runs["minimiser"][order]
         new = np.concatenate([[True], key[1:] != key[:-1], [True]])
-        return _run_rows(runs[order[~(new[:-1] & new[1:])]])
+        return _run_rows(runs[order[~(new[:-1] & new[1:])]], False)
 
     for batch in batches:
         for name, raw in zip(batch.column("bucket").to_pylist(), batch.column("runs")):
@@ -174,7 +173,7 @@ def _count(batches, width: int):
                 head = x
             elif docs[x] != docs[head] or places[x] != places[head]:
                 later[x] = True
-        return _run_rows(_ranges(doc[later], place[later], np.zeros(int(later.sum()), np.uint64)))
+        return _run_rows(_ranges(doc[later], place[later], np.zeros(int(later.sum()), np.uint64)), True)
 
     for batch in batches:
         for name, doc, first, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "first", "packed"))):
@@ -215,17 +214,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     there = source.where("doc_id is not null and text is not null")
-    found = stage_table(arrow_stage(there, lambda b: _super_kmers(b, width, mer, buckets), "bucket int, runs binary"), "superkmers")
-    open_runs = found.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    repeated = arrow_stage(open_runs, _repeated, RUN_ROWS).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count", "minimiser")).alias("runs"))
-    packed = arrow_stage(there.join(repeated, "doc_id"), lambda b: _cut(b, width, buckets), "bucket int, doc_id long, first int, packed binary")
+    found = arrow_stage(there, lambda b: _super_kmers(b, width, mer, buckets), "bucket int, runs binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    runs = stage_table(arrow_stage(found, _repeated, RUN_ROWS), "superkmers")
+    repeated = runs.where("not decided").groupBy("doc_id").agg(F.collect_list(F.struct("first", "count", "minimiser")).alias("runs"))
+    near = maybe_in(there, runs.where("not decided"), "doc_id", "near").where("near").drop("near")
+    packed = arrow_stage(near.join(repeated, "doc_id"), lambda b: _cut(b, width, buckets), "bucket int, doc_id long, first int, packed binary")
     packed = packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "first")
     later = arrow_stage(packed, lambda b: _count(b, width), RUN_ROWS)
-    decided = arrow_stage(found.where("bucket = -1"), _unpacked, RUN_ROWS)
-    ranges = stage_table(later.unionByName(decided).select("doc_id", "first", "count"), "ranges")
-    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
+    spans = ("doc_id", "first", "count")
+    ranges = stage_table(later.select(*spans).unionByName(runs.where("decided").select(*spans)), "ranges")
     out = "doc_id long, n_words long, n_removed long, kept string"
     if carry:
         source = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         out += f", row {docs.schema.simpleString()}"
-    return arrow_stage(source.join(ranges, "doc_id", "left"), lambda b: _keep(b, width), out)
+    source = maybe_in(source, ranges, "doc_id", "near")
+    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
+    touched = source.where("near").drop("near").join(ranges, "doc_id", "left")
+    untouched = source.where("not near").drop("near").withColumn("ranges", F.lit(None).cast("array<struct<first:int,count:int>>"))
+    return arrow_stage(touched, lambda b: _keep(b, width), out).unionByName(arrow_stage(untouched, lambda b: _keep(b, width), out))
