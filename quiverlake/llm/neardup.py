@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, id_and_text, slices, stage_table
+from .common import arrow_stage, id_and_text, maybe_in, slices, stage_table
 from .components import components
 from .wordtable import WordTable, mix, window_hashes
 
@@ -182,16 +182,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     full = signed.where("n_shingles > 0")
     classes = stage_table(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["key1", "key2", "doc_id"], "left_semi")
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    heads = banded.groupBy("band", "bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("band", "bucket", "head")
-    near = banded.join(heads, ["band", "bucket"]).where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))  # the hash has its band's number in it
+    heads = banded.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("bucket", "head")
+    near = banded.join(heads, "bucket").where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     groups = components(near)  # what hangs together as candidates
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     dealt = groups.join(sizes, "component").select(
         F.col("component").alias("unit"), F.col("node").alias("rep"),
         F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = source.select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep")
+    candidates = maybe_in(source.select(F.col("doc_id").alias("rep"), "text"), groups.select(F.col("node").alias("rep")), "rep", "near")
+    texts = candidates.where("near").drop("near").join(dealt, "rep")  # the other texts do not travel
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "text")
     units = units.repartition(parts, "unit", "low", "high").sortWithinPartitions("unit", "low", "high", "block")
