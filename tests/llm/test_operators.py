@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiverlake.llm import licenses, pii, secrets
+from quiverlake.llm.common import maybe_in
 from quiverlake.llm.components import components
 from quiverlake.llm.jpeg import Decoder, media_columns, store_text, write_payload
 from quiverlake.llm.licenses import find_licenses
@@ -221,6 +222,19 @@ def brute_repeats(texts, width):
     return out
 
 
+def test_bitmap_loses_no_key_and_has_a_bound(spark, monkeypatch):
+    keys = [*range(0, 3000, 7), -5, 2**62]
+    rows = [(i, "near") for i in [*range(3000), -5, 2**62, None]]
+    df, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in [*keys, None]], "doc_id long")
+    got = {r.doc_id: r.maybe for r in maybe_in(df, wanted, "doc_id", "maybe").collect()}
+    assert len(got) == len(rows) and all(got[k] for k in keys) and got[None] is False
+    assert sum(got.values()) < len(keys) + 20
+    assert not any(r.maybe for r in maybe_in(df, wanted.limit(0), "doc_id", "maybe").collect())
+    monkeypatch.setattr("quiverlake.llm.common.WORDS", 2)  # full: all pass, none is lost
+    got = {r.doc_id: r.maybe for r in maybe_in(df, wanted, "doc_id", "maybe").collect()}
+    assert len(got) == len(rows) and all(got[k] for k in keys)
+
+
 def test_repeats_equal_brute_force(spark, hard, empty):
     texts = near_copies()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("runs", F.lit(1)).repartition(4)
