@@ -77,8 +77,18 @@ def _released(stage):
     return run
 
 
+#: Rows of an Arrow batch at most: a batch of texts has a copy in the JVM and several in the Python worker.
+BATCH = 1000
+
+
 def arrow_stage(df: DataFrame, stage, schema) -> DataFrame:
-    """df.mapInArrow(stage, schema) that keeps no memory after its tasks."""
+    """df.mapInArrow(stage, schema) that keeps no memory after its tasks.
+
+    Lowers the session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH where it is larger.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, BATCH)
     return df.mapInArrow(_released(stage), schema)
 
 

@@ -28,12 +28,19 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _forest(batches):
     """Edges of a partition, reduced to one edge for each node and component."""
-    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for batch in batches:
-        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        nodes, roots = union_find(np.concatenate([kept[0], a]), np.concatenate([kept[1], b]))
+    kept, new, n = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+
+    def reduced():
+        nodes, roots = union_find(*(np.concatenate([kept[i], *(pair[i] for pair in new)]) for i in (0, 1)))
         apart = nodes != roots
-        kept = nodes[apart], roots[apart]
+        return nodes[apart], roots[apart]
+
+    for batch in batches:
+        new.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")])
+        n += batch.num_rows
+        if n > len(kept[0]) + 50_000:  # as many as are kept at least: the work stays in proportion to the edges
+            kept, new, n = reduced(), [], 0
+    kept = reduced()
     yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], names=["a", "b"])
 
 
