@@ -67,25 +67,30 @@ def split_small(centroids: DataFrame, least: int) -> DataFrame:
     return centroids.sparkSession.createDataFrame([(i, c, n) for i, (c, n) in rows.items()], "cid long, c array<double>, n long")
 
 
-def capped(rows: DataFrame, centroids: DataFrame, cap: int, rounds: int = 10, metric: str = "l2") -> DataFrame:
-    """(vec_id, cid, dist) with at most `cap` rows a cluster: the farthest of a full one try their next centroid."""
-    pairs = paired(rows.select("vec_id", "e"), centroids).select("vec_id", "cid", distance(metric, "e", "c").alias("dist"))
-    choice = Window.partitionBy("vec_id").orderBy("dist", "cid")
-    options = pairs.withColumn("choice", F.row_number().over(choice))
-    kept = None
-    for _ in range(rounds):
-        if kept is None:
-            tried = options.where("choice = 1")
-        else:
-            full = kept.groupBy("cid").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("cid")
-            left = options.join(kept.select("vec_id"), "vec_id", "left_anti").join(full, "cid", "left_anti")
-            more = left.groupBy("vec_id").agg(F.min_by(F.struct("cid", "dist", "choice"), F.struct("dist", "cid")).alias("b")).select("vec_id", "b.*")
-            tried = kept.select("vec_id", "cid", "dist", "choice").unionByName(more)
+def capped(rows: DataFrame, centroids: DataFrame, cap: int, metric: str = "l2") -> DataFrame:
+    """(vec_id, cid, dist) with at most `cap` rows a cluster: the farthest of a full one try their next open centroid.
+
+    Rounds go on until every row has its place; only where all clusters are full do rows
+    stay out.  Each round but the last fills a cluster, so k centroids take k + 1 at most.
+    """
+
+    def options(some: DataFrame) -> DataFrame:
+        pairs = paired(some.select("vec_id", "e"), centroids).select("vec_id", "cid", distance(metric, "e", "c").alias("dist"))
+        return pairs.withColumn("choice", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "cid")))
+
+    def settled(tried: DataFrame) -> DataFrame:
         place = Window.partitionBy("cid").orderBy("choice", "dist", "vec_id")
         kept = tried.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cap).drop("place")
-        kept = kept.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else kept
-        if kept.count() == rows.count():
-            break
+        return kept.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else kept.localCheckpoint()
+
+    kept = settled(options(rows).where("choice = 1"))
+    total, before, placed = rows.count(), 0, kept.count()
+    while before < placed < total:
+        full = kept.groupBy("cid").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("cid")
+        left = options(rows.join(kept.select("vec_id"), "vec_id", "left_anti")).join(full, "cid", "left_anti")
+        more = left.groupBy("vec_id").agg(F.min_by(F.struct("cid", "dist", "choice"), "choice").alias("b")).select("vec_id", "b.*")
+        kept = settled(kept.unionByName(more))
+        before, placed = placed, kept.count()
     return kept.select("vec_id", "cid", "dist")
 
 

@@ -55,6 +55,24 @@ def test_cap_holds_and_keeps_all(spark):
     assert got.select("vec_id").distinct().count() == base.count()
 
 
+def test_cap_keeps_all_of_many_equal_rows(spark):
+    base, cents = catalog.base(spark, DATA), catalog.cents(spark, DATA)
+    one = F.lit([float(x) for x in base.orderBy("vec_id").first().e])
+    rows = base.withColumn("e", F.when(F.col("vec_id") % 3 == 1, one).otherwise(F.col("e"))).cache()
+    k, n = cents.count(), rows.count()
+    cap = -(-n // k) + 5
+    got = C.capped(rows, cents, cap)
+    assert got.groupBy("cid").count().agg(F.max("count")).first()[0] <= cap
+    assert got.count() == got.select("vec_id").distinct().count() == n
+
+
+def test_cap_without_room_fills_every_cluster(spark):
+    base, cents = catalog.base(spark, DATA), catalog.cents(spark, DATA)
+    got = C.capped(base, cents, 3)
+    assert {r["count"] for r in got.groupBy("cid").count().collect()} == {3} and got.count() == 3 * cents.count()
+    assert C.capped(base.limit(0), cents, 3).count() == 0
+
+
 def test_recluster_keeps_members(spark):
     _, minis, rows = catalog.two_level(spark, DATA)
     assert C.recluster_within(rows, minis, 50).select("vec_id").distinct().count() == rows.count()
