@@ -2,7 +2,8 @@
 
 Texts and templates become lower-case words without punctuation.  A template longer than
 CHUNK words is cut into chunks.  Windows of a chunk's own number of words begin at every
-word, so that for each occurrence one window is aligned with it: where at least 80 % of
+word, and a text with fewer words than the chunk is one window of the chunk's size as a
+whole, so that for each occurrence one window is aligned with it: where at least 80 % of
 the chunk's five-word shingles are there, the aligned window has a Jaccard similarity of
 0.8 / 1.2 = 2/3 or more, and one of BANDS bands of one MinHash each agrees with
 probability 1 - (1/3)^BANDS = 0.99998.  Windows that meet a chunk in a band are verified on
@@ -78,9 +79,9 @@ def _band_keys(hashes):
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
 
 
-def _shingle_column(words, size):
-    n = F.least(F.lit(SHINGLE), size)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
+def _shingle_column(words):
+    n = F.least(F.lit(SHINGLE), F.size(words))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,16 +100,16 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     lower = F.lower("text")
     words = F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
     rows = id_and_text(docs, id_col, text_col).where(lower.rlike("|".join(every))).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", words.alias("words"))
-    # Starts of windows that hold an anchor, for each size.
+    # Starts of windows that hold an anchor, for each size; the window of a shorter text ends with it.
     starts = []
     for size, own in sorted(by_size.items()):
         places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*own), i)), lambda i: i.isNotNull())
         around = F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), p - size + 1), p)))
-        fit = F.filter(F.array_distinct(around), lambda s: s + size <= F.size("words"))
+        fit = F.filter(F.array_distinct(around), lambda s: (s == 0) | (s + size <= F.size("words")))
         starts.append(F.transform(fit, lambda s: F.struct(F.lit(size).alias("size"), s.cast("int").alias("start"))))
     windows = rows.select("row", "doc_id", "words", F.explode(F.concat(*starts)).alias("w"))
     windows = windows.select("row", "doc_id", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.slice("words", F.col("w.start") + 1, F.col("w.size")).alias("words"))
-    windows = windows.select("row", "doc_id", "size", "start", _shingle_column(F.col("words"), F.col("size")).alias("own"))
+    windows = windows.select("row", "doc_id", "size", "start", _shingle_column(F.col("words")).alias("own"))
     banded = windows.select("row", "doc_id", "size", "start", "own", F.posexplode(_band_keys(F.col("own"))).alias("band", "key"))
     met = banded.join(F.broadcast(keys), ["size", "band", "key"])  # at most BANDS rows for each chunk
     containment = F.size(F.array_intersect("own", "wanted")) / F.size("wanted")

@@ -126,6 +126,22 @@ def test_licenses_equal_brute_force(spark, hard, empty):
     assert find_licenses(empty).count() == 0 and find_licenses(hard, {}).count() == 0
 
 
+def test_licenses_of_texts_shorter_than_the_notice(spark):
+    texts = [" ".join(own[a : len(own) - b]) for _, _, own in licenses.chunks(licenses.TEMPLATES) for a in range(5) for b in range(5) if len(own) > a + b]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.template, r.chunk): (r.containment, r.start_word) for r in find_licenses(docs).collect()}
+    want, short = {}, 0
+    for i, t in enumerate(texts):
+        w = licenses.words_of(t)
+        for name, k, own in licenses.chunks(licenses.TEMPLATES):
+            s = set(licenses.shingles(own))
+            near = max((len(s & set(licenses.shingles(w[a : a + len(own)]))) / len(s), -a) for a in range(max(1, len(w) - len(own) + 1)))
+            if near[0] >= 0.8:
+                want[i, name, k] = near[0], -near[1]
+                short += len(w) < len(own)
+    assert got == want and short >= 20
+
+
 def brute_components(texts, width, percent):
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     sets = {}
