@@ -29,10 +29,10 @@ PATTERNS = {
     "assign": (ASSIGN, f"{MARK}$1{INNER}$2{MARK}"),
     "access": (r"AKIA[A-Z0-9]{16,}", f"{MARK}$0{MARK}"),
     "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}", f"{MARK}$0{MARK}"),
-    "random": (r"(?<![A-Za-z0-9+/_-])(?=[a-z]*[A-Z0-9+/_-])[A-Za-z0-9+/_-]{20,}", f"{MARK}$0{MARK}"),
+    "random": (rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_RANDOM},}}", f"{MARK}$0{MARK}"),
 }
 #: Texts without this have no match of the kind; it spares copying them.
-HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}", "random": r"[A-Za-z0-9+/_-]{20}"}
+HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}", "random": rf"[A-Za-z0-9+/_-]{{{MIN_RANDOM}}}"}
 
 #: Symbols of the models; any other character is the last symbol.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"

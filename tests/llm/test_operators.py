@@ -339,6 +339,17 @@ def test_secrets_equal_brute_force(spark, hard, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_random_keys_of_lower_case_letters_are_secrets(spark):
+    rng = np.random.default_rng(4)
+    keys = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in (20, 24, 28, 32)]
+    plain = ["donaudampfschifffahrtsgesellschaft", "internationalization", "antidisestablishmentarianism", "getusernamelistvalueindex"]
+    docs = spark.createDataFrame([(i, f"the {k}, {w} and {k[:19]}") for i, (k, w) in enumerate(zip(keys, plain))], "doc_id long, text string")
+    got = by_id(secrets.find_secrets(docs, keep=("text",)).withColumn("clean", secrets.redact(F.col("text"), F.col("findings"))))
+    for i, (k, w) in enumerate(zip(keys, plain)):
+        assert [(f.kind, f.match, f.start) for f in got[i].findings] == [("random", k, 4)]
+        assert got[i].clean == f"the [SECRET], {w} and {k[:19]}"
+
+
 def test_pipeline_stages_keep_the_columns(spark, hard, tmp_path):
     import corpus_pipeline as P
 
