@@ -1,9 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words set the score.
 
 Kinds `email ip card phone` are the base kinds: every match that passes its own check is
-a finding whatever its score.  The method adds `iban` (mod-97) and `ssn` / `digits` spans
-that only count when a context word stands near.  Nulls are empty texts.  Matches of one
-kind never overlap; ties in start sort by the order of KINDS.  Offsets are code points.
+a finding whatever its score.  The method adds `iban` spans (mod-97), and `ssn` spans that
+only count when a context word stands near.  Nulls are empty texts.  Matches of one kind
+never overlap; ties in start sort by the order of KINDS.  Offsets are code points.
 """
 
 from __future__ import annotations

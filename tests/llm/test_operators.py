@@ -226,6 +226,12 @@ def test_personal_data(hard, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_kinds_of_personal_data_in_the_docstring_exist():
+    assert {k for part in re.findall(r"`([a-z ]+)`", pii.__doc__) for k in part.split()} == set(pii.KINDS)
+    kinds = lambda t: [k for k, *_ in pii.find(t)]
+    assert kinds("x DE89370400440532013000") == ["iban"] and kinds("x 123-45-6789") == [] and kinds("ssn 123-45-6789") == ["ssn"]
+
+
 def brute_repeats(texts, width):
     seen, out = {}, {}
     for i in sorted(texts):
