@@ -31,12 +31,35 @@ def test_graph_search_recall_filter_and_delete(spark):
     assert left.join(gone.withColumnRenamed("vec_id", "src"), "src", "left_semi").count() == 0
 
 
+@pytest.mark.parametrize("name, where", [("hnsw_filtered_search", "label < 3"), ("hnsw_delete_search", "vec_id % 10 <> 3")])
+def test_registered_graph_queries_have_recall(spark, name, where):
+    base, asked = catalog.base(spark, DATA).where(where), catalog.asked(spark, DATA)
+    got = catalog.QUERIES[name](spark, DATA).cache()
+    assert got.join(base, "vec_id", "left_anti").count() == 0
+    recall = mean_recall(got, S.knn(asked, base, 10))
+    print(name, "recall", recall)
+    assert recall >= 0.9
+
+
 def test_prune_keeps_nearest_first():
     x = np.array([[1.0, 0], [1.1, 0], [-1, 0]])
     between = ((x[:, None] - x[None]) ** 2).sum(-1)
     assert G.prune((x**2).sum(1), between, 3) == [0, 2]
 
 
+def test_product_codes_cover_all_dimensions(spark):
+    rows = [(i, [0.0] * 9 + [float(i % 16)]) for i in range(64)]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>")
+    for parts in (8, 12):
+        book = P.train(df, parts=parts)
+        coded = P.encode(df, book, parts)
+        decoded = {r.vec_id: r.decoded for r in P.decode(coded, book).collect()}
+        assert all(len(d) == 10 for d in decoded.values()) and len({tuple(d) for d in decoded.values()}) > 1
+        query = spark.createDataFrame([(0, [0.0] * 9 + [15.0])], "query_id long, qe array<double>")
+        near = P.search(query, coded, book, 4, parts).collect()
+        assert abs(np.mean([rows[r.vec_id][1][9] for r in near]) - 15) <= 2
+
+
 def test_probing_every_cell_is_exact(spark):
     base, asked = catalog.base(spark, DATA), catalog.asked(spark, DATA)
     truth = S.knn(asked, base, 10)
