@@ -15,8 +15,9 @@ from .search import paired, top_k
 
 
 def _slices(v: Column, parts: int) -> Column:
-    size = (F.size(v) / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.slice(v, s * size + 1, size))
+    """All dimensions in `parts` slices; the first ones have one more where the number does not divide."""
+    size, more = F.floor(F.size(v) / parts).cast("int"), F.size(v) % parts
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.slice(v, s * size + F.least(s, more) + 1, size + (s < more).cast("int")))
 
 
 def _tables(v: Column, parts: int) -> Column:
@@ -32,7 +33,7 @@ def _packed(cells: DataFrame, codes: int) -> DataFrame:
 
 
 def train(rows: DataFrame, parts: int = 8, codes: int = 16, iterations: int = 5) -> DataFrame:
-    """Code books by k-means in every slice; an unused code keeps its centroid.  Dimensions beyond a multiple of `parts` are left out."""
+    """Code books by k-means in every slice; an unused code keeps its centroid."""
     first = hashed_init(rows, codes).select("cid", F.posexplode(_slices(F.col("c"), parts)).alias("part", "c"))
     cells = first.select((F.col("part") * codes + F.col("cid")).alias("cell"), "c")
     for _ in range(iterations):
