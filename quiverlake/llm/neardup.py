@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     units = units.repartition(parts, "unit", "low", "high").sortWithinPartitions("unit", "low", "high", "block")
     links = arrow_stage(units, lambda b: _verify(b, width, percent), "a long, b long")
     same = full.join(classes, ["key1", "key2"]).select("doc_id", "rep")
-    own = same.where("doc_id > rep").groupBy("doc_id").agg(F.count_distinct("rep").alias("n")).where("n > 1")  # only if an id repeats
+    own = same.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc_id")  # only if an id repeats
     links = links.unionByName(same.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     linked = components(links)
     out = signed.join(classes, ["key1", "key2"], "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")

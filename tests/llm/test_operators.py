@@ -194,6 +194,13 @@ def test_large_group_is_dealt_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, width=4).collect()} == brute_components(texts, 4, 80)
 
 
+def test_a_repeated_id_links_its_sets(spark):
+    a, b = PASSAGE, " ".join(f"q{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, "alone in all the world")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).count() == 0
 
