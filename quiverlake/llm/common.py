@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as the session names it.
+
+    Where none is set, as in tests, a single local machine gets one of its own; a cluster
+    has no folder to guess.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quiverlake-"))
-        at = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quiverlake-"))
+        at = context.getCheckpointDir()
     return at
 
 
@@ -77,21 +85,34 @@ def _released(stage):
     return run
 
 
-#: Rows of an Arrow batch at most: a batch of texts has a copy in the JVM and several in the Python worker.
-BATCH = 1000
+#: Rows and bytes of an Arrow batch at most: a batch of texts has a copy in the JVM and several in the Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def arrow_stage(df: DataFrame, stage, schema) -> DataFrame:
     """df.mapInArrow(stage, schema) that keeps no memory after its tasks.
 
-    Lowers the session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH where it is larger.
+    Spark reads the bounds of a batch when the stage runs, so they are settings of the
+    session: where its own are larger they are lowered to BATCH, and stay so.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH:
-        conf.set(key, BATCH)
+    conf, parse = df.sparkSession.conf, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in BATCH.items():
+        if not 0 < parse(conf.get(key)) <= most:
+            conf.set(key, most)
     return df.mapInArrow(_released(stage), schema)
 
 
+#: Bytes from which on a size is Spark's guess for a plan that it knows nothing of.
+UNKNOWN = 1 << 55
+
+
+def partitions(rows: DataFrame, most_bytes: int = 64 << 20) -> int:
+    """Partitions for an exchange of a table's rows: the session's number, or more where the table's files ask for it."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, -(-size // most_bytes)) if size < UNKNOWN else own
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Pieces of a batch with at most `most` bytes of text each (or one row), so that scratch space is bounded."""
     if batch.num_rows == 0:

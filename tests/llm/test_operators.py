@@ -274,6 +274,52 @@ def test_repeats_equal_brute_force(spark, hard, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def brute_repeats_of_rows(rows, width=20):
+    """As brute_repeats, for rows that may repeat an id: a window's first start is its smallest (id, place) over all rows."""
+    least, out = {}, []
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - width + 1 if i is not None else 0):
+            least[tuple(w[k : k + width])] = min(least.get(tuple(w[k : k + width]), (i, k)), (i, k))
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1 if i is not None else 0):
+            if least[tuple(w[k : k + width])] != (i, k):
+                gone[k : k + width] = [True] * width
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"salt": 3, "held": 50, "slice_bytes": 600}])
+def test_repeats_of_rows_that_repeat_an_id(spark, bounds):
+    """Small bounds send windows through every step: slices, groups of a minimiser, and the last sort."""
+    a = " ".join(f"a{i}" for i in range(300))
+    rows = [(1, a), (1, a), (1, " ".join(f"u{i}" for i in range(40))), (2, " ".join(a.split()[10:40])), (2, "b c"), (3, a[:500]), (None, a), (5000, None), (5000, a + " " + a), (5000, "x " * 30)]
+    rng = np.random.default_rng(3)
+    for k in range(60):  # copies with an edit each: one minimiser has many different windows
+        own = a.split()
+        own[int(rng.integers(0, 300))] = f"e{k}"
+        rows.append((7000 + k % 50, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a b", F.lit(1)).withColumn("n-x", F.lit("q")).withColumn("key", F.lit("k")).repartition(5)
+    got = remove_repeats(docs, carry=True, **bounds).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_repeats_of_rows(rows)
+    assert set(got[0].row.asDict()) == {"doc_id", "text", "a b", "n-x", "key"}
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    from quiverlake.llm.wordtable import WordTable
+
+    table = WordTable(pa.array(["a bb a cc", "bb dd a"]))
+    table.hashes[:] = 7
+    numbers, texts = table.exact_numbers(step=3), "a bb a cc bb dd a".split()
+    assert all(texts[i] == texts[j] for i in range(7) for j in range(7) if numbers[i] == numbers[j])
+    plain = WordTable(pa.array(["a bb a cc", "bb dd a"])).exact_numbers()
+    assert all((texts[i] == texts[j]) == (plain[i] == plain[j]) for i in range(7) for j in range(7))
+
+
 def test_media_round_trip(hard, empty):
     got = by_id(media_columns(hard))
     for i, t in HARD:
