@@ -2,20 +2,24 @@
 
 Every component is a list: a block's vectors sorted by that component, read from the top
 for a query whose weight is positive and from the bottom where it is negative.  All
-lists are read to the same depth, which grows in rounds.  What has been read gives each
-vector a lower bound (unread components at the list's far end) and an upper bound
-(unread components at the last value read); a vector never met has the bound of the
-last values alone.  Once fewer vectors can still reach the k-th best lower bound than
-are worth reading for, the query stops and only those scores are resolved.
-
-Candidates and queries are dealt into blocks and every pair of blocks is a unit of work,
-so no task grows with the table; each unit returns k rows a query, and a last window
-takes the k best.  Scores are integer and exact up to 2**53.
+lists are read to the same depth, which doubles from round to round.  What has been read
+gives each vector a lower bound (unread components at the list's far end) and an upper
+bound (unread components at the last value read).  The k-th best lower bound, or the k-th
+best score of the blocks before if that is higher, is the floor: a vector whose upper
+bound stays below it is an outsider.  A query stops once few enough can still qualify, and
+only their scores are resolved.  Where a round leaves most vectors of most queries open
+the lists are read to their ends at once, where both bounds are the score.
+
+Queries are dealt into blocks and candidates into lanes; every pair of a query block and a
+lane is a unit of work that reads its candidates in blocks of bounded size, one after
+another, and returns k rows a query.  A last window takes the k best.  Bounds are doubles
+with room for rounding; scores are exact integers (sums outside 64 bits saturate).
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take
 no part.  Missing components of shorter vectors count as zero.  Equal scores go to the
-smaller id.  Repeated vectors are candidates each by itself; a query never finds its own
-id.  Other columns are ignored.
+smaller id.  Rows that repeat an id are candidates each by itself; a query finds no row
+with its own id, and of rows that repeat a query's id one (with the smallest bytes) asks.
+A table without rows or without queries gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,26 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, stage_table
+from .common import arrow_stage, partitions, stage_table
 
-CANDIDATES, QUERIES = 4096, 1024
-#: Shares of a block's lists that are read before the bounds are looked at again.
-ROUNDS = (0.25, 0.5, 0.75)
+#: Rows and bytes of a block of candidates, and rows of a block of queries.
+CANDIDATES, BLOCK_BYTES, QUERIES = 4096, 32 << 20, 1024
+#: Share of the lists that the first round reads, and the share of open vectors from which on the rest is read at once.
+FIRST, MOST_OPEN = 1 / 8, 1 / 2
 PARTIAL = "query_id long, vec_id long, score long"
 
 
 def _integers(batches, scale: float):
     for batch in batches:
-        ids, rows = batch.column("vec_id").to_pylist(), batch.column("embedding")
-        keep, made = [], []
-        for i, row in zip(ids, rows):
-            if i is None or not row.is_valid or row.values.null_count:
-                continue
-            x = np.floor(row.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-            if np.isfinite(x).all():
-                keep.append(i)
-                made.append(x.astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(made, pa.binary())], names=["vec_id", "vector"])
+        rows = batch.column("embedding")
+        ids, there = batch.column("vec_id"), np.asarray(rows.is_valid())
+        offsets = rows.offsets.to_numpy()
+        values = rows.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+        with np.errstate(over="ignore"):
+            values = np.floor(values * scale)
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+        keep = np.flatnonzero(there & np.asarray(ids.is_valid()) & (bad[offsets[1:]] == bad[offsets[:-1]]))
+        made = [values[offsets[i] : offsets[i + 1]].astype("<f8").tobytes() for i in keep]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(made, pa.binary())], names=["vec_id", "vector"])
 
 
 def _matrix(raw: list[bytes], width: int) -> np.ndarray:
@@ -56,6 +61,18 @@ def _matrix(raw: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows x with one vector q, exact; sums outside 64 bits saturate."""
+    bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
+    if bound < 1 << 53:
+        return (x @ q).astype(np.int64)
+    if bound < 1 << 62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    weights = [int(v) for v in q]
+    sums = [sum(int(v) * w for v, w in zip(row, weights)) for row in x]
+    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], np.int64)
+
+
 class SortedLists:
     """One block's lists, and the bounds after reading them to a depth."""
 
@@ -69,88 +86,118 @@ class SortedLists:
     def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) scores, queries by vectors; up and down are the positive and negative weights."""
         n, x = len(self.x), self.x
-        read_up, read_down = self.place >= n - depth, self.place < depth
-        last_up, last_down = self.sorted[n - depth], self.sorted[depth - 1]
-        upper = up @ np.where(read_up, x, last_up).T + down @ np.where(read_down, x, last_down).T
-        lower = up @ np.where(read_up, x, self.sorted[0]).T + down @ np.where(read_down, x, self.sorted[-1]).T
-        return lower, upper
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
-    """Rows (query_id, vec_id, score) of each query's k best in one block; ids ascend."""
-    n = len(ids)
-    exact = np.float32 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 1 << 24 else np.float64
-    lists, q = SortedLists(x.astype(exact)), q.astype(exact)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    todo, out = np.arange(len(q)), []
-    own = {int(i): c for c, i in enumerate(ids)}
-
-    def resolve(query: int, at: np.ndarray, score: np.ndarray) -> None:
-        best = np.lexsort((at, -score))[:k]
-        out.append((np.full(len(best), query_ids[query]), ids[at[best]], score[best].astype(np.int64)))
-
-    for share in ROUNDS if n > 4 * k else ():
-        lower, upper = lists.bounds(up[todo], down[todo], max(1, int(n * share)))
-        for r, query in enumerate(todo):
-            if (c := own.get(int(query_ids[query]))) is not None:
-                lower[r, c] = upper[r, c] = -np.inf
-        floor = np.partition(lower, n - k, axis=1)[:, n - k]
-        open_ = upper >= floor[:, None]  # those that tie with the k-th stay open, for the smaller id
-        few = open_.sum(1) <= max(4 * k, n // 32)
-        for r in np.flatnonzero(few):
-            at = np.flatnonzero(open_[r])
-            resolve(todo[r], at, (x[at] @ q[todo[r]].astype(np.float64)))
-        todo = todo[~few]
-        if not len(todo):
-            break
-    if len(todo):  # the lists have been read to their ends: both bounds are the score
-        score = (lists.x @ q[todo].T).T.astype(np.float64)
-        for r, query in enumerate(todo):
-            if (c := own.get(int(query_ids[query]))) is not None:
-                score[r, c] = -np.inf
-        if n > k:
-            floor = np.partition(score, n - k, axis=1)[:, n - k]
-        for r, query in enumerate(todo):
-            at = np.flatnonzero(score[r] >= floor[r]) if n > k else np.arange(n)
-            at = at[np.isfinite(score[r, at])]
-            resolve(query, at, score[r, at])
-    return [np.concatenate(c) for c in zip(*out)]
-
-
-def _units(batches, k: int):
-    """Rows come sorted by unit, candidates (role 0) first, then by id."""
-    unit, held = None, ([], [])
-
-    def done():
-        if not held[0] or not held[1]:
-            return None
-        width = max(len(v) // 8 for side in held for _, v in side)
-        (ids, x), (query_ids, q) = ((np.array([i for i, _ in side], np.int64), _matrix([v for _, v in side], width)) for side in held)
-        got = search_block(ids, x, query_ids, q, k)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score"]) if got else None
+        both = np.concatenate([up, down], 1)
+        read = np.concatenate([self.place >= n - depth, self.place < depth], 1)
+        twice = np.concatenate([x, x], 1)
+        last = np.concatenate([self.sorted[n - depth], self.sorted[depth - 1]])
+        far = np.concatenate([self.sorted[0], self.sorted[-1]])
+        return both @ np.where(read, twice, far).T, both @ np.where(read, twice, last).T
+
+
+class Search:
+    """The k best of each query of a block, over one block of candidates after another."""
+
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int):
+        self.query_ids, self.q, self.k = query_ids, q, k
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]  # (scores, ids), best first
+        self.floor = np.full(len(q), -np.inf)
+
+    def _resolve(self, query: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray) -> None:
+        """Exact scores of the vectors that may qualify, merged with the best so far."""
+        at = at[ids[at] != self.query_ids[query]]
+        scores = np.concatenate([self.best[query][0], exact_scores(x[at], self.q[query])])
+        names = np.concatenate([self.best[query][1], ids[at]])
+        order = np.lexsort((names, ~scores))[: self.k]
+        self.best[query] = scores[order], names[order]
+        if len(order) == self.k:
+            self.floor[query] = float(scores[order[-1]])
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        n, k, width = len(ids), self.k, max(x.shape[1], self.q.shape[1])
+        if x.shape[1] < width:
+            x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+        if self.q.shape[1] < width:
+            self.q = np.pad(self.q, ((0, 0), (0, width - self.q.shape[1])))
+        scale = float(np.abs(x).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * max(1, width)
+        room = 0.0 if scale < 1 << 53 else scale * width * 2.0**-50  # what rounding may do to a bound
+        if not np.isfinite(4 * scale * width):  # no bound can be told
+            for query in range(len(self.q)):
+                self._resolve(query, ids, x, np.arange(n))
+            return
+        lists, up, down = SortedLists(x), np.maximum(self.q, 0), np.minimum(self.q, 0)
+        todo, depth = np.arange(len(self.q)), max(1, int(n * FIRST))
+        while len(todo) and depth < n:
+            lower, upper = lists.bounds(up[todo], down[todo], depth)
+            own = ids[None] == self.query_ids[todo][:, None]
+            lower[own] = upper[own] = -np.inf
+            floor = self.floor[todo]
+            if n > k:
+                floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
+            open_ = upper >= (floor - 2 * room)[:, None]  # those that tie with the k-th stay open, for the smaller id
+            count = open_.sum(1)
+            few = count <= max(4 * k, n // 32)
+            for r in np.flatnonzero(few):
+                self._resolve(todo[r], ids, x, np.flatnonzero(open_[r]))
+            todo, depth = todo[~few], n if np.median(count) > MOST_OPEN * n else 2 * depth
+        for a in range(0, len(todo), 256):  # read to the ends: both bounds are the score
+            score = self.q[todo[a : a + 256]] @ x.T
+            for r, query in enumerate(todo[a : a + 256]):
+                score[r, ids == self.query_ids[query]] = -np.inf
+                floor = max(self.floor[query], np.partition(score[r], n - k)[n - k] if n > k else -np.inf)
+                self._resolve(query, ids, x, np.flatnonzero(score[r] >= floor - 2 * room))
+
+    def rows(self) -> pa.RecordBatch:
+        names = np.repeat(self.query_ids, [len(s) for s, _ in self.best])
+        columns = [names, *(np.concatenate([*(b[i] for b in self.best), np.zeros(0, np.int64)]) for i in (1, 0))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def _units(batches, k: int, most: int):
+    """Rows come sorted by unit, the queries (role 0) first."""
+    unit, asked, held, size, search = None, [], [], 0, None
+
+    def side(rows):
+        return np.array([i for i, _ in rows], np.int64), _matrix([v for _, v in rows], max(len(v) // 8 for _, v in rows))
+
+    def flush():
+        nonlocal held, size, search
+        if held and asked:
+            search = search or Search(*side(asked), k)
+            search.add(*side(held))
+        held, size = [], 0
 
     for batch in batches:
-        for low, high, role, i, v in zip(*(batch.column(c).to_pylist() for c in ("query_block", "block", "role", "vec_id", "vector"))):
-            if (low, high) != unit:
-                if (made := done()) is not None:
-                    yield made
-                unit, held = (low, high), ([], [])
-            held[role].append((i, v))
-    if (made := done()) is not None:
-        yield made
+        for block, lane, role, i, v in zip(*(batch.column(c).to_pylist() for c in ("query_block", "lane", "role", "vec_id", "vector"))):
+            if (block, lane) != unit:
+                flush()
+                if search:
+                    yield search.rows()
+                unit, asked, search = (block, lane), [], None
+            if role == 0:
+                asked.append((i, v))
+                continue
+            held.append((i, v))
+            size += len(v)
+            if len(held) >= most or size >= BLOCK_BYTES:
+                flush()
+    flush()
+    if search:
+        yield search.rows()
 
 
-def top_k(vectors: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which the SQL predicate `queries` on vec_id holds, its k best others."""
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    parts = partitions(named)
     rows = stage_table(arrow_stage(named, lambda b: _integers(b, scale), "vec_id long, vector binary"), "integers")
+    asking = rows.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.expr(queries)).alias("q")).first()
-    blocks, query_blocks = -(-counts.n // CANDIDATES) or 1, -(-counts.q // QUERIES) or 1
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), block(blocks, 1).alias("block"), F.lit(0).alias("role"), "vec_id", "vector")
-    asked = rows.where(queries).select(block(query_blocks, 2).alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "vec_id", "vector")
-    units = candidates.unionByName(asked).repartition(parts, "query_block", "block").sortWithinPartitions("query_block", "block", "role", "vec_id")
-    found = arrow_stage(units, lambda b: _units(b, k), PARTIAL)
+    query_blocks = -(-counts.q // QUERIES) or 1
+    lanes = max(1, min(-(-counts.n // block), -(-parts // query_blocks)))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("role"), "vec_id", "vector")
+    asked = asking.select(dealt(query_blocks, 2).alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("role"), "vec_id", "vector")
+    units = asked.unionByName(candidates).repartition(parts, "query_block", "lane").sortWithinPartitions("query_block", "lane", "role", "vec_id")
+    found = arrow_stage(units, lambda b: _units(b, k, block), PARTIAL)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
