@@ -6,15 +6,21 @@
    the slots; its j-th step offers j plus a random fraction to the slot reached; a set
    stops when no slot can improve) is cut into bands.  Representatives that agree in a
    band are candidates.
-3. Candidates that hang together are compared on their full shingle sets.  A large group
-   is dealt out in blocks, and every pair of blocks is one unit of work, so no task holds
-   a group and no pair is lost; a unit returns a spanning forest of its links, not all links.
-4. Union-find gives the components.
+3. Every candidate is compared with one head, the smallest representative of a band, that
+   it shares the most bands with: a star whose rows a hot head deals out in blocks, so its
+   work grows with the number of copies and not with their square.
+4. What that links falls together.  Only bands whose members still lie apart are left, and
+   those that hang together through them are compared in pairs of blocks of bounded size;
+   a unit returns a spanning forest of its links, not all links.
+5. Union-find gives the components.  Every pair that shares a band is so either linked
+   through others or compared on its full shingle sets.
 
 Nulls, empty texts and texts without words have empty sets and are linked with nothing.
 With fewer words than a shingle has, the whole sequence is one shingle.  Equal texts are
-one class, whatever their number.  Rows with a null id are ignored; if an id repeats, its
-sets are linked through it.  Other columns are ignored.
+one class, whatever their number.  A row with a null id is linked with nothing; its
+component and `kept` are null.  If an id repeats, its sets are linked through it
+(`numbered` gives rows ids of their own).  A very long text is one block by itself.  An
+empty table gives an empty result.  Other columns are ignored, whatever their names.
 
 Two sets at similarity s share one of `bands` bands of `rows` slots with probability
 1 - (1 - s^rows)^bands: with the defaults 1 - 6e-7 at 0.8 and more above.
@@ -27,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, id_and_text, maybe_in, slices, stage_table
+from .common import arrow_stage, id_and_text, maybe_in, partitions, slices, stage_table
 from .components import components
 from .wordtable import WordTable, mix, window_hashes
 
 ROWS, BANDS = 5, 36
-#: Representatives in a block; a unit of work holds two.
-BLOCK = 256
+#: Representatives in a block, and their shingles; a unit of work holds two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,6 +151,31 @@ def _spanning(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _common(one: np.ndarray, other: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(other, one)
+    at[at == len(other)] = 0
+    return int((other[at] == one).sum()) if len(other) else 0
+
+
+def _verify_stars(batches, width: int, percent: int):
+    """Rows come sorted by unit and block, the unit's head (role 0) first; links of members with their head."""
+    unit, heads = None, []  # more than one head only where an id repeats
+    for whole in batches:
+        for batch in slices(whole):
+            values, offsets = shingle_sets(batch.column("text"), width)
+            a, b = [], []
+            for at, (own, block, role, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "block", "role", "rep")))):
+                one = values[offsets[at] : offsets[at + 1]]
+                if role == 0:
+                    heads = [*(heads if unit == (own, block) else []), one.copy()]
+                    unit = (own, block)
+                elif any(100 * (n := _common(one, head)) >= percent * (len(one) + len(head) - n) for head in heads):
+                    a.append(rep)
+                    b.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _verify(batches, width: int, percent: int):
     """Rows come sorted by unit of work; a unit's links leave as a spanning forest."""
     unit, held = None, []
@@ -160,47 +191,81 @@ def _verify(batches, width: int, percent: int):
             return None
         return pa.RecordBatch.from_arrays([pa.array([held[x][1] for x, _ in edges], pa.int64()), pa.array([held[y][1] for _, y in edges], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        for group, low, high, block, rep, text in zip(*(batch.column(c).to_pylist() for c in ("unit", "low", "high", "block", "rep", "text"))):
-            if (group, low, high) != unit:
-                if held and (made := done()):
-                    yield made
-                unit, held = (group, low, high), []
-            held.append((block, rep, text))
+    for whole in batches:
+        for batch in slices(whole):
+            for group, low, high, block, rep, text in zip(*(batch.column(c).to_pylist() for c in ("unit", "low", "high", "block", "rep", "text"))):
+                if (group, low, high) != unit:
+                    if held and (made := done()):
+                        yield made
+                    unit, held = (group, low, high), []
+                held.append((block, rep, text))
     if held and (made := done()):
         yield made
 
 
+def _rank(keys: DataFrame) -> DataFrame:
+    """Each member's head (a, b): the one it shares the most bands with, the smallest on ties."""
+    shared = keys.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+
+
+def _with_texts(dealt: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows of work (rep, ...) with the text of each; the other texts do not travel."""
+    there = maybe_in(source.select(F.col("doc_id").alias("rep"), "text"), dealt, "rep", "near")
+    return there.where("near").drop("near").join(dealt, "rep")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs with an id.
+    """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets.
     """
-    source = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = id_and_text(docs, id_col, text_col)
+    parts = partitions(source)
     signed = stage_table(arrow_stage(source, lambda b: _bands(b, width, rows, bands), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage_table(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["key1", "key2", "doc_id"], "left_semi")
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))  # the hash has its band's number in it
-    heads = banded.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("bucket", "head")
-    near = banded.join(heads, "bucket").where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    groups = components(near)  # what hangs together as candidates
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    dealt = groups.join(sizes, "component").select(
-        F.col("component").alias("unit"), F.col("node").alias("rep"),
-        F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
-    ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    candidates = maybe_in(source.select(F.col("doc_id").alias("rep"), "text"), groups.select(F.col("node").alias("rep")), "rep", "near")
-    texts = candidates.where("near").drop("near").join(dealt, "rep")  # the other texts do not travel
-    units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "text")
-    units = units.repartition(parts, "unit", "low", "high").sortWithinPartitions("unit", "low", "high", "block")
-    links = arrow_stage(units, lambda b: _verify(b, width, percent), "a long, b long")
+    banded = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))  # the hash has its band's number in it
+    heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("bucket", "head")
+    met = stage_table(banded.join(heads, "bucket"), "met")  # bands with two members or more
+    # Stars.
+    star = stage_table(_rank(met.where("rep > head").select(F.col("rep").alias("a"), F.col("head").alias("b"))), "stars")
+    sizes = star.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = star.join(sizes, "b").select(F.col("b").alias("unit"), F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("a").alias("rep"))
+    middle = sizes.select(F.col("b").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("b").alias("rep"))
+    work = _with_texts(member.unionByName(middle), source.where("doc_id is not null")).select("unit", "block", "role", "rep", "text")
+    work = work.repartition(parts, "unit", "block").sortWithinPartitions("unit", "block", "role")
+    links = stage_table(arrow_stage(work, lambda b: _verify_stars(b, width, percent), "a long, b long"), "links")
+    # Bands whose members still lie apart.
+    first = components(links)
+    lies = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("lot"))
+    lies = stage_table(lies, "lots")
+    apart = lies.groupBy("bucket").agg(F.min("lot").alias("low"), F.max("lot").alias("high")).where("low < high").select("bucket", "low")
+    left = stage_table(lies.join(apart, "bucket").select("rep", "n_shingles", "lot", "low").distinct(), "apart")
+    units = components(left.where("lot > low").select(F.col("lot").alias("a"), F.col("low").alias("b")))
+    dealt = left.select("rep", "n_shingles", F.col("lot").alias("node")).distinct().join(units, "node").withColumnRenamed("component", "unit")
+    sizes = dealt.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = dealt.join(sizes, "unit").select("unit", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    pairs = _with_texts(dealt, source.where("doc_id is not null")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "text")
+    pairs = pairs.repartition(parts, "unit", "low", "high").sortWithinPartitions("unit", "low", "high", "block")
+    links = links.unionByName(arrow_stage(pairs, lambda b: _verify(b, width, percent), "a long, b long"))
     same = full.join(classes, ["key1", "key2"]).select("doc_id", "rep")
     own = same.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc_id")  # only if an id repeats
     links = links.unionByName(same.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     linked = components(links)
     out = signed.join(classes, ["key1", "key2"], "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", name: str = "row_id") -> DataFrame:
+    """docs with an id for each row: its own where that occurs once, one above all ids where it repeats; null stays null."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
+    again = stage_table(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    marked = maybe_in(docs.withColumn(name, F.col(id_col).cast("long")), again, name, "__again")
+    above = ids.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+    more = marked.where("__again").drop("__again").withColumn(name, F.lit(above) + F.monotonically_increasing_id())
+    return marked.where("not __again").drop("__again").unionByName(stage_table(more, "numbered"))
