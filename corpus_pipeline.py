@@ -6,7 +6,11 @@ the next stage's docs.
 
 Null texts and ids: a null text is an empty one to every stage, and stays null; a row
 without an id is judged on its text where a stage needs no id (toxicity, secrets,
-packing) and passes the others unchanged.  Empty tables give empty results.
+packing) and passes the others unchanged.  Rows that repeat an id are documents by
+themselves to every stage: each is scored, compared, cut, scanned and packed on its own
+text.  Of equal texts the one with the smallest id stays, of rows that repeat an id any
+one.  Long texts are treated whole.  Empty tables give empty results.  Columns beyond
+those of documents are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.llm.common import stage_table, table
-from quiverlake.llm.neardup import near_duplicates
+from quiverlake.llm.neardup import near_duplicates, numbered
 from quiverlake.llm.packing import pack_documents
 from quiverlake.llm.queries import LEARN, WORD_MODEL, tokenizer_path
 from quiverlake.llm.secrets import find_secrets, redact
@@ -32,9 +36,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles: the one with the smallest id."""
-    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group that shares 80 % of its five-word shingles: the one with the smallest id.
+
+    A row that repeats an id is a document by itself, which comes after all with an id of their own.
+    """
+    rows = numbered(docs.select(*COLUMNS))
+    gone = near_duplicates(rows, width=5, percent=80, id_col="row_id").where("not kept").select(F.col("doc_id").alias("row_id"))
+    return rows.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
