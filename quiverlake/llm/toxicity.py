@@ -6,12 +6,17 @@ WINDOW words that overlap by half; attention pools each window's states, and a d
 score is that of its worst window.  Training back-propagates through each document's worst
 window.  Scoring covers every window of every whole text.
 
-Labels are learned from at most `positives` + `negatives` documents (those with the
-smallest hash of their id), each with at most TRAIN_WINDOWS windows, spread evenly; the
-loss weighs them back to the labels' own share.  No other column is an input.
+Labels are learned from whole texts of a bounded sample of labelled rows, whose bounds are
+parameters of `fit`: at most `positives` + `negatives` documents, those with the smallest
+hash of their id, and of these as many as `most_bytes` of text allow.  The loss weighs
+them back to the labels' own share.  No other column is an input.
 
 Null, empty and wordless texts are scored as a window without words.  Equal texts have
-equal scores but for rounding.  Without any label all scores are 0.
+equal scores but for rounding.  A very long text is scored whole, some thousand windows at
+a time; a very long word is one word.  Rows that repeat an id are scored each by itself,
+and are all texts of a label of that id.  Without any label all scores are 0; an empty
+table has no scores.  Other columns pass through `score_rows`, where one that has the
+name of the score is replaced, and are ignored by `score_documents`.
 """
 
 from __future__ import annotations
@@ -22,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_stage, id_and_text, slices
+from .common import arrow_stage, gathered, id_and_text, slices
 from .wordtable import LOWER, NOT_ALNUM, WordTable, mix
 
-WINDOW, STEP, TRAIN_WINDOWS = 24, 12, 32
+WINDOW, STEP = 24, 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 6, 8, 8
 #: Buckets (as a power of two) of hashed runs of three and of five bytes.
 GRAMS = ((3, 10), (5, 13))
 
 
+#: Bytes of text that are scored together, which bounds the scratch space of a worker.
+SLICE = 512 << 10
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * 0.5) * 0.5 + 0.5
 
@@ -57,19 +66,19 @@ class Words:
             self.grams.append((mix(code) >> np.uint64(64 - bits)).astype(np.int32))
         self.offsets, self.lengths = offsets, lengths
 
-    def windows(self, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(windows x WINDOW) numbers of words, -1 past a document's end, and each window's document."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, first word) of each window; every document has one at least."""
         counts = np.diff(self.first)
         per = np.maximum(1, -(-(counts - WINDOW) // STEP) + 1)
         doc = np.repeat(np.arange(len(per)), per)
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        if most:
-            stay = k * most // per[doc] != (k - 1) * most // per[doc]  # evenly spread, all if there are few
-            doc, k = doc[stay], k[stay]
-        place = k[:, None] * STEP + np.arange(WINDOW)
-        inside = place < counts[doc][:, None]
-        at = np.where(inside, self.first[doc][:, None] + place, 0)
-        return np.where(inside, self.number[at] if len(self.number) else 0, -1), doc
+        return doc, self.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STEP
+
+    def numbers(self, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """(windows x WINDOW) numbers of words, -1 past a document's end."""
+        place = start[:, None] + np.arange(WINDOW)
+        inside = place < self.first[doc + 1][:, None]
+        place[~inside] = 0
+        return np.where(inside, self.number[place] if len(self.number) else 0, -1)
 
 
 class Network:
@@ -169,37 +178,73 @@ class Network:
         words = Words(column)
         _, x = self.inputs(words)
         projected = self.projected(x)
-        numbers, doc = words.windows()
+        doc, start = words.windows()
         worst = np.full(len(words.first) - 1, -np.inf, np.float32)
         for a in range(0, len(doc), chunk):
-            np.maximum.at(worst, doc[a : a + chunk], self.forward(projected, numbers[a : a + chunk])[0])
+            part = doc[a : a + chunk]
+            np.maximum.at(worst, part, self.forward(projected, words.numbers(part, start[a : a + chunk]))[0])
         return 1 / (1 + np.exp(-worst.astype(np.float64)))
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, min_docs: int = 3, most_words: int = 20_000, seed: int = 7) -> Network:
-    """Adam on the weighted log loss of each document's worst window."""
+def _odds(there: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of the labels of the documents that hold each item; there: items by documents."""
+    toxic, clean = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
+    a, b = there[:, labels == 1].sum(1), there[:, labels != 1].sum(1)
+    return np.clip(np.log((a + 0.5) / toxic) - np.log((b + 0.5 * clean / toxic) / clean), -3, 3) / 3
+
+
+def _start(net: Network, words: Words, doc: np.ndarray, labels: np.ndarray, step: int = 1 << 16) -> None:
+    """The first dimension of every embedding starts as the log odds of its documents' labels."""
+    pairs = np.unique(words.number.astype(np.int64) * len(labels) + doc)
+    word, doc = pairs // len(labels), pairs % len(labels)
+    row = np.searchsorted(net.vocabulary, words.hashes[word])
+    row[row == len(net.vocabulary)] = 0
+    known = net.vocabulary[row] == words.hashes[word] if len(net.vocabulary) else np.zeros(len(word), bool)
+    there = np.zeros((len(net.vocabulary), len(labels)), bool)
+    there[row[known], doc[known]] = True
+    net.p["word"][:-1, 0] = _odds(there, labels)
+    net.p["word"][-1, 0] = 0
+    for (w, bits), grams in zip(GRAMS, words.grams):
+        there = np.zeros((1 << bits, len(labels)), bool)
+        for at in range(0, len(word), step):
+            own = word[at : at + step]
+            size = words.lengths[own]
+            flat = np.arange(int(size.sum())) + np.repeat(words.offsets[own] - (np.cumsum(size) - size), size)
+            there[grams[flat], np.repeat(doc[at : at + step], size)] = True
+        net.p[f"char{w}"][:, 0] = _odds(there, labels)
+
+
+def _inputs_of(net: Network, words: Words, numbers: np.ndarray):
+    """(distinct words, vocabulary rows, inputs, numbers among them) of some windows."""
+    used, local = np.unique(numbers, return_inverse=True)
+    used = used[used >= 0]
+    part = _subset(words, used)
+    return part, *net.inputs(part), local.reshape(numbers.shape) - int(numbers.min() < 0)
+
+
+def _worst(net: Network, words: Words, docs: np.ndarray, of: np.ndarray, start: np.ndarray, begins: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """The window of each document that scores highest, of all its windows."""
+    at = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in docs])
+    logit = np.empty(len(at), np.float32)
+    for a in range(0, len(at), chunk):
+        own = at[a : a + chunk]
+        _, _, x, local = _inputs_of(net, words, words.numbers(of[own], start[own]))
+        logit[a : a + chunk] = net.forward(net.projected(x), local)[0]
+    owner = np.repeat(np.arange(len(docs)), begins[docs + 1] - begins[docs])
+    return at[np.lexsort((-logit, owner))[np.searchsorted(owner, np.arange(len(docs)))]]
+
+
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, min_docs: int = 3, most_words: int = 20_000, seed: int = 7, odds: bool = True) -> Network:
+    """Adam on the weighted log loss of each document's worst window; without `odds` all embeddings start at random."""
     words = Words(pa.array(texts, pa.large_string()))
     doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
     pairs = np.unique(words.number.astype(np.int64) * len(texts) + doc) // max(len(texts), 1)
     frequency = np.bincount(pairs, minlength=len(words.hashes))
     common = np.argsort(-frequency, kind="stable")[:most_words]
     net = Network(words.hashes[common[frequency[common] >= min_docs]], seed)
-    # The first dimension of every embedding starts as the smoothed log odds of its documents' labels.
-    toxic, clean = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
-
-    def odds(item: np.ndarray, size: int) -> np.ndarray:
-        seen = np.unique(item.astype(np.int64) * len(texts) + np.repeat(doc, 1 if len(item) == len(doc) else words.lengths[words.number]))
-        yes = labels[seen % len(texts)] == 1
-        a, b = (np.bincount(seen[y] // len(texts), minlength=size) for y in (yes, ~yes))
-        return np.clip(np.log((a + 0.5) / toxic) - np.log((b + 0.5 * clean / toxic) / clean), -3, 3) / 3
-
-    first = odds(words.number, len(words.hashes))
-    net.p["word"][:-1, 0] = first[np.searchsorted(words.hashes, net.vocabulary)]
-    net.p["word"][-1, 0] = 0
-    spread = np.repeat(words.offsets[words.number] - np.concatenate([[0], np.cumsum(words.lengths[words.number])[:-1]]), words.lengths[words.number])
-    for (w, bits), grams in zip(GRAMS, words.grams):
-        net.p[f"char{w}"][:, 0] = odds(grams[np.arange(len(spread)) + spread], 1 << bits)
-    numbers, of = words.windows(TRAIN_WINDOWS)
+    if odds:
+        _start(net, words, doc, labels)
+    of, start = words.windows()
     begins = np.searchsorted(of, np.arange(len(texts) + 1))
     rng = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
@@ -209,21 +254,14 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             docs = order[a : a + batch]
-            at = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in docs])
-            used, local = np.unique(numbers[at], return_inverse=True)
-            used = used[used >= 0]
-            part = _subset(words, used)
-            local = local.reshape(numbers[at].shape) - (numbers[at].min() < 0)
-            row, x = net.inputs(part)
+            at = _worst(net, words, docs, of, start, begins)
+            part, row, x, local = _inputs_of(net, words, words.numbers(of[at], start[at]))
             hidden = rng.random(len(row)) < 0.3  # some words are read by their letters only
             row = np.where(hidden, len(net.vocabulary), row)
             x[:, :WORD_DIM] = net.p["word"][row]
             projected = net.projected(x)
-            logit = net.forward(projected, local)[0]
-            owner = np.repeat(np.arange(len(docs)), begins[docs + 1] - begins[docs])
-            worst = np.lexsort((-logit, owner))[np.searchsorted(owner, np.arange(len(docs)))]
             y, w = labels[docs], weights[docs]
-            g = net.gradients(part, row, x, projected, local[worst], lambda z: w * (_sigmoid(z) - y) / len(docs))
+            g = net.gradients(part, row, x, projected, local, lambda z: w * (_sigmoid(z) - y) / len(docs))
             step += 1
             slow = rate * (1 - 0.8 * epoch / epochs)
             for k in net.p:
@@ -243,49 +281,48 @@ def _subset(words: Words, used: np.ndarray) -> Words:
     return part
 
 
-def _shortened(batches):
-    """Texts to train on: whole, or TRAIN_WINDOWS windows spread evenly."""
-    for batch in batches:
-        texts = []
-        for text in batch.column("text").to_pylist():
-            words, most = (text or "").split(), TRAIN_WINDOWS * STEP
-            if len(words) > most + WINDOW:
-                starts = [k * (len(words) - WINDOW) // (most // WINDOW) for k in range(most // WINDOW)]
-                words = [w for s in starts for w in words[s : s + WINDOW]]
-            texts.append(" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(texts, pa.string())], names=["toxic", "text"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int = 1600, learn: str = "pmod(crc32(cast(doc_id as string)), 5) <> 0", id_col: str = "doc_id", text_col: str = "text") -> Network | None:
-    """A network from a bounded sample of the labelled documents for which the predicate `learn` holds."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int = 1600, most_bytes: int = 16 << 20, learn: str = "pmod(crc32(cast(doc_id as string)), 5) <> 0", id_col: str = "doc_id", text_col: str = "text", **training) -> Network | None:
+    """A network from a bounded sample of the labelled documents for which the predicate `learn` holds; `training` goes to `train`."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(learn)
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     named = id_and_text(docs, id_col, text_col)
     chosen = [known.where(F.col("toxic") == y).join(named.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, negatives), (1, positives))]
-    wanted = chosen[0].unionByName(chosen[1])
-    sample = named.join(F.broadcast(wanted), "doc_id").select("toxic", "text", "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = arrow_stage(sample.select("toxic", "text"), _shortened, "toxic int, text string").collect()
-    if not rows:
+    wanted = chosen[0].unionByName(chosen[1])  # so few that a broadcast has a bound
+    texts = named.join(F.broadcast(wanted), "doc_id").withColumn("key", F.xxhash64("text"))
+    # An id may have many rows: the sample is bounded again, in rows and in bytes.
+    order = (F.xxhash64("doc_id"), "doc_id", "toxic", "key")
+    sizes = texts.select("doc_id", "toxic", "key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy(*order).limit(positives + negatives).collect()
+    total, few = 0, set()
+    for r in sizes:
+        total += r.bytes
+        if total > most_bytes and few:
+            break
+        few.add((r.doc_id, r.toxic, r.key))
+    if not few:
         return None
+    ids = docs.sparkSession.createDataFrame(sorted(few), "doc_id long, toxic int, key long")
+    rows = texts.join(F.broadcast(ids), ["doc_id", "toxic", "key"]).select("doc_id", "toxic", "key", "text").distinct().collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.key))
     y = np.array([r.toxic for r in rows], np.float32)
     share = np.array([counts.get(k, 0) for k in (0, 1)]) / sum(counts.values())
     own = np.array([(y == k).mean() for k in (0, 1)])
     weights = (share / np.maximum(own, 1e-9))[y.astype(int)].astype(np.float32)
-    return train([r.text for r in rows], y, weights)
+    return train([r.text or "" for r in rows], y, weights, **training)
 
 
 def score_rows(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """The rows of docs with a score beside their own columns."""
+    """The rows of docs with a score beside their own columns; a column that has the score's name is replaced."""
+    docs = gathered(docs.drop(score_col))
     if network is None:
         return docs.withColumn(score_col, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = docs.sparkSession.sparkContext.broadcast(network)  # bounded: vocabulary and layer sizes are parameters
     names, at = docs.columns, docs.columns.index(text_col)
 
     def scored(batches):
         for whole in batches:
-            for batch in slices(whole, text_col, most=1 << 20):
+            for batch in slices(whole, text_col, most=SLICE):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)))], names=[*names, score_col])
 
     return arrow_stage(docs, scored, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
@@ -294,13 +331,16 @@ def score_rows(docs: DataFrame, network: Network | None, text_col: str = "text",
 def score_documents(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): one row for each row of docs."""
     named = id_and_text(docs, id_col, text_col)
-    if network is None:
-        return named.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # bounded: vocabulary and layer sizes are parameters
+    return named.select("doc_id", F.lit(0.0).alias("score")) if network is None else _scored(named, network)
+
+
+def _scored(named: DataFrame, network: Network) -> DataFrame:
+    """As score_rows, without sending the texts back."""
+    shared = named.sparkSession.sparkContext.broadcast(network)
 
     def scored(batches):
         for whole in batches:
-            for batch in slices(whole, most=1 << 20):
+            for batch in slices(whole, most=SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")))], names=["doc_id", "score"])
 
     return arrow_stage(named, scored, "doc_id long, score double")
