@@ -8,7 +8,9 @@ into sequences whose lengths are powers of two, so nothing is padded.
 
 Null and empty texts consist of the end id alone.  Repeated texts have equal keys; the
 document id breaks ties and lets a range border fall among them.  Rows with equal or
-null ids are packed each by itself.  Other columns are ignored.
+null ids are packed each by itself.  A very long text is one row of ids, whole in one
+range; a very long word goes to the tokenizer as it is and is not cached.  An empty table
+gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_stage, id_and_text, slices, stage_table
+from .common import arrow_stage, id_and_text, partitions, slices, stage_table
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PACKED = pa.schema([(c.split()[0], pa.int64()) for c in PACKED.split(", ")])
@@ -39,7 +41,7 @@ class WordBpe:
 
     END = b"\xff"
 
-    def __init__(self, path: str, most_cached: int = 150_000):
+    def __init__(self, path: str, most_cached: int = 100_000):
         import json
 
         import regex
@@ -103,29 +105,32 @@ class WordBpe:
         """Little-endian 32-bit ids of each text."""
         out, get = [], self.cache.__getitem__
         for text in texts:
-            self.cache.turn()
             out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
         return out
 
 
+#: Characters of a chunk that is worth keeping: longer ones (whole texts of scripts without spaces, say) seldom come again.
+LONGEST = 64
+
+
 class _Chunks(dict):
-    """Ids of chunks in two generations: a full one becomes the old one, and what comes again moves back to the new one."""
+    """Ids of short chunks in two generations: a full one becomes the old one, and what comes again moves back to the new one."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONGEST:
+            return self.make(chunk)
         ids = self.old.get(chunk)
         if ids is None:
             ids = self.make(chunk)
-        self[chunk] = ids
-        return ids
-
-    def turn(self) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+        self[chunk] = ids
+        return ids
 
 
 @functools.cache
@@ -260,8 +265,7 @@ def _pack(batches, size: int):
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents."""
-    spark = docs.sparkSession
-    tokens = stage_table(arrow_stage(id_and_text(docs, id_col, text_col), lambda b: _tokenized(b, tokenizer_path, end_id), "doc_id long, curve long, ids binary"), "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = tokens.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    source = id_and_text(docs, id_col, text_col)
+    tokens = stage_table(arrow_stage(source, lambda b: _tokenized(b, tokenizer_path, end_id), "doc_id long, curve long, ids binary"), "tokens")
+    ranges = tokens.repartitionByRange(partitions(tokens), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return arrow_stage(ranges, lambda b: _pack(b, size), PACKED)

@@ -7,7 +7,9 @@ cached per chunk where the vocabulary proves that no piece crosses a chunk borde
 last every piece's normalised byte range is projected to a byte span of the original.
 
 Nulls are empty texts; an empty text has no ids and decodes to the empty string.
-Repeated rows are encoded each by itself.  Other columns of the input are ignored.
+Repeated rows, and rows with equal or null ids, are encoded each by itself.  A very long
+text is a slice by itself; a very long word goes to the model whole and is not cached.
+An empty table gives an empty result.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -132,8 +134,12 @@ class Normalizer:
         return bytes(out), np.array([*source, at], np.int64)
 
 
+#: Characters of a chunk that is worth keeping: longer ones (whole texts of scripts without spaces, say) seldom come again.
+LONGEST = 64
+
+
 class PieceEncoder:
-    """Exact ids and original byte spans; `most_cached` bounds the memory of the chunk cache."""
+    """Exact ids and original byte spans; `most_cached` chunks of up to LONGEST characters bound the memory of the cache."""
 
     def __init__(self, model_path: str, most_cached: int = 150_000):
         import sentencepiece
@@ -163,9 +169,10 @@ class PieceEncoder:
             return [c[1:] for c in re.findall(" +[^ ]*", " " + plain)]
         return plain.split(" ")
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode unseen chunks, the plain ones as one text that is cut again where pieces start with a space."""
-        plain = [c for c in new if c and " " not in c]
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of unseen chunks, the plain short ones encoded as one text that is cut again where pieces start with a space."""
+        out = {}
+        plain = [c for c in new if c and " " not in c and len(c) <= LONGEST]
         for k in range(0, len(plain), 1000):  # short joined texts: the model's time is above linear
             part = plain[k : k + 1000]
             ids = np.array(self.model.encode(" ".join(part)), dtype=np.int32)
@@ -173,12 +180,13 @@ class PieceEncoder:
             if len(cuts) != len(part) + 1:
                 raise ValueError("a piece crosses a chunk border")
             raw = ids.tobytes()
-            self.cache.update((c, raw[i:j]) for c, i, j in zip(part, cuts, cuts[1:]))
+            out.update((c, raw[i:j]) for c, i, j in zip(part, cuts, cuts[1:]))
         for c in new:
             if not c:
-                self.cache[c] = np.int32(self.model.piece_to_id(SPACE)).tobytes()
-            elif " " in c:
-                self.cache[c] = np.array(self.model.encode(c), dtype=np.int32).tobytes()
+                out[c] = np.int32(self.model.piece_to_id(SPACE)).tobytes()
+            elif c not in out:
+                out[c] = np.array(self.model.encode(c), dtype=np.int32).tobytes()
+        return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; a call's texts share one lookup of unseen chunks."""
@@ -186,13 +194,15 @@ class PieceEncoder:
             return [np.array(i, dtype=np.int32) for i in self.model.encode(texts, num_threads=1)]
         cut = [self._chunks(t) for t in texts]
         seen = set().union(*cut)
-        new = seen - self.cache.keys()
+        long = {c for c in seen if len(c) > LONGEST}  # of this call only
+        new = seen - long - self.cache.keys()
         if len(self.cache) + len(new) > self.most:
             self.cache.clear()
-            new = seen
+            new = seen - long
         if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
+            self.cache.update(self._learn(list(new)))
+        here = self._learn(list(long))
+        get = (lambda c: here[c] if c in here else self.cache[c]) if here else self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), dtype=np.int32) for c in cut]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
