@@ -15,9 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes from which on a size is Spark's guess for a plan that it knows nothing of.
+UNKNOWN = 1 << 55
+
+
+def _size(rows: DataFrame) -> int | None:
+    """Bytes of the files that a plan without joins reads, if Spark knows them."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN else None
+
+
+def partitions(rows: DataFrame, most_bytes: int = 64 << 20) -> int:
+    """Partitions for an exchange of a table's rows: the session's number, or more where the table's files ask for it."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(_size(rows) or 0) // most_bytes))
+
+
+def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 8 << 20) -> DataFrame:
+    """rows with no more tasks than four a core, or one for `least_bytes` of `like`: many small files or partitions cost a task and files each."""
+    size = _size(rows if like is None else like)
+    most = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // least_bytes))
+    return rows.coalesce(most) if size is not None else rows
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs, renamed, so that no other column can clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return gathered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,12 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back.
 
-    A lost executor then costs a reread, not a recomputation of everything before.
+    A lost executor then costs a reread, not a recomputation of everything before.  `like`
+    is an input table that df does not outgrow; it bounds the number of files.
     """
     spark = df.sparkSession
+    df = gathered(df, like) if like is not None else df
     path = f"{shared_dir(spark)}/quiverlake-stages/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -102,17 +126,6 @@ def arrow_stage(df: DataFrame, stage, schema) -> DataFrame:
     return df.mapInArrow(_released(stage), schema)
 
 
-#: Bytes from which on a size is Spark's guess for a plan that it knows nothing of.
-UNKNOWN = 1 << 55
-
-
-def partitions(rows: DataFrame, most_bytes: int = 64 << 20) -> int:
-    """Partitions for an exchange of a table's rows: the session's number, or more where the table's files ask for it."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, -(-size // most_bytes)) if size < UNKNOWN else own
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Pieces of a batch with at most `most` bytes of text each (or one row), so that scratch space is bounded."""
     if batch.num_rows == 0:

@@ -44,6 +44,10 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], names=["a", "b"])
 
 
+#: Edges of a partition at least.
+EDGES = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of the edges (a, b) with the smallest node that it reaches.
 
@@ -56,19 +60,22 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b")
     left = stage_table(arrow_stage(pairs, _forest, "a long, b long"), "edges")
     labels: DataFrame | None = None
-    while not left.isEmpty():
+    nodes = 0
+    while n := left.count():
+        nodes = nodes or n  # a forest has more nodes than edges; every later table is about as large or smaller
+        saved = lambda df, name, n=n: stage_table(df.coalesce(-(-n // EDGES)), name)
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        near = stage_table(near, "near")
+        near = saved(near, "near")
         step = near.join(near.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select(F.col("a").alias("node"), F.col("q").alias("component"))
-        step = stage_table(step, "step")
+        step = saved(step, "step")
         if labels is None:
             labels = step
         else:
             on = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            labels = stage_table(labels.join(on, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            labels = saved(labels.join(on, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels", nodes)
         a = step.select(F.col("node").alias("a"), F.col("component").alias("x"))
         b = step.select(F.col("node").alias("b"), F.col("component").alias("y"))
         moved = left.join(a, "a").join(b, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        left = stage_table(arrow_stage(moved.repartition(parts, "b"), _forest, "a long, b long"), "edges")
+        left = saved(arrow_stage(moved.repartition(parts, "b"), _forest, "a long, b long"), "edges")
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, id_and_text, maybe_in, partitions, slices, stage_table
+from .common import arrow_stage, gathered, id_and_text, maybe_in, partitions, slices, stage_table
 from .components import components
 from .wordtable import WordTable, mix, window_hashes
 
@@ -224,25 +224,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     parts = partitions(source)
     signed = stage_table(arrow_stage(source, lambda b: _bands(b, width, rows, bands), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stage_table(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stage_table(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes", source)
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["key1", "key2", "doc_id"], "left_semi")
     banded = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))  # the hash has its band's number in it
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("bucket", "head")
-    met = stage_table(banded.join(heads, "bucket"), "met")  # bands with two members or more
+    met = stage_table(banded.join(heads, "bucket"), "met", source)  # bands with two members or more
     # Stars.
-    star = stage_table(_rank(met.where("rep > head").select(F.col("rep").alias("a"), F.col("head").alias("b"))), "stars")
+    star = stage_table(_rank(met.where("rep > head").select(F.col("rep").alias("a"), F.col("head").alias("b"))), "stars", source)
     sizes = star.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = star.join(sizes, "b").select(F.col("b").alias("unit"), F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("a").alias("rep"))
     middle = sizes.select(F.col("b").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("b").alias("rep"))
     work = _with_texts(member.unionByName(middle), source.where("doc_id is not null")).select("unit", "block", "role", "rep", "text")
     work = work.repartition(parts, "unit", "block").sortWithinPartitions("unit", "block", "role")
-    links = stage_table(arrow_stage(work, lambda b: _verify_stars(b, width, percent), "a long, b long"), "links")
+    links = stage_table(arrow_stage(work, lambda b: _verify_stars(b, width, percent), "a long, b long"), "links", source)
     # Bands whose members still lie apart.
     first = components(links)
     lies = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("lot"))
-    lies = stage_table(lies, "lots")
+    lies = stage_table(lies, "lots", source)
     apart = lies.groupBy("bucket").agg(F.min("lot").alias("low"), F.max("lot").alias("high")).where("low < high").select("bucket", "low")
-    left = stage_table(lies.join(apart, "bucket").select("rep", "n_shingles", "lot", "low").distinct(), "apart")
+    left = stage_table(lies.join(apart, "bucket").select("rep", "n_shingles", "lot", "low").distinct(), "apart", source)
     units = components(left.where("lot > low").select(F.col("lot").alias("a"), F.col("low").alias("b")))
     dealt = left.select("rep", "n_shingles", F.col("lot").alias("node")).distinct().join(units, "node").withColumnRenamed("component", "unit")
     sizes = dealt.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -258,14 +258,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     out = signed.join(classes, ["key1", "key2"], "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return gathered(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), source)
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", name: str = "row_id") -> DataFrame:
     """docs with an id for each row: its own where that occurs once, one above all ids where it repeats; null stays null."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
-    again = stage_table(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    marked = maybe_in(docs.withColumn(name, F.col(id_col).cast("long")), again, name, "__again")
+    again = stage_table(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again", docs)
+    marked = maybe_in(docs.withColumn(name, F.col(id_col).cast("long")), again.withColumnRenamed("doc_id", name), name, "__again")
     above = ids.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
     more = marked.where("__again").drop("__again").withColumn(name, F.lit(above) + F.monotonically_increasing_id())
-    return marked.where("not __again").drop("__again").unionByName(stage_table(more, "numbered"))
+    return marked.where("not __again").drop("__again").unionByName(stage_table(more, "numbered", docs))

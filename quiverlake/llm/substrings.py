@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import arrow_stage, id_and_text, maybe_in, partitions, slices, stage_table
+from .common import arrow_stage, gathered, id_and_text, maybe_in, partitions, slices, stage_table
 from .wordtable import WordTable, window_hashes
 
 WIDTH, MER = 20, 8
@@ -295,34 +295,34 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col:
     """(doc_id, n_words, n_removed, kept): one row for each row of docs; with `carry` also that whole row, as a struct."""
     if not 0 < mer <= width:
         raise ValueError("a minimiser lies inside a window")
-    source = id_and_text(docs, id_col, text_col)
-    parts = partitions(source)
+    source = like = id_and_text(docs, id_col, text_col)
+    parts = partitions(like)
     out = StructType([StructField("doc_id", LongType()), *(StructField(c, LongType()) for c in ("n_words", "n_removed")), StructField("kept", StringType())])
     if carry:
-        source = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        source = gathered(docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
         out = out.add(StructField("row", docs.schema))
-    again = stage_table(source.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").select("doc_id"), "again")
+    again = stage_table(source.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").select("doc_id"), "again", like)
     source = maybe_in(source, again, "doc_id", "again").withColumn("key", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0))).drop("again")
     there = source.where("doc_id is not null and text is not null").select("doc_id", "key", "text")
     buckets = 4 * parts
     found = arrow_stage(there, lambda b: _super_kmers(b, width, mer, buckets, slice_bytes), "bucket int, runs binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    runs = stage_table(arrow_stage(found, lambda b: _repeated(b, salt, held), RUN_ROWS), "superkmers")
+    runs = stage_table(arrow_stage(found, lambda b: _repeated(b, salt, held), RUN_ROWS), "superkmers", like)
     open_ = runs.where("not decided")
     flagged = maybe_in(open_, open_.where("salt > 0").select("minimiser").distinct(), "minimiser", "hot")
     repeated = flagged.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "count", "minimiser", "salt", "hot")).alias("runs"))
     near = maybe_in(there, open_, "doc_id", "near").where("near").drop("near")
     packed = arrow_stage(near.join(repeated, ["doc_id", "key"]), lambda b: _cut(b, width, buckets), PACKED)
     packed = packed.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "doc_id", "first")
-    counted = stage_table(arrow_stage(packed, lambda b: _count(b, width, held), COUNTED), "counted")
+    counted = stage_table(arrow_stage(packed, lambda b: _count(b, width, held), COUNTED), "counted", like)
     spans = ("doc_id", "key", "first", "count")
     start = F.struct("doc_id", "first")
     last = counted.where("window is not null").withColumn("start", start)
     heads = last.groupBy("window").agg(F.min("start").alias("head"), F.max("start").alias("last")).where("head <> last").select("window", "head")
     last = last.join(heads, "window").where("start <> head")
     ranges = counted.where("window is null").select(*spans).unionByName(runs.where("decided").select(*spans)).unionByName(last.select(*spans))
-    ranges = stage_table(ranges, "ranges")
+    ranges = stage_table(ranges, "ranges", like)
     source = maybe_in(source, ranges, "doc_id", "near")
     ranges = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
     touched = source.where("near").drop("near").join(ranges, ["doc_id", "key"], "left")
     untouched = source.where("not near").drop("near").withColumn("ranges", F.lit(None).cast("array<struct<first:int,count:int>>"))
-    return arrow_stage(touched, lambda b: _keep(b, width), out).unionByName(arrow_stage(untouched, lambda b: _keep(b, width), out))
+    return gathered(arrow_stage(touched, lambda b: _keep(b, width), out).unionByName(arrow_stage(untouched, lambda b: _keep(b, width), out)), like)

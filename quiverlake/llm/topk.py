@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, partitions, stage_table
+from .common import arrow_stage, gathered, partitions, stage_table
 
 #: Rows and bytes of a block of candidates, and rows of a block of queries.
 CANDIDATES, BLOCK_BYTES, QUERIES = 4096, 32 << 20, 1024
@@ -187,7 +187,7 @@ def _units(batches, k: int, most: int):
 
 def top_k(vectors: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which the SQL predicate `queries` on vec_id holds, its k best others."""
-    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    named = gathered(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")))
     parts = partitions(named)
     rows = stage_table(arrow_stage(named, lambda b: _integers(b, scale), "vec_id long, vector binary"), "integers")
     asking = rows.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -200,4 +200,5 @@ def top_k(vectors: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id
     units = asked.unionByName(candidates).repartition(parts, "query_block", "lane").sortWithinPartitions("query_block", "lane", "role", "vec_id")
     found = arrow_stage(units, lambda b: _units(b, k, block), PARTIAL)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return gathered(found, named)
