@@ -30,6 +30,16 @@ _PACKED = pa.schema([(c.split()[0], pa.int64()) for c in PACKED.split(", ")])
 DIMENSIONS, BITS, BUCKETS = 4, 15, 256
 
 
+def _lower(text: str) -> str:
+    """A text of Latin-1 characters in lower case, where that cannot make a special token: one cache entry for both cases."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text if "<|" in text else text.lower()
+
+
 class WordBpe:
     """Ids of a lower-casing word BPE with word-end symbols, exactly as the tokenizers library gives them.
 
@@ -73,39 +83,44 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.as_bytes = [np.array([i], dtype="<i4").tobytes() if i >= 0 else None for i in self.to_id]
-        self.cache = _Chunks(self._ids, most_cached)
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        """A chunk's ids by the byte-pair core, or None if only the library can tell."""
-        if not chunk:
-            return b""
-        if not chunk.isascii():
-            try:
-                chunk.encode("latin-1")
-            except UnicodeEncodeError:
-                return None
-        low, core, names = chunk.lower(), self.core.encode_single_piece, self.as_bytes.__getitem__
-        try:
+        self.cache = _Chunks(self._encoder([np.array([i], dtype="<i4").tobytes() if i >= 0 else None for i in self.to_id]), most_cached)
+
+    def _encoder(self, as_bytes: list[bytes | None]):
+        """The function that gives a chunk's ids, by the byte-pair core or, where only the library can tell, by that."""
+        core, name, library, split, end = self.core.encode_single_piece, as_bytes.__getitem__, self.library, self.split.findall, self.END
+
+        def by_library(chunk: str) -> bytes:
+            return np.array(library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+        def latin(chunk: str) -> bytes:
+            low = chunk.lower()
             if low.isalpha():
-                return b"".join(map(names, core(low.encode() + self.END)))
+                return b"".join(map(name, core(low.encode() + end)))
             if "<|" in low:
-                return None
+                return by_library(chunk)
             if low[-1] in ".,|" and low[:-1].isalpha():
-                return b"".join(map(names, core(low[:-1].encode() + self.END) + core(low[-1].encode() + self.END)))
-            return b"".join(names(r) for word in self.split.findall(low) for r in core(word.encode() + self.END))
-        except TypeError:  # a symbol that the vocabulary lacks
-            return None
+                return b"".join(map(name, core(low[:-1].encode() + end) + core(low[-1].encode() + end)))
+            return b"".join([name(r) for word in split(low) for r in core(word.encode() + end)])
+
+        def encode(chunk: str) -> bytes:
+            try:
+                if chunk.isascii():
+                    if chunk.isalpha():  # most of them
+                        ids = core(chunk.lower().encode() + end)
+                        return name(ids[0]) + b"" if len(ids) == 1 else b"".join(map(name, ids))
+                    return latin(chunk) if chunk else b""
+                chunk.encode("latin-1")
+                return latin(chunk)
+            except (TypeError, UnicodeEncodeError):  # a symbol that the vocabulary lacks, or another script
+                return by_library(chunk)
 
-    def _ids(self, chunk: str) -> bytes:
-        ids = self._chunk(chunk)
-        return ids if ids is not None else np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return encode
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out, get = [], self.cache.__getitem__
         for text in texts:
-            out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
+            out.append(b"".join(map(get, _lower(text).replace("\n", " ").split(" "))))
         return out
 
 
