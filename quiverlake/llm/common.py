@@ -67,7 +67,7 @@ def stage_table(df: DataFrame, name: str, like: DataFrame | None = None) -> Data
     spark = df.sparkSession
     df = gathered(df, like) if like is not None else df
     path = f"{shared_dir(spark)}/quiverlake-stages/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd keeps native memory in every writer
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,7 +110,7 @@ def _released(stage):
 
 
 #: Rows and bytes of an Arrow batch at most: a batch of texts has a copy in the JVM and several in the Python worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 
 def arrow_stage(df: DataFrame, stage, schema) -> DataFrame:

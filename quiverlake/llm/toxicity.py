@@ -302,7 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int
         few.add((r.doc_id, r.toxic, r.key))
     if not few:
         return None
-    ids = docs.sparkSession.createDataFrame(sorted(few), "doc_id long, toxic int, key long")
+    columns = [pa.array(c, t) for c, t in zip(zip(*sorted(few)), (pa.int64(), pa.int32(), pa.int64()))]
+    ids = docs.sparkSession.createDataFrame(pa.table(columns, names=["doc_id", "toxic", "key"]))  # a list would go through Python workers
     rows = texts.join(F.broadcast(ids), ["doc_id", "toxic", "key"]).select("doc_id", "toxic", "key", "text").distinct().collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.key))
     y = np.array([r.toxic for r in rows], np.float32)

@@ -73,7 +73,7 @@ class WordTable:
     hashes       hash of each word's bytes, after lower-casing A-Z if asked
     """
 
-    def __init__(self, column, lower: bool = False, separators: np.ndarray = WHITE, step: int = 1 << 20):
+    def __init__(self, column, lower: bool = False, separators: np.ndarray = WHITE, step: int = 1 << 14):
         self.data, self.offsets = utf8_column(column)
         data, offsets = self.data, self.offsets
         white = separators[data]
@@ -89,8 +89,8 @@ class WordTable:
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.hashes = np.empty(len(self.start), dtype=np.uint64)
-        for a in range(0, len(self.start), step // 8):  # bounded scratch space, whatever the batch
-            b = min(a + step // 8, len(self.start))
+        for a in range(0, len(self.start), step):  # bounded scratch space, whatever the batch
+            b = min(a + step, len(self.start))
             self.hashes[a:b] = self._hash(self.start[a:b], self.end[a:b], lower)
 
     def _hash(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
@@ -103,7 +103,7 @@ class WordTable:
         whole = (sums[end - low] - sums[start - low]) * inverse[start - low]
         return mix(whole + (end - start).astype(np.uint64))
 
-    def exact_numbers(self, step: int = 1 << 17) -> np.ndarray:
+    def exact_numbers(self, step: int = 1 << 15) -> np.ndarray:
         """A number for each word; words with equal numbers have equal bytes, which are compared, not only their hashes."""
         _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
         head, fresh = first[number], len(first)
