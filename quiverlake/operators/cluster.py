@@ -5,29 +5,40 @@ Means are taken in fixed point (1e-9), so that no order of rows changes them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.vectors import boundary_ratio, distance, silhouette
+from . import dense
 from .search import paired, top_k
 
 FIXED = 1_000_000_000
 
 
 def means(rows: DataFrame, key: str, vector: str = "e") -> DataFrame:
-    """(key, c, n): element-wise mean and size of each group; partial sums meet before the shuffle."""
-    parts = rows.select(key, F.posexplode(vector).alias("pos", "v"))
-    sums = parts.groupBy(key, "pos").agg((F.sum(F.floor(F.col("v") * FIXED).cast("long")) / F.lit(float(FIXED)) / F.count("*")).alias("m"), F.count("*").alias("n"))
+    """(key, c, n): element-wise mean and size of each group; each task sums its own rows first."""
+    parts = dense.group_sums(rows, key, vector, FIXED).select(key, "n", F.posexplode("sums").alias("pos", "s"))
+    sums = parts.groupBy(key, "pos").agg((F.sum(F.col("s").cast("decimal(28,0)")).cast("double") / F.lit(float(FIXED)) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
     packed = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"), F.max("n").alias("n"))
     return packed.select(key, F.transform("ms", lambda s: s["m"]).alias("c"), "n")
 
 
 def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2", penalty: Column | None = None) -> DataFrame:
-    """Each row with its nearest centroid (cid, dist); the lowest cid wins ties.  A penalty may use centroid columns."""
-    cost = distance(metric, "e", "c")
-    pairs = paired(rows.select("vec_id", "e"), centroids).withColumn("dist", cost).withColumn("cost", F.col("dist") + penalty if penalty is not None else F.col("dist"))
-    best = pairs.groupBy("vec_id").agg(F.min_by(F.struct("cid", "dist"), F.struct("cost", "cid")).alias("b"))
-    return rows.join(best, "vec_id").select(*rows.columns, F.col("b.cid").alias("cid"), F.col("b.dist").alias("dist"))
+    """Each row with its nearest centroid (cid, dist); the lowest cid wins ties.  A penalty may use centroid columns.
+
+    The centroids travel and nothing is shuffled; rows that repeat an id are assigned each
+    by itself.  A row without a usable vector has a null cid.
+    """
+    named = dense.penalty_of(centroids, penalty if penalty is not None else F.lit(0.0))
+    cells = dense.few(named, "cid", "c", ("__penalty",))
+    if cells is not None:
+        return dense.with_nearest(rows, cells, centroids.schema["cid"].dataType, metric, cells.more["__penalty"] if penalty is not None else None)
+    pairs = paired(rows.select(F.struct(*rows.columns).alias("row"), "e"), named.select("cid", "c", "__penalty")).withColumn("dist", distance(metric, "e", "c"))
+    best = pairs.groupBy("row").agg(F.min_by(F.struct("cid", "dist"), F.struct(F.col("dist") + F.col("__penalty"), "cid")).alias("b"), (F.count("*") / F.count_distinct("cid")).cast("int").alias("times"))
+    return best.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*", "b.cid", "b.dist")
 
 
 def hashed_init(rows: DataFrame, k: int) -> DataFrame:
@@ -37,19 +48,45 @@ def hashed_init(rows: DataFrame, k: int) -> DataFrame:
 
 
 def kmeans(rows: DataFrame, centroids: DataFrame, iterations: int, metric: str = "l2", spherical: bool = False) -> DataFrame:
-    """(cid, c) after fixed Lloyd iterations; an empty cluster keeps its centroid; lineage is cut by checkpoints where a folder is set."""
+    """(cid, c) after fixed Lloyd iterations; an empty cluster keeps its centroid.
+
+    Centroids within the budget come back to the driver after each iteration, so a plan
+    never holds more than one; larger ones are cut off by checkpoints.
+    """
     from ..functions.vectors import normalized
 
+    spark, kind = rows.sparkSession, centroids.schema["cid"].dataType
     for _ in range(iterations):
-        new = means(assign(rows, centroids, metric), "cid").select("cid", F.col("c").alias("new"))
+        small = dense.size_of(centroids, "c") <= dense.BROADCAST_BYTES
+        if small:
+            now = {r.cid: r.c for r in centroids.select("cid", "c").collect()}
+            centroids = table_of(spark, now, kind)
+        new = means(assign(rows.select("vec_id", "e"), centroids, metric).where(F.col("cid").isNotNull()), "cid").select("cid", F.col("c").alias("new"))
         if spherical:
             new = new.withColumn("new", normalized(F.col("new")))
-        centroids = centroids.join(new, "cid", "left").select("cid", F.coalesce("new", "c").alias("c"))
-        if rows.sparkSession.sparkContext.getCheckpointDir():
-            centroids = centroids.checkpoint()
+        if small:
+            now |= {r.cid: r.new for r in new.collect()}
+            centroids = table_of(spark, now, kind)
+        else:
+            centroids = saved(centroids.join(new, "cid", "left").select("cid", F.coalesce("new", "c").alias("c")))
     return centroids
 
 
+def table_of(spark: SparkSession, centroids: dict, kind) -> DataFrame:
+    """(cid, c) of a few centroids, by Arrow."""
+    schema = StructType([StructField("cid", kind), StructField("c", ArrayType(DoubleType()))])
+    ids = sorted(centroids)
+    return spark.createDataFrame(pa.table({"cid": pa.array(ids, to_arrow_type(kind)), "c": pa.array([list(centroids[i]) for i in ids], pa.list_(pa.float64()))}), schema)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df by a checkpoint in the folder that driver and executors share."""
+    from ..sources.indexfiles import shared_dir
+
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def split_small(centroids: DataFrame, least: int) -> DataFrame:
     """Give each cluster below `least` members half of the biggest one, both moved by 1/1024 in opposite directions.
 
@@ -64,7 +101,8 @@ def split_small(centroids: DataFrame, least: int) -> DataFrame:
         sign = [1 if i % 2 == 0 else -1 for i in range(len(c))]
         rows[cid] = [[x * (1 + s / 1024) for x, s in zip(c, sign)], n // 2]
         rows[big] = [[x * (1 - s / 1024) for x, s in zip(c, sign)], n - n // 2]
-    return centroids.sparkSession.createDataFrame([(i, c, n) for i, (c, n) in rows.items()], "cid long, c array<double>, n long")
+    columns = {"cid": pa.array(list(rows), pa.int64()), "c": pa.array([c for c, _ in rows.values()], pa.list_(pa.float64())), "n": pa.array([n for _, n in rows.values()], pa.int64())}
+    return centroids.sparkSession.createDataFrame(pa.table(columns))
 
 
 def capped(rows: DataFrame, centroids: DataFrame, cap: int, metric: str = "l2") -> DataFrame:
@@ -80,8 +118,7 @@ def capped(rows: DataFrame, centroids: DataFrame, cap: int, metric: str = "l2")
 
     def settled(tried: DataFrame) -> DataFrame:
         place = Window.partitionBy("cid").orderBy("choice", "dist", "vec_id")
-        kept = tried.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cap).drop("place")
-        return kept.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else kept.localCheckpoint()
+        return saved(tried.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cap).drop("place"))
 
     kept = settled(options(rows).where("choice = 1"))
     total, before, placed = rows.count(), 0, kept.count()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
-from .cluster import assign, hashed_init, kmeans, lloyd, means, member_distances
+from .cluster import assign, hashed_init, kmeans, lloyd, means, member_distances, saved
 from .search import paired, top_k
 
 INDEX = ("vec_id", "e", "mini_id", "mega_id")
@@ -29,10 +29,6 @@ def levels(index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return megas, minis, index
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def pooled(rows: DataFrame, mini_size: int, minis_of: int, first_id: int = 0, iterations: int = 5) -> DataFrame:
     """An index of rows (vec_id, e, pool): each pool's vectors become minis, its minis megas.  New ids start at first_id."""
 
@@ -53,7 +49,7 @@ def build(rows: DataFrame, mini_size: int, minis_of: int, pool: int, iterations:
     """An index of all rows: coarse cells of about `pool` rows by distributed k-means, then each cell by itself."""
     cells = hashed_init(rows, max(1, rows.count() // pool))
     dealt = assign(rows.select("vec_id", "e"), kmeans(rows, cells, iterations)).select("vec_id", "e", F.col("cid").alias("pool"))
-    return _saved(pooled(dealt, mini_size, minis_of, 0, iterations))
+    return saved(pooled(dealt, mini_size, minis_of, 0, iterations))
 
 
 def _next_id(index: DataFrame) -> int:
@@ -65,7 +61,7 @@ def replaced(index: DataFrame, pools: DataFrame, mini_size: int, minis_of: int,
     rows = index.join(pools, "mega_id").select("vec_id", "e", "pool")
     rows = rows.unionByName(more.select("vec_id", "e", "pool")) if more is not None else rows
     new = pooled(rows, mini_size, minis_of, _next_id(index))
-    return _saved(index.join(pools, "mega_id", "left_anti").select(*INDEX).unionByName(new.select(*INDEX)))
+    return saved(index.join(pools, "mega_id", "left_anti").select(*INDEX).unionByName(new.select(*INDEX)))
 
 
 def recluster_megas(minis: DataFrame, megas: DataFrame, iterations: int = 1, metric: str = "l2") -> DataFrame:
@@ -97,7 +93,7 @@ def recluster_on_score(index: DataFrame, neighbours: int, mini_size: int, minis_
         megas = levels(index)[0].select("mega_id", "c")
         worst = mega_scores(index).orderBy(F.desc("mse"), "mega_id").limit(1).join(megas, "mega_id").select(F.col("c").alias("w"))
         near = megas.crossJoin(F.broadcast(worst)).select("mega_id", distance("l2", "c", "w").alias("dist")).orderBy("dist", "mega_id").limit(neighbours + 1)
-        pools = _saved(near.select("mega_id", F.lit(0).cast("long").alias("pool")))
+        pools = saved(near.select("mega_id", F.lit(0).cast("long").alias("pool")))
         took = pools.count()
         if not took:
             break
@@ -116,12 +112,12 @@ def merge_buffer(index: DataFrame | None, buffer: DataFrame, n_megas: int, mini_
         return index
     if index is None or index.isEmpty():
         return build(buffer, mini_size, minis_of, pool)
-    cells = _saved(kmeans(buffer, hashed_init(buffer, max(1, buffer.count() // pool)), 3))
+    cells = saved(kmeans(buffer, hashed_init(buffer, max(1, buffer.count() // pool)), 3))
     more = assign(buffer.select("vec_id", "e"), cells).select("vec_id", "e", F.col("cid").alias("pool"))
     megas = levels(index)[0].select("mega_id", F.col("c").alias("e"))
     near = top_k(paired(megas, cells).select("cid", "mega_id", distance("l2", "e", "c").alias("dist")), n_megas, by="cid", id_col="mega_id")
     pools = near.groupBy("mega_id").agg(F.min_by("cid", F.struct("dist", "cid")).alias("pool"))
-    return replaced(index, _saved(pools), mini_size, minis_of, more)
+    return replaced(index, saved(pools), mini_size, minis_of, more)
 
 
 def fix_boundaries(assignment: DataFrame, minis: DataFrame, bad: DataFrame, neighbours: int, metric: str = "l2") -> DataFrame:
@@ -149,6 +145,6 @@ def split_large(assigned: DataFrame, centroids: DataFrame, factor: float = 2.0,
     for _ in range(iterations):
         own = rows.join(halves, "parent").groupBy("vec_id").agg(F.min_by("cid", F.struct(distance("l2", "e", "c"), "cid")).alias("cid"))
         new = means(rows.join(own, "vec_id"), "cid").select("cid", F.col("c").alias("new"))
-        halves = _saved(halves.join(new, "cid", "left").select("parent", "cid", F.coalesce("new", "c").alias("c")))
+        halves = saved(halves.join(new, "cid", "left").select("parent", "cid", F.coalesce("new", "c").alias("c")))
     others = centroids.join(big, "cid", "left_anti").select("cid", "c")
     return assign(rows, halves.select("cid", "c").unionByName(others)).select("vec_id", F.col("parent").alias("old_cid"), "cid")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2, total
-from .cluster import hashed_init, means
+from .cluster import hashed_init, means, saved
 from .search import paired, top_k
 
 
@@ -39,9 +39,7 @@ def train(rows: DataFrame, parts: int = 8, codes: int = 16, iterations: int = 5)
     for _ in range(iterations):
         coded = encode(rows, _packed(cells, codes), parts).select(F.posexplode(F.arrays_zip(F.col("codes").alias("code"), _slices(F.col("e"), parts).alias("x"))).alias("part", "p"))
         new = means(coded.select((F.col("part") * codes + F.col("p.code")).cast("long").alias("cell"), F.col("p.x").alias("e")), "cell").select("cell", F.col("c").alias("new"))
-        cells = cells.join(new, "cell", "left").select("cell", F.coalesce("new", "c").alias("c"))
-        if rows.sparkSession.sparkContext.getCheckpointDir():
-            cells = cells.checkpoint()
+        cells = saved(cells.join(new, "cell", "left").select("cell", F.coalesce("new", "c").alias("c")))
     return _packed(cells, codes)
 
 

@@ -6,24 +6,35 @@ array<double>.  Results are rows (query_id, rank, vec_id, dist); ties go to the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
+from . import dense
 
-#: Rows of a side that may be broadcast; a larger one is dealt into blocks and joined by block.
-BROADCAST_ROWS = 20_000
+#: Bytes of a side that may be broadcast; a larger one meets the other in blocks.
+BROADCAST_BYTES = dense.BROADCAST_BYTES
 
 
-def paired(many: DataFrame, few: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """All pairs of two tables: the second is broadcast if its size allows, else both meet block by block."""
-    n = few.limit(limit + 1).count()
-    if n <= limit:
+def paired(many: DataFrame, few: DataFrame, limit: int = BROADCAST_BYTES, vector: str | None = None) -> DataFrame:
+    """All pairs of two tables: the second is broadcast if its size allows, else both are dealt into blocks and each pair of blocks is a key."""
+    arrays = [f.name for f in few.schema.fields if f.dataType.typeName() == "array"]
+    size = max([dense.size_of(few, c) for c in arrays[:1] or few.columns[:1]]) if arrays else _flat_size(few)
+    if size <= limit:
         return many.crossJoin(F.broadcast(few))
-    blocks = -(-few.count() // limit)
-    seed = F.pmod(F.xxhash64(*few.columns), F.lit(blocks)).cast("int")
-    dealt = many.withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.join(few.withColumn("block__", seed), "block__").drop("block__")
+    few_blocks = -(-size // limit)
+    many_blocks = max(1, -(-int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")) // few_blocks))
+    block = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = many.withColumn("many__", block(many, many_blocks)).withColumn("few__", every(few_blocks))
+    right = few.withColumn("few__", block(few, few_blocks)).withColumn("many__", every(many_blocks))
+    return left.join(right, ["many__", "few__"]).drop("many__", "few__")
+
+
+def _flat_size(few: DataFrame) -> int:
+    bound = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return bound if bound <= BROADCAST_BYTES else 32 * len(few.columns) * few.count()
 
 
 def top_k(pairs: DataFrame, k: int, by: str | list[str] = "query_id", id_col: str = "vec_id", dist: str = "dist") -> DataFrame:
@@ -38,8 +49,14 @@ def scored(queries: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Exact k nearest neighbours.  Filters belong on `base`, where they reach the scan."""
-    return top_k(scored(queries, base, metric), k).select("query_id", "rank", "vec_id", "dist")
+    """Exact k nearest neighbours.  Filters belong on `base`, where they reach the scan.
+
+    The queries travel, the base is read once where it is; a query table beyond the budget
+    meets it in blocks.
+    """
+    asked = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe")
+    pairs = scored(queries, base, metric) if asked is None else dense.nearest_rows(asked, base, k, metric)
+    return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
 
 
 def allowed(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -53,7 +70,8 @@ def mask(vec_id: str = "vec_id", percent: int = 10):
 
 
 def within_radius(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
-    return scored(queries, base, metric).where(F.col("dist") <= radius)
+    asked = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe")
+    return scored(queries, base, metric).where(F.col("dist") <= radius) if asked is None else dense.rows_within(asked, base, radius, metric)
 
 
 def within_factor(pairs: DataFrame, factor: float) -> DataFrame:
@@ -64,16 +82,34 @@ def within_factor(pairs: DataFrame, factor: float) -> DataFrame:
 
 
 def probes(queries: DataFrame, centroids: DataFrame, n: int, metric: str = "l2", cid: str = "cid") -> DataFrame:
-    """(query_id, qe, cid, probe_rank): the n nearest centroids of each query."""
+    """(query_id, qe, cid, probe_dist, probe_rank): the n nearest centroids of each query."""
+    cells = dense.few(centroids, cid, "c")
+    if cells is not None:
+        return dense.with_probes(queries, cells, centroids.schema[cid].dataType, n, metric, cid)
     pairs = paired(queries.select("query_id", "qe"), centroids.select(cid, "c")).select("query_id", "qe", cid, distance(metric, "c", "qe").alias("probe_dist"))
     return top_k(pairs, n, id_col=cid, dist="probe_dist").withColumnRenamed("rank", "probe_rank")
 
 
+def scanned(cells: DataFrame, rows: DataFrame, cell: str, k: int, metric: str) -> DataFrame:
+    """The k nearest rows (cell, vec_id, e) of each query among the cells that it probes; cells has (query_id, qe, cell).
+
+    The probes travel and the rows stay: only cells that a query probes are read, which a
+    table laid out by cell can skip.  Probes beyond the budget are joined by cell.
+    """
+    if dense.size_of(cells, "qe") <= BROADCAST_BYTES:
+        found = cells.where(F.col("query_id").isNotNull()).select("query_id", "qe", cell).toArrow()
+        q, ok = dense.matrix(found.column("qe"))
+        ids, first, number = np.unique(found.column("query_id").to_numpy(), return_index=True, return_inverse=True)
+        asked = dense.Few(ids, q[first], {})
+        pairs = dense.scan_cells(asked, found.column(cell).to_numpy()[ok], number[ok], rows, cell, k, metric)
+    else:
+        pairs = cells.join(rows.select(cell, "vec_id", "e"), cell).select("query_id", "vec_id", distance(metric, "e", "qe").alias("dist"))
+    return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
+
+
 def ivf_search(queries: DataFrame, centroids: DataFrame, assignment: DataFrame, n_probes: int, k: int, metric: str = "l2") -> DataFrame:
     """Scan the nearest cells of each query; assignment has (vec_id, e, cid)."""
-    cells = probes(queries, centroids, n_probes, metric).select("query_id", "qe", "cid")
-    pairs = cells.join(assignment.select("cid", "vec_id", "e"), "cid").select("query_id", "vec_id", distance(metric, "e", "qe").alias("dist"))
-    return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
+    return scanned(probes(queries, centroids, n_probes, metric).select("query_id", "qe", "cid"), assignment, "cid", k, metric)
 
 
 def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas: int, n_minis: int, metric: str = "l2", always: DataFrame | None = None) -> DataFrame:
@@ -81,6 +117,11 @@ def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas
 
     Megas in `always` (badly formed ones) are probed by every query, beside the nearest of the others.
     """
+    top, low = dense.few(megas, "mega_id", "c"), dense.few(minis, "mini_id", "c", ("mega_id",))
+    if top is not None and low is not None:
+        every = np.array([r.mega_id for r in always.select("mega_id").distinct().collect()], np.int64) if always is not None else np.zeros(0, np.int64)
+        kinds = minis.schema["mini_id"].dataType, minis.schema["mega_id"].dataType
+        return dense.with_minis(queries, top, low, kinds, n_megas, n_minis, metric, every).select("query_id", "qe", "mini_id")
     every = megas
     if always is not None:
         megas = megas.join(always.select("mega_id"), "mega_id", "left_anti")
@@ -94,8 +135,7 @@ def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas
 def two_level_search(queries: DataFrame, megas: DataFrame, minis: DataFrame, assignment: DataFrame, n_megas: int, n_minis: int, k: int, metric: str = "l2", always: DataFrame | None = None) -> DataFrame:
     """Nearest megas, then minis among them, then vectors; minis have (mini_id, mega_id, c), assignment (mini_id, vec_id, e)."""
     cells = probed_cells(queries, megas, minis, n_megas, n_minis, metric, always)
-    pairs = cells.join(assignment.select("mini_id", "vec_id", "e"), "mini_id").select("query_id", "vec_id", distance(metric, "e", "qe").alias("dist"))
-    return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
+    return scanned(cells, assignment, "mini_id", k, metric)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

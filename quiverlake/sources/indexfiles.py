@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    Where none is set, as in tests, a single local machine gets one of its own; a cluster
+    has no folder to guess.  Checkpoints go there too.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    at = at or tempfile.mkdtemp(prefix="quiverlake-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
+    return at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{at}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def save(path: str, settings: dict, **tables: DataFrame) -> None:
