@@ -30,10 +30,13 @@ def partitions(rows: DataFrame, most_bytes: int = 64 << 20) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(_size(rows) or 0) // most_bytes))
 
 
-def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 8 << 20) -> DataFrame:
-    """rows with no more tasks than four a core, or one for `least_bytes` of `like`: many small files or partitions cost a task and files each."""
+def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 32 << 20) -> DataFrame:
+    """rows with no more tasks than the cluster has cores, or one for `least_bytes` of `like`, whichever is more.
+
+    Many small files or partitions cost a task each, and files where they are written.
+    """
     size = _size(rows if like is None else like)
-    most = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // least_bytes))
+    most = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // least_bytes))
     return rows.coalesce(most) if size is not None else rows
 
 
@@ -89,22 +92,27 @@ def maybe_in(df: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFram
     return df.withColumn("__at", word).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left").withColumn(flag, there).drop("__at", "__word", "__bits")
 
 
+def release() -> None:
+    """Give this process's free memory back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
 def _released(stage):
     """The stage, giving free memory back to the system at its end: idle Python workers live on beside the next stage."""
 
     def run(batches):
-        import ctypes
-        import gc
-
         try:
             yield from stage(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # not this C library
+            release()
 
     return run
 

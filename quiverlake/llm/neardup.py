@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     same = full.join(classes, ["key1", "key2"]).select("doc_id", "rep")
     own = same.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc_id")  # only if an id repeats
     links = links.unionByName(same.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    linked = components(links)
+    linked = components(stage_table(links, "links", source))  # a table, so that no task runs two Python stages
     out = signed.join(classes, ["key1", "key2"], "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

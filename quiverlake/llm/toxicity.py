@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_stage, gathered, id_and_text, slices
+from .common import arrow_stage, gathered, id_and_text, release, slices
 from .wordtable import LOWER, NOT_ALNUM, WordTable, mix
 
 WINDOW, STEP = 24, 12
@@ -186,23 +186,21 @@ class Network:
         return 1 / (1 + np.exp(-worst.astype(np.float64)))
 
 
-def _odds(there: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of the labels of the documents that hold each item; there: items by documents."""
+def _odds(yes: np.ndarray, no: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of the labels of the documents that hold each item, from their numbers with label 1 and without."""
     toxic, clean = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
-    a, b = there[:, labels == 1].sum(1), there[:, labels != 1].sum(1)
-    return np.clip(np.log((a + 0.5) / toxic) - np.log((b + 0.5 * clean / toxic) / clean), -3, 3) / 3
+    return np.clip(np.log((yes + 0.5) / toxic) - np.log((no + 0.5 * clean / toxic) / clean), -3, 3) / 3
 
 
-def _start(net: Network, words: Words, doc: np.ndarray, labels: np.ndarray, step: int = 1 << 16) -> None:
+def _start(net: Network, words: Words, doc: np.ndarray, labels: np.ndarray, step: int = 1 << 14) -> None:
     """The first dimension of every embedding starts as the log odds of its documents' labels."""
     pairs = np.unique(words.number.astype(np.int64) * len(labels) + doc)
     word, doc = pairs // len(labels), pairs % len(labels)
     row = np.searchsorted(net.vocabulary, words.hashes[word])
     row[row == len(net.vocabulary)] = 0
     known = net.vocabulary[row] == words.hashes[word] if len(net.vocabulary) else np.zeros(len(word), bool)
-    there = np.zeros((len(net.vocabulary), len(labels)), bool)
-    there[row[known], doc[known]] = True
-    net.p["word"][:-1, 0] = _odds(there, labels)
+    yes, no = (np.bincount(row[known & (labels[doc] == 1) if y else known & (labels[doc] != 1)], minlength=len(net.vocabulary)) for y in (1, 0))
+    net.p["word"][:-1, 0] = _odds(yes, no, labels)
     net.p["word"][-1, 0] = 0
     for (w, bits), grams in zip(GRAMS, words.grams):
         there = np.zeros((1 << bits, len(labels)), bool)
@@ -211,7 +209,7 @@ def _start(net: Network, words: Words, doc: np.ndarray, labels: np.ndarray, step
             size = words.lengths[own]
             flat = np.arange(int(size.sum())) + np.repeat(words.offsets[own] - (np.cumsum(size) - size), size)
             there[grams[flat], np.repeat(doc[at : at + step], size)] = True
-        net.p[f"char{w}"][:, 0] = _odds(there, labels)
+        net.p[f"char{w}"][:, 0] = _odds(there[:, labels == 1].sum(1), there[:, labels != 1].sum(1), labels)
 
 
 def _inputs_of(net: Network, words: Words, numbers: np.ndarray):
@@ -234,9 +232,9 @@ def _worst(net: Network, words: Words, docs: np.ndarray, of: np.ndarray, start:
     return at[np.lexsort((-logit, owner))[np.searchsorted(owner, np.arange(len(docs)))]]
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, min_docs: int = 3, most_words: int = 20_000, seed: int = 7, odds: bool = True) -> Network:
-    """Adam on the weighted log loss of each document's worst window; without `odds` all embeddings start at random."""
-    words = Words(pa.array(texts, pa.large_string()))
+def train(texts, labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, min_docs: int = 3, most_words: int = 20_000, seed: int = 7, odds: bool = True) -> Network:
+    """Adam on the weighted log loss of each document's worst window; texts: an Arrow column; without `odds` all embeddings start at random."""
+    words = Words(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
     pairs = np.unique(words.number.astype(np.int64) * len(texts) + doc) // max(len(texts), 1)
     frequency = np.bincount(pairs, minlength=len(words.hashes))
@@ -304,13 +302,16 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int
         return None
     columns = [pa.array(c, t) for c, t in zip(zip(*sorted(few)), (pa.int64(), pa.int32(), pa.int64()))]
     ids = docs.sparkSession.createDataFrame(pa.table(columns, names=["doc_id", "toxic", "key"]))  # a list would go through Python workers
-    rows = texts.join(F.broadcast(ids), ["doc_id", "toxic", "key"]).select("doc_id", "toxic", "key", "text").distinct().collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.key))
-    y = np.array([r.toxic for r in rows], np.float32)
+    rows = texts.join(F.broadcast(ids), ["doc_id", "toxic", "key"]).select("doc_id", "toxic", "key", "text").distinct().toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "key")])
+    y = rows.column("toxic").to_numpy().astype(np.float32)
     share = np.array([counts.get(k, 0) for k in (0, 1)]) / sum(counts.values())
     own = np.array([(y == k).mean() for k in (0, 1)])
     weights = (share / np.maximum(own, 1e-9))[y.astype(int)].astype(np.float32)
-    return train([r.text or "" for r in rows], y, weights, **training)
+    network = train(rows.column("text"), y, weights, **training)
+    del rows
+    release()
+    return network
 
 
 def score_rows(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
