@@ -394,10 +394,10 @@ def bad_minis(s, d):
     return rounded(_sil(s, d).where("s < -0.009").select("mini_id", "s"), "s")
 
 
-@query("boundary_minis", f"{_TWO}, bd AS (SELECT mini.mini_id, row_number() OVER (PARTITION BY mini.mini_id ORDER BY {_d('l2', 'mini.c', 'mega.c')}, mega.mega_id) AS r, {_d('l2', 'mini.c', 'mega.c')} AS dist FROM mini, mega), two AS (SELECT mini_id, max(CASE WHEN r = 1 THEN dist END) AS d1, max(CASE WHEN r = 2 THEN dist END) AS d2 FROM bd GROUP BY mini_id) SELECT mini_id, round(abs(d2 - d1) / greatest(abs(d1), abs(d2)), 6) AS ratio FROM two WHERE abs(d2 - d1) / greatest(abs(d1), abs(d2)) <= 0.2")
+@query("boundary_minis", f"{_TWO}, bd AS (SELECT mini.mini_id, row_number() OVER (PARTITION BY mini.mini_id ORDER BY {_d('l2', 'mini.c', 'mega.c')}, mega.mega_id) AS r, {_d('l2', 'mini.c', 'mega.c')} AS dist FROM mini, mega), two AS (SELECT mini_id, max(CASE WHEN r = 1 THEN dist END) AS d1, max(CASE WHEN r = 2 THEN dist END) AS d2 FROM bd GROUP BY mini_id) SELECT mini_id, round(abs(d2 - d1) / greatest(abs(d1), abs(d2)), 6) AS ratio FROM two WHERE abs(d2 - d1) / greatest(abs(d1), abs(d2)) <= 0.9")
 def boundary_minis(s, d):
     megas, minis, _ = two_level(s, d)
-    return rounded(C.boundary(minis, megas), "ratio")
+    return rounded(C.boundary(minis, megas, 0.9), "ratio")
 
 
 @query("insert_assign", f"{_TWO}, i1 AS (SELECT query_id, qe, arg_min(mega_id, row({_d('l2', 'qe', 'c')}, mega_id)) AS mega_id FROM q, mega GROUP BY query_id, qe), i2 AS (SELECT query_id, mega_id, mini_id, {_d('l2', 'qe', 'mini.c')} AS dist FROM i1 JOIN mini USING (mega_id)) SELECT query_id AS vec_id, any_value(mega_id) AS mega_id, arg_min(mini_id, row(dist, mini_id)) AS mini_id, round(min(dist), 6) AS dist FROM i2 GROUP BY query_id")
@@ -412,10 +412,10 @@ def version_drift(s, d):
     return rounded(C.drift(two_level(s, d)[0], old))
 
 
-@query("oversized_micros", f"{_ASSIGNED}, {_HIST} SELECT cid, n FROM h WHERE n > 2 * (SELECT avg(n) FROM h)")
+@query("oversized_micros", f"{_ASSIGNED}, {_HIST} SELECT cid, n FROM h WHERE n > 1.2 * (SELECT avg(n) FROM h)")
 def oversized_micros(s, d):
     sizes = cluster_histogram(s, d)
-    return sizes.crossJoin(F.broadcast(sizes.agg(F.avg("n").alias("m")))).where(F.col("n") > 2 * F.col("m")).select("cid", "n")
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.avg("n").alias("m")))).where(F.col("n") > 1.2 * F.col("m")).select("cid", "n")
 
 
 @query("pull_from_neighbors", f"{_TWO}, t AS (SELECT c AS tc FROM mini WHERE mini_id = 2), near AS (SELECT mini_id, c, tc FROM (SELECT *, row_number() OVER (ORDER BY {_d('l2', 'c', 'tc')}, mini_id) AS r FROM mini, t WHERE mini_id <> 2) WHERE r <= 5) SELECT vec_id, mini_id FROM a JOIN near USING (mini_id) WHERE {_d('l2', 'e', 'tc')} < {_d('l2', 'e', 'c')}")
@@ -515,7 +515,57 @@ def hnsw_filtered_search(s, d):
 def hnsw_delete_search(s, d):
     rows = G.partitioned(base(s, d), 4)
     gone = rows.where("vec_id % 10 = 3").select("vec_id")
-    return rounded(G.search(asked(s, d), rows.join(gone, "vec_id", "left_anti"), G.delete(G.build(rows), gone), K))
+    return rounded(G.search(asked(s, d), rows.join(gone, "vec_id", "left_anti"), G.delete(rows, G.build(rows), gone), K))
+
+
+@query("hnsw_tombstone_search")
+def hnsw_tombstone_search(s, d):
+    """Deleted rows keep their edges and are walked through."""
+    rows = G.partitioned(base(s, d), 4)
+    return rounded(G.search(asked(s, d), rows.withColumn("allowed", F.col("vec_id") % 10 != 3), G.build(rows), K))
+
+
+@query("hnsw_two_hop_search")
+def hnsw_two_hop_search(s, d):
+    rows = G.partitioned(base(s, d), 4)
+    return rounded(G.search(asked(s, d), rows.withColumn("allowed", F.col("label") == 2), G.build(rows), K, two_hop=True))
+
+
+@query("hnsw_insert_search")
+def hnsw_insert_search(s, d):
+    rows = G.partitioned(base(s, d), 4)
+    first = rows.where("vec_id % 3 <> 0")
+    return rounded(G.search(asked(s, d), rows, G.insert(first, G.build(first), rows.where("vec_id % 3 = 0")), K))
+
+
+@query("hnsw_sq8_search")
+def hnsw_sq8_search(s, d):
+    """The graph over decoded codes, its results ranked anew by the vectors."""
+    _, coded = M.quantized(base(s, d).withColumns({"mini_id": F.lit(0).cast("long"), "mega_id": F.lit(0).cast("long")}))
+    rows = G.partitioned(coded.select("vec_id", "e"), 4)
+    return rounded(Q.rerank(G.search(asked(s, d), rows, G.build(rows), 3 * K), asked(s, d), base(s, d), K))
+
+
+@query("hnsw_saved_search")
+def hnsw_saved_search(s, d):
+    rows, at = G.partitioned(base(s, d), 4), indexfiles.scratch(s, "graph")
+    indexfiles.save(at, {"m": G.M, "ef": G.EF}, rows=rows, edges=G.build(rows))
+    settings, found = indexfiles.load(s, at)
+    return rounded(G.search(asked(s, d), found["rows"], found["edges"], K, ef=settings["ef"], m=settings["m"]))
+
+
+@query("hnsw_costs")
+def hnsw_costs(s, d):
+    rows = G.partitioned(base(s, d), 4)
+    return G.costs(G.walks(asked(s, d), rows, G.build(rows), K))
+
+
+_LEVEL = "CAST(floor(-ln((((vec_id % 1048576) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0::DOUBLE) / ln({m}.0::DOUBLE)) AS INTEGER)"
+
+
+@query("random_levels", f"SELECT {_LEVEL.format(m=4)} AS level, count(*) AS n FROM embeddings GROUP BY 1")
+def random_levels(s, d):
+    return vectors(s, d).groupBy(G.random_level(m=4).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("sq8_cosine_knn", f"{_CODES}, d AS (SELECT query_id, vec_id, {_d('cosine', 'e', 'qe')} AS dist FROM de, q) {_top('d')}")
@@ -626,9 +676,21 @@ def insert_buffer_merge(s, d):
     return _places(M.merge_buffer(_index(s, d), new, 2, MINI, MEGAS_OF, 4 * MINI * MEGAS_OF))
 
 
-@query("micro_split")
+def _split_sql() -> str:
+    """The halves of large clusters, three steps within their parent, and the rows' nearest of halves and other clusters."""
+    out = f"""{_ASSIGNED}, sz AS (SELECT cid, count(*) AS n FROM a GROUP BY cid), big AS (SELECT cid AS parent FROM sz WHERE n > 1.2 * (SELECT avg(n) FROM sz)),
+br AS (SELECT vec_id, e, cid AS parent FROM a JOIN big ON cid = parent),
+h0 AS (SELECT parent, CASE WHEN side > 0 THEN parent ELSE parent + (SELECT max(cid) + 1 FROM cent) END AS cid, list_transform(c, lambda x, i: x * (1 + side * (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) / 1024.0::DOUBLE)) AS c FROM cent JOIN big ON cid = parent, (VALUES (1), (-1)) t(side))"""
+    for i in range(1, 4):
+        out += f""", o{i} AS (SELECT vec_id, any_value(e) AS e, arg_min(cid, row(dist, cid)) AS cid FROM (SELECT vec_id, e, cid, {_d('l2', 'e', 'c')} AS dist FROM br JOIN h{i - 1} USING (parent)) GROUP BY vec_id),
+n{i} AS ({_means(f'o{i}', 'cid')}), h{i} AS (SELECT parent, h.cid, coalesce(n{i}.c, h.c) AS c FROM h{i - 1} h LEFT JOIN n{i} USING (cid))"""
+    return out + f""", ends AS (SELECT cid, c FROM h3 UNION ALL SELECT cid, c FROM cent WHERE cid NOT IN (SELECT parent FROM big)), z AS ({_assigned(source='br', cent='ends')})
+SELECT vec_id, parent AS old_cid, cid FROM z JOIN (SELECT vec_id, parent FROM br) USING (vec_id)"""
+
+
+@query("micro_split", _split_sql())
 def micro_split(s, d):
-    return M.split_large(C.assign(base(s, d), cents(s, d)).select("vec_id", "e", "cid"), cents(s, d))
+    return M.split_large(C.assign(base(s, d), cents(s, d)).select("vec_id", "e", "cid"), cents(s, d), factor=1.2)
 
 
 @query("write_amplification", f"{_TWO}, i1 AS (SELECT query_id, arg_min(mega_id, row({_d('l2', 'qe', 'c')}, mega_id)) AS mega_id FROM q, mega GROUP BY query_id), n AS (SELECT (SELECT count(*) FROM q) AS new, (SELECT count(*) FROM a JOIN mini USING (mini_id) WHERE mega_id IN (SELECT mega_id FROM i1)) AS old) SELECT new * 256 AS user_bytes, (new + old) * 256 AS system_bytes, round((new + old) / new, 6) AS amplification FROM n")
@@ -641,7 +703,15 @@ def write_amplification(s, d):
     return n.select((F.col("new") * 256).alias("user_bytes"), ((F.col("new") + F.col("old")) * 256).alias("system_bytes"), F.round((F.col("new") + F.col("old")) / F.col("new"), 6).alias("amplification"))
 
 
-@query("rng_prune_edges")
+_PRUNE = f"""WITH RECURSIVE {_V}, {_BQ}, near AS MATERIALIZED (SELECT * FROM (SELECT x.vec_id AS src, y.vec_id AS dst, y.e, {_d('l2', 'y.e', 'x.e')} AS dist, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_d('l2', 'y.e', 'x.e')}, y.vec_id) AS r FROM b x JOIN b y ON x.vec_id <> y.vec_id) WHERE r <= 20),
+step AS (SELECT DISTINCT src, 0 AS i, []::BIGINT[] AS kept, []::DOUBLE[][] AS es FROM near
+  UNION ALL SELECT src, i + 1, CASE WHEN ok THEN list_append(kept, dst) ELSE kept END, CASE WHEN ok THEN list_append(es, e) ELSE es END
+  FROM (SELECT step.src, i, kept, es, dst, e, len(kept) < 8 AND len(list_filter(es, lambda k: {_L2.format(a='k', b='e')} < dist)) = 0 AS ok FROM step JOIN near ON near.src = step.src AND r = i + 1)),
+last AS (SELECT src, unnest(kept) AS dst, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS pos FROM step WHERE i = 20)
+SELECT src, pos, dst, round(dist, 6) AS dist FROM last JOIN near USING (src, dst)"""
+
+
+@query("rng_prune_edges", _PRUNE)
 def rng_prune_edges(s, d):
     own = base(s, d).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
     near = S.top_k(S.scored(own, base(s, d)).where("query_id <> vec_id"), 20).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist")
@@ -651,9 +721,8 @@ def rng_prune_edges(s, d):
 @query("partitioned_hnsw_search")
 def partitioned_hnsw_search(s, d):
     cells = C.kmeans(base(s, d), C.hashed_init(base(s, d), 8), 3)
-    rows = C.assign(base(s, d), cells).select("vec_id", "e", F.col("cid").cast("int").alias("part"))
-    probed = S.probes(asked(s, d), cells, 6).select("query_id", F.col("cid").cast("int").alias("part"))
-    return rounded(G.search(asked(s, d), rows, G.build(rows), K, probed=probed))
+    rows = G.routed(base(s, d).select("vec_id", "e"), cells)
+    return rounded(G.search(asked(s, d), rows, G.build(rows), K, probed=G.routes(asked(s, d), cells, 8, threshold=0.4)))
 
 
 @query("ef_tuning")
@@ -664,6 +733,220 @@ def ef_tuning(s, d):
     return S.recall_summary(S.recall(G.search(asked(s, d), rows, edges, K, ef=ef), truth, K)).select(F.lit(ef).alias("ef"), "avg_recall")
 
 
+_U = "((((vec_id % 1048576) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0::DOUBLE)"
+
+
+def _k(n: str, size: int) -> str:
+    return f"greatest(1, {n} // {size} + CASE WHEN {n} % {size} > 0.6 * {size} THEN 1 ELSE 0 END)"
+
+
+def _km(p: str, source: str, k: str, n: int, balance: float = 0.0) -> str:
+    """Starting centroids {p}0 of a source (vec_id, e), n Lloyd steps to {p}{n}."""
+    out = f"{p}0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY {_U}, vec_id) - 1 AS cid, e AS c, 0 AS n FROM {source}) WHERE cid < ({k}))"
+    for i in range(1, n + 1):
+        last = f"{p}{i - 1}"
+        out += f", {p}s{i} AS ({_assigned(cost=f'dist + {balance} * n', source=source, cent=last)}), {p}m{i} AS ({_means(f'{p}s{i}', 'cid')}), {p}{i} AS (SELECT {last}.cid, coalesce({p}m{i}.c, {last}.c) AS c, coalesce({p}m{i}.n, 0) AS n FROM {last} LEFT JOIN {p}m{i} USING (cid))"
+    return out
+
+
+@query("kmeans_sampled", f"WITH {_V}, {_BQ}, few AS (SELECT * FROM b WHERE {_U} < 200.0::DOUBLE / (SELECT count(*) FROM b)), {_km('c', 'few', '6', 3)} {_unrolled('c3', 'cid')}")
+def kmeans_sampled(s, d):
+    some = C.sampled(base(s, d), 200, base(s, d).count())
+    return _rows(C.kmeans(some, C.hashed_init(some, 6), 3), "cid")
+
+
+@query("kmeans_balanced", f"WITH {_V}, {_BQ}, {_km('c', 'b', '6', 3, 0.002)} {_unrolled('c3', 'cid')}")
+def kmeans_balanced(s, d):
+    return _rows(C.kmeans(base(s, d), C.hashed_init(base(s, d), 6), 3, balance=0.002), "cid")
+
+
+def _batch(p: str, where: str, first: str) -> str:
+    """Minis {p}i and megas {p}g of a batch, and its rows {p}r (vec_id, mini_id, mega_id) with ids from `first`."""
+    n, g = f"(SELECT count(*) FROM {p}b)", f"(SELECT count(*) FROM {p}i)"
+    return f"""{p}b AS (SELECT * FROM b WHERE {where}), {_km(p + 'k', p + 'b', 'SELECT ' + _k(n, MINI), 2)}, {p}a AS ({_assigned(source=p + 'b', cent=p + 'k2')}),
+{p}i AS (SELECT cid + {first} AS vec_id, c AS e FROM ({_means(p + 'a', 'cid')})), {_km(p + 'l', p + 'i', 'SELECT ' + _k(g, MEGAS_OF), 2)}, {p}g AS ({_assigned(source=p + 'i', cent=p + 'l2')}),
+{p}r AS (SELECT {p}a.vec_id, {p}a.cid + {first} AS mini_id, {p}g.cid + {first} AS mega_id FROM {p}a JOIN {p}g ON {p}g.vec_id = {p}a.cid + {first})"""
+
+
+@query("naive_insert", f"WITH {_V}, {_BQ}, {_batch('x', 'vec_id % 2 = 1', '0')}, {_batch('y', 'vec_id % 2 = 0', '(SELECT max(greatest(mini_id, mega_id)) + 1 FROM xr)')} SELECT * FROM xr UNION ALL SELECT * FROM yr")
+def naive_insert(s, d):
+    rows = base(s, d).select("vec_id", "e")
+    index = M.naive_insert(None, rows.where("vec_id % 2 = 1"), MINI, MEGAS_OF, 2)
+    return _places(M.naive_insert(index, rows.where("vec_id % 2 = 0"), MINI, MEGAS_OF, 2))
+
+
+@query("naive_insert_search")
+def naive_insert_search(s, d):
+    rows = base(s, d).select("vec_id", "e")
+    index = None
+    for part in range(3):
+        index = M.naive_insert(index, rows.where(F.col("vec_id") % 3 == part), MINI, MEGAS_OF, 5)
+    return rounded(S.two_level_search(asked(s, d), *M.levels(index), 6, 8, K))
+
+
+@query("naive_insert_codes")
+def naive_insert_codes(s, d):
+    rows = base(s, d).select("vec_id", "e")
+    params = M.train_on_sample(rows, 0.5)
+    index = M.naive_insert_codes(None, rows.where("vec_id % 2 = 1"), params, MINI, MEGAS_OF)
+    return _places(M.naive_insert_codes(index, rows.where("vec_id % 2 = 0"), params, MINI, MEGAS_OF))
+
+
+_PL = _SQ.split(f"{_BQ}, ", 1)[1]
+
+
+@query("two_level_sq8_search", f"{_TWO}, {_PL}, xmini AS (SELECT mini_id, mega_id, {_DEC.format(v='codes')} AS c FROM (SELECT *, {_ENC.format(v='c')} AS codes FROM mini, pl)), xa AS (SELECT vec_id, mini_id, {_DEC.format(v='codes')} AS e FROM (SELECT vec_id, mini_id, {_ENC.format(v='e')} AS codes, low, width FROM a, pl)), {_search().replace('JOIN mini ', 'JOIN xmini ').replace('mini.c', 'xmini.c').replace('JOIN mini)', 'JOIN xmini)').replace(' a JOIN', ' xa JOIN').replace('JOIN a ', 'JOIN xa ')} {_top('d')}")
+def two_level_sq8_search(s, d):
+    megas, minis, rows = two_level(s, d)
+    p = Q.train(base(s, d))
+    minis = Q.decode(Q.encode(minis, p, "c"), p).withColumn("c", F.col("decoded")).drop("decoded", "codes")
+    rows = Q.decode(Q.encode(rows, p), p).withColumn("e", F.col("decoded")).drop("decoded", "codes")
+    return rounded(S.two_level_search(asked(s, d), megas, minis, rows, 3, 5, K))
+
+
+@query("sq8_train_sampled", f"WITH {_V}, {_BQ} SELECT CAST(pos AS INTEGER) AS pos, round(min(x), 6) AS low, round(max(x) - min(x), 6) AS width FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM b WHERE {_U} < 0.3) GROUP BY pos")
+def sq8_train_sampled(s, d):
+    return rounded(M.train_on_sample(base(s, d), 0.3).select(F.posexplode(F.arrays_zip("low", "width")).alias("pos", "p")).select("pos", "p.low", "p.width"), "low", "width")
+
+
+def _register_sq8_products() -> None:
+    codes = f"{_CODES}, q1 AS (SELECT query_id, {_ENC.format(v='qe')} AS codes, low, width FROM q, pl), q2 AS (SELECT query_id, {_DEC.format(v='codes')} AS qe FROM q1)"
+    for name, source, both in (("sq8_ip_knn", "q", False), ("sq8_ip_sym_knn", "q2", True)):
+
+        def run(s, d, both=both):
+            p = Q.train(base(s, d))
+            return rounded(Q.search(asked(s, d), Q.encode(base(s, d), p), p, K, "ip", symmetric=both))
+
+        query(name, f"{codes}, d AS (SELECT query_id, vec_id, {_d('ip', 'e', 'qe')} AS dist FROM de, {source}) {_top('d')}")(run)
+
+
+_register_sq8_products()
+
+
+@query("partition_cutoff", f"WITH {_V}, {_BQ}, {_CENT}, p AS (SELECT query_id, cid AS part, {_d('l2', 'c', 'qe')} AS dist FROM cent, (SELECT vec_id AS query_id, e AS qe FROM b WHERE vec_id % 10 = 1)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, part) AS r, min(dist) OVER (PARTITION BY query_id) AS d0 FROM p) SELECT query_id, CAST(part AS INTEGER) AS part, round(dist, 6) AS probe_dist FROM r WHERE r <= 6 AND dist - d0 <= 0.2")
+def partition_cutoff(s, d):
+    some = base(s, d).where("vec_id % 10 = 1").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    return rounded(G.routes(some, cents(s, d), 6, threshold=0.2), "probe_dist")
+
+
+@query("closer_elsewhere", f"WITH {_V}, {_BQ}, l AS ({_means('b', 'label')}), dd AS (SELECT vec_id, b.label AS cid, l.label AS other, {_d('l2', 'e', 'c')} AS dist FROM b, l), own AS (SELECT vec_id, dist AS a FROM dd WHERE cid = other), best AS (SELECT vec_id, any_value(cid) AS cid, arg_min(other, row(dist, other)) AS other, min(dist) AS dist FROM dd WHERE cid <> other GROUP BY vec_id) SELECT vec_id, cid, other, round(dist, 6) AS dist FROM best JOIN own USING (vec_id) WHERE dist < a")
+def closer_elsewhere(s, d):
+    cells = C.means(base(s, d), "label").select(F.col("label").alias("cid"), "c")
+    return rounded(C.closer_elsewhere(base(s, d).withColumnRenamed("label", "cid"), cells))
+
+
+@query("centroid_order", f"WITH {_V}, {_BQ}, {_CENT} SELECT query_id, cid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'c', 'qe')}, cid) AS INTEGER) AS probe_rank FROM cent, (SELECT vec_id AS query_id, e AS qe FROM b WHERE vec_id % 10 = 1)")
+def centroid_order(s, d):
+    some = base(s, d).where("vec_id % 10 = 1").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    return S.probes(some, cents(s, d), 1 << 20).select("query_id", "cid", "probe_rank")
+
+
+@query("rival_megas", f"{_TWO}, r AS (SELECT query_id, mega_id, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'c', 'qe')}, mini_id) AS r FROM mini, q) SELECT query_id, mega_id, count(*) AS n_minis, CAST(min(r) AS INTEGER) AS best_rank FROM r WHERE r <= 6 GROUP BY ALL")
+def rival_megas(s, d):
+    _, minis, _ = two_level(s, d)
+    near = S.probes(asked(s, d), minis, 6, cid="mini_id").join(minis.select("mini_id", "mega_id"), "mini_id")
+    return near.groupBy("query_id", "mega_id").agg(F.count("*").alias("n_minis"), F.min("probe_rank").alias("best_rank"))
+
+
+@query("first_mega_scores", f"{_MD} SELECT mega_id, round(avg(mse), 6) AS mse FROM mm WHERE mega_id < 2 GROUP BY mega_id")
+def first_mega_scores(s, d):
+    return mega_mse(s, d).where("mega_id < 2")
+
+
+@query("index_report", f"{_MD}, gm AS (SELECT mega_id, avg(mse) AS mse FROM mm GROUP BY mega_id), pm AS (SELECT mega_id, count(*) AS n, count(DISTINCT mini_id) AS minis FROM md GROUP BY mega_id) SELECT count(*) AS n_megas, CAST(sum(minis) AS BIGINT) AS n_minis, CAST(sum(n) AS BIGINT) AS n_vectors, min(n) AS min_mega, max(n) AS max_mega, (SELECT min(n) FROM mini) AS min_mini, (SELECT max(n) FROM mini) AS max_mini, (SELECT round(avg(n), 6) FROM mini) AS avg_mini, (SELECT round(avg(mse), 6) FROM gm) AS avg_mega_mse, (SELECT round(max(mse), 6) FROM gm) AS max_mega_mse, CAST(sum(n) AS BIGINT) * 256 AS user_bytes, 1.0::DOUBLE AS amplification FROM pm")
+def index_report(s, d):
+    _, minis, rows = two_level(s, d)
+    return M.report(rows.join(minis.select("mini_id", "mega_id"), "mini_id").select(*M.INDEX))
+
+
+@query("mask_bits", "SELECT vec_id // 16 AS part, CAST(sum(CASE WHEN (vec_id * 7919 + 13) % 100 < 50 AND vec_id % 16 < 8 THEN 1 << CAST(vec_id % 8 AS INTEGER) ELSE 0 END) AS INTEGER) AS low, CAST(sum(CASE WHEN (vec_id * 7919 + 13) % 100 < 50 AND vec_id % 16 >= 8 THEN 1 << CAST(vec_id % 8 AS INTEGER) ELSE 0 END) AS INTEGER) AS high, count_if((vec_id * 7919 + 13) % 100 < 50) AS n FROM embeddings GROUP BY 1 HAVING count(*) = 16")
+def mask_bits(s, d):
+    """Masks of 16 rows as two bytes, and how many flags come back out of them."""
+    flags = F.array_sort(F.collect_list(F.struct("vec_id", S.mask(percent=50).alias("ok"))))
+    rows = vectors(s, d).groupBy(F.floor(F.col("vec_id") / 16).alias("part")).agg(flags.alias("f")).where(F.size("f") == 16)
+    packed = rows.select("part", V.packed_mask(F.transform("f", lambda x: x["ok"])).alias("m"))
+    back = F.size(F.filter(V.unpacked_mask(F.col("m"), 16), lambda x: x)).cast("long")
+    return packed.select("part", F.get("m", F.lit(0)).alias("low"), F.get("m", F.lit(1)).alias("high"), back.alias("n"))
+
+
+@query("cluster_numbers", "SELECT CAST(n AS INTEGER) AS n, CAST(" + _k("n", 50) + " AS INTEGER) AS k FROM (VALUES (10), (80), (81), (130), (131), (480), (1920)) t(n)")
+def cluster_numbers(s, d):
+    sizes = (10, 80, 81, 130, 131, 480, 1920)
+    return s.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(C.num_centroids(n, 50)).alias("k")) for n in sizes))))
+
+
+@query("duplicate_vectors", f"WITH {_V}, g AS (SELECT list_transform(e[1:5], lambda x: x > 0) AS g, min(vec_id) AS first_id, count(*) AS n FROM v GROUP BY 1) SELECT first_id, n FROM g WHERE n > 1")
+def duplicate_vectors(s, d):
+    """Rows whose vectors are equal, here the signs of five components."""
+    signs = vectors(s, d).select("vec_id", F.transform(F.slice("e", 1, 5), lambda x: x > 0).alias("g"))
+    return signs.groupBy("g").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
+
+
+@query("mega_split")
+def mega_split(s, d):
+    return _places(M.split_megas(_index(s, d), 2 * MINI, MINI // 2, MEGAS_OF))
+
+
+@query("boundary_fix_v1")
+def boundary_fix_v1(s, d):
+    return _places(M.fix_boundaries_anew(_index(s, d), 2, 3, 4, MINI, MEGAS_OF))
+
+
+@query("recluster_within_megas")
+def recluster_within_megas(s, d):
+    return _places(M.recluster(_index(s, d), MINI, MEGAS_OF, fast=True))
+
+
+@query("mini_subcells")
+def mini_subcells(s, d):
+    return M.subcells(_index(s, d), MINI // 4)
+
+
+@query("roundtrip_truth", f"WITH {_V}, {_BQ}, {_TRUTH.replace('SELECT query_id, vec_id FROM (', 'SELECT query_id, vec_id, r FROM (')} SELECT CAST(dense_rank() OVER (ORDER BY query_id) - 1 AS BIGINT) AS query_id, r - 1 AS pos, vec_id AS value FROM t")
+def roundtrip_truth(s, d):
+    from .sources import vecfiles
+
+    at = vecfiles.paths(indexfiles.scratch(s, "truth"), 100)["truth"]
+    vecfiles.write_raw(_truth(s, d).select("query_id", F.col("rank").alias("pos"), F.col("vec_id").alias("value")), at, "uint64")
+    return vecfiles.read_raw(s, at, "uint64", K)
+
+
+@query("results_as_json", ORACLE_SQL["recall_summary"])
+def results_as_json(s, d):
+    from .sources import vecfiles
+
+    at = indexfiles.scratch(s, "results")
+    vecfiles.write_results(recall_summary(s, d), at)
+    return s.read.schema("avg_recall double, max_recall double, min_recall double, n_low bigint").json(at)
+
+
+@query("roundtrip_quantiser", ORACLE_SQL["sq8_params"])
+def roundtrip_quantiser(s, d):
+    at, p = indexfiles.scratch(s, "quantiser"), Q.train(base(s, d))
+    indexfiles.save(at, {"bits": 8}, params=p, histograms=Q.histograms(base(s, d), p))
+    found = indexfiles.load(s, at)[1]["params"]
+    return rounded(found.select(F.posexplode(F.arrays_zip("low", "width")).alias("pos", "p")).select("pos", "p.low", "p.width"), "low", "width")
+
+
+@query("file_chunk", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id >= 2 * ((SELECT count(*) FROM embeddings) // 7) AND vec_id < 3 * ((SELECT count(*) FROM embeddings) // 7)")
+def file_chunk(s, d):
+    """The third of seven chunks, written and read as a file of its own."""
+    from .sources import vecfiles
+
+    rows, at = s.read.parquet(f"{d}/embeddings.parquet"), indexfiles.scratch(s, "chunk")
+    n = rows.count()
+    vecfiles.write(vecfiles.chunk(rows, 2, 7, n), at, "fvecs")
+    return vecfiles.read(s, f"{at}/part-00000.fvecs").select((F.col("vec_id") + 2 * (n // 7)).alias("vec_id"), F.posexplode("embedding").alias("pos", "x"))
+
+
+@query("random_vector_table", "SELECT 1000 AS n, 16 AS dim, true AS inside")
+def random_vector_table(s, d):
+    from .sources import vecfiles
+
+    rows = vecfiles.random_vectors(s, 1000, 16, -1.0, 1.0)
+    return rows.agg(F.count("*").cast("int").alias("n"), F.max(F.size("embedding")).alias("dim"), F.bool_and(F.forall("embedding", lambda x: (x >= -1) & (x < 1))).alias("inside"))
+
+
 @query("roundtrip_index", ORACLE_SQL["two_level_search"])
 def roundtrip_index(s, d):
     at = indexfiles.scratch(s, "index")

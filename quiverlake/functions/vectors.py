@@ -109,3 +109,23 @@ def pairwise_encode(v: Column, mask: Column, low: Column, width: Column, tight_l
 def pairwise_decode(codes: Column, mask: Column, low: Column, width: Column, tight_low: Column, tight_width: Column, group: int = 4) -> Column:
     """Middle of each code's step in its group's range."""
     return _ranged(codes, mask, low, width, tight_low, tight_width, lambda c, a, w: c * (w / 4) + (w / 8 + a), group)
+
+
+def uniform(number: Column) -> Column:
+    """A number in (0, 1) that depends on a whole number alone, for draws that every run repeats."""
+    return (F.pmod(F.pmod(number, F.lit(1 << 20)) * 2654435761 + 12345, F.lit(1 << 32)) + 0.5) / float(1 << 32)
+
+
+def _bit(i: Column) -> Column:
+    return F.get(F.array(*(F.lit(1 << k) for k in range(8))), (i % 8).cast("int"))
+
+
+def packed_mask(mask: Column) -> Column:
+    """Flags as bytes, eight each, the first in the lowest bit."""
+    bits = F.transform(mask, lambda on, i: F.when(on, _bit(i)).otherwise(0))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(mask) / 8).cast("int") - 1), lambda g: F.aggregate(F.slice(bits, g * 8 + 1, F.lit(8)), F.lit(0), lambda s, x: s + x))
+
+
+def unpacked_mask(packed: Column, size: int) -> Column:
+    """The first `size` flags of packed bytes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get(packed, F.floor(i / 8).cast("int")).bitwiseAND(_bit(i)) != 0)

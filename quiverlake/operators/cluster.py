@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from ..functions.vectors import boundary_ratio, distance, silhouette
+from ..functions.vectors import boundary_ratio, distance, normalized, silhouette, uniform
 from . import dense
-from .search import paired, top_k
+from .search import paired, probes
 
 FIXED = 1_000_000_000
 
@@ -41,42 +41,88 @@ def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2", penalty: C
     return best.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*", "b.cid", "b.dist")
 
 
+def num_centroids(n: int, size: int) -> int:
+    """Clusters of about `size` for n rows: a rest counts as one more only above 0.6 of a cluster."""
+    return max(1, n // size + (n % size > 0.6 * size))
+
+
+def centroid_sizes(n: int, k: int, ratio: float = 1.0, least: int = 50_000) -> tuple[int, int]:
+    """(smallest, largest) number of training rows a cluster, of a sample of n * ratio rows or `least`."""
+    sample = min(max(int(n * ratio), least), n)
+    return int(sample // k * 0.4), sample // k + 1
+
+
+def sampled(rows: DataFrame, most: int, n: int, id_col: str = "vec_id") -> DataFrame:
+    """About `most` of n rows, those whose draw is smallest: a filter, so nothing is sorted or moved."""
+    return rows if most >= n else rows.where(uniform(F.col(id_col)) < most / n)
+
+
 def hashed_init(rows: DataFrame, k: int) -> DataFrame:
-    """k starting centroids: the rows whose ids hash lowest, which each task finds for itself before one merge."""
-    first = rows.select("vec_id", "e", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(k)
-    return first.select((F.row_number().over(Window.orderBy("h", "vec_id")) - 1).cast("long").alias("cid"), F.col("e").alias("c"))
+    """k starting centroids: the rows whose draws are smallest, which each task finds for itself before one merge of k rows."""
+    order = (uniform(F.col("vec_id")), F.col("vec_id"))
+    first = rows.select("vec_id", "e").orderBy(*order).limit(k)
+    return first.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("cid"), F.col("e").alias("c"))
 
 
-def kmeans(rows: DataFrame, centroids: DataFrame, iterations: int, metric: str = "l2", spherical: bool = False) -> DataFrame:
+def kmeans(rows: DataFrame, centroids: DataFrame, iterations: int, metric: str = "l2", spherical: bool = False, balance: float = 0.0) -> DataFrame:
     """(cid, c) after fixed Lloyd iterations; an empty cluster keeps its centroid.
 
-    Centroids within the budget come back to the driver after each iteration, so a plan
-    never holds more than one; larger ones are cut off by checkpoints.
+    With `balance` a row's cost in a cluster grows by that much for each member that the
+    cluster had in the iteration before.  Centroids within the budget come back to the
+    driver after each iteration, so a plan never holds more than one; larger ones are cut
+    off by checkpoints.
     """
-    from ..functions.vectors import normalized
-
     spark, kind = rows.sparkSession, centroids.schema["cid"].dataType
+    centroids, n = centroids.select("cid", "c"), {}
+    penalty = F.col("n") * balance if balance else None
     for _ in range(iterations):
         small = dense.size_of(centroids, "c") <= dense.BROADCAST_BYTES
         if small:
             now = {r.cid: r.c for r in centroids.select("cid", "c").collect()}
-            centroids = table_of(spark, now, kind)
-        new = means(assign(rows.select("vec_id", "e"), centroids, metric).where(F.col("cid").isNotNull()), "cid").select("cid", F.col("c").alias("new"))
+            centroids = table_of(spark, now, kind, {c: n.get(c, 0) for c in now})
+        elif balance and "n" not in centroids.columns:
+            centroids = centroids.withColumn("n", F.lit(0).cast("long"))
+        owned = assign(rows.select("vec_id", "e"), centroids, metric, penalty).where(F.col("cid").isNotNull())
+        new = means(owned, "cid").select("cid", F.col("c").alias("new"), F.col("n").alias("size"))
         if spherical:
             new = new.withColumn("new", normalized(F.col("new")))
         if small:
-            now |= {r.cid: r.new for r in new.collect()}
-            centroids = table_of(spark, now, kind)
+            made = new.collect()
+            now |= {r.cid: r.new for r in made}
+            n = {r.cid: r.size for r in made}
+            centroids = table_of(spark, now, kind, {c: n.get(c, 0) for c in now})
         else:
-            centroids = saved(centroids.join(new, "cid", "left").select("cid", F.coalesce("new", "c").alias("c")))
-    return centroids
+            centroids = saved(centroids.join(new, "cid", "left").select("cid", F.coalesce("new", "c").alias("c"), F.coalesce("size", F.lit(0)).alias("n")))
+    return centroids.select("cid", "c")
 
 
-def table_of(spark: SparkSession, centroids: dict, kind) -> DataFrame:
-    """(cid, c) of a few centroids, by Arrow."""
-    schema = StructType([StructField("cid", kind), StructField("c", ArrayType(DoubleType()))])
+def clustered(rows: DataFrame, size: int, iterations: int = 5, metric: str = "l2", sample: float = 1.0, balance: float = 0.0, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(centroids (cid, c), rows with cid and dist): clusters of about `size` rows, trained on a share of them.
+
+    Products are clustered by direction.  With `cap` no cluster has more rows than that.
+    """
+    n = rows.count()
+    k = num_centroids(n, size)
+    spherical = metric in ("ip", "cosine")
+    inner = "ip" if spherical else metric
+    if k == 1:
+        centroids = means(rows.withColumn("cid", F.lit(0).cast("long")), "cid").select("cid", "c")
+        centroids = centroids.withColumn("c", normalized(F.col("c"))) if spherical else centroids
+    else:
+        least, most = centroid_sizes(n, k, sample)
+        some = sampled(rows, most * k if sample < 1 else n, n)
+        centroids = kmeans(some, hashed_init(some, k), iterations, inner, spherical, balance)
+    if cap is not None and k > 1:
+        return centroids, rows.join(capped(rows, centroids, cap, inner), "vec_id")
+    return centroids, assign(rows, centroids, inner)
+
+
+def table_of(spark: SparkSession, centroids: dict, kind, n: dict) -> DataFrame:
+    """(cid, c, n) of a few centroids, by Arrow."""
+    schema = StructType([StructField("cid", kind), StructField("c", ArrayType(DoubleType())), StructField("n", LongType())])
     ids = sorted(centroids)
-    return spark.createDataFrame(pa.table({"cid": pa.array(ids, to_arrow_type(kind)), "c": pa.array([list(centroids[i]) for i in ids], pa.list_(pa.float64()))}), schema)
+    columns = {"cid": pa.array(ids, to_arrow_type(kind)), "c": pa.array([list(centroids[i]) for i in ids], pa.list_(pa.float64())), "n": pa.array([n[i] for i in ids], pa.int64())}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -157,30 +203,47 @@ def member_distances(assignment: DataFrame, minis: DataFrame, metric: str = "l2"
 
 def silhouettes(rows: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
     """(vec_id, cid, s): each row (vec_id, e, cid) against its own and the nearest other centroid."""
+    cells = dense.few(centroids, "cid", "c")
+    if cells is not None:
+        return dense.own_and_other(rows, cells, metric).select("vec_id", "cid", silhouette(F.col("a"), F.col("b")).alias("s"))
     other = centroids.select(F.col("cid").alias("ocid"), "c")
     pairs = paired(rows.select("vec_id", "e", "cid"), other).withColumn("d", distance(metric, "e", "c"))
     both = pairs.groupBy("vec_id", "cid").agg(F.min(F.when(F.col("cid") == F.col("ocid"), F.col("d"))).alias("a"), F.min(F.when(F.col("cid") != F.col("ocid"), F.col("d"))).alias("b"))
     return both.select("vec_id", "cid", silhouette(F.col("a"), F.col("b")).alias("s"))
 
 
+def closer_elsewhere(rows: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
+    """(vec_id, cid, other, dist): rows (vec_id, e, cid) that lie strictly nearer to another centroid than to their own."""
+    cells = dense.few(centroids, "cid", "c")
+    if cells is not None:
+        return dense.own_and_other(rows, cells, metric).where("b < a").select("vec_id", "cid", "other", F.col("b").alias("dist"))
+    every = paired(rows.select("vec_id", "e", "cid"), centroids.select(F.col("cid").alias("other"), "c")).withColumn("dist", distance(metric, "e", "c"))
+    own = F.min(F.when(F.col("cid") == F.col("other"), F.col("dist"))).alias("a")
+    best = every.groupBy("vec_id", "cid").agg(own, F.min(F.when(F.col("cid") != F.col("other"), F.struct("dist", "other"))).alias("b"))
+    return best.where("b.dist < a").select("vec_id", "cid", "b.other", "b.dist")
+
+
 def boundary(minis: DataFrame, megas: DataFrame, most: float = 0.2, metric: str = "l2") -> DataFrame:
     """(mini_id, ratio) of minis that lie about as near to a second mega as to the first."""
-    pairs = paired(minis.select("mini_id", F.col("c").alias("e")), megas.select("mega_id", "c")).select("mini_id", "mega_id", distance(metric, "e", "c").alias("dist"))
-    two = top_k(pairs, 2, by="mini_id", id_col="mega_id").groupBy("mini_id").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("d2"))
+    near = probes(minis.select(F.col("mini_id").alias("query_id"), F.col("c").alias("qe")), megas, 2, metric, "mega_id")
+    side = lambda r, name: F.max(F.when(F.col("probe_rank") == r, F.col("probe_dist"))).alias(name)
+    two = near.groupBy(F.col("query_id").alias("mini_id")).agg(side(1, "d1"), side(2, "d2"))
     return two.select("mini_id", boundary_ratio(F.col("d1"), F.col("d2")).alias("ratio")).where(F.col("ratio") <= most)
 
 
 def drift(new: DataFrame, old: DataFrame, metric: str = "l2") -> DataFrame:
     """(mega_id, old_id, dist): each new centroid with the nearest one of the previous version."""
-    pairs = paired(new.select("mega_id", F.col("c").alias("e")), old.select(F.col("mega_id").alias("old_id"), "c")).select("mega_id", "old_id", distance(metric, "e", "c").alias("dist"))
-    return top_k(pairs, 1, by="mega_id", id_col="old_id").select("mega_id", "old_id", "dist")
+    near = assign(new.select("mega_id", F.col("c").alias("e")), old.select(F.col("mega_id").alias("cid"), "c"), metric)
+    return near.select("mega_id", F.col("cid").alias("old_id"), "dist")
 
 
 def insert(rows: DataFrame, megas: DataFrame, minis: DataFrame, metric: str = "l2") -> DataFrame:
     """New rows with their nearest mega and the nearest mini in it; centroids stay."""
-    first = assign(rows, megas.select(F.col("mega_id").alias("cid"), "c"), metric).select("vec_id", "e", F.col("cid").alias("mega_id"))
-    pairs = first.join(F.broadcast(minis.select("mega_id", "mini_id", "c")) if minis.limit(20_001).count() <= 20_000 else minis.select("mega_id", "mini_id", "c"), "mega_id")
-    cost = pairs.withColumn("dist", distance(metric, "e", "c"))
+    first = assign(rows.select("vec_id", "e"), megas.select(F.col("mega_id").alias("cid"), "c"), metric).select("vec_id", "e", F.col("cid").alias("mega_id"))
+    low = dense.few(minis, "mini_id", "c", ("mega_id",))
+    if low is not None:
+        return dense.nearest_in(first, "mega_id", low, minis.schema["mini_id"].dataType, metric).select("vec_id", "mega_id", "mini_id", "dist")
+    cost = first.join(minis.select("mega_id", "mini_id", "c"), "mega_id").withColumn("dist", distance(metric, "e", "c"))
     return cost.groupBy("vec_id", "mega_id").agg(F.min_by(F.struct("mini_id", "dist"), F.struct("dist", "mini_id")).alias("b")).select("vec_id", "mega_id", F.col("b.mini_id").alias("mini_id"), F.col("b.dist").alias("dist"))
 
 

@@ -232,6 +232,52 @@ def with_nearest(rows: DataFrame, cells: Few, kind, metric: str, penalty: np.nda
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cid", kind), StructField("dist", DoubleType())]))
 
 
+def nearest_in(rows: DataFrame, group: str, minis: Few, kind, metric: str) -> DataFrame:
+    """The rows (group, vec_id, e) with the nearest of the minis that belong to their group (mini_id, dist)."""
+    shared = rows.sparkSession.sparkContext.broadcast(minis)
+    names = rows.columns
+
+    def run(batches):
+        low = shared.value
+        owner = low.more["mega_id"]
+        for batch in batches:
+            x, ok = matrix(batch.column("e"), low.x.shape[1])
+            ok &= batch.column(group).is_valid().to_numpy(zero_copy_only=False).astype(bool)
+            own = batch.column(group).fill_null(-1).to_numpy()
+            for a, b in _pieces(len(x), len(low.ids)) if len(low.ids) else []:
+                d = np.where(own[a:b, None] == owner[None], near(metric, low.x, x[a:b]), np.inf)
+                places, dists = _first(d, x[a:b], low.x, metric, None, 1, slack(x[a:b], low.x))
+                at = np.flatnonzero(ok[a:b] & (places[:, 0] >= 0))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(a + at)) for c in batch.columns), pa.array(low.ids[places[at, 0]]), pa.array(dists[at, 0])], names=[*names, "mini_id", "dist"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("mini_id", kind), StructField("dist", DoubleType())]))
+
+
+def own_and_other(rows: DataFrame, cells: Few, metric: str) -> DataFrame:
+    """(vec_id, cid, a, b, other): distance of each row (vec_id, e, cid) to its own cell, and to the nearest other one."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    own = rows.select("vec_id", "cid", "e")
+
+    def run(batches):
+        c = shared.value
+        for batch in batches:
+            x, ok = matrix(batch.column("e"), c.x.shape[1])
+            ok &= batch.column("cid").is_valid().to_numpy(zero_copy_only=False).astype(bool)
+            names = batch.column("cid").fill_null(-1).to_numpy()
+            for lo, hi in _pieces(len(x), len(c.ids)) if len(c.ids) else []:
+                part, mine = x[lo:hi], names[lo:hi, None] == c.ids[None]
+                d, room = near(metric, c.x, part), slack(part, c.x)
+                at = mine.argmax(1)
+                a = np.where(mine.any(1), distance(metric, part, c.x[at]), np.nan)
+                others = np.where(mine, np.inf, d)
+                other, b = _first(others, part, c.x, metric, None, 1, room)
+                on = np.flatnonzero(ok[lo:hi])
+                picked = batch.take(pa.array(lo + on))
+                yield pa.RecordBatch.from_arrays([picked.column("vec_id"), picked.column("cid"), pa.array(a[on], mask=np.isnan(a[on])), pa.array(b[on, 0], mask=np.isnan(b[on, 0])), pa.array(c.ids[other[on, 0]], mask=other[on, 0] < 0)], names=["vec_id", "cid", "a", "b", "other"])
+
+    return own.mapInArrow(run, StructType([*own.schema.fields[:2], StructField("a", DoubleType()), StructField("b", DoubleType()), StructField("other", own.schema["cid"].dataType)]))
+
+
 def with_probes(queries: DataFrame, cells: Few, kind, k: int, metric: str, name: str = "cid") -> DataFrame:
     """(query_id, qe, cid, probe_dist, probe_rank): the k nearest cells of each query."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)

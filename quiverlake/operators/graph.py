@@ -1,126 +1,363 @@
-"""Graph search: neighbour graphs per partition, pruned for diversity, searched by beam.
+"""Graph search: layered neighbour graphs per partition, pruned for diversity, searched by beam.
 
-A partition's graph is built in one task over at most the partition's rows; the number of
-partitions is a parameter, so tasks stay bounded as the table grows.  Edges are a table
-(part, src, pos, dst, dist), so deletes are anti-joins and saving is writing Parquet.
+A partition's graph is built in one task from the partition's rows; partitions are bounded
+by their number or by coarse cells (`routed`), so tasks stay bounded as the table grows.
+A node's level is drawn from its id; nodes are added one after another: a greedy walk on
+the layers above its level, a beam on each layer below, a diverse choice of neighbours,
+and links both ways that are chosen anew where a neighbour is full.
+
+Edges are a table (part, level, src, pos, dst, dist): saving is writing Parquet, a node
+without edges is found by its level alone.  Distances are squared L2.  A partition with no
+rows, or whose rows are all excluded, gives nothing; equal vectors are linked like others,
+ties go to the smaller id; rows that repeat an id are one node (the first).
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .search import top_k
+from ..functions.vectors import uniform
+from . import dense
+from .search import paired, probes, top_k
 
-EDGES = "part int, src long, pos int, dst long, dist double"
-FOUND = "query_id long, vec_id long, dist double"
+EDGES = "part int, level int, src long, pos int, dst long, dist double"
+WALKED = "part int, query_id long, vec_id long, dist double, n_distances long, n_hops long"
+M, EF = 16, 64
 
 
 def partitioned(rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
 
 
+def routed(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows with the nearest coarse cell (cid, c) as their partition."""
+    from .cluster import assign
+
+    return assign(rows, cells).withColumn("part", F.col("cid").cast("int")).drop("cid", "dist")
+
+
+def random_level(id_col: str = "vec_id", m: int = M) -> Column:
+    """Level of a node: l or more with probability m^-l."""
+    return F.floor(-F.ln(uniform(F.col(id_col))) / F.ln(F.lit(float(m)))).cast("int")
+
+
 def prune(dist_to: np.ndarray, between: np.ndarray, most: int, alpha: float = 1.0) -> list[int]:
     """Indices to keep, nearest first: one goes if a kept one is nearer to it than the source is."""
     kept: list[int] = []
+    gone = np.zeros(len(dist_to), bool)
     for i in np.argsort(dist_to, kind="stable"):
         if len(kept) == most:
             break
-        if all(alpha * between[i, j] >= dist_to[i] for j in kept):
+        if not gone[i]:
             kept.append(int(i))
+            gone |= alpha * between[i] < dist_to
     return kept
 
 
-def build(rows: DataFrame, m: int = 16, candidates: int = 64, alpha: float = 1.0) -> DataFrame:
-    """Edges of each partition's graph: pruned nearest neighbours, and the reverse edges that fit."""
+def _between(x: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(1)
+    return np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        ids, x = pdf["vec_id"].to_numpy(), np.stack(pdf["e"].to_numpy())
-        square = (x * x).sum(1)
-        near: list[dict[int, float]] = [{} for _ in ids]
-        for at in range(0, len(ids), 512):
-            d = square[at : at + 512, None] + square[None] - 2 * x[at : at + 512] @ x.T
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            pick = np.argsort(d, axis=1, kind="stable")[:, : min(candidates, len(ids) - 1)]
-            for r, own in enumerate(pick):
-                between = ((x[own][:, None] - x[own][None]) ** 2).sum(-1)
-                for j in prune(d[r, own], between, m, alpha):
-                    near[at + r][int(own[j])] = float(d[r, own[j]])
-        for i in range(len(ids)):
-            for j, d in list(near[i].items()):
-                if len(near[j]) < 2 * m:
-                    near[j].setdefault(i, d)
-        out = [(int(pdf["part"].iloc[0]), int(ids[i]), pos, int(ids[j]), max(d, 0.0)) for i, n in enumerate(near) for pos, (j, d) in enumerate(sorted(n.items(), key=lambda t: (t[1], t[0])))]
-        return pd.DataFrame(out, columns=["part", "src", "pos", "dst", "dist"])
-
-    return rows.select("part", "vec_id", "e").groupBy("part").applyInPandas(run, EDGES)
-
-
-def search(queries: DataFrame, rows: DataFrame, edges: DataFrame, k: int, ef: int = 64, probed: DataFrame | None = None) -> DataFrame:
-    """Beam search in every partition (or in those that `probed` has as (query_id, part)), merged.  Rows may carry `allowed`: others are walked through, not returned."""
-    if "allowed" not in rows.columns:
-        rows = rows.withColumn("allowed", F.lit(True))
-    graph = rows.select("part", "vec_id", "e", "allowed").join(edges.groupBy("part", F.col("src").alias("vec_id")).agg(F.collect_list("dst").alias("out")), ["part", "vec_id"], "left")
-    asked = queries.select("query_id", "qe").crossJoin(F.broadcast(rows.select(F.col("part").alias("in_part")).distinct()))
-    if probed is not None:
-        asked = queries.select("query_id", "qe").join(probed.select("query_id", F.col("part").alias("in_part")), "query_id")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["query_id", "vec_id", "dist"])
-        left = left.sort_values("vec_id")
-        ids, x, ok = left["vec_id"].to_numpy(), np.stack(left["e"].to_numpy()), left["allowed"].to_numpy(bool)
-        at = {int(i): n for n, i in enumerate(ids)}
-        out = [[at[j] for j in n if j in at] if n is not None else [] for n in left["out"]]
-        rows = []
-        for q, v in zip(right["query_id"], right["qe"]):
-            for n, d in beam(np.asarray(v), x, out, ok, ef, k):
-                rows.append((q, int(ids[n]), d))
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "dist"])
-
-    found = graph.groupBy("part").cogroup(asked.groupBy("in_part")).applyInPandas(run, FOUND)
-    return top_k(found, k).select("query_id", "rank", "vec_id", "dist")
-
-
-def beam(q: np.ndarray, x: np.ndarray, out: list[list[int]], ok: np.ndarray, ef: int, k: int) -> list[tuple[int, float]]:
-    """The k nearest allowed nodes met by a best-first walk that keeps the ef best."""
-    import heapq
-
-    step = max(1, len(x) // 16)
-    seen = set(range(0, len(x), step))
-    first = [(float(((x[n] - q) ** 2).sum()), n) for n in seen]
-    todo = list(first)
-    heapq.heapify(todo)
-    best = [(-d, n) for d, n in first if ok[n]]
-    heapq.heapify(best)
-    while todo:
-        d, n = heapq.heappop(todo)
-        if len(best) >= ef and d > -best[0][0]:
-            break
-        new = [j for j in out[n] if j not in seen]
-        seen.update(new)
-        if not new:
-            continue
-        for j, e in zip(new, ((x[new] - q) ** 2).sum(1).tolist()):
-            if len(best) < ef or e < -best[0][0]:
-                heapq.heappush(todo, (e, j))
-                if ok[j]:
-                    heapq.heappush(best, (-e, j))
+class Graph:
+    """One partition's layers over the rows of a matrix, whose numbers name the nodes."""
+
+    def __init__(self, x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF, alpha: float = 1.0):
+        self.x, self.level, self.m, self.ef, self.alpha = x, level, m, ef, alpha
+        self.links: list[dict[int, list[int]]] = [{} for _ in range(int(level.max(initial=0)) + 1)]
+        self.entry = -1
+        self.distances = self.hops = 0
+
+    def place(self, nodes: Iterable[int]) -> None:
+        """Nodes that are in the graph already; their links come from a table."""
+        for n in nodes:
+            for layer in self.links[: self.level[n] + 1]:
+                layer.setdefault(n, [])
+            if self.entry < 0 or self.level[n] > self.level[self.entry]:
+                self.entry = n
+
+    def _d(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
+        self.distances += len(nodes)
+        return ((self.x[nodes] - q) ** 2).sum(1)
+
+    def greedy(self, q: np.ndarray, at: int, level: int) -> int:
+        """The node from which no neighbour on a layer is nearer."""
+        best = self._d(q, [at])[0]
+        while out := self.links[level].get(at):
+            self.hops += 1
+            d = self._d(q, out)
+            i = int(d.argmin())
+            if d[i] >= best:
+                break
+            at, best = out[i], d[i]
+        return at
+
+    def descend(self, q: np.ndarray, to: int) -> int:
+        at = self.entry
+        for level in range(int(self.level[self.entry]), to, -1):
+            at = self.greedy(q, at, level)
+        return at
+
+    def beam(self, q: np.ndarray, starts: list[int], level: int, ef: int, ok: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The ef nearest (allowed) nodes that a best-first walk meets; it stops when the nearest open node is farther than all of them."""
+        seen = np.zeros(len(self.x), bool)
+        seen[starts] = True
+        todo = list(zip(self._d(q, starts).tolist(), starts))
+        best = [(-d, -n) for d, n in todo if ok is None or ok[n]]
+        heapq.heapify(todo)
+        heapq.heapify(best)
+        while todo:
+            d, n = heapq.heappop(todo)
+            if len(best) >= ef and d > -best[0][0]:
+                break
+            self.hops += 1
+            new = [j for j in self.links[level].get(n, ()) if not seen[j]]
+            if not new:
+                continue
+            seen[new] = True
+            for e, j in zip(self._d(q, new).tolist(), new):
+                if len(best) < ef or e < -best[0][0]:
+                    heapq.heappush(todo, (e, j))
+                    if ok is None or ok[j]:
+                        heapq.heappush(best, (-e, -j))
+                        if len(best) > ef:
+                            heapq.heappop(best)
+        return sorted((-d, -n) for d, n in best)
+
+    def near_allowed(self, n: int, ok: np.ndarray, seen: np.ndarray, most: int, check: int) -> list[int]:
+        """Allowed nodes not seen yet within two links of a node; looks at `check` nodes at most and stops at `most` found."""
+        found, looked = [], 0
+        for j in self.links[0].get(n, ()):
+            around = (j,) if ok[j] else (j, *self.links[0].get(j, ()))
+            self.hops += not ok[j]
+            for i in around:
+                looked += 1
+                if ok[i] and not seen[i]:
+                    seen[i] = True
+                    found.append(i)
+                if len(found) >= most or looked >= check:
+                    return found
+        return found
+
+    def beam_allowed(self, q: np.ndarray, start: int, ef: int, ok: np.ndarray, most: int = 64, check: int = 512) -> list[tuple[float, int]]:
+        """As `beam`, over allowed nodes alone: links lead through excluded ones, whose distance is never taken.
+
+        Where the walk ends with fewer than ef found, it starts anew from an allowed node it has not seen.
+        """
+        seen, allowed = ~ok, np.flatnonzero(ok)
+        best: list[tuple[float, int]] = []
+        todo: list[tuple[float, int]] = []
+
+        def offer(nodes: list[int]) -> None:
+            for e, j in zip(self._d(q, nodes).tolist(), nodes):
+                if len(best) < ef or e < -best[0][0]:
+                    heapq.heappush(todo, (e, j))
+                    heapq.heappush(best, (-e, -j))
                     if len(best) > ef:
                         heapq.heappop(best)
-    return sorted(((n, -d) for d, n in best), key=lambda t: (t[1], t[0]))[:k]
+
+        seen = seen & False
+        seen[start] = True
+        first = ([start] if ok[start] else []) + self.near_allowed(start, ok, seen, most, check)
+        offer(first) if first else None
+        fresh = 0
+        while True:
+            while todo:
+                d, n = heapq.heappop(todo)
+                if len(best) >= ef and d > -best[0][0]:
+                    todo.clear()
+                    break
+                self.hops += 1
+                new = self.near_allowed(n, ok, seen, most, check)
+                offer(new) if new else None
+            while fresh < len(allowed) and seen[allowed[fresh]]:
+                fresh += 1
+            if len(best) >= ef or fresh == len(allowed):
+                return sorted((-d, -n) for d, n in best)
+            seen[allowed[fresh]] = True
+            offer([int(allowed[fresh])])
+
+    def _choose(self, d: np.ndarray, nodes: list[int], most: int) -> list[int]:
+        return [nodes[i] for i in prune(d, _between(self.x[nodes]), most, self.alpha)]
+
+    def add(self, node: int) -> None:
+        """Link a node into every layer up to its own."""
+        top = int(self.level[node])
+        if self.entry >= 0:
+            q = self.x[node]
+            starts = [self.descend(q, top)]
+            for level in range(min(top, int(self.level[self.entry])), -1, -1):
+                found = self.beam(q, starts, level, self.ef)
+                starts = [n for _, n in found]
+                kept = self._choose(np.array([d for d, _ in found]), starts, self.m)
+                self.links[level][node] = kept
+                for j in kept:
+                    self._connect(level, j, node)
+        self.place([node])
+
+    def _connect(self, level: int, at: int, node: int) -> None:
+        """A link back; a full node chooses its links anew, the new one among them."""
+        out = self.links[level][at]
+        out.append(node)
+        if len(out) > (2 * self.m if level == 0 else self.m):
+            self._shrink(level, at)
+
+    def _shrink(self, level: int, at: int) -> None:
+        out = self.links[level][at]
+        self.links[level][at] = self._choose(self._d(self.x[at], out), out, 2 * self.m if level == 0 else self.m)
+
+    def drop(self, nodes: list[int]) -> None:
+        """Take nodes out: their neighbours inherit their other neighbours and choose anew where that is too many."""
+        gone = set(nodes)
+        for level, layer in enumerate(self.links):
+            lost = {}
+            for n, out in layer.items():
+                if n not in gone and any(j in gone for j in out):
+                    lost[n] = list(dict.fromkeys([j for j in out if j not in gone] + [i for j in out if j in gone for i in layer.get(j, ()) if i not in gone and i != n]))
+            layer.update(lost)
+            for n in lost:
+                if len(layer[n]) > (2 * self.m if level == 0 else self.m):
+                    self._shrink(level, n)
+            for n in gone:
+                layer.pop(n, None)
+        left = [n for n in range(len(self.x)) if n not in gone]
+        self.entry = max(left, key=lambda n: (self.level[n], -n)) if left else -1
+
+    def search(self, q: np.ndarray, ef: int, k: int, ok: np.ndarray | None = None, two_hop: bool = False) -> list[tuple[float, int]]:
+        """The k nearest (allowed) nodes met."""
+        if self.entry < 0 or ok is not None and not ok.any():
+            return []
+        start = self.descend(q, 0)
+        found = self.beam_allowed(q, start, max(ef, k), ok, max(ef, k)) if two_hop and ok is not None else self.beam(q, [start], 0, max(ef, k), ok)
+        return found[:k]
+
+    def rows(self, part: int, ids: np.ndarray) -> pd.DataFrame:
+        out = []
+        for level, layer in enumerate(self.links):
+            for n in sorted(layer):
+                to = layer[n]
+                d = ((self.x[to] - self.x[n]) ** 2).sum(1) if to else []
+                out += [(part, level, int(ids[n]), pos, int(ids[j]), float(e)) for pos, (e, j) in enumerate(sorted(zip(d, to)))]
+        return pd.DataFrame(out, columns=["part", "level", "src", "pos", "dst", "dist"]).astype({"part": "int32", "level": "int32", "pos": "int32", "src": "int64", "dst": "int64", "dist": "float64"})
+
+
+def _nodes(rows: DataFrame, edges: DataFrame | None, m: int) -> DataFrame:
+    """(part, vec_id, e, level, allowed, gone, links): rows with their links, as (level, dst)."""
+    own = rows.columns
+    rows = rows.withColumn("level", random_level(m=m))
+    for name, value in (("allowed", True), ("gone", False), ("new", False)):
+        rows = rows if name in own else rows.withColumn(name, F.lit(value))
+    rows = rows.select("part", "vec_id", "e", "level", "allowed", "gone", "new")
+    if edges is None:
+        return rows.withColumn("links", F.lit(None).cast("array<struct<level:int,dst:bigint>>"))
+    out = edges.groupBy("part", F.col("src").alias("vec_id")).agg(F.collect_list(F.struct("level", "pos", "dst")).alias("links"))
+    out = out.withColumn("links", F.transform(F.array_sort("links"), lambda s: F.struct(s["level"].alias("level"), s["dst"].alias("dst"))))
+    return rows.join(out, ["part", "vec_id"], "left")
+
+
+def _loaded(pdf: pd.DataFrame, m: int, ef: int, alpha: float) -> tuple[Graph, np.ndarray, pd.DataFrame]:
+    pdf = pdf.sort_values("vec_id").drop_duplicates("vec_id")
+    ids = pdf["vec_id"].to_numpy()
+    graph = Graph(np.stack(pdf["e"].to_numpy()), pdf["level"].to_numpy(), m, ef, alpha)
+    at = {int(i): n for n, i in enumerate(ids)}
+    graph.place(np.flatnonzero(~pdf["new"].to_numpy(bool)).tolist())
+    for n, links in enumerate(pdf["links"]):
+        for link in links if links is not None else ():
+            if link["dst"] in at:
+                graph.links[link["level"]].setdefault(n, []).append(at[link["dst"]])
+    return graph, ids, pdf
+
+
+def build(rows: DataFrame, m: int = M, ef: int = EF, alpha: float = 1.0) -> DataFrame:
+    """Edges of each partition's graph over its rows (part, vec_id, e), added in order of id."""
+    return insert(rows.limit(0), None, rows, m, ef, alpha)
+
+
+def insert(rows: DataFrame, edges: DataFrame | None, more: DataFrame, m: int = M, ef: int = EF, alpha: float = 1.0) -> DataFrame:
+    """Edges after `more` (part, vec_id, e) has been added to the graphs of rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph, ids, pdf = _loaded(pdf, m, ef, alpha)
+        for n in np.flatnonzero(pdf["new"].to_numpy(bool)):
+            graph.add(int(n))
+        return graph.rows(int(pdf["part"].iloc[0]), ids)
+
+    own = ("part", "vec_id", "e")
+    both = more.select(*own).withColumn("new", F.lit(True)) if edges is None else rows.select(*own).withColumn("new", F.lit(False)).unionByName(more.select(*own).withColumn("new", F.lit(True)))
+    return _nodes(both, edges, m).groupBy("part").applyInPandas(run, EDGES)
+
+
+def delete(rows: DataFrame, edges: DataFrame, gone: DataFrame, m: int = M, alpha: float = 1.0) -> DataFrame:
+    """Edges without the ids of `gone`; neighbours inherit what the deleted nodes led to."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph, ids, pdf = _loaded(pdf, m, EF, alpha)
+        graph.drop(np.flatnonzero(pdf["gone"].to_numpy(bool)).tolist())
+        return graph.rows(int(pdf["part"].iloc[0]), ids)
+
+    marked = rows.select("part", "vec_id", "e").join(gone.select("vec_id").distinct().withColumn("gone", F.lit(True)), "vec_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return _nodes(marked, edges, m).groupBy("part").applyInPandas(run, EDGES)
+
+
+def walks(queries: DataFrame, rows: DataFrame, edges: DataFrame, k: int, ef: int = EF, m: int = M, probed: DataFrame | None = None, two_hop: bool = False) -> DataFrame:
+    """(part, query_id, vec_id, dist, n_distances, n_hops): what each partition's graph gives, and what each walk has cost.
+
+    All partitions are asked, or those that `probed` has as (query_id, part).  Rows may
+    carry `allowed`: by default others are walked through and not returned (a deleted row
+    that keeps its edges is such a tombstone); with `two_hop` links lead over them.
+    """
+    masked = "allowed" in rows.columns
+    graph = _nodes(rows, edges, m)
+
+    def found(left: pd.DataFrame, asked) -> pd.DataFrame:
+        g, ids, pdf = _loaded(left, m, ef, 1.0)
+        ok, out = pdf["allowed"].to_numpy(bool) if masked else None, []
+        for q, v in asked:
+            g.distances = g.hops = 0
+            got = g.search(np.asarray(v, np.float64), ef, k, ok, two_hop)
+            out += [(int(pdf["part"].iloc[0]), int(q), int(ids[n]), float(d), g.distances, g.hops) for d, n in got]
+        return pd.DataFrame(out, columns=["part", "query_id", "vec_id", "dist", "n_distances", "n_hops"]).astype({"part": "int32"})
+
+    small = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe") if probed is None else None
+    if small is not None:  # the queries travel to the graphs
+        shared = rows.sparkSession.sparkContext.broadcast(small)
+        return graph.groupBy("part").applyInPandas(lambda left: found(left, zip(shared.value.ids, shared.value.x)), WALKED)
+    if probed is None:
+        asked = paired(queries.select("query_id", "qe"), rows.select(F.col("part").alias("in_part")).distinct())
+    else:
+        asked = queries.select("query_id", "qe").join(probed.select("query_id", F.col("part").alias("in_part")), "query_id")
+    empty = pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "int64") for c in WALKED.split(", ")}).astype({"part": "int32"})
+    both = lambda left, right: found(left, zip(right["query_id"], right["qe"])) if len(left) and len(right) else empty
+    return graph.groupBy("part").cogroup(asked.groupBy("in_part")).applyInPandas(both, WALKED)
+
+
+def search(queries: DataFrame, rows: DataFrame, edges: DataFrame, k: int, ef: int = EF, m: int = M, probed: DataFrame | None = None, two_hop: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, dist): the k nearest that the graphs give, merged."""
+    return top_k(walks(queries, rows, edges, k, ef, m, probed, two_hop), k).select("query_id", "rank", "vec_id", "dist")
+
+
+def costs(walked: DataFrame) -> DataFrame:
+    """(query_id, n_parts, n_distances, n_hops) over all partitions of each query."""
+    each = walked.groupBy("query_id", "part").agg(F.max("n_distances").alias("n_distances"), F.max("n_hops").alias("n_hops"))
+    return each.groupBy("query_id").agg(F.count("*").alias("n_parts"), F.sum("n_distances").alias("n_distances"), F.sum("n_hops").alias("n_hops"))
+
+
+def within_cutoff(probed: DataFrame, threshold: float) -> DataFrame:
+    """Probes (query_id, part, probe_dist) that are at most `threshold` farther than the query's nearest one."""
+    least = probed.groupBy("query_id").agg(F.min("probe_dist").alias("d0"))
+    return probed.join(least, "query_id").where(F.col("probe_dist") - F.col("d0") <= threshold).drop("d0")
 
 
-def delete(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """Edges without the deleted ids; a neighbour of a deleted node inherits that node's other neighbours."""
-    ids = gone.select(F.col("vec_id").alias("dst"))
-    lost = edges.join(ids, "dst", "left_semi").select("part", "src", F.col("dst").alias("via"))
-    heirs = lost.join(edges.select(F.col("src").alias("via"), "dst", "dist"), "via").where("src <> dst").select("part", "src", F.lit(1_000_000).alias("pos"), "dst", "dist")
-    alive = edges.unionByName(heirs).join(ids, "dst", "left_anti").join(ids.withColumnRenamed("dst", "src"), "src", "left_anti")
-    return alive.groupBy("part", "src", "dst").agg(F.min("pos").alias("pos"), F.min("dist").alias("dist")).select("part", "src", "pos", "dst", "dist")
+def routes(queries: DataFrame, cells: DataFrame, n: int, threshold: float | None = None) -> DataFrame:
+    """(query_id, part, probe_dist): the n nearest coarse cells of each query, up to a distance cut-off."""
+    probed = probes(queries, cells, n).select("query_id", F.col("cid").cast("int").alias("part"), "probe_dist")
+    return probed if threshold is None else within_cutoff(probed, threshold)
 
 
 def prune_edges(edges: DataFrame, rows: DataFrame, most: int, alpha: float = 1.0) -> DataFrame:
@@ -138,6 +375,6 @@ def prune_edges(edges: DataFrame, rows: DataFrame, most: int, alpha: float = 1.0
     return full.groupBy("src").applyInPandas(run, "src long, pos int, dst long, dist double")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    out = edges.groupBy("src").agg(F.count("*").alias("n"))
+def degrees(edges: DataFrame, level: int = 0) -> DataFrame:
+    out = edges.where(F.col("level") == level).groupBy("src").agg(F.count("*").alias("n"))
     return out.agg(F.min("n").alias("min_degree"), F.max("n").alias("max_degree"), F.round(F.avg("n"), 6).alias("avg_degree"))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance
-from .cluster import assign, hashed_init, kmeans, lloyd, means, member_distances, saved
-from .search import paired, top_k
+from ..functions.vectors import distance, normalized, uniform
+from . import dense
+from .cluster import assign, clustered, hashed_init, kmeans, lloyd, means, member_distances, saved, silhouettes
+from .quantize import decode, encode, train
+from .search import paired, probes, top_k
 
 INDEX = ("vec_id", "e", "mini_id", "mega_id")
 #: Ids that one pool may give.
@@ -71,6 +73,15 @@ def recluster_megas(minis: DataFrame, megas: DataFrame, iterations: int = 1, met
     return assign(rows, cells, metric).select(F.col("vec_id").alias("mini_id"), F.col("cid").alias("mega_id"), "dist")
 
 
+def recluster(index: DataFrame, mini_size: int, minis_of: int, fast: bool, iterations: int = 5) -> DataFrame:
+    """Every mega clustered anew from its vectors, by itself (fast), or the megas in groups of a few."""
+    if not fast:
+        return recluster_full(index, 3, mini_size, minis_of, iterations)
+    pools = index.select("mega_id").distinct()
+    number = F.row_number().over(Window.orderBy("mega_id")) - 1  # of megas, which are few
+    return replaced(index, pools.withColumn("pool", number.cast("long")), mini_size, 1 << 30)
+
+
 def recluster_full(index: DataFrame, megas_of: int, mini_size: int, minis_of: int, iterations: int = 5) -> DataFrame:
     """Megas in groups of about `megas_of`, every group re-clustered from its vectors."""
     megas = levels(index)[0].select(F.col("mega_id").alias("vec_id"), F.col("c").alias("e"))
@@ -148,3 +159,132 @@ def split_large(assigned: DataFrame, centroids: DataFrame, factor: float = 2.0,
         halves = saved(halves.join(new, "cid", "left").select("parent", "cid", F.coalesce("new", "c").alias("c")))
     others = centroids.join(big, "cid", "left_anti").select("cid", "c")
     return assign(rows, halves.select("cid", "c").unionByName(others)).select("vec_id", F.col("parent").alias("old_cid"), "cid")
+
+
+def naive_insert(index: DataFrame | None, batch: DataFrame, mini_size: int, minis_of: int, iterations: int = 5, metric: str = "l2", sample: float = 1.0, balance: float = 0.0, cap: int | None = None) -> DataFrame:
+    """The index with a batch (vec_id, e) appended: the batch's own minis and their own megas; what was there stays as it is.
+
+    An empty batch changes nothing, and without an index the batch becomes one.
+    """
+    if batch.isEmpty():
+        return index
+    first = _next_id(index) if index is not None and not index.isEmpty() else 0
+    _, rows = clustered(batch.select("vec_id", "e"), mini_size, iterations, metric, sample, balance, cap)
+    rows = saved(rows.select("vec_id", "e", (F.col("cid") + first).cast("long").alias("mini_id")))
+    minis = means(rows, "mini_id")
+    _, above = clustered(minis.select(F.col("mini_id").alias("vec_id"), F.col("c").alias("e")), minis_of, iterations, metric)
+    above = above.select(F.col("vec_id").alias("mini_id"), (F.col("cid") + first).cast("long").alias("mega_id"))
+    new = rows.join(F.broadcast(above), "mini_id") if dense.size_of(minis, "c") <= dense.BROADCAST_BYTES else rows.join(above, "mini_id")
+    new = new.select(*INDEX)
+    return saved(new if index is None else index.select(*INDEX).unionByName(new))
+
+
+def train_on_sample(rows: DataFrame, share: float, metric: str = "l2", vector: str = "e") -> DataFrame:
+    """Parameters of 8-bit codes from the rows whose draw is below `share`; for cosine on vectors of unit length."""
+    some = rows.where(uniform(F.col("vec_id")) < share)
+    return train(some.withColumn(vector, normalized(F.col(vector))) if metric == "cosine" else some, vector)
+
+
+def quantized(index: DataFrame, share: float = 1.0, metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+    """(parameters, index with codes and, as `e`, what they decode to): every search on it is one on codes."""
+    params = train_on_sample(index, share, metric)
+    unit = index.withColumn("e", normalized(F.col("e"))) if metric == "cosine" else index
+    coded = decode(encode(unit, params), params)
+    return params, coded.withColumn("e", F.col("decoded")).drop("decoded")
+
+
+def naive_insert_codes(index: DataFrame | None, batch: DataFrame, params: DataFrame, mini_size: int, minis_of: int, iterations: int = 5, metric: str = "l2") -> DataFrame:
+    """As naive_insert on 8-bit codes: the batch is coded by the index's parameters and clustered as decoded."""
+    coded = decode(encode(batch.select("vec_id", "e"), params), params).select("vec_id", F.col("decoded").alias("e"))
+    return naive_insert(index, coded, mini_size, minis_of, iterations, metric)
+
+
+def coded_levels(index: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(megas, minis, assignment) of a quantised index: megas as they are, minis as their codes decode."""
+    megas, minis, rows = levels(index)
+    minis = decode(encode(minis, params, "c"), params).withColumn("c", F.col("decoded")).drop("decoded", "codes")
+    return megas, minis, rows
+
+
+def report(index: DataFrame, written: int | None = None, metric: str = "l2") -> DataFrame:
+    """One row: sizes of megas and minis, their mean errors, and bytes written for each byte of vectors."""
+    _, minis, rows = levels(index)
+    per = index.groupBy("mega_id").agg(F.count("*").alias("n"), F.count_distinct("mini_id").alias("minis"))
+    sizes = per.agg(F.count("*").alias("n_megas"), F.sum("minis").alias("n_minis"), F.sum("n").alias("n_vectors"), F.min("n").alias("min_mega"), F.max("n").alias("max_mega"))
+    small = minis.agg(F.min("n").alias("min_mini"), F.max("n").alias("max_mini"), F.round(F.avg("n"), 6).alias("avg_mini"))
+    error = mega_scores(index, metric).agg(F.round(F.avg("mse"), 6).alias("avg_mega_mse"), F.round(F.max("mse"), 6).alias("max_mega_mse"))
+    own = bytes_of(index)
+    spent = F.lit(written).cast("long") if written is not None else F.col("user_bytes")
+    return sizes.crossJoin(F.broadcast(small)).crossJoin(F.broadcast(error)).crossJoin(F.broadcast(own)).withColumn("amplification", F.round(spent / F.col("user_bytes"), 6))
+
+
+def bytes_of(rows: DataFrame, vector: str = "e") -> DataFrame:
+    """(user_bytes): vectors as 32-bit floats."""
+    return rows.agg(F.coalesce(F.sum(F.size(vector).cast("long") * 4), F.lit(0)).alias("user_bytes"))
+
+
+def split_megas(index: DataFrame, most: int, mini_size: int, minis_of: int) -> DataFrame:
+    """The index with every mega of more than `most` vectors in two, each half clustered into minis anew.
+
+    Both halves get new ids, as do their minis.
+    """
+    big = index.groupBy("mega_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mega_id")
+    megas = levels(index)[0].join(big, "mega_id", "left_semi")
+    sides = F.explode(F.array(F.lit(1), F.lit(-1)))
+    halves = megas.select("mega_id", "c", sides.alias("side"))
+    moved = F.transform("c", lambda x, i: x * (1 + F.col("side") * F.when(i % 2 == 0, 1).otherwise(-1) / F.lit(1024.0)))
+    number = F.row_number().over(Window.orderBy("mega_id", "side")) - 1  # of halves, which are as few as megas
+    halves = saved(halves.select("mega_id", number.cast("long").alias("mini_id"), moved.alias("c")))
+    rows = saved(index.join(big, "mega_id", "left_semi").select("vec_id", "e", "mega_id"))
+    if rows.isEmpty():
+        return index.select(*INDEX)
+    for _ in range(3):
+        own = _in_group(rows, halves)
+        new = means(own.select("mini_id", "e"), "mini_id").select("mini_id", F.col("c").alias("new"))
+        halves = saved(halves.join(new, "mini_id", "left").select("mega_id", "mini_id", F.coalesce("new", "c").alias("c")))
+    dealt = _in_group(rows, halves).select("vec_id", "e", F.col("mini_id").alias("pool"))
+    new = pooled(dealt, mini_size, minis_of, _next_id(index))
+    return saved(index.join(big, "mega_id", "left_anti").select(*INDEX).unionByName(new.select(*INDEX)))
+
+
+def _in_group(rows: DataFrame, minis: DataFrame) -> DataFrame:
+    """The rows (vec_id, e, mega_id) with the nearest mini of their own mega."""
+    low = dense.few(minis, "mini_id", "c", ("mega_id",))
+    if low is not None:
+        return dense.nearest_in(rows.select("vec_id", "e", "mega_id"), "mega_id", low, minis.schema["mini_id"].dataType, "l2")
+    cost = rows.join(minis.select("mega_id", "mini_id", "c"), "mega_id").withColumn("dist", distance("l2", "e", "c"))
+    return cost.groupBy("vec_id", "e", "mega_id").agg(F.min_by(F.struct("mini_id", "dist"), F.struct("dist", "mini_id")).alias("b")).select("vec_id", "e", "mega_id", "b.mini_id", "b.dist")
+
+
+def fix_boundaries_anew(index: DataFrame, times: int, near_megas: int, near_minis: int, mini_size: int, minis_of: int) -> DataFrame:
+    """`times` times: the worst mini and its nearest ones (within its nearest megas) are pooled and clustered anew.
+
+    A mini is worst by the silhouette of its members; minis made on the way are not taken again.
+    """
+    made = _next_id(index)
+    for _ in range(times):
+        megas, minis, rows = levels(index)
+        cells = minis.select(F.col("mini_id").alias("cid"), "c")
+        score = silhouettes(rows.select("vec_id", "e", F.col("mini_id").alias("cid")), cells).groupBy("cid").agg(F.avg("s").alias("s"))
+        worst = score.where(F.col("cid") < made).orderBy("s", "cid").limit(1).join(cells, "cid").select(F.lit(0).cast("long").alias("query_id"), F.col("c").alias("qe"))
+        near = probes(worst, megas, near_megas, cid="mega_id").select("mega_id")
+        picked = minis.join(near, "mega_id", "left_semi").select("mini_id", "c")
+        pool = saved(probes(worst, picked, near_minis, cid="mini_id").select("mini_id"))
+        if pool.isEmpty():
+            break
+        first = _next_id(index)
+        rows = index.join(pool, "mini_id", "left_semi").select("vec_id", "e", F.lit(0).cast("long").alias("pool"))
+        index = saved(index.join(pool, "mini_id", "left_anti").select(*INDEX).unionByName(pooled(rows, mini_size, minis_of, first).select(*INDEX)))
+    return index
+
+
+def subcells(index: DataFrame, mini_size: int) -> DataFrame:
+    """(mini_id, sub_id, vec_id, place): minis of at least twice the size in cells of their own, and each member's place by cell."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        own = lloyd(np.stack(pdf["e"].to_numpy()), mini_size, 5) if len(pdf) >= 2 * mini_size else np.zeros(len(pdf), int)
+        place = np.empty(len(pdf), np.int64)
+        place[np.argsort(own, kind="stable")] = np.arange(len(pdf))
+        return pd.DataFrame({"mini_id": pdf["mini_id"], "sub_id": own.astype("int64"), "vec_id": pdf["vec_id"], "place": place})
+
+    return index.select("mini_id", "vec_id", "e").groupBy("mini_id").applyInPandas(run, "mini_id long, sub_id long, vec_id long, place long")

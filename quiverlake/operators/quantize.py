@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, pairwise_decode, pairwise_encode, pairwise_mask, sq8_decode, sq8_encode
-from .search import paired, top_k
+from .search import knn, top_k
 
 
 def train(rows: DataFrame, vector: str = "e") -> DataFrame:
@@ -30,8 +30,7 @@ def search(queries: DataFrame, encoded: DataFrame, params: DataFrame, k: int, me
     if symmetric:
         queries = decode(encode(queries, params, "qe"), params).select("query_id", F.col("decoded").alias("qe"))
     base = decode(encoded, params).select("vec_id", F.col("decoded").alias("e"))
-    pairs = paired(base, queries.select("query_id", "qe")).select("query_id", "vec_id", distance(metric, "e", "qe").alias("dist"))
-    return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
+    return knn(queries, base, k, metric)
 
 
 def rerank(found: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:

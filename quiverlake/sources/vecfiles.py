@@ -1,4 +1,4 @@
-"""Vector files: repeated records of a dimension and values (fvecs, bvecs, ivecs), and fbin with one header.
+"""Vector files: repeated records of a dimension and values (fvecs, bvecs, ivecs), and fbin with one header; raw arrays of numbers.
 
 Readers go through Spark's binary reader, so any store that Spark reads will do.  A file
 is one task; split large sets over several files.
@@ -12,6 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = {"fvecs": "<f4", "bvecs": "u1", "ivecs": "<i4"}
+RAW = {"uint64": "<u8", "uint8": "u1"}
+
+
+def kind_of(path: str) -> str:
+    """The kind of a file, by the ending of its name."""
+    kind = path.rsplit(".", 1)[-1]
+    if kind not in (*KINDS, "fbin"):
+        raise ValueError(f"not a vector file: {path}")
+    return kind
 
 
 def parse(raw: bytes, kind: str) -> np.ndarray:
@@ -40,16 +49,78 @@ def dump(x: np.ndarray, kind: str) -> bytes:
     return np.concatenate([head, body], 1).tobytes()
 
 
-def read(spark: SparkSession, path: str, kind: str, max_rows: int | None = None) -> DataFrame:
-    """(file, vec_id, embedding): vec_id is the position in the file."""
+def read(spark: SparkSession, path: str, kind: str | None = None, max_rows: int | None = None, files: int | None = None) -> DataFrame:
+    """(file, vec_id, embedding): vec_id is the position in the file.
+
+    The ending tells the kind where none is given.  `max_rows` counts for each file of any
+    kind; `files` takes the first so many in order of name.
+    """
 
     def run(frames):
         for pdf in frames:
             for name, raw in zip(pdf["path"], pdf["content"]):
-                x = parse(bytes(raw), kind)[:max_rows]
+                x = parse(raw, kind or kind_of(name))[:max_rows]
                 yield pd.DataFrame({"file": name, "vec_id": np.arange(len(x)), "embedding": list(x.astype(np.float32))})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, vec_id long, embedding array<float>")
+    found = spark.read.format("binaryFile").load(path)
+    if files is not None:
+        found = found.join(F.broadcast(found.select("path").orderBy("path").limit(files)), "path", "left_semi")
+    return found.select("path", "content").mapInPandas(run, "file string, vec_id long, embedding array<float>")
+
+
+def read_raw(spark: SparkSession, path: str, kind: str, width: int, names: tuple[str, str, str] = ("query_id", "pos", "value")) -> DataFrame:
+    """(row, position, value) of a raw array of numbers, `width` a row: ground truth (uint64) or masks (uint8).
+
+    A file that is not a whole number of rows is refused.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            for raw in pdf["content"]:
+                x = np.frombuffer(raw, RAW[kind])
+                if width < 1 or len(raw) % (width * x.itemsize):
+                    raise ValueError("not a whole number of rows")
+                at = np.arange(len(x))
+                yield pd.DataFrame({names[0]: at // width, names[1]: at % width, names[2]: x.astype(np.int64)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"{names[0]} long, {names[1]} long, {names[2]} long")
+
+
+def write_raw(rows: DataFrame, path: str, kind: str, row: str = "query_id", pos: str = "pos", value: str = "value") -> None:
+    """One raw array in order of row and position, a row at a time on the driver."""
+    each = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("long").alias("v")))), lambda s: s["v"]).alias("v")).orderBy(row)
+    _written(rows.sparkSession, path, (np.array(r.v, RAW[kind]).tobytes() for r in each.toLocalIterator()))
+
+
+def paths(folder: str, selectivity: int) -> dict[str, str]:
+    """Names of a filtered search's files."""
+    return {"mask": f"{folder}/mask_{selectivity}.bin", "truth": f"{folder}/gt_{selectivity}.bin", "queries": f"{folder}/queries.fvecs"}
+
+
+def chunk(rows: DataFrame, number: int, of: int, n: int, id_col: str = "vec_id") -> DataFrame:
+    """Chunk `number` of `of` equal ranges of ids 0 .. n - 1; the last one has the rest."""
+    size = n // of
+    return rows.where((F.col(id_col) >= number * size) & (F.col(id_col) < (n if number == of - 1 else (number + 1) * size)))
+
+
+def random_vectors(spark: SparkSession, n: int, dim: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(vec_id, embedding): uniform vectors that every run repeats."""
+    draw = lambda i: F.pmod(F.xxhash64("id", i), F.lit(1 << 24)) / float(1 << 24) * (high - low) + low
+    return spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(dim)), draw).cast("array<float>").alias("embedding"))
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Rows of a run as JSON, an object a line."""
+    rows.write.mode("overwrite").json(path)
+
+
+def _written(spark: SparkSession, path: str, pieces) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, True)
+    for piece in pieces:
+        out.write(bytearray(piece))
+    out.close()
 
 
 def write(rows: DataFrame, path: str, kind: str, parts: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
@@ -62,9 +133,5 @@ def write(rows: DataFrame, path: str, kind: str, parts: int = 1, id_col: str = "
         if made:
             yield pd.DataFrame({"content": [dump(np.concatenate(made), kind)]})
 
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for n, row in enumerate(ordered.mapInPandas(run, "content binary").toLocalIterator()):  # one file at a time on the driver
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/part-{n:05d}.{kind}")
-        out = at.getFileSystem(conf).create(at, True)
-        out.write(bytearray(row.content))
-        out.close()
+        _written(spark, f"{path}/part-{n:05d}.{kind}", [row.content])

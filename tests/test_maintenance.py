@@ -78,3 +78,47 @@ def test_routed_graph_search_and_tuning(spark):
     truth = S.knn(catalog.asked(spark, DATA), catalog.base(spark, DATA), 10)
     assert recall(catalog.QUERIES["partitioned_hnsw_search"](spark, DATA), truth) >= 0.9
     assert catalog.QUERIES["ef_tuning"](spark, DATA).first().avg_recall >= 0.95
+
+
+def test_appended_batches_leave_the_rest_alone(spark):
+    rows = catalog.base(spark, DATA).select("vec_id", "e")
+    first = M.naive_insert(None, rows.where("vec_id % 2 = 0"), 20, 4)
+    both = M.naive_insert(first, rows.where("vec_id % 2 = 1"), 20, 4)
+    is_index_of(both, rows)
+    assert both.join(first.drop("e"), ["vec_id", "mini_id", "mega_id"], "left_semi").count() == first.count()
+    assert M.naive_insert(first, rows.where("false"), 20, 4) is first
+    sampled = M.naive_insert(None, rows, 20, 4, sample=0.5, balance=0.001)
+    is_index_of(sampled, rows)
+    held = M.naive_insert(None, rows, 20, 4, cap=30)
+    is_index_of(held, rows)
+    assert held.groupBy("mini_id").count().agg(F.max("count")).first()[0] <= 30
+
+
+def test_large_megas_are_split(spark, index):
+    base = catalog.base(spark, DATA)
+    most = index.groupBy("mega_id").count().agg(F.max("count")).first()[0]
+    got = M.split_megas(index, most - 1, 20, 4)
+    is_index_of(got, base)
+    kept = index.groupBy("mega_id").count().where(f"count < {most}").select("mega_id")
+    assert got.join(kept, "mega_id", "left_semi").count() == index.join(kept, "mega_id", "left_semi").count()
+    assert M.split_megas(index, 10**6, 20, 4).count() == index.count()
+
+
+def test_other_maintenance_keeps_all_rows(spark, index):
+    base = catalog.base(spark, DATA)
+    is_index_of(M.fix_boundaries_anew(index, 2, 3, 4, 20, 4), base)
+    is_index_of(M.recluster(index, 20, 4, fast=True), base)
+    cells = M.subcells(index, 5).collect()
+    assert len(cells) == base.count()
+    big = {r.mini_id for r in index.groupBy("mini_id").count().where("count >= 10").collect()}
+    assert {r.mini_id for r in cells if r.sub_id > 0} <= big
+    for mini in {r.mini_id for r in cells}:
+        own = sorted((r.place, r.sub_id) for r in cells if r.mini_id == mini)
+        assert [p for p, _ in own] == list(range(len(own))) and [c for _, c in own] == sorted(c for _, c in own)
+
+
+def test_index_of_codes_is_near_the_index(spark, index):
+    base, asked = catalog.base(spark, DATA), catalog.asked(spark, DATA)
+    params, coded = M.quantized(index, 0.5)
+    found = S.two_level_search(asked, *M.coded_levels(coded.drop("codes"), params), 99, 999, 10)
+    assert recall(found, S.knn(asked, base, 10)) >= 0.9
