@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -61,6 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """The paths of the stage tables that are made inside, for `removed` when nothing reads them any more."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stage tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def stage_table(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back.
 
@@ -70,6 +92,8 @@ def stage_table(df: DataFrame, name: str, like: DataFrame | None = None) -> Data
     spark = df.sparkSession
     df = gathered(df, like) if like is not None else df
     path = f"{shared_dir(spark)}/quiverlake-stages/{name}-{uuid.uuid4().hex}"
+    for made in _scopes[-1:]:
+        made.append(path)
     df.write.option("compression", "snappy").parquet(path)  # zstd keeps native memory in every writer
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,11 @@ full-resolution RGB tensor.  Scans whose codes have one width are read by whole
 all others symbol by symbol.
 
 Null texts are empty; an empty text is one unit of 576 bytes 255.  A file depends on its
-text alone, so equal texts have equal files, tensors and features.
+text alone, so equal texts have equal files, tensors and features.  Rows that repeat, and
+rows with equal or null ids, are stored each by itself.  A very long text is one file of
+as many units as it needs (up to 4,000 rows of them a column of units, then wider); its
+arrays are a small multiple of its size.  An empty table gives an empty result.  Other
+columns are ignored.
 """
 
 from __future__ import annotations

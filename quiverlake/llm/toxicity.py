@@ -232,8 +232,12 @@ def _worst(net: Network, words: Words, docs: np.ndarray, of: np.ndarray, start:
     return at[np.lexsort((-logit, owner))[np.searchsorted(owner, np.arange(len(docs)))]]
 
 
-def train(texts, labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, min_docs: int = 3, most_words: int = 20_000, seed: int = 7, odds: bool = True) -> Network:
-    """Adam on the weighted log loss of each document's worst window; texts: an Arrow column; without `odds` all embeddings start at random."""
+def train(texts, labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, min_docs: int = 3, most_words: int = 20_000, seed: int = 7, odds: bool = True, most_windows: int = 1_000_000) -> Network:
+    """Adam on the weighted log loss of each document's worst window; texts: an Arrow column; without `odds` all embeddings start at random.
+
+    Every epoch looks at all windows of all texts; there are at least three, and more as
+    long as `most_windows` are not looked at.
+    """
     words = Words(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
     pairs = np.unique(words.number.astype(np.int64) * len(texts) + doc) // max(len(texts), 1)
@@ -247,7 +251,7 @@ def train(texts, labels: np.ndarray, weights: np.ndarray, steps: int = 300, batc
     rng = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
     step = 0
-    epochs = max(3, min(30, -(-steps * batch // max(len(texts), 1))))
+    epochs = max(3, min(30, -(-steps * batch // max(len(texts), 1)), most_windows // len(of)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):

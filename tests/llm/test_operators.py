@@ -235,7 +235,7 @@ def test_personal_data(hard, empty):
     text = "call +1 (389) 555-5010 or 4111 1111 1111 1111, 4111 1111 1111 1112, 1.2.3.4 1.2.3.999 x@y.z%a@b.co iban DE89 3704 0044 0532 0130 00 ssn 123-45-6789 or 987-65-4321x"
     found = [(k, text[a:b]) for k, a, b, _ in pii.find(text)]
     assert ("phone", "+1 (389) 555-5010") in found and ("ip", "1.2.3.4") in found and ("iban", "DE89 3704 0044 0532 0130 00") in found and ("ssn", "123-45-6789") in found
-    assert [f for f in found if f[0] == "card"] == [("card", "4111 1111 1111 1111")] or ("card", "4111 1111 1111 1111") not in found  # a longer run may swallow it
+    assert [f for f in found if f[0] == "card"] == [("card", "4111 1111 1111 1111"), ("card", "3704 0044 0532 0130 00")] or [f for f in found if f[0] == "card"] == [("card", "4111 1111 1111 1111")]
     assert [t for k, t in found if k == "email"] == [m[0] for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     assert pii.find_personal_data(empty).count() == 0
 
@@ -431,4 +431,5 @@ def test_pipeline_stages_keep_the_columns(spark, hard, tmp_path):
             kept = brute_components(TEXTS, 5, 80)
             assert {r.doc_id for r in rows} == {None} | {i for i in TEXTS if kept[i][2]}
     assert P.toxicity(spark, docs, str(tmp_path)).columns == list(P.COLUMNS)
-    assert P.run(spark, str(tmp_path)).count() >= 0
+    packed = P.run(spark, str(tmp_path))
+    assert {"doc_id", "start", "length", "sequence_id"} <= set(packed.columns) and None in {r.doc_id for r in packed.collect()}
