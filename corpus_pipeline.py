@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import stage_table, table
+from quiverlake.llm.common import recorded, removed, stage_table, table
 from quiverlake.llm.neardup import near_duplicates, numbered
 from quiverlake.llm.packing import pack_documents
 from quiverlake.llm.queries import LEARN, WORD_MODEL, tokenizer_path
@@ -74,8 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents.
+
+    A stage's result is a table; once it stands, the tables that led to it are removed.
+    What the last stage reads is left for the owner of the shared folder.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+        with recorded() as made:
+            docs = stage_table(stage(spark, docs, sf_dir), name)
+        removed(spark, before + made[:-1])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
