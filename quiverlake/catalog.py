@@ -698,9 +698,11 @@ def write_amplification(s, d):
     megas, minis, rows = two_level(s, d)
     new = asked(s, d).select(F.col("query_id").alias("vec_id"), F.col("qe").alias("e"))
     touched = C.assign(new, megas.select(F.col("mega_id").alias("cid"), "c")).select(F.col("cid").alias("mega_id")).distinct()
-    old = rows.join(minis.select("mini_id", "mega_id"), "mini_id").join(touched, "mega_id", "left_semi").agg(F.count("*").alias("old"))
-    n = new.agg(F.count("*").alias("new")).crossJoin(F.broadcast(old))
-    return n.select((F.col("new") * 256).alias("user_bytes"), ((F.col("new") + F.col("old")) * 256).alias("system_bytes"), F.round((F.col("new") + F.col("old")) / F.col("new"), 6).alias("amplification"))
+    old = rows.join(minis.select("mini_id", "mega_id"), "mini_id").join(touched, "mega_id", "left_semi")
+    old = M.bytes_of(old)
+    own = M.bytes_of(new)
+    both = own.crossJoin(F.broadcast(old.withColumnRenamed("user_bytes", "old")))
+    return both.select("user_bytes", (F.col("user_bytes") + F.col("old")).alias("system_bytes"), F.round((F.col("user_bytes") + F.col("old")) / F.col("user_bytes"), 6).alias("amplification"))
 
 
 _PRUNE = f"""WITH RECURSIVE {_V}, {_BQ}, near AS MATERIALIZED (SELECT * FROM (SELECT x.vec_id AS src, y.vec_id AS dst, y.e, {_d('l2', 'y.e', 'x.e')} AS dist, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_d('l2', 'y.e', 'x.e')}, y.vec_id) AS r FROM b x JOIN b y ON x.vec_id <> y.vec_id) WHERE r <= 20),
@@ -939,6 +941,29 @@ def file_chunk(s, d):
     return vecfiles.read(s, f"{at}/part-00000.fvecs").select((F.col("vec_id") + 2 * (n // 7)).alias("vec_id"), F.posexplode("embedding").alias("pos", "x"))
 
 
+@query("pair_distances", f"WITH {_V} SELECT x.vec_id AS a, y.vec_id AS b, round({_d('l2', 'x.e', 'y.e')}, 6) AS dist FROM v x JOIN v y ON y.vec_id = (x.vec_id * 31 + 7) % 600")
+def pair_distances(s, d):
+    pairs = vectors(s, d).select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 31 + 7) % 600).alias("b"))
+    return rounded(S.by_pairs(pairs, vectors(s, d)))
+
+
+@query("vector_table_stats", "SELECT count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim, count_if(embedding IS NULL) AS n_null FROM embeddings")
+def vector_table_stats(s, d):
+    size = F.size("embedding")
+    return s.read.parquet(f"{d}/embeddings.parquet").agg(F.count("*").alias("n"), F.min(size).alias("min_dim"), F.max(size).alias("max_dim"), F.count_if(F.col("embedding").isNull()).alias("n_null"))
+
+
+@query("laid_out_search", ORACLE_SQL["two_level_search"])
+def laid_out_search(s, d):
+    """A saved index whose vectors are laid out by mega: only the folders of probed megas are read."""
+    at = indexfiles.scratch(s, "laid-out")
+    megas, minis, rows = two_level(s, d)
+    rows = rows.join(minis.select("mini_id", "mega_id"), "mini_id")
+    indexfiles.save(at, {"mini": MINI}, {"rows": "mega_id"}, megas=megas, minis=minis, rows=rows)
+    found = indexfiles.load(s, at)[1]
+    return rounded(S.two_level_search(asked(s, d), found["megas"], found["minis"], found["rows"], 3, 5, K))
+
+
 @query("random_vector_table", "SELECT 1000 AS n, 16 AS dim, true AS inside")
 def random_vector_table(s, d):
     from .sources import vecfiles

@@ -191,13 +191,16 @@ def batches(rows: DataFrame, mini_size: int, megas_of: int) -> tuple[DataFrame,
     """(megas, minis, assignment) by id ranges: `mini_size` ids a mini, `megas_of` minis a mega."""
     mini = F.floor(F.col("vec_id") / mini_size).cast("long")
     assignment = rows.withColumn("mini_id", mini)
-    minis = means(assignment, "mini_id").withColumn("mega_id", F.floor(F.col("mini_id") / megas_of).cast("long"))
-    megas = means(minis.withColumnRenamed("c", "e").drop("n"), "mega_id")
+    minis = dense.local(means(assignment, "mini_id").withColumn("mega_id", F.floor(F.col("mini_id") / megas_of).cast("long")))
+    megas = dense.local(means(minis.withColumnRenamed("c", "e").drop("n"), "mega_id"))
     return megas, minis, assignment
 
 
 def member_distances(assignment: DataFrame, minis: DataFrame, metric: str = "l2") -> DataFrame:
     """(mini_id, mega_id, vec_id, dist): members and their own centroid."""
+    cells = dense.few(minis, "mini_id", "c", ("mega_id",))
+    if cells is not None:
+        return dense.own_distance(assignment, cells, "mini_id", minis.schema["mega_id"].dataType, metric)
     return assignment.join(minis.select("mini_id", "mega_id", "c"), "mini_id").select("mini_id", "mega_id", "vec_id", distance(metric, "e", "c").alias("dist"))
 
 

@@ -278,6 +278,32 @@ def own_and_other(rows: DataFrame, cells: Few, metric: str) -> DataFrame:
     return own.mapInArrow(run, StructType([*own.schema.fields[:2], StructField("a", DoubleType()), StructField("b", DoubleType()), StructField("other", own.schema["cid"].dataType)]))
 
 
+def own_distance(rows: DataFrame, cells: Few, key: str, kinds, metric: str) -> DataFrame:
+    """(mini_id, mega_id, vec_id, dist): each row (mini_id, vec_id, e) with its distance to its own cell; rows of no cell have none."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    own = rows.select(key, "vec_id", "e")
+
+    def run(batches):
+        c = shared.value
+        for batch in batches:
+            x, ok = matrix(batch.column("e"), c.x.shape[1])
+            names = batch.column(key).fill_null(-1).to_numpy()
+            at = np.searchsorted(c.ids, names)
+            at[at == len(c.ids)] = 0
+            ok &= batch.column(key).is_valid().to_numpy(zero_copy_only=False).astype(bool)
+            ok &= c.ids[at] == names if len(c.ids) else False
+            on = np.flatnonzero(ok)
+            picked, at = batch.take(pa.array(on)), at[on]
+            yield pa.RecordBatch.from_arrays([picked.column(key), pa.array(c.more["mega_id"][at]), picked.column("vec_id"), pa.array(distance(metric, x[on], c.x[at]))], names=[key, "mega_id", "vec_id", "dist"])
+
+    return own.mapInArrow(run, StructType([own.schema[key], StructField("mega_id", kinds), own.schema["vec_id"], StructField("dist", DoubleType())]))
+
+
+def local(df: DataFrame, vector: str = "c") -> DataFrame:
+    """The same rows from the driver where they fit the budget: they are computed once, whatever reads them."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if size_of(df, vector) <= BROADCAST_BYTES else df
+
+
 def with_probes(queries: DataFrame, cells: Few, kind, k: int, metric: str, name: str = "cid") -> DataFrame:
     """(query_id, qe, cid, probe_dist, probe_rank): the k nearest cells of each query."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)

@@ -26,8 +26,8 @@ STRIDE = 1 << 20
 def levels(index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(megas, minis, assignment): a mini is the mean of its vectors, a mega of its minis."""
     above = index.groupBy("mini_id").agg(F.min("mega_id").alias("mega_id"))
-    minis = means(index, "mini_id").join(above, "mini_id")
-    megas = means(minis.select("mega_id", F.col("c").alias("e")), "mega_id")
+    minis = dense.local(means(index, "mini_id").join(above, "mini_id"))
+    megas = dense.local(means(minis.select("mega_id", F.col("c").alias("e")), "mega_id"))
     return megas, minis, index
 
 

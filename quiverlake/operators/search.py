@@ -59,6 +59,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> Data
     return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
 
 
+def by_pairs(pairs: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame:
+    """(a, b, dist) of pairs of ids (a, b); a pair with an id that is not there has none."""
+    left, right = (base.select(F.col("vec_id").alias(c), F.col("e").alias(f"e_{c}")) for c in ("a", "b"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", distance(metric, "e_a", "e_b").alias("dist"))
+
+
 def allowed(base: DataFrame, ids: DataFrame) -> DataFrame:
     """Base rows whose id is in an allow-list."""
     return base.join(ids.select("vec_id"), "vec_id", "left_semi")
@@ -93,11 +99,16 @@ def probes(queries: DataFrame, centroids: DataFrame, n: int, metric: str = "l2",
 def scanned(cells: DataFrame, rows: DataFrame, cell: str, k: int, metric: str) -> DataFrame:
     """The k nearest rows (cell, vec_id, e) of each query among the cells that it probes; cells has (query_id, qe, cell).
 
-    The probes travel and the rows stay: only cells that a query probes are read, which a
-    table laid out by cell can skip.  Probes beyond the budget are joined by cell.
+    The probes travel and the rows stay: only cells that a query probes are read, and where
+    both tables have a `mega_id` only probed megas, which a table laid out by either can
+    skip.  Probes beyond the budget are joined by cell.
     """
     if dense.size_of(cells, "qe") <= BROADCAST_BYTES:
-        found = cells.where(F.col("query_id").isNotNull()).select("query_id", "qe", cell).toArrow()
+        megas = ["mega_id"] if "mega_id" in cells.columns and "mega_id" in rows.columns else []
+        found = cells.where(F.col("query_id").isNotNull()).select("query_id", "qe", cell, *megas).toArrow()
+        for name in megas:
+            wanted = np.unique(found.column(name).to_numpy())
+            rows = rows.where(F.col(name).isin(wanted.tolist())) if len(wanted) <= 4096 else rows
         q, ok = dense.matrix(found.column("qe"))
         ids, first, number = np.unique(found.column("query_id").to_numpy(), return_index=True, return_inverse=True)
         asked = dense.Few(ids, q[first], {})
@@ -113,7 +124,7 @@ def ivf_search(queries: DataFrame, centroids: DataFrame, assignment: DataFrame,
 
 
 def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas: int, n_minis: int, metric: str = "l2", always: DataFrame | None = None) -> DataFrame:
-    """(query_id, qe, mini_id): the nearest minis over all probed megas together.
+    """(query_id, qe, mini_id, mega_id): the nearest minis over all probed megas together.
 
     Megas in `always` (badly formed ones) are probed by every query, beside the nearest of the others.
     """
@@ -121,15 +132,15 @@ def probed_cells(queries: DataFrame, megas: DataFrame, minis: DataFrame, n_megas
     if top is not None and low is not None:
         every = np.array([r.mega_id for r in always.select("mega_id").distinct().collect()], np.int64) if always is not None else np.zeros(0, np.int64)
         kinds = minis.schema["mini_id"].dataType, minis.schema["mega_id"].dataType
-        return dense.with_minis(queries, top, low, kinds, n_megas, n_minis, metric, every).select("query_id", "qe", "mini_id")
+        return dense.with_minis(queries, top, low, kinds, n_megas, n_minis, metric, every)
     every = megas
     if always is not None:
         megas = megas.join(always.select("mega_id"), "mega_id", "left_anti")
     first = probes(queries, megas.withColumnRenamed("mega_id", "cid"), n_megas, metric).select("query_id", "qe", F.col("cid").alias("mega_id"))
     if always is not None:
         first = first.unionByName(paired(queries.select("query_id", "qe"), every.join(always.select("mega_id"), "mega_id", "left_semi").select("mega_id")))
-    pairs = first.join(minis, "mega_id").select("query_id", "qe", "mini_id", distance(metric, "c", "qe").alias("mini_dist"))
-    return top_k(pairs, n_minis, id_col="mini_id", dist="mini_dist").select("query_id", "qe", "mini_id")
+    pairs = first.join(minis, "mega_id").select("query_id", "qe", "mini_id", "mega_id", distance(metric, "c", "qe").alias("mini_dist"))
+    return top_k(pairs, n_minis, id_col="mini_id", dist="mini_dist").select("query_id", "qe", "mini_id", "mega_id")
 
 
 def two_level_search(queries: DataFrame, megas: DataFrame, minis: DataFrame, assignment: DataFrame, n_megas: int, n_minis: int, k: int, metric: str = "l2", always: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,15 +32,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(path: str, settings: dict, **tables: DataFrame) -> None:
-    """The settings are written last: a folder without them is not a whole index."""
+def save(path: str, settings: dict, layout: dict[str, str] | None = None, **tables: DataFrame) -> None:
+    """A folder a table, laid out by the column that `layout` names for it (a search then skips the cells it does not probe).
+
+    The settings are written last: a folder without them is not a whole index.
+    """
+    layout = layout or {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        by = layout.get(name)
+        out = df.repartition(by).write.partitionBy(by) if by else df.write
+        out.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(json.dumps({"tables": sorted(tables), "settings": settings}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+    types = {name: df.schema[by].dataType.simpleString() for name, by in layout.items() if name in tables for df in (tables[name],)}
+    said = {"tables": sorted(tables), "settings": settings, "layout": layout, "types": types}
+    spark.range(1).select(F.lit(json.dumps(said)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
     """(settings, tables by name)."""
     found = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    return found["settings"], {name: spark.read.parquet(f"{path}/{name}") for name in found["tables"]}
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in found["tables"]}
+    for name, by in found["layout"].items():
+        tables[name] = tables[name].withColumn(by, F.col(by).cast(found["types"][name]))
+    return found["settings"], tables
