@@ -964,6 +964,53 @@ def laid_out_search(s, d):
     return rounded(S.two_level_search(asked(s, d), found["megas"], found["minis"], found["rows"], 3, 5, K))
 
 
+@query("graph_expansion", f"WITH {_V}, {_BQ}, d AS (SELECT x.vec_id AS query_id, y.vec_id, {_d('l2', 'y.e', 'x.e')} AS dist FROM b x JOIN b y ON x.vec_id <> y.vec_id), g AS ({_top('d', 5)}), f0 AS (SELECT vec_id FROM b WHERE vec_id < 4), f1 AS (SELECT DISTINCT g.vec_id FROM g JOIN f0 ON query_id = f0.vec_id WHERE g.vec_id NOT IN (SELECT vec_id FROM f0)), f2 AS (SELECT DISTINCT g.vec_id FROM g JOIN f1 ON query_id = f1.vec_id WHERE g.vec_id NOT IN (SELECT vec_id FROM f0 UNION SELECT vec_id FROM f1)) SELECT vec_id FROM f2")
+def graph_expansion(s, d):
+    """Nodes two links away from a few, in a graph of five neighbours each."""
+    edges = knn_graph(s, d).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
+    first = base(s, d).where("vec_id < 4").select("vec_id")
+    second = G.expand(first, edges, first)
+    return G.expand(second, edges, first)
+
+
+@query("mega_score_change", f"{_MD}, og AS (SELECT mega_id, avg(mse) AS mse FROM mm GROUP BY mega_id), n0 AS (SELECT c, CAST(floor(mini_id / 2) AS BIGINT) AS new_id FROM mini), nm AS ({_means('n0', 'new_id', 'c')}), ng AS (SELECT CAST(floor(mini_id / 2) AS BIGINT) AS new_id, avg(mse) AS mse FROM mm GROUP BY 1), near AS (SELECT new_id, arg_min(mega_id, row(dist, mega_id)) AS old_id, min(dist) AS dist FROM (SELECT new_id, mega_id, {_d('l2', 'nm.c', 'mega.c')} AS dist FROM nm, mega) GROUP BY new_id) SELECT new_id AS mega_id, old_id, round(dist, 6) AS dist, round(og.mse, 6) AS old_mse, round(ng.mse, 6) AS mse FROM near JOIN ng USING (new_id) JOIN og ON og.mega_id = old_id")
+def mega_score_change(s, d):
+    rows = base(s, d).withColumn("mini_id", F.floor(F.col("vec_id") / MINI).cast("long"))
+    at = lambda n: rows.withColumn("mega_id", F.floor(F.col("mini_id") / n).cast("long"))
+    return rounded(M.score_change(at(MEGAS_OF), at(2)), "dist", "old_mse", "mse")
+
+
+@query("ivf_sampled_search", f"WITH {_V}, {_BQ}, few AS (SELECT * FROM b WHERE {_U} < 200.0::DOUBLE / (SELECT count(*) FROM b)), {_km('c', 'few', '6', 3)}, z AS ({_assigned(cent='c3')}), p AS (SELECT * FROM (SELECT query_id, qe, cid, row_number() OVER (PARTITION BY query_id ORDER BY {_d('l2', 'c', 'qe')}, cid) AS r FROM c3, q) WHERE r <= 3), d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM p JOIN z USING (cid)) {_top('d')}")
+def ivf_sampled_search(s, d):
+    """Cells trained on a sample, then all rows in the cells."""
+    some = C.sampled(base(s, d), 200, base(s, d).count())
+    cells = C.kmeans(some, C.hashed_init(some, 6), 3)
+    return rounded(S.ivf_search(asked(s, d), cells, C.assign(base(s, d), cells).drop("dist"), 3, K))
+
+
+@query("staged_insert")
+def staged_insert(s, d):
+    """Two batches staged in a buffer, merged into the index at once, and the buffer emptied."""
+    at = indexfiles.scratch(s, "staged")
+    new = asked(s, d).select(F.col("query_id").alias("vec_id"), F.col("qe").alias("e"))
+    indexfiles.staged(at, new.where("vec_id % 50 = 0"))
+    indexfiles.staged(at, new.where("vec_id % 50 <> 0"))
+    merged = M.merge_buffer(_index(s, d), indexfiles.buffer(s, at), 2, MINI, MEGAS_OF, 4 * MINI * MEGAS_OF)
+    indexfiles.cleared(s, at)
+    return _places(merged)
+
+
+@query("recluster_codes")
+def recluster_codes(s, d):
+    """Megas clustered anew on what their 8-bit codes decode to."""
+    return _places(M.recluster(M.quantized(_index(s, d))[1].drop("codes"), MINI, MEGAS_OF, fast=True))
+
+
+@query("hnsw_recall")
+def hnsw_recall(s, d):
+    return S.recall_summary(S.recall(hnsw_search(s, d), _truth(s, d), K))
+
+
 @query("random_vector_table", "SELECT 1000 AS n, 16 AS dim, true AS inside")
 def random_vector_table(s, d):
     from .sources import vecfiles

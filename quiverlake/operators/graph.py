@@ -348,6 +348,12 @@ def costs(walked: DataFrame) -> DataFrame:
     return each.groupBy("query_id").agg(F.count("*").alias("n_parts"), F.sum("n_distances").alias("n_distances"), F.sum("n_hops").alias("n_hops"))
 
 
+def expand(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """(vec_id): nodes that an edge (src, dst) of the frontier leads to and that are in neither it nor `visited`; one step of a walk as joins."""
+    met = edges.join(frontier.select(F.col("vec_id").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("vec_id")).distinct()
+    return met.join(visited.select("vec_id").unionByName(frontier.select("vec_id")), "vec_id", "left_anti")
+
+
 def within_cutoff(probed: DataFrame, threshold: float) -> DataFrame:
     """Probes (query_id, part, probe_dist) that are at most `threshold` farther than the query's nearest one."""
     least = probed.groupBy("query_id").agg(F.min("probe_dist").alias("d0"))

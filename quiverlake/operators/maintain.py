@@ -97,6 +97,14 @@ def mega_scores(index: DataFrame, metric: str = "l2") -> DataFrame:
     return each.groupBy("mega_id").agg(F.avg("mse").alias("mse"))
 
 
+def score_change(old: DataFrame, new: DataFrame, metric: str = "l2") -> DataFrame:
+    """(mega_id, old_id, dist, old_mse, mse): each mega of an index with the nearest one of an older version, and both scores."""
+    before, now = levels(old)[0], levels(new)[0]
+    near = assign(now.select("mega_id", F.col("c").alias("e")), before.select(F.col("mega_id").alias("cid"), "c"), metric).select("mega_id", F.col("cid").alias("old_id"), "dist")
+    scores = mega_scores(old, metric).select(F.col("mega_id").alias("old_id"), F.col("mse").alias("old_mse"))
+    return near.join(scores, "old_id").join(mega_scores(new, metric), "mega_id").select("mega_id", "old_id", "dist", "old_mse", "mse")
+
+
 def recluster_on_score(index: DataFrame, neighbours: int, mini_size: int, minis_of: int) -> DataFrame:
     """The worst mega and its nearest ones, again and again, until as many megas as there are have been done."""
     done, n = 0, index.select("mega_id").distinct().count()

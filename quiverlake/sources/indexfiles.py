@@ -55,3 +55,23 @@ def load(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
     for name, by in found["layout"].items():
         tables[name] = tables[name].withColumn(by, F.col(by).cast(found["types"][name]))
     return found["settings"], tables
+
+
+def staged(path: str, batch: DataFrame) -> None:
+    """Append a batch of rows to an index's buffer."""
+    batch.write.mode("append").parquet(f"{path}/buffer")
+
+
+def buffer(spark: SparkSession, path: str, schema: str = "vec_id long, e array<double>") -> DataFrame:
+    """What has been staged; nothing where nothing has."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/buffer")
+    there = at.getFileSystem(conf).exists(at)
+    return spark.read.schema(schema).parquet(f"{path}/buffer") if there else spark.createDataFrame([], schema)
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """Empty the buffer, after its rows have been merged and the index saved."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/buffer")
+    at.getFileSystem(conf).delete(at, True)
