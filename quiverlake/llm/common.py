@@ -31,7 +31,7 @@ def partitions(rows: DataFrame, most_bytes: int = 64 << 20) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(_size(rows) or 0) // most_bytes))
 
 
-def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 32 << 20) -> DataFrame:
+def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 16 << 20) -> DataFrame:
     """rows with no more tasks than the cluster has cores, or one for `least_bytes` of `like`, whichever is more.
 
     Many small files or partitions cost a task each, and files where they are written.

@@ -103,12 +103,18 @@ def _decided(words: WordTable, at: np.ndarray, doc: np.ndarray, place: np.ndarra
     later = np.flatnonzero((doc != doc[head]) | (place != place[head]))
     if not len(later):
         return np.zeros(len(at), bool)
-    number = words.exact_numbers()
-    equal = np.ones(len(later), bool)
-    for k in range(width):
-        equal &= number[at[later] + k] == number[at[head[later]] + k]
+    # Runs of windows that repeat the windows at one distance before: their words are compared once.
+    own, far = at[later], at[later] - at[head[later]]
+    new = np.concatenate([[True], (own[1:] != own[:-1] + 1) | (far[1:] != far[:-1])])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(later))) + width - 1
+    begin = np.cumsum(size) - size
+    word = np.arange(int(size.sum())) + np.repeat(own[first] - begin, size)
+    unlike = np.concatenate([[0], np.cumsum(~words.same(word, word - np.repeat(far[first], size)))])
+    run = np.cumsum(new) - 1
+    place_in = begin[run] + own - own[first[run]]
     out = np.zeros(len(at), bool)
-    out[later[equal]] = True
+    out[later[unlike[place_in + width] == unlike[place_in]]] = True
     return out
 
 
@@ -227,7 +233,8 @@ def _count(batches, width: int, most: int):
     """
     group, held, n, heads = None, [], 0, {}
 
-    def reduced():
+    def reduced(more: bool):
+        keep = more or bool(heads)
         windows, docs, keys, places, hot = [], [], [], [], []
         for doc, key, first, packed, warm in held:
             starts, at = [0], packed.find(b" ")
@@ -248,7 +255,7 @@ def _count(batches, width: int, most: int):
         for x in order:
             if windows[x] != window:
                 window = windows[x]
-                head = heads.setdefault(window, (docs[x], places[x]))
+                head = heads.setdefault(window, (docs[x], places[x])) if keep else (docs[x], places[x])
             later[x] = (docs[x], places[x]) != head
         number = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
         at = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])
@@ -261,14 +268,14 @@ def _count(batches, width: int, most: int):
         for batch in slices(whole, "packed"):
             for bucket, salt, warm, doc, key, first, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and ((bucket, salt) != group or n > most and doc != held[-1][0]):
-                    yield reduced()
+                    yield reduced((bucket, salt) == group)
                     held, n = [], 0
                 if (bucket, salt) != group:
                     group, heads = (bucket, salt), {}
                 held.append((doc, key, first, packed, warm))
                 n += packed.count(b" ") + 2 - width
     if held:
-        yield reduced()
+        yield reduced(False)
 
 
 def _keep(batches, width: int):

@@ -103,22 +103,18 @@ class WordTable:
         whole = (sums[end - low] - sums[start - low]) * inverse[start - low]
         return mix(whole + (end - start).astype(np.uint64))
 
-    def exact_numbers(self, step: int = 1 << 15) -> np.ndarray:
-        """A number for each word; words with equal numbers have equal bytes, which are compared, not only their hashes."""
-        _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
-        head, fresh = first[number], len(first)
-        for a in range(0, len(number), step):
-            own, other = np.arange(a, min(a + step, len(number))), head[a : a + step]
-            size = self.end[own] - self.start[own]
-            differ = size != self.end[other] - self.start[other]
-            size[differ] = 0
-            offsets = np.cumsum(size) - size
-            flat = np.arange(int(size.sum())) - np.repeat(offsets, size)
-            unlike = self.data[flat + np.repeat(self.start[own], size)] != self.data[flat + np.repeat(self.start[other], size)]
-            differ[np.repeat(np.arange(len(own)), size)[unlike]] = True
-            number[own[differ]] = fresh + np.arange(int(differ.sum()))  # as if met nowhere else
-            fresh += int(differ.sum())
-        return number
+    def same(self, one: np.ndarray, other: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """Whether the words with two lists of numbers are equal, byte by byte."""
+        out = (self.hashes[one] == self.hashes[other]) & (self.end[one] - self.start[one] == self.end[other] - self.start[other])
+        left = np.flatnonzero(out)
+        for a in range(0, len(left), step):
+            own = left[a : a + step]
+            begin, there = self.start[one[own]], self.start[other[own]]
+            size = self.end[one[own]] - begin
+            flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            unlike = self.data[flat + np.repeat(begin, size)] != self.data[flat + np.repeat(there, size)]
+            out[own[np.repeat(np.arange(len(own)), size)[unlike]]] = False
+        return out
 
     def document(self) -> np.ndarray:
         """The document number of each word."""

@@ -314,17 +314,22 @@ def test_repeats_of_rows_that_repeat_an_id(spark, bounds):
     assert set(got[0].row.asDict()) == {"doc_id", "text", "a b", "n-x", "key"}
 
 
-def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+def test_words_with_equal_hashes_are_told_apart():
     import pyarrow as pa
 
+    from quiverlake.llm.substrings import _decided
     from quiverlake.llm.wordtable import WordTable
 
-    table = WordTable(pa.array(["a bb a cc", "bb dd a"]))
-    table.hashes[:] = 7
-    numbers, texts = table.exact_numbers(step=3), "a bb a cc bb dd a".split()
-    assert all(texts[i] == texts[j] for i in range(7) for j in range(7) if numbers[i] == numbers[j])
-    plain = WordTable(pa.array(["a bb a cc", "bb dd a"])).exact_numbers()
-    assert all((texts[i] == texts[j]) == (plain[i] == plain[j]) for i in range(7) for j in range(7))
+    text = "a bb a cc bb dd a bb a dd"
+    table, texts = WordTable(pa.array([text])), text.split()
+    one, other = (x.ravel() for x in np.meshgrid(range(10), range(10)))
+    want = [texts[i] == texts[j] for i, j in zip(one, other)]
+    assert table.same(one, other, step=7).tolist() == want
+    table.hashes[:] = 7  # as if all words collided: only equal words are called repeats
+    assert table.same(one, other).tolist() == want
+    at = np.arange(8)
+    gone = _decided(table, at, np.zeros(8, np.int64), at, 3)
+    assert all(texts[k : k + 3] == texts[:3] for k in np.flatnonzero(gone)) and gone[6]
 
 
 def test_media_round_trip(hard, empty):
