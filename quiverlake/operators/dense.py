@@ -27,13 +27,15 @@ BROADCAST_BYTES = 64 << 20
 CELLS = 2_000_000
 
 
-def size_of(df: DataFrame, vector: str) -> int:
-    """Bytes of a table of vectors: Spark's bound if that is small enough, else measured."""
+def size_of(df: DataFrame, *vectors: str) -> int:
+    """Bytes of a table: Spark's bound if that is small enough, else measured from its rows and arrays."""
     bound = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if bound <= BROADCAST_BYTES:
         return bound
-    n, values = df.agg(F.count("*"), F.coalesce(F.sum(F.size(vector).cast("long")), F.lit(0))).first()
-    return 32 * n + 8 * values
+    nested = {c for c in vectors if df.schema[c].dataType.elementType.typeName() == "array"}
+    sizes = [F.coalesce(F.sum(F.size(F.flatten(c) if c in nested else F.col(c)).cast("long")), F.lit(0)) for c in vectors]
+    n, *values = df.agg(F.count("*"), *sizes).first()
+    return 8 * (4 + len(df.columns)) * n + 8 * sum(values)
 
 
 def matrix(column: pa.ListArray, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -17,10 +17,9 @@ from . import dense
 BROADCAST_BYTES = dense.BROADCAST_BYTES
 
 
-def paired(many: DataFrame, few: DataFrame, limit: int = BROADCAST_BYTES, vector: str | None = None) -> DataFrame:
+def paired(many: DataFrame, few: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """All pairs of two tables: the second is broadcast if its size allows, else both are dealt into blocks and each pair of blocks is a key."""
-    arrays = [f.name for f in few.schema.fields if f.dataType.typeName() == "array"]
-    size = max([dense.size_of(few, c) for c in arrays[:1] or few.columns[:1]]) if arrays else _flat_size(few)
+    size = dense.size_of(few, *(f.name for f in few.schema.fields if f.dataType.typeName() == "array"))
     if size <= limit:
         return many.crossJoin(F.broadcast(few))
     few_blocks = -(-size // limit)
@@ -32,11 +31,6 @@ def paired(many: DataFrame, few: DataFrame, limit: int = BROADCAST_BYTES, vector
     return left.join(right, ["many__", "few__"]).drop("many__", "few__")
 
 
-def _flat_size(few: DataFrame) -> int:
-    bound = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return bound if bound <= BROADCAST_BYTES else 32 * len(few.columns) * few.count()
-
-
 def top_k(pairs: DataFrame, k: int, by: str | list[str] = "query_id", id_col: str = "vec_id", dist: str = "dist") -> DataFrame:
     """The k nearest rows of each group, with their rank; Spark keeps k rows a task before it shuffles."""
     order = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(dist, id_col)

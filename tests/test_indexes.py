@@ -114,7 +114,7 @@ def test_beyond_the_budget_results_are_the_same(spark, monkeypatch):
     want = {n: sorted(map(tuple, catalog.QUERIES[n](spark, DATA).collect())) for n in names}
     monkeypatch.setattr(dense, "BROADCAST_BYTES", 1 << 10)
     monkeypatch.setattr(S, "BROADCAST_BYTES", 1 << 10)
-    monkeypatch.setattr(S.paired, "__defaults__", (1 << 14, None))
+    monkeypatch.setattr(S.paired, "__defaults__", (1 << 14,))
     for n in names:
         got = sorted(map(tuple, catalog.QUERIES[n](spark, DATA).collect()))
         assert len(got) == len(want[n])
