@@ -624,18 +624,6 @@ def pairwise2_decode_error(s, d):
     return rounded(Q.decode_pairwise(Q.encode_pairwise(base(s, d), p), p).select("vec_id", V.l2(F.col("decoded"), F.col("e")).alias("error")), "error")
 
 
-@query("pq_search")
-def pq_search(s, d):
-    book = P.train(base(s, d))
-    return rounded(P.search(asked(s, d), P.encode(base(s, d), book), book, K))
-
-
-@query("pq_search_symmetric")
-def pq_search_symmetric(s, d):
-    book = P.train(base(s, d))
-    return rounded(P.search(asked(s, d), P.encode(base(s, d), book), book, K, symmetric=True))
-
-
 _BAD_SEARCH = _search("1").replace("p1 AS (", "bm AS (SELECT mega_id FROM gm WHERE mse > (SELECT avg(mse) FROM gm)), p1 AS (SELECT query_id, qe, mega_id, 0 AS r FROM q, bm UNION ALL ", 1).replace("FROM mega, q", "FROM mega, q WHERE mega_id NOT IN (SELECT mega_id FROM bm)", 1)
 
 
@@ -773,6 +761,31 @@ def kmeans_balanced(s, d):
     return _rows(C.kmeans(base(s, d), C.hashed_init(base(s, d), 6), 3, balance=0.002), "cid")
 
 
+def _pq_sql(symmetric: bool, parts: int = 8, size: int = 8, codes: int = 16) -> str:
+    """Code books by k-means in every slice, codes, and sums of looked-up distances."""
+    cut = lambda e: f"{e}[part * {size} + 1:part * {size} + {size}]"
+    every = f"(SELECT unnest(range({parts})) AS part)"
+    near = lambda rows, book, key: f"SELECT {key}, part, any_value(x) AS x, arg_min(cid, row(dist, cid)) AS cid FROM (SELECT {key}, {rows}.part, x, cid, {_L2.format(a='x', b='c')} AS dist FROM {rows} JOIN {book} USING (part)) GROUP BY {key}, part"
+    out = f"WITH {_V}, {_BQ}, sl AS (SELECT vec_id, part, {cut('e')} AS x FROM b, {every}), p0 AS (SELECT part, cid, x AS c FROM sl JOIN (SELECT vec_id, row_number() OVER (ORDER BY {_U}, vec_id) - 1 AS cid FROM b) USING (vec_id) WHERE cid < {codes})"
+    for i in range(1, 6):
+        out += f", pa{i} AS ({near('sl', f'p{i - 1}', 'vec_id')}), pe{i} AS (SELECT part * {codes} + cid AS cell, x AS e FROM pa{i}), pm{i} AS ({_means(f'pe{i}', 'cell')}), p{i} AS (SELECT part, cid, coalesce(m.c, p.c) AS c FROM p{i - 1} p LEFT JOIN pm{i} m ON m.cell = part * {codes} + cid)"
+    out += f", pc AS ({near('sl', 'p5', 'vec_id')}), q0 AS (SELECT query_id, part, {cut('qe')} AS x FROM q, {every}), qc AS ({near('q0', 'p5', 'query_id')})"
+    asked = "SELECT query_id, part, c AS x FROM qc JOIN p5 USING (part, cid)" if symmetric else "SELECT * FROM q0"
+    return out + f", qs AS ({asked}), tab AS (SELECT query_id, part, cid, {_L2.format(a='x', b='c')} AS dist FROM qs JOIN p5 USING (part)), d AS (SELECT query_id, vec_id, list_sum(list(dist ORDER BY part)) AS dist FROM pc JOIN tab USING (part, cid) GROUP BY query_id, vec_id) {_top('d')}"
+
+
+@query("pq_search", _pq_sql(False))
+def pq_search(s, d):
+    book = P.train(base(s, d))
+    return rounded(P.search(asked(s, d), P.encode(base(s, d), book), book, K))
+
+
+@query("pq_search_symmetric", _pq_sql(True))
+def pq_search_symmetric(s, d):
+    book = P.train(base(s, d))
+    return rounded(P.search(asked(s, d), P.encode(base(s, d), book), book, K, symmetric=True))
+
+
 def _batch(p: str, where: str, first: str) -> str:
     """Minis {p}i and megas {p}g of a batch, and its rows {p}r (vec_id, mini_id, mega_id) with ids from `first`."""
     n, g = f"(SELECT count(*) FROM {p}b)", f"(SELECT count(*) FROM {p}i)"
