@@ -213,14 +213,27 @@ def curve_keys(ids: list[bytes]) -> np.ndarray:
     return hilbert_key(grid)
 
 
+TOKENS = "doc_id long, curve long, tokens int, ids binary"
+
+
 def _tokenized(batches, path: str, end_id: int):
+    """Each document's curve key, number of ids and ids, in two bytes an id where all of them fit."""
     bpe, end = word_bpe(path), np.array([end_id], dtype="<u4").tobytes()
     for whole in batches:
         for batch in slices(whole, most=1 << 20):
             ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
             keys = curve_keys(ids)
             raw = [i + end for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "curve", "ids"])
+            tokens = np.array([len(r) // 4 for r in raw], np.int32)
+            flat = np.frombuffer(b"".join(raw), "<u4")
+            if len(flat) and flat.max() < 1 << 16:
+                packed, at = flat.astype("<u2").tobytes(), np.concatenate([[0], np.cumsum(2 * tokens)]).tolist()
+                raw = [packed[x:y] for x, y in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(tokens), pa.array(raw, pa.binary())], names=["doc_id", "curve", "tokens", "ids"])
+
+
+def _ids_of(raw, tokens: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * tokens else "<u2").astype("<u4")
 
 
 def _powers(n: int) -> list[int]:
@@ -267,10 +280,9 @@ def _pack(batches, size: int):
     rows: list[tuple] = []
     made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PACKED)
     for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-            packer.add(rows, doc, np.frombuffer(raw.as_buffer(), dtype="<u4"))
+        for doc, tokens, raw in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("ids")):
+            packer.add(rows, doc, _ids_of(raw.as_buffer(), tokens))
         if rows:
-            packer.held = [(d, s, i.copy(), t) for d, s, i, t in packer.held]  # don't keep the batch alive
             yield made()
             rows.clear()
     packer.finish(rows)
@@ -281,6 +293,6 @@ def _pack(batches, size: int):
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents."""
     source = id_and_text(docs, id_col, text_col)
-    tokens = stage_table(arrow_stage(source, lambda b: _tokenized(b, tokenizer_path, end_id), "doc_id long, curve long, ids binary"), "tokens")
+    tokens = stage_table(arrow_stage(source, lambda b: _tokenized(b, tokenizer_path, end_id), TOKENS), "tokens")
     ranges = tokens.repartitionByRange(partitions(tokens), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return arrow_stage(ranges, lambda b: _pack(b, size), PACKED)

@@ -371,6 +371,22 @@ def test_packing_is_exact_and_unpadded(hard, empty):
     assert pack_documents(empty, path).count() == 0
 
 
+def test_ids_take_two_bytes_or_four():
+    import pyarrow as pa
+
+    from quiverlake.llm.packing import _ids_of, _tokenized
+
+    for kind, own in (("<u4", [1, 70_000]), ("<u2", [1, 700])):
+        assert _ids_of(pa.py_buffer(np.array(own, kind).tobytes()), 2).tolist() == own
+    texts = ["some words", None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["doc_id", "text"])
+    path = tokenizer_path(WORD_MODEL)
+    for end in (1, 1 << 17):
+        (out,) = _tokenized(iter([batch]), path, end)
+        got = [_ids_of(r.as_buffer(), n).tolist() for r, n in zip(out.column("ids"), out.column("tokens").to_pylist())]
+        assert got == [word_bpe(path).library.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
+
+
 def test_word_ids_equal_the_library():
     bpe = word_bpe(tokenizer_path(WORD_MODEL))
     for t in ("it's we'll I'D  é́ Ελλάς ΣΑΣ <|endoftext|>x a\x1cb　c ½²x İ ǅ 你好", "\n\n", " a\tb\r\n", "don't'S'll ...!!! a1b22", "\x85a\xa0b\x00c"):
