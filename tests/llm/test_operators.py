@@ -112,7 +112,9 @@ def test_toxicity_learns_and_handles_hard_tables(spark, hard, empty):
 
 
 def test_licenses_equal_brute_force(spark, hard, empty):
-    docs = spark.createDataFrame([(100, "x " * 30 + "you may not use this file except in compliance with the license you may obtain a copy of that license at " + "y " * 9), (101, "Licensed under CC BY-NC 4.0"), (102, "a license")], "doc_id long, text string").union(hard.select("doc_id", "text"))
+    own = next(w for name, _, w in licenses.chunks(licenses.TEMPLATES) if name == "apache-2.0-notice")
+    near = " ".join([*own[:20], "that", *own[21:]])
+    docs = spark.createDataFrame([(100, "x " * 30 + near + " y" * 9), (101, "Licensed under CC BY-NC 4.0"), (102, "a license"), (103, "z " * 990 + near + " z" * 1500 + near)], "doc_id long, text string").union(hard.select("doc_id", "text"))
     got = {(r.doc_id, r.template, r.chunk): (r.containment, r.start_word) for r in find_licenses(docs).collect()}
     want = {}
     for r in docs.collect():

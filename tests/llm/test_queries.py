@@ -346,9 +346,9 @@ LONG = {
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n != "op2_no_random_access"])
 def test_very_long_texts_take_seconds(spark, tmp_path, name):
-    rows = [(i, t) for i, t in enumerate(LONG.values())]
+    rows = [(i, t) for i, t in enumerate([*LONG.values(), *(f"{'bad' if k % 2 else 'good'} words {k}" for k in range(40))])]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(len(LONG) + k, k % 2) for k in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     began = time.time()
     got = QUERIES[name](spark, str(tmp_path)).collect()
     assert time.time() - began < 90
