@@ -31,7 +31,7 @@ def partitions(rows: DataFrame, most_bytes: int = 64 << 20) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(_size(rows) or 0) // most_bytes))
 
 
-def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 16 << 20) -> DataFrame:
+def gathered(rows: DataFrame, like: DataFrame | None = None, least_bytes: int = 8 << 20) -> DataFrame:
     """rows with no more tasks than the cluster has cores, or one for `least_bytes` of `like`, whichever is more.
 
     Many small files or partitions cost a task each, and files where they are written.
@@ -90,7 +90,7 @@ def stage_table(df: DataFrame, name: str, like: DataFrame | None = None) -> Data
     is an input table that df does not outgrow; it bounds the number of files.
     """
     spark = df.sparkSession
-    df = gathered(df, like) if like is not None else df
+    df = gathered(df, like, 16 << 20) if like is not None else df
     path = f"{shared_dir(spark)}/quiverlake-stages/{name}-{uuid.uuid4().hex}"
     for made in _scopes[-1:]:
         made.append(path)
