@@ -122,3 +122,16 @@ def test_index_of_codes_is_near_the_index(spark, index):
     params, coded = M.quantized(index, 0.5)
     found = S.two_level_search(asked, *M.coded_levels(coded.drop("codes"), params), 99, 999, 10)
     assert recall(found, S.knn(asked, base, 10)) >= 0.9
+
+
+@pytest.mark.parametrize("name", ["staged_insert", "naive_insert_codes", "recluster_codes"])
+def test_registered_maintenance_keeps_all_rows(spark, name):
+    got = catalog.QUERIES[name](spark, DATA)
+    every = catalog.vectors(spark, DATA) if name == "staged_insert" else catalog.base(spark, DATA)
+    is_index_of(got, every)
+
+
+def test_registered_graph_reports(spark):
+    low, high, mean = catalog.QUERIES["graph_degree_stats"](spark, DATA).first()
+    assert 1 <= low <= mean <= high <= 32
+    assert catalog.QUERIES["hnsw_recall"](spark, DATA).first().avg_recall >= 0.95
