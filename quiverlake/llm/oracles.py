@@ -73,9 +73,31 @@ SELECT doc_id, template, CAST(chunk AS INTEGER) AS chunk, max(containment) AS co
 FROM good GROUP BY doc_id, template, chunk"""
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def decontamination(width: int = 10) -> str:
+    """Every window of every document against the windows of the items, by their words."""
+    words = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    return f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {words} AS words FROM documents),
+b AS (SELECT item_id, {words} AS words FROM benchmark),
+iw AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(words[k:k + size - 1], ' ') AS win
+  FROM (SELECT item_id, words, least({width}, len(words)) AS size, unnest(range(1, len(words) - least({width}, len(words)) + 2)) AS k FROM b WHERE len(words) > 0)),
+dw AS (SELECT doc_id, k, size, array_to_string(words[k:k + size - 1], ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM w, (SELECT DISTINCT size FROM iw) WHERE len(words) >= size)),
+met AS MATERIALIZED (SELECT DISTINCT doc_id, k, size, item_id FROM dw JOIN iw USING (win, size)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_no_random_access": TOP_K,
     "op4_license_windows": licenses(),
     "op5_super_minhash": near_duplicates(4, 80),
     "op7_super_kmers": substrings(),
+    "op13_prefix_decontamination": decontamination(),
 }

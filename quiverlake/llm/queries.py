@@ -1,4 +1,4 @@
-"""The ten corpus queries opN_<name> over whole tables; `oracles` has the SQL of those that SQL can express."""
+"""The corpus queries opN_<name> over whole tables; `oracles` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -102,6 +102,13 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
 
 
+def op13_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_no_random_access": op2_no_random_access,
@@ -113,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_markov_secrets": op10_markov_secrets,
+    "op13_prefix_decontamination": op13_prefix_decontamination,
 }
