@@ -30,17 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, id_and_text, maybe_in, stage_table
+from .common import gathered, id_and_text, maybe_in, split_words, stage_table
 
 SHINGLE = 5
-#: What stands between words, once A-Z are lower case.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _split(text: str) -> Column:
-    """Words of a text; only the first and the last may be empty."""
-    return F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), BETWEEN)
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -51,7 +43,7 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
 def item_windows(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(item_id, window, size, shingles): the windows of every item; `window` is its words, joined by a space."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
-    rows = rows.select("item_id", F.filter(_split("text"), lambda w: w != "").alias("words")).where("size(words) > 0")
+    rows = rows.select("item_id", F.filter(split_words("text"), lambda w: w != "").alias("words")).where("size(words) > 0")
     size = F.least(F.lit(width), F.size("words"))
     cuts = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))
     rows = rows.select("item_id", F.explode(cuts).alias("words")).select("item_id", "words", F.size("words").alias("size"))
@@ -63,7 +55,7 @@ def item_windows(items: DataFrame, width: int, id_col: str, text_col: str) -> Da
 def _places(docs: DataFrame, tokens: DataFrame, widths: list[int]) -> DataFrame:
     """(row, doc_id, n_words, pos, shingle): every document once with pos -1, and the places where a token may stand."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    rows = _held(rows, "w", _split("text")).drop("text")
+    rows = _held(rows, "w", split_words("text")).drop("text")
     rows = rows.withColumn("first", (F.get("w", F.lit(0)) == "").cast("int")).withColumn("last", F.size("w") - (F.element_at("w", -1) == "").cast("int"))
     rows = _held(rows, "hashes", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.withColumn("i", F.explode(F.sequence(F.col("first") - 1, F.greatest(F.col("first"), "last") - 1)))

@@ -94,10 +94,58 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hi
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def lexical(k: int = 50) -> str:
+    """Every posting of every item's terms, summed up."""
+    terms = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH t AS MATERIALIZED (SELECT doc_id, unnest({terms}) AS term FROM documents WHERE text IS NOT NULL),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+m AS MATERIALIZED (SELECT doc_id, 100 - 50 + (50 * n * docs) // words AS m FROM n, total),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+item AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM item JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""
+
+
+def spelling(least: int = 5, seen: int = 3, ratio: int = 2, noise: int = 97) -> str:
+    """crc32 by its table, near words by keys with a code point left out or blotted out, forms followed by recursion."""
+    from .spelling import CRC
+
+    table = "[" + ", ".join(map(str, CRC.tolist())) + "]::BIGINT[]"
+    octets = "list_transform(range(0, len(hex(encode(named))) // 2), lambda i: CAST('0x' || substr(hex(encode(named)), 2 * i + 1, 2) AS BIGINT))"
+    return rf"""
+WITH RECURSIVE run AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+own AS MATERIALIZED (SELECT run, CAST(doc_id AS VARCHAR) || ':' || run AS named, count(*) AS n FROM run WHERE length(run) >= {least} GROUP BY ALL),
+sums AS MATERIALIZED (SELECT run, n, xor(list_reduce({octets}, lambda s, b: xor(s >> 8, ({table})[(xor(s, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM own),
+word AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % {noise} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM sums)
+  WHERE length(word) >= {least} GROUP BY word HAVING sum(n) >= {seen}),
+place AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM place),
+blot AS MATERIALIZED (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS rest FROM place),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM blot a JOIN blot b ON a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT cut.word, word.word, word.n FROM cut JOIN word ON rest = word.word
+  UNION ALL SELECT word.word, cut.word, cut.n FROM cut JOIN word ON rest = word.word),
+best AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'near': near}}) AS best FROM near GROUP BY word),
+form AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= {ratio} * n THEN best.near END AS form, CASE WHEN -best.m >= {ratio} * n THEN -best.m END AS form_n
+  FROM word LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.root = form.word WHERE form.form IS NOT NULL),
+last AS (SELECT walk.word, root FROM walk JOIN form ON walk.root = form.word WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_no_random_access": TOP_K,
     "op4_license_windows": licenses(),
     "op5_super_minhash": near_duplicates(4, 80),
     "op7_super_kmers": substrings(),
+    "op11_inverted_treaps": lexical(),
+    "op12_neighbourhoods": spelling(),
     "op13_prefix_decontamination": decontamination(),
 }

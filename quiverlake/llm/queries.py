@@ -102,6 +102,18 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
 
 
+def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -120,5 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_markov_secrets": op10_markov_secrets,
+    "op11_inverted_treaps": op11_inverted_treaps,
+    "op12_neighbourhoods": op12_neighbourhoods,
     "op13_prefix_decontamination": op13_prefix_decontamination,
 }
