@@ -35,6 +35,8 @@ def hard(spark, tmp_path_factory):
     rows = [(i, t, "en", "s", len(t or ""), 0.5) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    items = [(0, GRANT + " x"), (1, PASSAGE), (2, "one two"), (3, ""), (4, None), (5, "ONE"), (6, " ".join(base[20:45])), (7, "é€ two")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
@@ -60,7 +62,8 @@ def test_equals_sql(spark, at, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{at}/documents.parquet{'' if at == SMALL else '/*.parquet'}'")
+    for name_ in ("documents", "benchmark"):
+        con.execute(f"create view {name_} as select * from '{at}/{name_}.parquet{'' if at == SMALL else '/*.parquet'}'")
     df = QUERIES[name](spark, at)
     cols = sorted(df.columns)
     want = con.sql(ORACLE_SQL[name])
