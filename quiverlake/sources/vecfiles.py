@@ -1,71 +1,28 @@
-"""Vector files: repeated records of a dimension and values (fvecs, bvecs, ivecs), and fbin with one header; raw arrays of numbers.
-
-Readers go through Spark's binary reader, so any store that Spark reads will do.  A file
-is one task; split large sets over several files.
-"""
+"""Vector files as DataFrames: fvecs, bvecs, ivecs, fbin and raw arrays of numbers, by the data source `vectors`."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = {"fvecs": "<f4", "bvecs": "u1", "ivecs": "<i4"}
-RAW = {"uint64": "<u8", "uint8": "u1"}
-
-
-def kind_of(path: str) -> str:
-    """The kind of a file, by the ending of its name."""
-    kind = path.rsplit(".", 1)[-1]
-    if kind not in (*KINDS, "fbin"):
-        raise ValueError(f"not a vector file: {path}")
-    return kind
-
-
-def parse(raw: bytes, kind: str) -> np.ndarray:
-    """The vectors of a file's bytes, checked: 0 < dimension < 1e6 and a whole number of records."""
-    if kind == "fbin":
-        n, d = np.frombuffer(raw[:8], "<i4")
-        if len(raw) != 8 + 4 * int(n) * int(d):
-            raise ValueError("fbin size does not match its header")
-        return np.frombuffer(raw[8:], "<f4").reshape(n, d)
-    if not raw:
-        return np.zeros((0, 0), KINDS[kind])
-    (d,) = np.frombuffer(raw[:4], "<i4")
-    size = 4 + int(d) * np.dtype(KINDS[kind]).itemsize
-    if not 0 < d < 1_000_000 or len(raw) % size:
-        raise ValueError("not a whole number of records")
-    return np.frombuffer(raw, np.uint8).reshape(-1, size)[:, 4:].copy().view(KINDS[kind])
-
-
-def dump(x: np.ndarray, kind: str) -> bytes:
-    """A file's bytes; bvecs values are clamped to 0..255 and truncated."""
-    if kind == "fbin":
-        return np.array(x.shape, "<i4").tobytes() + np.ascontiguousarray(x, "<f4").tobytes()
-    values = np.clip(x, 0, 255) if kind == "bvecs" else x
-    body = np.ascontiguousarray(values.astype(KINDS[kind])).view(np.uint8).reshape(len(x), -1)
-    head = np.tile(np.array([x.shape[1]], "<i4").view(np.uint8), (len(x), 1))
-    return np.concatenate([head, body], 1).tobytes()
-
-
-def read(spark: SparkSession, path: str, kind: str | None = None, max_rows: int | None = None, files: int | None = None) -> DataFrame:
-    """(file, vec_id, embedding): vec_id is the position in the file.
-
-    The ending tells the kind where none is given.  `max_rows` counts for each file of any
-    kind; `files` takes the first so many in order of name.
-    """
+from .vectorsource import RAW, WHOLE, VectorFiles
+from .vectorsource import kind_of as kind_of
+
 
-    def run(frames):
-        for pdf in frames:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                x = parse(raw, kind or kind_of(name))[:max_rows]
-                yield pd.DataFrame({"file": name, "vec_id": np.arange(len(x)), "embedding": list(x.astype(np.float32))})
+def _format(spark: SparkSession, way, **options):
+    spark.dataSource.register(VectorFiles)
+    return way.format("vectors").options(**{k: v for k, v in options.items() if v is not None})
 
-    found = spark.read.format("binaryFile").load(path)
-    if files is not None:
-        found = found.join(F.broadcast(found.select("path").orderBy("path").limit(files)), "path", "left_semi")
-    return found.select("path", "content").mapInPandas(run, "file string, vec_id long, embedding array<float>")
+
+def read(spark: SparkSession, path: str, kind: str | None = None, max_rows: int | None = None, files: int | None = None, split_bytes: int | None = None, ids: str = "file") -> DataFrame:
+    """(file, vec_id, embedding) of a file or a folder of them.
+
+    The ending tells the kind where none is given.  vec_id is the position in the file, or
+    with ids="all" the position in all files in order of name.  `max_rows` counts for each
+    file of any kind, and no more is read; `files` takes the first so many in order of
+    name.  A split has `split_bytes` bytes.
+    """
+    return _format(spark, spark.read, kind=kind, maxrows=max_rows, maxfiles=files, splitbytes=split_bytes, ids=ids).load(path)
 
 
 def read_raw(spark: SparkSession, path: str, kind: str, width: int, names: tuple[str, str, str] = ("query_id", "pos", "value")) -> DataFrame:
@@ -73,23 +30,18 @@ def read_raw(spark: SparkSession, path: str, kind: str, width: int, names: tuple
 
     A file that is not a whole number of rows is refused.
     """
+    if kind not in RAW or width < 1:
+        raise ValueError("a raw array has a kind and a width")
+    rows = _format(spark, spark.read, kind=kind, width=width, ids="all").load(path)
+    row, pos, value = names
+    return rows.select(F.col("vec_id").alias(row), F.posexplode("embedding").alias("p", value)).select(row, F.col("p").cast("long").alias(pos), value)
 
-    def run(frames):
-        for pdf in frames:
-            for raw in pdf["content"]:
-                x = np.frombuffer(raw, RAW[kind])
-                if width < 1 or len(raw) % (width * x.itemsize):
-                    raise ValueError("not a whole number of rows")
-                at = np.arange(len(x))
-                yield pd.DataFrame({names[0]: at // width, names[1]: at % width, names[2]: x.astype(np.int64)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"{names[0]} long, {names[1]} long, {names[2]} long")
-
-
-def write_raw(rows: DataFrame, path: str, kind: str, row: str = "query_id", pos: str = "pos", value: str = "value") -> None:
-    """One raw array in order of row and position, a row at a time on the driver."""
-    each = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("long").alias("v")))), lambda s: s["v"]).alias("v")).orderBy(row)
-    _written(rows.sparkSession, path, (np.array(r.v, RAW[kind]).tobytes() for r in each.toLocalIterator()))
+def write_raw(rows: DataFrame, path: str, kind: str, row: str = "query_id", pos: str = "pos", value: str = "value", parts: int = 1) -> None:
+    """Raw arrays in order of row and position."""
+    cells = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("long").alias("v"))))
+    each = rows.groupBy(F.col(row).alias("vec_id")).agg(F.transform(cells, lambda s: s["v"]).alias("embedding"))
+    write(each, path, kind, parts)
 
 
 def paths(folder: str, selectivity: int) -> dict[str, str]:
@@ -114,24 +66,8 @@ def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def _written(spark: SparkSession, path: str, pieces) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(conf).create(at, True)
-    for piece in pieces:
-        out.write(bytearray(piece))
-    out.close()
-
-
 def write(rows: DataFrame, path: str, kind: str, parts: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
-    """Files part-N.<kind> in id order, through Spark's Hadoop file system."""
-    spark = rows.sparkSession
-    ordered = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
-
-    def run(frames):
-        made = [np.stack(pdf["embedding"].to_numpy()) for pdf in frames if len(pdf)]
-        if made:
-            yield pd.DataFrame({"content": [dump(np.concatenate(made), kind)]})
-
-    for n, row in enumerate(ordered.mapInPandas(run, "content binary").toLocalIterator()):  # one file at a time on the driver
-        _written(spark, f"{path}/part-{n:05d}.{kind}", [row.content])
+    """Files part-N.<kind> in id order, `parts` at most; each task writes its own."""
+    values = F.col(vector_col).cast("array<long>" if kind in WHOLE else "array<float>").alias("embedding")
+    ordered = rows.select(F.col(id_col).alias("vec_id"), values).repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
+    _format(rows.sparkSession, ordered.write.mode("overwrite"), kind=kind).save(path)

@@ -10,7 +10,6 @@ from quiverlake.operators import dense
 from quiverlake.operators import graph as G
 from quiverlake.operators import product as P
 from quiverlake.operators import search as S
-from quiverlake.sources import vecfiles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -167,21 +166,6 @@ def test_recluster_keeps_members(spark):
     assert C.recluster_within(rows, minis, 50).select("vec_id").distinct().count() == rows.count()
 
 
-@pytest.mark.parametrize("kind", ["fvecs", "bvecs", "ivecs", "fbin"])
-def test_files_round_trip(spark, tmp_path, kind):
-    x = np.arange(24).reshape(6, 4)
-    assert (vecfiles.parse(vecfiles.dump(x, kind), kind) == x).all()
-    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    vecfiles.write(rows, str(tmp_path / kind), kind)
-    got = vecfiles.read(spark, str(tmp_path / kind), kind, max_rows=5).orderBy("vec_id").collect()
-    assert [r.embedding for r in got] == x[:5].tolist()
-
-
-def test_bad_file_is_refused():
-    with pytest.raises(ValueError):
-        vecfiles.parse(vecfiles.dump(np.ones((2, 3)), "fvecs")[:-1], "fvecs")
-
-
 def test_streaming_insert_equals_batch(spark, tmp_path):
     from quiverlake.streaming.inserts import stream_insert
 
