@@ -145,7 +145,7 @@ _PAIRS = f"WITH {_V}, {_BQ}, d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')
 
 @query("within_factor_count", f"{_PAIRS}, m AS (SELECT query_id, min(dist) AS d0 FROM d GROUP BY query_id) SELECT query_id, count(*) AS n_within FROM d JOIN m USING (query_id) WHERE dist <= d0 + abs(d0) * (1.2 - 1) GROUP BY query_id")
 def within_factor_count(s, d):
-    return S.within_factor(S.scored(asked(s, d), base(s, d)), 1.2)
+    return S.within_factor(asked(s, d), base(s, d), 1.2)
 
 
 @query("radius_join", f"{_PAIRS} SELECT query_id, vec_id, round(dist, 6) AS dist FROM d WHERE dist <= 1.6")
@@ -500,8 +500,7 @@ def lambda_estimate(s, d):
 
 @query("knn_graph", f"WITH {_V}, {_BQ}, d AS (SELECT x.vec_id AS query_id, y.vec_id, {_d('l2', 'y.e', 'x.e')} AS dist FROM b x JOIN b y ON x.vec_id <> y.vec_id) {_top('d', 5)}")
 def knn_graph(s, d):
-    own = base(s, d).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
-    return rounded(S.top_k(S.scored(own, base(s, d)).where("query_id <> vec_id"), 5).select("query_id", "rank", "vec_id", "dist"))
+    return rounded(S.knn_graph(base(s, d), 5))
 
 
 @query("graph_degree_stats")
@@ -714,8 +713,7 @@ SELECT src, pos, dst, round(dist, 6) AS dist FROM last JOIN near USING (src, dst
 
 @query("rng_prune_edges", _PRUNE)
 def rng_prune_edges(s, d):
-    own = base(s, d).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
-    near = S.top_k(S.scored(own, base(s, d)).where("query_id <> vec_id"), 20).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist")
+    near = S.knn_graph(base(s, d), 20).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist")
     return rounded(G.prune_edges(near, base(s, d), 8))
 
 
@@ -734,7 +732,14 @@ def ef_tuning(s, d):
     return S.recall_summary(S.recall(G.search(asked(s, d), rows, edges, K, ef=ef), truth, K)).select(F.lit(ef).alias("ef"), "avg_recall")
 
 
-_U = "((((vec_id % 1048576) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0::DOUBLE)"
+def _draw(of: str) -> str:
+    x = f"((({of} % 1073741824) * {V.SPREAD[0]} + (({of} >> 30) % 1073741824) * {V.SPREAD[1]} + (({of} >> 60) % 16) * {V.SPREAD[2]} + 12345) % 4294967296)"
+    for shift, factor in V.STIR:
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) % 4294967296)"
+    return f"((xor({x}, {x} >> 16) + 0.5) / 4294967296.0::DOUBLE)"
+
+
+_U = _draw("vec_id")
 
 
 def _k(n: str, size: int) -> str:
@@ -895,17 +900,18 @@ def mask_bits(s, d):
     return packed.select("part", F.get("m", F.lit(0)).alias("low"), F.get("m", F.lit(1)).alias("high"), back.alias("n"))
 
 
-@query("cluster_numbers", "SELECT CAST(n AS INTEGER) AS n, CAST(" + _k("n", 50) + " AS INTEGER) AS k FROM (VALUES (10), (80), (81), (130), (131), (480), (1920)) t(n)")
+@query("cluster_numbers", "SELECT label, n, CAST(" + _k("n", 7) + " AS BIGINT) AS k FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
 def cluster_numbers(s, d):
-    sizes = (10, 80, 81, 130, 131, 480, 1920)
-    return s.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(C.num_centroids(n, 50)).alias("k")) for n in sizes))))
+    """How many clusters of about seven the vectors of each label would make."""
+    return vectors(s, d).groupBy("label").agg(F.count("*").alias("n")).withColumn("k", C.num_centroids_of(F.col("n"), 7))
 
 
-@query("duplicate_vectors", f"WITH {_V}, g AS (SELECT list_transform(e[1:5], lambda x: x > 0) AS g, min(vec_id) AS first_id, count(*) AS n FROM v GROUP BY 1) SELECT first_id, n FROM g WHERE n > 1")
+@query("duplicate_vectors", f"WITH {_V}, w AS (SELECT vec_id, e FROM v UNION ALL SELECT vec_id + 1000000, e FROM v WHERE label < 3 UNION ALL SELECT vec_id + 2000000, e FROM v WHERE label = 1) SELECT min(vec_id) AS first_id, count(*) AS n FROM w GROUP BY e HAVING count(*) > 1")
 def duplicate_vectors(s, d):
-    """Rows whose vectors are equal, here the signs of five components."""
-    signs = vectors(s, d).select("vec_id", F.transform(F.slice("e", 1, 5), lambda x: x > 0).alias("g"))
-    return signs.groupBy("g").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
+    """Rows whose vectors are equal, in the table with some of its rows once or twice more under new ids."""
+    own = vectors(s, d).select("vec_id", "e", "label")
+    again = lambda where, more: own.where(where).withColumn("vec_id", F.col("vec_id") + more)
+    return S.duplicates(own.unionByName(again("label < 3", 1_000_000)).unionByName(again("label = 1", 2_000_000)))
 
 
 @query("mega_split")
@@ -965,9 +971,10 @@ def file_chunk(s, d):
     return vecfiles.read(s, f"{at}/part-00000.fvecs").select((F.col("vec_id") + 2 * (n // 7)).alias("vec_id"), F.posexplode("embedding").alias("pos", "x"))
 
 
-@query("pair_distances", f"WITH {_V} SELECT x.vec_id AS a, y.vec_id AS b, round({_d('l2', 'x.e', 'y.e')}, 6) AS dist FROM v x JOIN v y ON y.vec_id = (x.vec_id * 31 + 7) % 600")
+@query("pair_distances", f"WITH {_V} SELECT x.vec_id AS a, y.vec_id AS b, round({_d('l2', 'x.e', 'y.e')}, 6) AS dist FROM v x JOIN v y ON y.vec_id = (x.vec_id * 31 + 7) % (SELECT count(*) FROM embeddings)")
 def pair_distances(s, d):
-    pairs = vectors(s, d).select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 31 + 7) % 600).alias("b"))
+    n = vectors(s, d).count()
+    pairs = vectors(s, d).select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 31 + 7) % n).alias("b"))
     return rounded(S.by_pairs(pairs, vectors(s, d)))
 
 
@@ -1035,12 +1042,14 @@ def hnsw_recall(s, d):
     return S.recall_summary(S.recall(hnsw_search(s, d), _truth(s, d), K))
 
 
-@query("random_vector_table", "SELECT 1000 AS n, 16 AS dim, true AS inside")
+@query("random_vector_table", "SELECT count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dim, true AS inside FROM embeddings")
 def random_vector_table(s, d):
+    """As many random vectors of as many dimensions as the table has."""
     from .sources import vecfiles
 
-    rows = vecfiles.random_vectors(s, 1000, 16, -1.0, 1.0)
-    return rows.agg(F.count("*").cast("int").alias("n"), F.max(F.size("embedding")).alias("dim"), F.bool_and(F.forall("embedding", lambda x: (x >= -1) & (x < 1))).alias("inside"))
+    like = vectors(s, d).agg(F.count("*").alias("n"), F.max(F.size("e")).alias("dim")).first()
+    rows = vecfiles.random_vectors(s, like.n, like.dim, -1.0, 1.0)
+    return rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.bool_and(F.forall("embedding", lambda x: (x >= -1) & (x < 1))).alias("inside"))
 
 
 @query("roundtrip_index", ORACLE_SQL["two_level_search"])

@@ -111,9 +111,22 @@ def pairwise_decode(codes: Column, mask: Column, low: Column, width: Column, tig
     return _ranged(codes, mask, low, width, tight_low, tight_width, lambda c, a, w: c * (w / 4) + (w / 8 + a), group)
 
 
+#: Fixed odd factors of the draws' mixer, all below 2**32 so that no product leaves 63 bits.
+SPREAD, STIR = (2654435761, 2246822519, 3266489917), ((15, 739982445), (13, 695872825))
+
+
 def uniform(number: Column) -> Column:
-    """A number in (0, 1) that depends on a whole number alone, for draws that every run repeats."""
-    return (F.pmod(F.pmod(number, F.lit(1 << 20)) * 2654435761 + 12345, F.lit(1 << 32)) + 0.5) / float(1 << 32)
+    """A number in (0, 1), a multiple of 2**-33, that depends on all 64 bits of a whole number, for draws that every run repeats.
+
+    Parts of the number are spread over 32 bits, which are then stirred by shifts and
+    products; plain arithmetic, so that any SQL can say it.
+    """
+    number, word = number.cast("long"), F.lit(1 << 32)
+    parts = (F.pmod(number, F.lit(1 << 30)), F.pmod(F.shiftright(number, 30), F.lit(1 << 30)), F.pmod(F.shiftright(number, 60), F.lit(16)))
+    x = F.pmod(parts[0] * SPREAD[0] + parts[1] * SPREAD[1] + parts[2] * SPREAD[2] + 12345, word)
+    for shift, factor in STIR:
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * factor, word)
+    return (x.bitwiseXOR(F.shiftright(x, 16)) + 0.5) / float(1 << 32)
 
 
 def _bit(i: Column) -> Column:

@@ -46,6 +46,11 @@ def num_centroids(n: int, size: int) -> int:
     return max(1, n // size + (n % size > 0.6 * size))
 
 
+def num_centroids_of(n: Column, size: int) -> Column:
+    """num_centroids of a column of numbers."""
+    return F.greatest(F.lit(1), F.floor(n / size) + (n % size > 0.6 * size).cast("long")).cast("long")
+
+
 def centroid_sizes(n: int, k: int, ratio: float = 1.0, least: int = 50_000) -> tuple[int, int]:
     """(smallest, largest) number of training rows a cluster, of a sample of n * ratio rows or `least`."""
     sample = min(max(int(n * ratio), least), n)
@@ -57,11 +62,37 @@ def sampled(rows: DataFrame, most: int, n: int, id_col: str = "vec_id") -> DataF
     return rows if most >= n else rows.where(uniform(F.col(id_col)) < most / n)
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "cid", first: int = 0) -> tuple[DataFrame, int]:
+    """(rows with their place in an order as `name`, their number): sorted in ranges, and each range goes on where the one before ends.
+
+    Only the sizes of the ranges come to the driver.
+    """
+    parts = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    parts = saved(parts.withColumn("__part", F.spark_partition_id()))
+    sizes = dict(parts.groupBy("__part").count().collect())
+    begin, starts = first, {}
+    for part in sorted(sizes):
+        starts[part], begin = begin, begin + sizes[part]
+    if not sizes:
+        return rows.withColumn(name, F.lit(0).cast("long")).limit(0), 0
+    offset = F.get(F.array(*(F.lit(starts.get(p, 0)) for p in range(max(sizes) + 1))), F.col("__part"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a checkpoint's partitions, which stay as they are
+    return parts.withColumn(name, (offset + place).cast("long")).drop("__part"), begin - first
+
+
 def hashed_init(rows: DataFrame, k: int) -> DataFrame:
-    """k starting centroids: the rows whose draws are smallest, which each task finds for itself before one merge of k rows."""
-    order = (uniform(F.col("vec_id")), F.col("vec_id"))
-    first = rows.select("vec_id", "e").orderBy(*order).limit(k)
-    return first.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("cid"), F.col("e").alias("c"))
+    """k starting centroids: the rows whose draws are smallest.
+
+    Draws below a bound that lets somewhat more than k rows through are put in order; were
+    they fewer than k (draws are even, so that hardly happens), all rows are.
+    """
+    draw, n = uniform(F.col("vec_id")), rows.count()
+    bound = (k + 8 * k**0.5 + 32) / max(n, 1)
+    some = rows.select("vec_id", F.col("e").alias("c"), draw.alias("__draw"))
+    made, found = numbered(some.where(F.col("__draw") < bound) if bound < 1 else some, "__draw", "vec_id")
+    if found < k and bound < 1:
+        made, _ = numbered(some, "__draw", "vec_id")
+    return made.where(F.col("cid") < k).select("cid", "c")
 
 
 def kmeans(rows: DataFrame, centroids: DataFrame, iterations: int, metric: str = "l2", spherical: bool = False, balance: float = 0.0) -> DataFrame:

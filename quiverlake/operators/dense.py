@@ -166,6 +166,59 @@ def nearest_rows(queries: Few, base: DataFrame, k: int, metric: str) -> DataFram
     return base.select(F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(run, FOUND)
 
 
+def nearest_in_blocks(queries: DataFrame, base: DataFrame, k: int, metric: str, most: int | None = None) -> DataFrame:
+    """(query_id, vec_id, dist): as nearest_rows where the queries are more than may travel: both sides are dealt into blocks of at most about `most` bytes, and each pair of blocks is a task's unit.
+
+    The base is shuffled once for each block of queries.  No key holds more than two blocks.
+    """
+    most = most or BROADCAST_BYTES // 2
+    blocks = lambda df, v: max(1, -(-size_of(df, v) // most))
+    queries, base = queries.select("query_id", "qe"), base.select(F.col("vec_id").cast("long").alias("vec_id"), "e")
+    n, m = blocks(queries, "qe"), blocks(base, "e")
+    number = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = queries.withColumn("q", number("query_id", n)).withColumn("b", every(m))
+    right = base.withColumn("b", number("vec_id", m)).withColumn("q", every(n))
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        q, ok = matrix(asked.column("qe"))
+        ids = asked.column("query_id").to_numpy()
+        ok &= np.asarray(asked.column("query_id").is_valid())
+        best = Best(q[ok], k, metric)
+        for batch in rows.to_batches(max_chunksize=10_000) if ok.any() else ():
+            _, names, x = _usable(batch, "vec_id", "e", q.shape[1])
+            best.add(names, x)
+        return pa.Table.from_batches([best.rows(ids[ok].astype(np.int64))])
+
+    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(run, FOUND)
+
+
+def count_within(queries: Few, base: DataFrame, factor: float, metric: str) -> DataFrame:
+    """(query_id, n_within): rows of the base at most d0 + |d0| * (factor - 1) from each query, d0 its smallest distance."""
+    least = nearest_rows(queries, base, 1, metric).groupBy("query_id").agg(F.min("dist").alias("d0")).toArrow()  # a row a query
+    d0 = dict(zip(least.column("query_id").to_pylist(), least.column("d0").to_pylist()))
+    limit = np.array([d0.get(i, -np.inf) for i in queries.ids.tolist()])
+    shared = base.sparkSession.sparkContext.broadcast((queries, limit + np.abs(limit) * (factor - 1) if len(limit) else limit))
+
+    def run(batches):
+        q, most = shared.value
+        counts = np.zeros(len(q.ids), np.int64)
+        for batch in batches:
+            _, ids, x = _usable(batch, "vec_id", "e", q.x.shape[1])
+            step = max(1, CELLS // max(1, len(q.ids)))
+            for a in range(0, len(ids), step):
+                part = x[a : a + step]
+                d, room = near(metric, part, q.x) - most[:, None], slack(part, q.x)
+                counts += (d < -room).sum(1)
+                query, at = np.nonzero(np.abs(d) <= room)  # too close to tell
+                np.add.at(counts, query, distance(metric, part[at], q.x[query]) <= most[query])
+        on = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(q.ids[on]), pa.array(counts[on])], names=["query_id", "n_within"])
+
+    parts = base.select(F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(run, "query_id long, n_within long")
+    return parts.groupBy("query_id").agg(F.sum("n_within").alias("n_within"))
+
+
 def rows_within(queries: Few, base: DataFrame, radius: float, metric: str) -> DataFrame:
     """(query_id, vec_id, dist): all rows (vec_id, e) at most `radius` from each query."""
     shared = base.sparkSession.sparkContext.broadcast(queries)

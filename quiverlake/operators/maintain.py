@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, normalized, uniform
 from . import dense
-from .cluster import assign, clustered, hashed_init, kmeans, lloyd, means, member_distances, saved, silhouettes
+from .cluster import assign, clustered, hashed_init, kmeans, lloyd, means, member_distances, numbered, saved, silhouettes
 from .quantize import decode, encode, train
 from .search import paired, probes, top_k
 
 INDEX = ("vec_id", "e", "mini_id", "mega_id")
-#: Ids that one pool may give.
+#: Ids that one pool may give; a pool with more minis is refused.
 STRIDE = 1 << 20
 
 
@@ -38,6 +38,8 @@ def pooled(rows: DataFrame, mini_size: int, minis_of: int, first_id: int = 0, it
         pdf = pdf.sort_values("vec_id")
         x = np.stack(pdf["e"].to_numpy())
         names, mini = np.unique(lloyd(x, mini_size, iterations), return_inverse=True)
+        if len(names) > STRIDE:
+            raise ValueError(f"a pool gives at most {STRIDE} minis: deal its rows into more pools")
         centres = np.zeros((len(names), x.shape[1]))
         np.add.at(centres, mini, x)
         mega = lloyd(centres / np.bincount(mini)[:, None], minis_of, iterations)
@@ -77,9 +79,8 @@ def recluster(index: DataFrame, mini_size: int, minis_of: int, fast: bool, itera
     """Every mega clustered anew from its vectors, by itself (fast), or the megas in groups of a few."""
     if not fast:
         return recluster_full(index, 3, mini_size, minis_of, iterations)
-    pools = index.select("mega_id").distinct()
-    number = F.row_number().over(Window.orderBy("mega_id")) - 1  # of megas, which are few
-    return replaced(index, pools.withColumn("pool", number.cast("long")), mini_size, 1 << 30)
+    pools, _ = numbered(index.select("mega_id").distinct(), "mega_id", name="pool")
+    return replaced(index, pools, mini_size, 1 << 30)
 
 
 def recluster_full(index: DataFrame, megas_of: int, mini_size: int, minis_of: int, iterations: int = 5) -> DataFrame:
@@ -241,8 +242,8 @@ def split_megas(index: DataFrame, most: int, mini_size: int, minis_of: int) -> D
     sides = F.explode(F.array(F.lit(1), F.lit(-1)))
     halves = megas.select("mega_id", "c", sides.alias("side"))
     moved = F.transform("c", lambda x, i: x * (1 + F.col("side") * F.when(i % 2 == 0, 1).otherwise(-1) / F.lit(1024.0)))
-    number = F.row_number().over(Window.orderBy("mega_id", "side")) - 1  # of halves, which are as few as megas
-    halves = saved(halves.select("mega_id", number.cast("long").alias("mini_id"), moved.alias("c")))
+    halves, _ = numbered(halves.select("mega_id", "side", moved.alias("c")), "mega_id", "side", name="mini_id")
+    halves = saved(halves.select("mega_id", "mini_id", "c"))
     rows = saved(index.join(big, "mega_id", "left_semi").select("vec_id", "e", "mega_id"))
     if rows.isEmpty():
         return index.select(*INDEX)

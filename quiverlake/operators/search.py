@@ -46,13 +46,37 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> Data
     """Exact k nearest neighbours.  Filters belong on `base`, where they reach the scan.
 
     The queries travel, the base is read once where it is; a query table beyond the budget
-    meets it in blocks.
+    meets it in blocks, by the same matrix products.
     """
-    asked = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe")
-    pairs = scored(queries, base, metric) if asked is None else dense.nearest_rows(asked, base, k, metric)
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "qe")
+    asked = dense.few(queries, "query_id", "qe")
+    pairs = dense.nearest_in_blocks(queries, base, k, metric) if asked is None else dense.nearest_rows(asked, base, k, metric)
     return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
 
 
+def knn_graph(rows: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(query_id, rank, vec_id, dist): each row's k nearest others, exactly; ids are unique.
+
+    One more is asked for, since a row finds itself; a copy of it with a smaller id may take
+    its place at distance 0, so the row goes by its id and not by its rank.
+    """
+    own = rows.select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    found = knn(own, rows, k + 1, metric).where("query_id <> vec_id")
+    return top_k(found.drop("rank"), k).select("query_id", "rank", "vec_id", "dist")
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """(first_id, n): groups of rows (vec_id, e) with equal vectors; null vectors are equal to none.
+
+    Hashes are counted first, so only vectors whose hash repeats travel, and they are
+    grouped by all their components.
+    """
+    hashed = rows.where(F.col("e").isNotNull()).withColumn("hash", F.xxhash64("e"))
+    again = hashed.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    met = hashed.join(again, "hash", "left_semi").groupBy("hash", "e").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    return met.where("n > 1").select("first_id", "n")
+
+
 def by_pairs(pairs: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame:
     """(a, b, dist) of pairs of ids (a, b); a pair with an id that is not there has none."""
     left, right = (base.select(F.col("vec_id").alias(c), F.col("e").alias(f"e_{c}")) for c in ("a", "b"))
@@ -74,10 +98,16 @@ def within_radius(queries: DataFrame, base: DataFrame, radius: float, metric: st
     return scored(queries, base, metric).where(F.col("dist") <= radius) if asked is None else dense.rows_within(asked, base, radius, metric)
 
 
-def within_factor(pairs: DataFrame, factor: float) -> DataFrame:
-    """How many of each query's distances are at most d0 + |d0| * (factor - 1), d0 its smallest."""
-    least = pairs.groupBy("query_id").agg(F.min("dist").alias("d0"))
-    near = pairs.join(least, "query_id").where(F.col("dist") <= F.col("d0") + F.abs("d0") * (factor - 1))
+def within_factor(queries: DataFrame, base: DataFrame, factor: float, metric: str = "l2") -> DataFrame:
+    """(query_id, n_within): how many distances of each query are at most d0 + |d0| * (factor - 1), d0 its smallest.
+
+    Two passes over the base: the nearest row of each query, then counts by task.
+    """
+    asked = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe")
+    if asked is not None:
+        return dense.count_within(asked, base, factor, metric)
+    nearest = knn(queries, base, 1, metric).select("query_id", (F.col("dist") + F.abs("dist") * (factor - 1)).alias("limit"))
+    near = scored(queries, base, metric).join(nearest, "query_id").where(F.col("dist") <= F.col("limit"))
     return near.groupBy("query_id").agg(F.count("*").alias("n_within"))
 
 
