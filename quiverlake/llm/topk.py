@@ -2,18 +2,18 @@
 
 Every component is a list: a block's vectors sorted by that component, read from the top
 for a query whose weight is positive and from the bottom where it is negative.  All
-lists are read to the same depth, which doubles from round to round.  What has been read
-gives each vector a lower bound (unread components at the list's far end) and an upper
-bound (unread components at the last value read).  The k-th best lower bound, or the k-th
-best score of the blocks before if that is higher, is the floor: a vector whose upper
-bound stays below it is an outsider.  A query stops once few enough can still qualify, and
-only their scores are resolved.  Where a round leaves most vectors of most queries open
-the lists are read to their ends at once, where both bounds are the score.
-
-Queries are dealt into blocks and candidates into lanes; every pair of a query block and a
-lane is a unit of work that reads its candidates in blocks of bounded size, one after
-another, and returns k rows a query.  A last window takes the k best.  Bounds are doubles
-with room for rounding; scores are exact integers (sums outside 64 bits saturate).
+lists are read to the same depth; after each round half of what is unread is read, so
+steps get finer towards the end.  What has been read gives each vector a lower bound
+(unread components at the list's far end) and an upper bound (unread components at the
+last value read).  The k-th best lower bound, or the k-th best score of the blocks before
+if that is higher, is the floor: a vector whose upper bound stays below it is an outsider.
+A query stops once few enough can still qualify, and only their scores are resolved.
+
+Candidates are dealt into lanes of bounded bytes; a lane is a unit of work that sorts its
+lists once, block by block, and holds them while all queries travel by, a block at a time.
+It returns k rows a query and how deep it has read; a last window takes the k best.
+Bounds are doubles with room for rounding; scores are exact integers (sums outside 64 bits
+saturate).
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take
 no part.  Missing components of shorter vectors count as zero.  Equal scores go to the
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_stage, gathered, partitions, stage_table
 
-#: Rows and bytes of a block of candidates, and rows of a block of queries.
-CANDIDATES, BLOCK_BYTES, QUERIES = 4096, 32 << 20, 1024
-#: Share of the lists that the first round reads, and the share of open vectors from which on the rest is read at once.
-FIRST, MOST_OPEN = 1 / 8, 1 / 2
-PARTIAL = "query_id long, vec_id long, score long"
+#: Rows of a block of candidates and of a block of queries, and bytes of a lane of candidates.
+CANDIDATES, QUERIES, LANE_BYTES = 4096, 1024, 32 << 20
+#: Share of the lists that the first round reads.
+FIRST = 1 / 2
+PARTIAL = "query_id long, vec_id long, score long, read long, size long"
 
 
 def _integers(batches, scale: float):
@@ -53,7 +53,7 @@ def _integers(batches, scale: float):
 
 
 def _matrix(raw: list[bytes], width: int) -> np.ndarray:
-    if all(len(r) == 8 * width for r in raw):
+    if width and all(len(r) == 8 * width for r in raw):
         return np.frombuffer(b"".join(raw), "<f8").reshape(-1, width)
     out = np.zeros((len(raw), width))
     for i, r in enumerate(raw):
@@ -76,12 +76,12 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class SortedLists:
     """One block's lists, and the bounds after reading them to a depth."""
 
-    def __init__(self, x: np.ndarray):
-        self.x, n = x, len(x)
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, n = ids, x, len(x)
         order = np.argsort(x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(x, order, 0)
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(n)[:, None], 0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], 0)
 
     def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) scores, queries by vectors; up and down are the positive and negative weights."""
@@ -101,6 +101,7 @@ class Search:
         self.query_ids, self.q, self.k = query_ids, q, k
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]  # (scores, ids), best first
         self.floor = np.full(len(q), -np.inf)
+        self.read, self.size = np.zeros(len(q), np.int64), 0  # entries of each list read, and there
 
     def _resolve(self, query: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray) -> None:
         """Exact scores of the vectors that may qualify, merged with the best so far."""
@@ -112,20 +113,17 @@ class Search:
         if len(order) == self.k:
             self.floor[query] = float(scores[order[-1]])
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        n, k, width = len(ids), self.k, max(x.shape[1], self.q.shape[1])
-        if x.shape[1] < width:
-            x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        if self.q.shape[1] < width:
-            self.q = np.pad(self.q, ((0, 0), (0, width - self.q.shape[1])))
+    def add(self, lists: SortedLists) -> None:
+        """Read a block's lists round by round, until each query has few left that can qualify."""
+        ids, x = lists.ids, lists.x
+        n, k, width = len(ids), self.k, x.shape[1]
+        self.size += n
         scale = float(np.abs(x).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * max(1, width)
         room = 0.0 if scale < 1 << 53 else scale * width * 2.0**-50  # what rounding may do to a bound
-        if not np.isfinite(4 * scale * width):  # no bound can be told
-            for query in range(len(self.q)):
-                self._resolve(query, ids, x, np.arange(n))
-            return
-        lists, up, down = SortedLists(x), np.maximum(self.q, 0), np.minimum(self.q, 0)
+        up, down = np.maximum(self.q, 0), np.minimum(self.q, 0)
         todo, depth = np.arange(len(self.q)), max(1, int(n * FIRST))
+        if not np.isfinite(4 * scale * width):  # no bound can be told
+            depth = n
         while len(todo) and depth < n:
             lower, upper = lists.bounds(up[todo], down[todo], depth)
             own = ids[None] == self.query_ids[todo][:, None]
@@ -134,71 +132,79 @@ class Search:
             if n > k:
                 floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
             open_ = upper >= (floor - 2 * room)[:, None]  # those that tie with the k-th stay open, for the smaller id
-            count = open_.sum(1)
-            few = count <= max(4 * k, n // 32)
+            few = open_.sum(1) <= max(4 * k, n // 32)
             for r in np.flatnonzero(few):
                 self._resolve(todo[r], ids, x, np.flatnonzero(open_[r]))
-            todo, depth = todo[~few], n if np.median(count) > MOST_OPEN * n else 2 * depth
-        for a in range(0, len(todo), 256):  # read to the ends: both bounds are the score
-            score = self.q[todo[a : a + 256]] @ x.T
-            for r, query in enumerate(todo[a : a + 256]):
-                score[r, ids == self.query_ids[query]] = -np.inf
-                floor = max(self.floor[query], np.partition(score[r], n - k)[n - k] if n > k else -np.inf)
-                self._resolve(query, ids, x, np.flatnonzero(score[r] >= floor - 2 * room))
+            self.read[todo[few]] += depth
+            todo, depth = todo[~few], n - (n - depth) // 2
+        self.read[todo] += n
+        for query in todo:  # read to the ends
+            self._resolve(query, ids, x, np.arange(n))
 
     def rows(self) -> pa.RecordBatch:
-        names = np.repeat(self.query_ids, [len(s) for s, _ in self.best])
-        columns = [names, *(np.concatenate([*(b[i] for b in self.best), np.zeros(0, np.int64)]) for i in (1, 0))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        """The best of each query; its first row says how many entries of each list were read, and how many there are."""
+        sizes = np.array([len(s) for s, _ in self.best], np.int64)
+        first = np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]
+        read, size = np.zeros(sizes.sum(), np.int64), np.zeros(sizes.sum(), np.int64)
+        read[first], size[first] = self.read[sizes > 0], self.size
+        columns = [np.repeat(self.query_ids, sizes), *(np.concatenate([*(b[i] for b in self.best), np.zeros(0, np.int64)]) for i in (1, 0)), read, size]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "read", "size"])
 
 
-def _units(batches, k: int, most: int):
-    """Rows come sorted by unit, the queries (role 0) first."""
-    unit, asked, held, size, search = None, [], [], 0, None
+def _lanes(batches, k: int, width: int, most: int):
+    """Rows come sorted by lane, the candidates (role 0) first, then the queries."""
+    lane, held, asked, lists = None, [], [], []
 
     def side(rows):
-        return np.array([i for i, _ in rows], np.int64), _matrix([v for _, v in rows], max(len(v) // 8 for _, v in rows))
+        return np.array([i for i, _ in rows], np.int64), _matrix([v for _, v in rows], width)
 
-    def flush():
-        nonlocal held, size, search
-        if held and asked:
-            search = search or Search(*side(asked), k)
-            search.add(*side(held))
-        held, size = [], 0
+    def sorted_():
+        if held:
+            lists.append(SortedLists(*side(held)))
+            held.clear()
+
+    def answered():
+        if asked and lists:
+            search = Search(*side(asked), k)
+            for block in lists:
+                search.add(block)
+            yield search.rows()
+        asked.clear()
 
     for batch in batches:
-        for block, lane, role, i, v in zip(*(batch.column(c).to_pylist() for c in ("query_block", "lane", "role", "vec_id", "vector"))):
-            if (block, lane) != unit:
-                flush()
-                if search:
-                    yield search.rows()
-                unit, asked, search = (block, lane), [], None
+        for own, role, i, v in zip(*(batch.column(c).to_pylist() for c in ("lane", "role", "vec_id", "vector"))):
+            if own != lane:
+                yield from answered()
+                lane, lists = own, []
+                held.clear()
             if role == 0:
-                asked.append((i, v))
+                held.append((i, v))
+                if len(held) >= most:
+                    sorted_()
                 continue
-            held.append((i, v))
-            size += len(v)
-            if len(held) >= most or size >= BLOCK_BYTES:
-                flush()
-    flush()
-    if search:
-        yield search.rows()
+            sorted_()
+            asked.append((i, v))
+            if len(asked) >= QUERIES:
+                yield from answered()
+    yield from answered()
 
 
 def top_k(vectors: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row for which the SQL predicate `queries` on vec_id holds, its k best others."""
+    """(query_id, rank, vec_id, score, depth): for each row for which the SQL predicate `queries` on vec_id holds, its k best others.
+
+    `depth` is the share of the lists that the query's walk has read, over all blocks.
+    """
     named = gathered(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")))
     parts = partitions(named)
-    rows = stage_table(arrow_stage(named, lambda b: _integers(b, scale), "vec_id long, vector binary"), "integers")
+    made = arrow_stage(named, lambda b: _integers(b, scale), "vec_id long, vector binary")
+    rows = stage_table(made.withColumn("place", F.monotonically_increasing_id()), "integers")
+    counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("vector")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("vector")), F.lit(0)).alias("widest")).first()
+    lanes = max(1, -(-counts.bytes // LANE_BYTES), min(-(-counts.n // block), parts))
+    candidates = rows.select(F.pmod(F.xxhash64("place"), F.lit(lanes)).cast("int").alias("lane"), F.lit(0).alias("role"), "vec_id", "vector")
     asking = rows.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.expr(queries)).alias("q")).first()
-    query_blocks = -(-counts.q // QUERIES) or 1
-    lanes = max(1, min(-(-counts.n // block), -(-parts // query_blocks)))
-    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("role"), "vec_id", "vector")
-    asked = asking.select(dealt(query_blocks, 2).alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("role"), "vec_id", "vector")
-    units = asked.unionByName(candidates).repartition(parts, "query_block", "lane").sortWithinPartitions("query_block", "lane", "role", "vec_id")
-    found = arrow_stage(units, lambda b: _units(b, k, block), PARTIAL)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    return gathered(found, named)
+    asked = asking.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(1).alias("role"), "vec_id", "vector")
+    units = candidates.unionByName(asked).repartition(max(parts, lanes), "lane").sortWithinPartitions("lane", "role", "vec_id")
+    found = arrow_stage(units, lambda b: _lanes(b, k, counts.widest // 8, block), PARTIAL)
+    own = Window.partitionBy("query_id")
+    found = found.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).withColumn("depth", F.sum("read").over(own) / F.sum("size").over(own))
+    return gathered(found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "depth"), named)
