@@ -95,7 +95,7 @@ def _bands(batches, width: int, rows: int, bands: int):
             band = np.zeros((len(sizes), bands), np.uint64)
             for r in range(rows):
                 band = mix(band * _GOLD + signature[:, r::rows]) + np.arange(bands, dtype=np.uint64)
-            sums = [np.concatenate([[0], np.cumsum(mix(values + np.uint64(seed)))]).astype(np.uint64) for seed in (11, 23)]
+            sums = [np.cumsum(np.append(np.uint64(0), mix(values + np.uint64(seed))), dtype=np.uint64) for seed in (11, 23)]
             keys = [(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]  # of the set, in any order
             lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * bands, band.ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *map(pa.array, keys), lists], names=["doc_id", "n_shingles", "key1", "key2", "bands"])

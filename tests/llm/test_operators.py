@@ -92,6 +92,40 @@ def test_top_k_ties_nulls_and_repeats(spark):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r["rank"])] == list(range(1, 21))
     assert {r.query_id for r in got} == {0, 20, 60} and all(r.vec_id != r.query_id for r in got)
     assert top_k(df.limit(0), "vec_id % 20 = 0").count() == 0
+    odd = spark.createDataFrame([(0, []), (1, []), (20, [float("inf")]), (21, [-float("inf"), 1.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id, r.score) for r in top_k(odd, "vec_id % 20 = 0").collect()] == [(0, 1, 0)]
+
+
+def _brute_top(ids, x, asked, k):
+    score = x[asked] @ x.T
+    want = {}
+    for q, row in zip(ids[asked], score):
+        order = [j for j in np.lexsort((ids, -row)) if ids[j] != q][:k]
+        want[int(q)] = [(int(ids[j]), int(row[j])) for j in order]
+    return want
+
+
+@pytest.mark.parametrize("kind", ["given", "clustered"])
+def test_top_k_stops_by_its_bounds(spark, kind, monkeypatch):
+    """Queries stop before the ends of their lists, on the given table and much sooner on a clustered one."""
+    if kind == "given":
+        df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+        rows = df.orderBy("vec_id").collect()
+        ids, x = np.array([r.vec_id for r in rows]), np.floor(64 * np.array([r.embedding for r in rows], np.float64)).astype(np.int64)
+    else:
+        rng = np.random.default_rng(4)
+        ids, own = np.arange(3000), rng.integers(0, 60, 3000)
+        x = (rng.normal(size=(60, 8)) * 3)[own] + rng.normal(size=(3000, 8)) * 0.05
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        x = np.floor(64 * x).astype(np.int64)
+        monkeypatch.setattr("quiverlake.llm.topk.QUERIES", 40)  # several blocks of queries, of candidates and lanes
+    got, depth = {}, {}
+    for r in sorted(top_k(df, "vec_id % 20 = 0", block=4096 if kind == "given" else 500).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        depth[r.query_id] = r.depth
+    assert got == _brute_top(ids, x, np.flatnonzero(ids % 20 == 0), 20)
+    assert all(0 < d <= 1 for d in depth.values())
+    assert np.mean([d < 1 for d in depth.values()]) > 0.9 and np.median(list(depth.values())) < (0.99 if kind == "given" else 0.8)
 
 
 def test_toxicity_learns_and_handles_hard_tables(spark, hard, empty):
@@ -210,6 +244,18 @@ def test_a_repeated_id_links_its_sets(spark):
     assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
 
 
+def test_equal_sets_have_equal_keys_wherever_they_stand():
+    import pyarrow as pa
+
+    from quiverlake.llm.neardup import _bands
+
+    texts = [f"{w} a b c d e f" for w in ("x", "y", "z", "x", "y", "x")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    (made,) = _bands(iter([batch]), 4, 5, 4)
+    keys = list(zip(made.column("key1").to_pylist(), made.column("key2").to_pylist()))
+    assert [keys.index(k) for k in keys] == [0, 1, 2, 0, 1, 0]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).count() == 0
 
