@@ -9,9 +9,10 @@
 3. Every candidate is compared with one head, the smallest representative of a band, that
    it shares the most bands with: a star whose rows a hot head deals out in blocks, so its
    work grows with the number of copies and not with their square.
-4. What that links falls together.  Only bands whose members still lie apart are left, and
-   those that hang together through them are compared in pairs of blocks of bounded size;
-   a unit returns a spanning forest of its links, not all links.
+4. What that links falls together.  Only bands whose members still lie apart are left; each
+   is a unit by itself (one for all bands with the same members), so no two sets meet that
+   share no band.  A unit's members are compared in pairs of blocks of bounded size; it
+   returns a spanning forest of its links, not all links.
 5. Union-find gives the components.  Every pair that shares a band is so either linked
    through others or compared on its full shingle sets.
 
@@ -241,12 +242,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     first = components(links)
     lies = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("lot"))
     lies = stage_table(lies, "lots", source)
-    apart = lies.groupBy("bucket").agg(F.min("lot").alias("low"), F.max("lot").alias("high")).where("low < high").select("bucket", "low")
-    left = stage_table(lies.join(apart, "bucket").select("rep", "n_shingles", "lot", "low").distinct(), "apart", source)
-    units = components(left.where("lot > low").select(F.col("lot").alias("a"), F.col("low").alias("b")))
-    dealt = left.select("rep", "n_shingles", F.col("lot").alias("node")).distinct().join(units, "node").withColumnRenamed("component", "unit")
-    sizes = dealt.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = dealt.join(sizes, "unit").select("unit", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    both = [F.bit_xor(F.xxhash64("rep", F.lit(seed))).alias(f"k{seed}") for seed in (1, 2)]
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    apart = lies.groupBy("bucket").agg(F.min("lot").alias("low"), F.max("lot").alias("high"), F.count("*").alias("n"), blocks, *both).where("low < high")
+    units = stage_table(apart.groupBy("n", "k1", "k2").agg(F.min("bucket").alias("unit"), F.first("blocks").alias("blocks")), "units", source)
+    dealt = lies.withColumnRenamed("bucket", "unit").join(units.select("unit", "blocks"), "unit")
+    dealt = dealt.select("unit", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     pairs = _with_texts(dealt, source.where("doc_id is not null")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "text")
     pairs = pairs.repartition(parts, "unit", "low", "high").sortWithinPartitions("unit", "low", "high", "block")

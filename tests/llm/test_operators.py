@@ -244,6 +244,28 @@ def test_a_repeated_id_links_its_sets(spark):
     assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
 
 
+def test_chained_chance_collisions_make_no_common_unit(spark, monkeypatch):
+    """A long chain of texts of which neighbours are half alike: the pairs compared stay near the number of shared bands."""
+    from quiverlake.llm import neardup
+
+    step = [[f"s{i}x{j}" for j in range(30)] for i in range(241)]
+    rows = [(i, " ".join(step[i] + step[i + 1])) for i in range(240)]
+    met = []
+    plain = neardup.stage_table
+
+    def watched(df, name, like=None):
+        out = plain(df, name, like)
+        if name == "units":
+            met.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(neardup, "stage_table", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df, width=4, percent=80, rows=1, bands=36).collect()  # bands of one slot: half alike, many bands shared
+    assert all(r.kept for r in got)
+    assert sum(u.n * (u.n - 1) // 2 for u in met) < 4 * 240 and max(u.n for u in met) < 12
+
+
 def test_equal_sets_have_equal_keys_wherever_they_stand():
     import pyarrow as pa
 
