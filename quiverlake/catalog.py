@@ -5,7 +5,7 @@ Base vectors are those whose id is not divisible by 25; the others are the queri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
@@ -19,10 +19,12 @@ from .sources import indexfiles
 
 K, MINI, MEGAS_OF, CELLS = 10, 50, 4, 16
 FLAGSHIP = "two_level_search"
+#: The table's columns that the queries read; said, so that no job looks for them.
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
 
 def vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", V.doubles("embedding").alias("e"), "label")
+    rows = spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", V.doubles("embedding").alias("e"), "label")
     return rows.withColumn("e", F.transform("e", lambda x: x * (1 + F.col("label")))) if scaled else rows
 
 
@@ -47,6 +49,13 @@ _IP = "(-list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])))"
 _L1 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
 
 
+def _draw(of: str) -> str:
+    x = f"((({of} % 1073741824) * {V.SPREAD[0]} + (({of} >> 30) % 1073741824) * {V.SPREAD[1]} + (({of} >> 60) % 16) * {V.SPREAD[2]} + 12345) % 4294967296)"
+    for shift, factor in V.STIR:
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) % 4294967296)"
+    return f"((xor({x}, {x} >> 16) + 0.5) / 4294967296.0::DOUBLE)"
+
+
 def _dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
 
@@ -570,7 +579,7 @@ def hnsw_costs(s, d):
     return G.costs(G.walks(asked(s, d), rows, G.build(rows), K))
 
 
-_LEVEL = "CAST(floor(-ln((((vec_id % 1048576) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0::DOUBLE) / ln({m}.0::DOUBLE)) AS INTEGER)"
+_LEVEL = "CAST(floor(-ln(" + _draw("vec_id") + ") / ln({m}.0::DOUBLE)) AS INTEGER)"
 
 
 @query("random_levels", f"SELECT {_LEVEL.format(m=4)} AS level, count(*) AS n FROM embeddings GROUP BY 1")
@@ -674,6 +683,51 @@ def insert_buffer_merge(s, d):
     return _places(M.merge_buffer(_index(s, d), new, 2, MINI, MEGAS_OF, 4 * MINI * MEGAS_OF))
 
 
+def _filled(name: str, old: str, fresh: str, key: str) -> str:
+    """CTEs: the ids that fresh rows (key) take, and where the last of the kept ids move; old has (id, gone)."""
+    return f"""{name}free AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS no FROM {old} WHERE gone),
+{name}new AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS no FROM {fresh}),
+{name}n AS (SELECT (SELECT count(*) FROM {old}) AS m, (SELECT count(*) FROM {name}free) AS went, (SELECT count(*) FROM {name}new) AS came),
+{name}given AS (SELECT {key}, coalesce(id, w.no + m - went) AS id FROM {name}new w LEFT JOIN {name}free f ON w.no = f.no, {name}n),
+{name}hole AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM {name}free, {name}n WHERE no >= came AND id < m - went + came),
+{name}last AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM {old}, {name}n WHERE NOT gone AND id >= m - went + came),
+{name}move AS (SELECT l.id AS old_id, h.id AS new_id FROM {name}last l JOIN {name}hole h USING (k))"""
+
+
+_STEP = f"""WITH {_V}, {_BQ}, r0 AS (SELECT vec_id, vec_id // {MINI} AS mini_id, vec_id // {MINI * MEGAS_OF} AS mega_id FROM b),
+r1 AS (SELECT vec_id, vec_id // 100 AS mini, vec_id // 800 AS mega FROM r0 WHERE mega_id % 2 = 0),
+g AS (SELECT DISTINCT mega_id AS id, mega_id % 2 = 0 AS gone FROM r0), h AS (SELECT DISTINCT mini_id AS id, mega_id % 2 = 0 AS gone FROM r0),
+fg AS (SELECT DISTINCT mega FROM r1), fh AS (SELECT DISTINCT mega, mini FROM r1),
+{_filled('g', 'g', 'fg', 'mega')}, {_filled('h', 'h', 'fh', 'mega, mini')}"""
+
+
+def _stepped(s, d):
+    """A cell store after one step: megas of even ids become fewer, larger ones."""
+    from .sources.cellstore import CellStore
+
+    store = CellStore(s, indexfiles.scratch(s, "cells"))
+    wide = lambda size: F.floor(F.col("vec_id") / size).cast("long")
+    store.append(base(s, d).select("vec_id", "e", wide(MINI).alias("mini_id"), wide(MINI * MEGAS_OF).alias("mega_id")))
+    gone = store.megas().where("mega_id % 2 = 0").select("mega_id")
+    store.replace(gone, store.rows(gone).select("vec_id", "e", wide(100).alias("mini_id"), wide(800).alias("mega_id")))
+    return store
+
+
+@query("cell_compaction", f"{_STEP} SELECT vec_id, coalesce(hm.new_id, mini_id) AS mini_id, coalesce(gm.new_id, mega_id) AS mega_id FROM r0 LEFT JOIN gmove gm ON gm.old_id = mega_id LEFT JOIN hmove hm ON hm.old_id = mini_id WHERE mega_id % 2 = 1 UNION ALL SELECT vec_id, hgiven.id, ggiven.id FROM r1 JOIN ggiven USING (mega) JOIN hgiven USING (mega, mini)")
+def cell_compaction(s, d):
+    """Ids of all vectors after a step: freed ids are handed out again, and the last ones move into the holes."""
+    return _stepped(s, d).rows().select("vec_id", "mini_id", "mega_id")
+
+
+@query("cell_store_writes", f"{_STEP}, w AS (SELECT 0 AS version, count(*) AS rows FROM r0 UNION ALL SELECT 1, count(*) FROM r1) SELECT CAST(version AS INTEGER) AS version, rows, rows * 256 AS bytes, (SELECT count(*) FROM gmove) * version AS megas_moved, round(CAST(sum(rows) OVER (ORDER BY version) AS DOUBLE) / (SELECT count(*) FROM r0), 6) AS amplification FROM w")
+def cell_store_writes(s, d):
+    """What each step wrote, as observed while it was written, and bytes written so far for each byte of the index."""
+    store = _stepped(s, d)
+    user = M.bytes_of(store.rows())
+    so_far = F.sum("bytes").over(Window.orderBy("version"))  # of steps, which are few
+    return store.history().crossJoin(F.broadcast(user)).select("version", "rows", "bytes", "megas_moved", F.round(so_far / F.col("user_bytes"), 6).alias("amplification"))
+
+
 def _split_sql() -> str:
     """The halves of large clusters, three steps within their parent, and the rows' nearest of halves and other clusters."""
     out = f"""{_ASSIGNED}, sz AS (SELECT cid, count(*) AS n FROM a GROUP BY cid), big AS (SELECT cid AS parent FROM sz WHERE n > 1.2 * (SELECT avg(n) FROM sz)),
@@ -732,13 +786,6 @@ def ef_tuning(s, d):
     return S.recall_summary(S.recall(G.search(asked(s, d), rows, edges, K, ef=ef), truth, K)).select(F.lit(ef).alias("ef"), "avg_recall")
 
 
-def _draw(of: str) -> str:
-    x = f"((({of} % 1073741824) * {V.SPREAD[0]} + (({of} >> 30) % 1073741824) * {V.SPREAD[1]} + (({of} >> 60) % 16) * {V.SPREAD[2]} + 12345) % 4294967296)"
-    for shift, factor in V.STIR:
-        x = f"((xor({x}, {x} >> {shift}) * {factor}) % 4294967296)"
-    return f"((xor({x}, {x} >> 16) + 0.5) / 4294967296.0::DOUBLE)"
-
-
 _U = _draw("vec_id")
 
 

@@ -19,11 +19,14 @@ FIXED = 1_000_000_000
 
 
 def means(rows: DataFrame, key: str, vector: str = "e") -> DataFrame:
-    """(key, c, n): element-wise mean and size of each group; each task sums its own rows first."""
-    parts = dense.group_sums(rows, key, vector, FIXED).select(key, "n", F.posexplode("sums").alias("pos", "s"))
-    sums = parts.groupBy(key, "pos").agg((F.sum(F.col("s").cast("decimal(28,0)")).cast("double") / F.lit(float(FIXED)) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
-    packed = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"), F.max("n").alias("n"))
-    return packed.select(key, F.transform("ms", lambda s: s["m"]).alias("c"), "n")
+    """(key, c, n): element-wise mean and size of each group; each task sums its own rows first, and one shuffle of the sums follows."""
+    return dense.merged_sums(dense.group_sums(rows, key, vector, FIXED), key, FIXED)
+
+
+def means_above(minis: DataFrame) -> DataFrame:
+    """(mega_id, c, n): the mean of the centroids (mega_id, c) of each mega, without a job where those are on the driver already."""
+    megas = dense.means_of_few(minis, "mega_id", "c", FIXED)
+    return dense.local(means(minis.select("mega_id", F.col("c").alias("e")), "mega_id")) if megas is None else megas
 
 
 def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2", penalty: Column | None = None) -> DataFrame:
@@ -222,9 +225,8 @@ def batches(rows: DataFrame, mini_size: int, megas_of: int) -> tuple[DataFrame,
     """(megas, minis, assignment) by id ranges: `mini_size` ids a mini, `megas_of` minis a mega."""
     mini = F.floor(F.col("vec_id") / mini_size).cast("long")
     assignment = rows.withColumn("mini_id", mini)
-    minis = dense.local(means(assignment, "mini_id").withColumn("mega_id", F.floor(F.col("mini_id") / megas_of).cast("long")))
-    megas = dense.local(means(minis.withColumnRenamed("c", "e").drop("n"), "mega_id"))
-    return megas, minis, assignment
+    minis = dense.local(means(assignment, "mini_id").withColumn("mega_id", F.floor(F.col("mini_id") / megas_of).cast("long")), like=assignment)
+    return means_above(minis), minis, assignment
 
 
 def member_distances(assignment: DataFrame, minis: DataFrame, metric: str = "l2") -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 #: Bytes of vectors that may travel to every task.
 BROADCAST_BYTES = 64 << 20
@@ -29,7 +29,7 @@ CELLS = 2_000_000
 
 def size_of(df: DataFrame, *vectors: str) -> int:
     """Bytes of a table: Spark's bound if that is small enough, else measured from its rows and arrays."""
-    bound = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bound = _bound(df)
     if bound <= BROADCAST_BYTES:
         return bound
     nested = {c for c in vectors if df.schema[c].dataType.elementType.typeName() == "array"}
@@ -64,11 +64,36 @@ class Few:
     more: dict[str, np.ndarray]
 
 
+def _bound(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fetched(df: DataFrame, *vectors: str, like: DataFrame | None = None) -> pa.Table | None:
+    """A table within the budget, else None.
+
+    Spark's bound decides if it is small enough, or that of `like`, a table of which df has
+    at most a row for each row, with vectors as long (of doubles).  What neither bounds is
+    computed once, kept while it is measured, and fetched if it fits.
+    """
+    table = getattr(df, "fetched", None)
+    if table is not None:
+        return table
+    if _bound(df) <= BROADCAST_BYTES or like is not None and 4 * _bound(like) <= BROADCAST_BYTES:
+        return df.toArrow()
+    kept = df.persist()
+    try:
+        return kept.toArrow() if size_of(kept, *vectors) <= BROADCAST_BYTES else None
+    finally:
+        kept.unpersist()
+
+
 def few(df: DataFrame, id_col: str, vector: str, more: tuple[str, ...] = ()) -> Few | None:
     """The rows with an id and a usable vector, in order of id; None beyond the budget."""
-    if size_of(df.select(id_col, vector, *more), vector) > BROADCAST_BYTES:
+    own = df if hasattr(df, "fetched") else df.select(id_col, vector, *more)
+    table = fetched(own, vector)
+    if table is None:
         return None
-    table = df.where(F.col(id_col).isNotNull()).select(id_col, vector, *more).toArrow()
+    table = table.filter(table.column(id_col).is_valid())
     x, ok = matrix(table.column(vector))
     ids = table.column(id_col).to_numpy()
     at = np.flatnonzero(ok)
@@ -354,9 +379,36 @@ def own_distance(rows: DataFrame, cells: Few, key: str, kinds, metric: str) -> D
     return own.mapInArrow(run, StructType([own.schema[key], StructField("mega_id", kinds), own.schema["vec_id"], StructField("dist", DoubleType())]))
 
 
-def local(df: DataFrame, vector: str = "c") -> DataFrame:
+def placed(spark, table: pa.Table, schema) -> DataFrame:
+    """A small Arrow table as a DataFrame that remembers it: `few` and `fetched` need no job for it."""
+    out = spark.createDataFrame(table, schema)
+    out.fetched = table
+    return out
+
+
+def local(df: DataFrame, vector: str = "c", like: DataFrame | None = None) -> DataFrame:
     """The same rows from the driver where they fit the budget: they are computed once, whatever reads them."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if size_of(df, vector) <= BROADCAST_BYTES else df
+    table = fetched(df, vector, like=like)
+    return placed(df.sparkSession, table, df.schema) if table is not None else df
+
+
+def means_of_few(df: DataFrame, key: str, vector: str, fixed: int) -> DataFrame | None:
+    """(key, c, n) of the rows of a `local` table, in the arithmetic of the means of large ones; None where it isn't local, or sums leave 64 bits."""
+    table = getattr(df, "fetched", None)
+    if table is None:
+        return None
+    table = table.filter(table.column(key).is_valid())
+    x, ok = matrix(table.column(vector))
+    names, own = np.unique(table.column(key).to_numpy()[ok], return_inverse=True)
+    x = x[ok]
+    if float(np.abs(x).sum(0).max(initial=0)) * fixed >= 1 << 62:
+        return None
+    sums = np.zeros((len(names), x.shape[1]), np.int64)
+    np.add.at(sums, own, np.floor(x * fixed).astype(np.int64))
+    n = np.bincount(own, minlength=len(names))
+    c = pa.array(list(sums.astype(np.float64) / float(fixed) / n[:, None]), pa.list_(pa.float64()))
+    schema = StructType([df.schema[key], StructField("c", ArrayType(DoubleType())), StructField("n", LongType())])
+    return placed(df.sparkSession, pa.table({key: pa.array(names), "c": c, "n": pa.array(n)}), schema)
 
 
 def with_probes(queries: DataFrame, cells: Few, kind, k: int, metric: str, name: str = "cid") -> DataFrame:
@@ -477,5 +529,47 @@ def group_sums(rows: DataFrame, key: str, vector: str, fixed: int, most_bytes: i
     return own.mapInArrow(run, StructType([own.schema[0], *StructType.fromDDL("sums array<long>, n long").fields]))
 
 
+def merged_sums(parts: DataFrame, key: str, fixed: int) -> DataFrame:
+    """(key, c, n): means from group_sums' rows of all tasks; rows come sorted by key, so a task holds one group's sums."""
+
+    def run(batches):
+        name, sums, n, started = None, None, 0, False
+        done: tuple[list, list, list] = ([], [], [])
+
+        def close():
+            if started:
+                whole = sums.astype(np.float64) if sums.dtype != object else np.array([float(v) for v in sums])
+                for column, value in zip(done, (name, (whole / float(fixed) / n).tolist(), n)):
+                    column.append(value)
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(done[0], kind), pa.array(done[1], pa.list_(pa.float64())), pa.array(done[2], pa.int64())], names=[key, "c", "n"])
+            for column in done:
+                column.clear()
+            return made
+
+        for batch in batches:
+            kind = batch.column(0).type
+            values, counts = batch.column(1), batch.column(2).to_pylist()
+            flat, offsets = values.values.to_numpy(), values.offsets.to_numpy()
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                part = flat[offsets[i] : offsets[i + 1]]
+                if not started or own != name:
+                    close()
+                    name, sums, n, started = own, part.copy(), counts[i], True
+                    continue
+                if sums.dtype != object and (np.abs(sums.astype(np.float64)) + np.abs(part.astype(np.float64)) >= 1 << 62).any():
+                    sums = sums.astype(object)
+                sums, n = sums + part, n + counts[i]
+            if len(done[0]) >= 1000:
+                yield out()
+        close()
+        if done[0]:
+            yield out()
+
+    schema = StructType([parts.schema[0], StructField("c", ArrayType(DoubleType())), StructField("n", LongType())])
+    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def penalty_of(cells: DataFrame, penalty: Column) -> DataFrame:
     return cells.withColumn("__penalty", penalty.cast("double"))

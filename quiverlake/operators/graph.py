@@ -1,10 +1,11 @@
 """Graph search: layered neighbour graphs per partition, pruned for diversity, searched by beam.
 
 A partition's graph is built in one task from the partition's rows; partitions are bounded
-by their number or by coarse cells (`routed`), so tasks stay bounded as the table grows.
-A node's level is drawn from its id; nodes are added one after another: a greedy walk on
-the layers above its level, a beam on each layer below, a diverse choice of neighbours,
-and links both ways that are chosen anew where a neighbour is full.
+by their number or by coarse cells (`routed`), and one of more than MOST_ROWS rows is
+refused.  A node's level is drawn from its id; nodes are added in batches, no larger than
+the graph they meet: a greedy walk on the layers above a node's level, a beam on each
+layer below, a diverse choice among what that and the batch itself offer, and links both
+ways that are chosen anew where a neighbour is full.
 
 Edges are a table (part, level, src, pos, dst, dist): saving is writing Parquet, a node
 without edges is found by its level alone.  Distances are squared L2.  A partition with no
@@ -14,7 +15,6 @@ ties go to the smaller id; rows that repeat an id are one node (the first).
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable
 
 import numpy as np
@@ -60,191 +60,268 @@ def prune(dist_to: np.ndarray, between: np.ndarray, most: int, alpha: float = 1.
     return kept
 
 
-def _between(x: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(1)
-    return np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0)
+def squares(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of x (rows, n, dim) to its row of q."""
+    return ((x - q[:, None]) ** 2).sum(2)
+
+
+def prune_many(x: np.ndarray, nodes: np.ndarray, d: np.ndarray, most: int, alpha: float = 1.0, step: int = 256) -> np.ndarray:
+    """As `prune` for many sources at once: candidates (sources by n, -1 for none) with their distances; kept ones, nearest first."""
+    out = np.full((len(nodes), most), -1)
+    for a in range(0, len(nodes), step):
+        own, dist = nodes[a : a + step], np.where(nodes[a : a + step] < 0, np.inf, d[a : a + step])
+        order = np.lexsort((own, dist))
+        own, dist = np.take_along_axis(own, order, 1), np.take_along_axis(dist, order, 1)
+        v = x[own]
+        square = (v * v).sum(2)
+        between = square[:, :, None] + square[:, None] - 2 * v @ v.transpose(0, 2, 1)
+        gone, row = ~np.isfinite(dist), np.arange(len(own))
+        for k in range(min(most, own.shape[1])):
+            at = (~gone).argmax(1)
+            there = ~gone[row, at]
+            if not there.any():
+                break
+            out[a + row[there], k] = own[row[there], at[there]]
+            gone |= there[:, None] & (alpha * between[row, at] < dist)
+            gone[row, at] = True
+    return out
+
+
+#: Open nodes that a walk follows at a time, nodes added at a time, and distances that a step of the walks holds.
+FOLLOWED, ADDED, HELD = 4, 256, 1 << 22
 
 
 class Graph:
-    """One partition's layers over the rows of a matrix, whose numbers name the nodes."""
+    """One partition's layers over the rows of a matrix, whose numbers name the nodes.
+
+    Links are a matrix for each layer (-1 is none).  Many walks go on in step: each step
+    follows the nearest open nodes of all queries with a few array operations, so neither
+    a query nor a link is a turn of a Python loop.
+    """
 
     def __init__(self, x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF, alpha: float = 1.0):
         self.x, self.level, self.m, self.ef, self.alpha = x, level, m, ef, alpha
-        self.links: list[dict[int, list[int]]] = [{} for _ in range(int(level.max(initial=0)) + 1)]
+        self.links = [np.full((len(x), self._most(k)), -1, np.int32) for k in range(int(level.max(initial=0)) + 1)]
+        self.inside = np.zeros(len(x), bool)
         self.entry = -1
-        self.distances = self.hops = 0
 
-    def place(self, nodes: Iterable[int]) -> None:
-        """Nodes that are in the graph already; their links come from a table."""
-        for n in nodes:
-            for layer in self.links[: self.level[n] + 1]:
-                layer.setdefault(n, [])
-            if self.entry < 0 or self.level[n] > self.level[self.entry]:
-                self.entry = n
-
-    def _d(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        self.distances += len(nodes)
-        return ((self.x[nodes] - q) ** 2).sum(1)
-
-    def greedy(self, q: np.ndarray, at: int, level: int) -> int:
-        """The node from which no neighbour on a layer is nearer."""
-        best = self._d(q, [at])[0]
-        while out := self.links[level].get(at):
-            self.hops += 1
-            d = self._d(q, out)
-            i = int(d.argmin())
-            if d[i] >= best:
-                break
-            at, best = out[i], d[i]
-        return at
+    def _most(self, level: int) -> int:
+        return 2 * self.m if level == 0 else self.m
 
-    def descend(self, q: np.ndarray, to: int) -> int:
-        at = self.entry
-        for level in range(int(self.level[self.entry]), to, -1):
-            at = self.greedy(q, at, level)
+    def place(self, nodes: Iterable[int]) -> None:
+        """Nodes that are in the graph from now on."""
+        nodes = np.asarray(list(nodes), np.int64)
+        if len(nodes):
+            self.inside[nodes] = True
+            self._enter()
+
+    def _enter(self) -> None:
+        there = np.flatnonzero(self.inside)
+        self.entry = int(there[self.level[there].argmax()]) if len(there) else -1
+
+    def descend(self, q: np.ndarray, to: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each query the node that a greedy walk ends at, above layer `to`."""
+        at = np.full(len(q), self.entry)
+        best = ((self.x[at] - q) ** 2).sum(1)
+        counts[:, 0] += 1
+        for level in range(int(self.level[self.entry]), 0, -1):
+            on = np.flatnonzero(to < level)
+            while len(on):
+                near = self.links[level][at[on]]
+                d = np.where(near < 0, np.inf, squares(self.x[near], q[on]))
+                counts[on, 0] += (near >= 0).sum(1)
+                counts[on, 1] += 1
+                i = d.argmin(1)
+                d = d[np.arange(len(on)), i]
+                better = d < best[on]
+                at[on[better]], best[on[better]] = near[better, i[better]], d[better]
+                on = on[better]
         return at
 
-    def beam(self, q: np.ndarray, starts: list[int], level: int, ef: int, ok: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The ef nearest (allowed) nodes that a best-first walk meets; it stops when the nearest open node is farther than all of them."""
-        seen = np.zeros(len(self.x), bool)
-        seen[starts] = True
-        todo = list(zip(self._d(q, starts).tolist(), starts))
-        best = [(-d, -n) for d, n in todo if ok is None or ok[n]]
-        heapq.heapify(todo)
-        heapq.heapify(best)
-        while todo:
-            d, n = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            self.hops += 1
-            new = [j for j in self.links[level].get(n, ()) if not seen[j]]
-            if not new:
-                continue
-            seen[new] = True
-            for e, j in zip(self._d(q, new).tolist(), new):
-                if len(best) < ef or e < -best[0][0]:
-                    heapq.heappush(todo, (e, j))
-                    if ok is None or ok[j]:
-                        heapq.heappush(best, (-e, -j))
-                        if len(best) > ef:
-                            heapq.heappop(best)
-        return sorted((-d, -n) for d, n in best)
-
-    def near_allowed(self, n: int, ok: np.ndarray, seen: np.ndarray, most: int, check: int) -> list[int]:
-        """Allowed nodes not seen yet within two links of a node; looks at `check` nodes at most and stops at `most` found."""
-        found, looked = [], 0
-        for j in self.links[0].get(n, ()):
-            around = (j,) if ok[j] else (j, *self.links[0].get(j, ()))
-            self.hops += not ok[j]
-            for i in around:
-                looked += 1
-                if ok[i] and not seen[i]:
-                    seen[i] = True
-                    found.append(i)
-                if len(found) >= most or looked >= check:
-                    return found
-        return found
-
-    def beam_allowed(self, q: np.ndarray, start: int, ef: int, ok: np.ndarray, most: int = 64, check: int = 512) -> list[tuple[float, int]]:
-        """As `beam`, over allowed nodes alone: links lead through excluded ones, whose distance is never taken.
-
-        Where the walk ends with fewer than ef found, it starts anew from an allowed node it has not seen.
+    def _near(self, level: int, nodes: np.ndarray, ok: np.ndarray | None) -> np.ndarray:
+        """Nodes (rows by n, -1 for none) that links lead to from each row's nodes; with `ok` allowed ones, within one link or over one that is not allowed."""
+        first = np.where(nodes[:, :, None] < 0, -1, self.links[level][nodes])
+        first = first.reshape(len(nodes), -1)
+        if ok is None:
+            return first
+        second = np.where(((first < 0) | ok[first])[:, :, None], -1, self.links[level][first]).reshape(len(nodes), -1)
+        both = np.concatenate([first, second], 1)
+        return np.where((both >= 0) & ok[both], both, -1)
+
+    def walk(self, q: np.ndarray, starts: np.ndarray, level: int, ef: int, counts: np.ndarray, ok: np.ndarray | None = None, over: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes): the ef nearest (allowed) nodes that each query's best-first walk meets; infinite and -1 where there are fewer.
+
+        A walk ends when its nearest open node is farther than all of ef found ones.  With
+        `ok` other nodes are walked through, or with `over` links lead over them and their
+        distance is never taken; such a walk starts anew from an allowed node that it has
+        not seen where it would end with fewer than ef.
         """
-        seen, allowed = ~ok, np.flatnonzero(ok)
-        best: list[tuple[float, int]] = []
-        todo: list[tuple[float, int]] = []
-
-        def offer(nodes: list[int]) -> None:
-            for e, j in zip(self._d(q, nodes).tolist(), nodes):
-                if len(best) < ef or e < -best[0][0]:
-                    heapq.heappush(todo, (e, j))
-                    heapq.heappush(best, (-e, -j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-
-        seen = seen & False
-        seen[start] = True
-        first = ([start] if ok[start] else []) + self.near_allowed(start, ok, seen, most, check)
-        offer(first) if first else None
-        fresh = 0
-        while True:
-            while todo:
-                d, n = heapq.heappop(todo)
-                if len(best) >= ef and d > -best[0][0]:
-                    todo.clear()
-                    break
-                self.hops += 1
-                new = self.near_allowed(n, ok, seen, most, check)
-                offer(new) if new else None
-            while fresh < len(allowed) and seen[allowed[fresh]]:
-                fresh += 1
-            if len(best) >= ef or fresh == len(allowed):
-                return sorted((-d, -n) for d, n in best)
-            seen[allowed[fresh]] = True
-            offer([int(allowed[fresh])])
-
-    def _choose(self, d: np.ndarray, nodes: list[int], most: int) -> list[int]:
-        return [nodes[i] for i in prune(d, _between(self.x[nodes]), most, self.alpha)]
-
-    def add(self, node: int) -> None:
-        """Link a node into every layer up to its own."""
-        top = int(self.level[node])
-        if self.entry >= 0:
-            q = self.x[node]
-            starts = [self.descend(q, top)]
-            for level in range(min(top, int(self.level[self.entry])), -1, -1):
-                found = self.beam(q, starts, level, self.ef)
-                starts = [n for _, n in found]
-                kept = self._choose(np.array([d for d, _ in found]), starts, self.m)
-                self.links[level][node] = kept
-                for j in kept:
-                    self._connect(level, j, node)
-        self.place([node])
-
-    def _connect(self, level: int, at: int, node: int) -> None:
-        """A link back; a full node chooses its links anew, the new one among them."""
-        out = self.links[level][at]
-        out.append(node)
-        if len(out) > (2 * self.m if level == 0 else self.m):
-            self._shrink(level, at)
-
-    def _shrink(self, level: int, at: int) -> None:
-        out = self.links[level][at]
-        self.links[level][at] = self._choose(self._d(self.x[at], out), out, 2 * self.m if level == 0 else self.m)
-
-    def drop(self, nodes: list[int]) -> None:
-        """Take nodes out: their neighbours inherit their other neighbours and choose anew where that is too many."""
-        gone = set(nodes)
-        for level, layer in enumerate(self.links):
-            lost = {}
-            for n, out in layer.items():
-                if n not in gone and any(j in gone for j in out):
-                    lost[n] = list(dict.fromkeys([j for j in out if j not in gone] + [i for j in out if j in gone for i in layer.get(j, ()) if i not in gone and i != n]))
-            layer.update(lost)
-            for n in lost:
-                if len(layer[n]) > (2 * self.m if level == 0 else self.m):
-                    self._shrink(level, n)
-            for n in gone:
-                layer.pop(n, None)
-        left = [n for n in range(len(self.x)) if n not in gone]
-        self.entry = max(left, key=lambda n: (self.level[n], -n)) if left else -1
-
-    def search(self, q: np.ndarray, ef: int, k: int, ok: np.ndarray | None = None, two_hop: bool = False) -> list[tuple[float, int]]:
-        """The k nearest (allowed) nodes met."""
+        many, n, row = len(q), len(self.x), np.arange(len(q))
+        width = ef if ok is None or over else min(n, max(1024, 4 * ef))
+        seen = np.zeros((many, n), bool)
+        open_d, open_n, done = np.full((many, width), np.inf), np.full((many, width), -1), np.zeros((many, width), bool)
+        best_d, best_n = np.full((many, ef), np.inf), np.full((many, ef), -1)
+        by = ok if over else None
+
+        def offer(on: np.ndarray, nodes: np.ndarray) -> None:
+            nodes = np.sort(nodes, 1)
+            fresh = (nodes >= 0) & ~seen[on[:, None], nodes]
+            fresh[:, 1:] &= nodes[:, 1:] != nodes[:, :-1]
+            full = int(fresh.sum(1).max(initial=0))
+            if not full:
+                return
+            order = np.argsort(~fresh, 1, kind="stable")[:, :full]  # what is new comes first
+            nodes, fresh = np.take_along_axis(nodes, order, 1), np.take_along_axis(fresh, order, 1)
+            d = np.where(fresh, squares(self.x[nodes], q[on]), np.inf)
+            counts[on, 0] += fresh.sum(1)
+            r, c = np.nonzero(fresh)
+            seen[on[r], nodes[r, c]] = True
+            good = fresh & (d < best_d[on, -1:])
+            for dist, name, flag, mask in ((open_d, open_n, done, good), (best_d, best_n, None, good if ok is None else good & ok[nodes])):
+                both = np.concatenate([dist[on], np.where(mask, d, np.inf)], 1)
+                names = np.concatenate([name[on], np.where(mask, nodes, -1)], 1)
+                order = np.lexsort((names, both))[:, : dist.shape[1]]
+                dist[on], name[on] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+                if flag is not None:
+                    flag[on] = np.take_along_axis(np.concatenate([flag[on], np.zeros(d.shape, bool)], 1), order, 1)
+
+        if over:
+            offer(row, np.concatenate([np.where(ok[starts], starts, -1), self._near(level, starts, ok)], 1))
+        else:
+            offer(row, starts)
+        on = row
+        while len(on):
+            waiting = ~done[on] & np.isfinite(open_d[on])
+            first = waiting.argmax(1)
+            go = waiting[np.arange(len(on)), first] & (open_d[on, first] <= best_d[on, -1])
+            if over and not go.all():  # a new start for walks that lack some
+                lack = on[~go & ~np.isfinite(best_d[on, -1])]
+                fresh = ok[None] & ~seen[lack]
+                lack, fresh = lack[fresh.any(1)], fresh[fresh.any(1)]
+                if len(lack):
+                    offer(lack, fresh.argmax(1)[:, None])
+                    on = np.concatenate([on[go], lack])
+                    continue
+            on, waiting = on[go], waiting[go]
+            if not len(on):
+                break
+            rank = np.cumsum(waiting, 1)
+            picked = np.argsort(~(waiting & (rank <= FOLLOWED)), 1, kind="stable")[:, :FOLLOWED]
+            nodes = np.take_along_axis(open_n[on], picked, 1)
+            real = np.take_along_axis(waiting, picked, 1) & (np.take_along_axis(open_d[on], picked, 1) <= best_d[on, -1:])
+            nodes = np.where(real, nodes, -1)
+            r, c = np.nonzero(real)
+            done[on[r], picked[r, c]] = True
+            counts[on, 1] += real.sum(1)
+            offer(on, self._near(level, nodes, by))
+        return best_d, best_n
+
+    def _step(self, ok: np.ndarray | None, over: bool) -> int:
+        """Queries whose walks may go on in step."""
+        wide = FOLLOWED * 2 * self.m * (1 + 2 * self.m if over else 1) * self.x.shape[1]
+        return max(1, min(HELD // max(1, wide), (1 << 27) // max(1, len(self.x))))
+
+    def search(self, q: np.ndarray, ef: int, k: int, ok: np.ndarray | None = None, two_hop: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distances, nodes, counts) of the k nearest (allowed) nodes met by each query; counts are distances and hops."""
+        counts = np.zeros((len(q), 2), np.int64)
+        d, nodes = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
         if self.entry < 0 or ok is not None and not ok.any():
-            return []
-        start = self.descend(q, 0)
-        found = self.beam_allowed(q, start, max(ef, k), ok, max(ef, k)) if two_hop and ok is not None else self.beam(q, [start], 0, max(ef, k), ok)
-        return found[:k]
+            return d, nodes, counts
+        over, ef = two_hop and ok is not None, max(ef, k)
+        step = self._step(ok, over)
+        for a in range(0, len(q), step):
+            own = counts[a : a + step]
+            starts = self.descend(q[a : a + step], np.zeros(len(own), np.int64), own)
+            found, names = self.walk(q[a : a + step], starts[:, None], 0, ef, own, ok, over)
+            d[a : a + step], nodes[a : a + step] = found[:, :k], names[:, :k]
+        return d, nodes, counts
+
+    def add(self, nodes: np.ndarray) -> None:
+        """Link nodes into every layer up to their own, some at a time: these search the graph as it stands, and one another."""
+        at = 0
+        while at < len(nodes):
+            size = min(ADDED, max(1, int(self.inside.sum())), self._step(None, False))
+            self._add(np.asarray(nodes[at : at + size]))
+            at += size
+
+    def _add(self, new: np.ndarray) -> None:
+        q, counts = self.x[new], np.zeros((len(new), 2), np.int64)
+        starts = self.descend(q, self.level[new], counts)[:, None] if self.entry >= 0 else np.full((len(new), 1), -1)
+        top = int(self.level[self.entry]) if self.entry >= 0 else -1
+        for level in range(int(self.level[new].max()), -1, -1):
+            on = np.flatnonzero(self.level[new] >= level)
+            if level <= top:
+                d, found = self.walk(q[on], starts[on], level, self.ef, counts[on])
+                starts = np.concatenate([starts, np.full((len(new), max(0, self.ef - starts.shape[1])), -1)], 1)
+                starts[on] = -1
+                starts[on, : self.ef] = found
+            else:
+                d, found = np.full((len(on), 0), np.inf), np.full((len(on), 0), -1)
+            own = squares(np.repeat(q[on][None], len(on), 0), q[on])
+            np.fill_diagonal(own, np.inf)
+            d, found = np.concatenate([d, own], 1), np.concatenate([found, np.where(np.isfinite(own), new[on][None], -1)], 1)
+            near = np.argsort(d, 1, kind="stable")[:, : self.ef]
+            kept = prune_many(self.x, np.take_along_axis(found, near, 1), np.take_along_axis(d, near, 1), self.m, self.alpha)
+            self.links[level][new[on], : self.m] = kept
+            r, c = np.nonzero(kept >= 0)
+            self._back(level, kept[r, c], new[on][r])
+        self.place(new)
+
+    def _back(self, level: int, at: np.ndarray, node: np.ndarray) -> None:
+        """Links back from `at` to `node`; a node with too many chooses its links anew."""
+        if not len(at):
+            return
+        targets, own = np.unique(at, return_inverse=True)
+        order = np.argsort(own, kind="stable")
+        own, node = own[order], node[order]
+        size = np.bincount(own)
+        more = np.full((len(targets), int(size.max())), -1)
+        more[own, np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)] = node
+        more = np.where((more[:, :, None] == self.links[level][targets][:, None]).any(2), -1, more)  # there already
+        self._choose(level, targets, np.concatenate([self.links[level][targets], more], 1))
+
+    def _choose(self, level: int, nodes: np.ndarray, found: np.ndarray) -> None:
+        """Give nodes the links in `found` (rows with -1 for none): all of them where they have room, else diverse ones."""
+        most = self._most(level)
+        order = np.argsort(found < 0, 1, kind="stable")
+        found = np.take_along_axis(found, order, 1)
+        many = (found >= 0).sum(1) > most
+        out = np.full((len(nodes), most), -1)
+        out[:, : found.shape[1]] = found[:, :most]
+        if many.any():
+            d = squares(self.x[found[many]], self.x[nodes[many]])
+            out[many] = prune_many(self.x, found[many], d, most, self.alpha)
+        self.links[level][nodes] = out
+
+    def drop(self, nodes: np.ndarray) -> None:
+        """Take nodes out: their neighbours inherit their other neighbours and choose anew where that is too many."""
+        gone = np.zeros(len(self.x), bool)
+        gone[nodes] = True
+        for level, links in enumerate(self.links):
+            lost = np.flatnonzero(((links >= 0) & gone[links]).any(1) & ~gone)
+            for a in range(0, len(lost), 256):
+                own = lost[a : a + 256]
+                first = links[own]
+                second = np.where(((first < 0) | ~gone[first])[:, :, None], -1, links[first]).reshape(len(own), -1)
+                both = np.sort(np.concatenate([first, second], 1), 1)
+                bad = (both < 0) | gone[both] | (both == own[:, None])
+                bad[:, 1:] |= both[:, 1:] == both[:, :-1]
+                self._choose(level, own, np.where(bad, -1, both))
+            links[gone] = -1
+        self.inside[gone] = False
+        self._enter()
 
     def rows(self, part: int, ids: np.ndarray) -> pd.DataFrame:
         out = []
-        for level, layer in enumerate(self.links):
-            for n in sorted(layer):
-                to = layer[n]
-                d = ((self.x[to] - self.x[n]) ** 2).sum(1) if to else []
-                out += [(part, level, int(ids[n]), pos, int(ids[j]), float(e)) for pos, (e, j) in enumerate(sorted(zip(d, to)))]
-        return pd.DataFrame(out, columns=["part", "level", "src", "pos", "dst", "dist"]).astype({"part": "int32", "level": "int32", "pos": "int32", "src": "int64", "dst": "int64", "dist": "float64"})
+        for level, links in enumerate(self.links):
+            src, at = np.nonzero(links >= 0)
+            dst = links[src, at]
+            d = ((self.x[dst] - self.x[src]) ** 2).sum(1)
+            order = np.lexsort((dst, d, src))
+            src, dst, d = src[order], dst[order], d[order]
+            pos = np.arange(len(src)) - np.searchsorted(src, src)
+            out.append(pd.DataFrame({"part": np.int32(part), "level": np.int32(level), "src": ids[src].astype("int64"), "pos": pos.astype("int32"), "dst": ids[dst].astype("int64"), "dist": d}))
+        return pd.concat(out).astype({"part": "int32", "level": "int32"}) if out else pd.DataFrame({c: [] for c in ("part", "level", "src", "pos", "dst", "dist")})
 
 
 def _nodes(rows: DataFrame, edges: DataFrame | None, m: int) -> DataFrame:
@@ -261,16 +338,26 @@ def _nodes(rows: DataFrame, edges: DataFrame | None, m: int) -> DataFrame:
     return rows.join(out, ["part", "vec_id"], "left")
 
 
+#: Rows of a partition at most: its vectors, links and walks are one task's memory.
+MOST_ROWS = 1 << 20
+
+
 def _loaded(pdf: pd.DataFrame, m: int, ef: int, alpha: float) -> tuple[Graph, np.ndarray, pd.DataFrame]:
+    if len(pdf) > MOST_ROWS:
+        raise ValueError(f"a graph has at most {MOST_ROWS} rows: deal them into more partitions (`routed`, `partitioned`)")
     pdf = pdf.sort_values("vec_id").drop_duplicates("vec_id")
     ids = pdf["vec_id"].to_numpy()
     graph = Graph(np.stack(pdf["e"].to_numpy()), pdf["level"].to_numpy(), m, ef, alpha)
-    at = {int(i): n for n, i in enumerate(ids)}
-    graph.place(np.flatnonzero(~pdf["new"].to_numpy(bool)).tolist())
+    graph.place(np.flatnonzero(~pdf["new"].to_numpy(bool)))
     for n, links in enumerate(pdf["links"]):
-        for link in links if links is not None else ():
-            if link["dst"] in at:
-                graph.links[link["level"]].setdefault(n, []).append(at[link["dst"]])
+        if links is None or not len(links):
+            continue
+        level, dst = np.array([k["level"] for k in links]), np.array([k["dst"] for k in links])
+        at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+        known = ids[at] == dst
+        for k in np.unique(level[known]):
+            to = at[known & (level == k)]
+            graph.links[k][n, : len(to)] = to
     return graph, ids, pdf
 
 
@@ -284,8 +371,7 @@ def insert(rows: DataFrame, edges: DataFrame | None, more: DataFrame, m: int = M
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         graph, ids, pdf = _loaded(pdf, m, ef, alpha)
-        for n in np.flatnonzero(pdf["new"].to_numpy(bool)):
-            graph.add(int(n))
+        graph.add(np.flatnonzero(pdf["new"].to_numpy(bool)))
         return graph.rows(int(pdf["part"].iloc[0]), ids)
 
     own = ("part", "vec_id", "e")
@@ -298,7 +384,7 @@ def delete(rows: DataFrame, edges: DataFrame, gone: DataFrame, m: int = M, alpha
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         graph, ids, pdf = _loaded(pdf, m, EF, alpha)
-        graph.drop(np.flatnonzero(pdf["gone"].to_numpy(bool)).tolist())
+        graph.drop(np.flatnonzero(pdf["gone"].to_numpy(bool)))
         return graph.rows(int(pdf["part"].iloc[0]), ids)
 
     marked = rows.select("part", "vec_id", "e").join(gone.select("vec_id").distinct().withColumn("gone", F.lit(True)), "vec_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
@@ -315,25 +401,23 @@ def walks(queries: DataFrame, rows: DataFrame, edges: DataFrame, k: int, ef: int
     masked = "allowed" in rows.columns
     graph = _nodes(rows, edges, m)
 
-    def found(left: pd.DataFrame, asked) -> pd.DataFrame:
+    def found(left: pd.DataFrame, asked: np.ndarray, q: np.ndarray) -> pd.DataFrame:
         g, ids, pdf = _loaded(left, m, ef, 1.0)
-        ok, out = pdf["allowed"].to_numpy(bool) if masked else None, []
-        for q, v in asked:
-            g.distances = g.hops = 0
-            got = g.search(np.asarray(v, np.float64), ef, k, ok, two_hop)
-            out += [(int(pdf["part"].iloc[0]), int(q), int(ids[n]), float(d), g.distances, g.hops) for d, n in got]
-        return pd.DataFrame(out, columns=["part", "query_id", "vec_id", "dist", "n_distances", "n_hops"]).astype({"part": "int32"})
+        d, nodes, counts = g.search(q, ef, k, pdf["allowed"].to_numpy(bool) if masked else None, two_hop)
+        row, at = np.nonzero(nodes >= 0)
+        columns = {"part": np.full(len(row), pdf["part"].iloc[0], np.int32), "query_id": asked[row], "vec_id": ids[nodes[row, at]], "dist": d[row, at], "n_distances": counts[row, 0], "n_hops": counts[row, 1]}
+        return pd.DataFrame(columns)
 
     small = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe") if probed is None else None
     if small is not None:  # the queries travel to the graphs
         shared = rows.sparkSession.sparkContext.broadcast(small)
-        return graph.groupBy("part").applyInPandas(lambda left: found(left, zip(shared.value.ids, shared.value.x)), WALKED)
+        return graph.groupBy("part").applyInPandas(lambda left: found(left, shared.value.ids, shared.value.x), WALKED)
     if probed is None:
         asked = paired(queries.select("query_id", "qe"), rows.select(F.col("part").alias("in_part")).distinct())
     else:
         asked = queries.select("query_id", "qe").join(probed.select("query_id", F.col("part").alias("in_part")), "query_id")
     empty = pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "int64") for c in WALKED.split(", ")}).astype({"part": "int32"})
-    both = lambda left, right: found(left, zip(right["query_id"], right["qe"])) if len(left) and len(right) else empty
+    both = lambda left, right: found(left, right["query_id"].to_numpy(), np.stack(right["qe"].to_numpy()).astype(np.float64)) if len(left) and len(right) else empty
     return graph.groupBy("part").cogroup(asked.groupBy("in_part")).applyInPandas(both, WALKED)
 
 

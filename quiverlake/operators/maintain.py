@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, normalized, uniform
 from . import dense
-from .cluster import assign, clustered, hashed_init, kmeans, lloyd, means, member_distances, numbered, saved, silhouettes
+from .cluster import assign, clustered, hashed_init, kmeans, lloyd, means, means_above, member_distances, numbered, saved, silhouettes
 from .quantize import decode, encode, train
-from .search import paired, probes, top_k
+from .search import knn_graph, paired, probes, top_k
 
 INDEX = ("vec_id", "e", "mini_id", "mega_id")
 #: Ids that one pool may give; a pool with more minis is refused.
@@ -26,9 +26,8 @@ STRIDE = 1 << 20
 def levels(index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(megas, minis, assignment): a mini is the mean of its vectors, a mega of its minis."""
     above = index.groupBy("mini_id").agg(F.min("mega_id").alias("mega_id"))
-    minis = dense.local(means(index, "mini_id").join(above, "mini_id"))
-    megas = dense.local(means(minis.select("mega_id", F.col("c").alias("e")), "mega_id"))
-    return megas, minis, index
+    minis = dense.local(means(index, "mini_id").join(above, "mini_id"), like=index)
+    return means_above(minis), minis, index
 
 
 def pooled(rows: DataFrame, mini_size: int, minis_of: int, first_id: int = 0, iterations: int = 5) -> DataFrame:
@@ -106,19 +105,45 @@ def score_change(old: DataFrame, new: DataFrame, metric: str = "l2") -> DataFram
     return near.join(scores, "old_id").join(mega_scores(new, metric), "mega_id").select("mega_id", "old_id", "dist", "old_mse", "mse")
 
 
+def recluster_in_rounds(store, neighbours: int, mini_size: int, minis_of: int) -> int:
+    """Each mega of a cell store clustered anew once with its nearest ones, the worst first, many neighbourhoods at a time; returns the number of rounds.
+
+    Megas are scored once.  In a round every mega that is still to do names itself and its
+    nearest ones; a neighbourhood whose centre is worse than that of every other one that
+    it shares a mega with is clustered anew.  The worst of all always is, so rounds end;
+    neighbourhoods that are apart do not wait for one another.  A round writes the cells
+    it has changed and no others.
+    """
+    if store.version < 0:
+        return 0
+    start, rounds = store.version, 0
+    cells = store.megas().select("mega_id", "cell")
+    centres = levels(store.rows())[0].select("mega_id", "c").join(mega_scores(store.rows()), "mega_id").join(cells, "mega_id")
+    todo = saved(centres.select(F.col("cell").alias("vec_id"), F.col("c").alias("e"), "mse"))
+    while not todo.isEmpty():
+        near = knn_graph(todo.select("vec_id", "e"), neighbours).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("cell"))
+        near = near.unionByName(todo.select(F.col("vec_id").alias("centre"), F.col("vec_id").alias("cell")))
+        near = saved(near.join(todo.select(F.col("vec_id").alias("centre"), "mse"), "centre"))
+        first = near.groupBy("cell").agg(F.max_by("centre", F.struct("mse", -F.col("centre"))).alias("first"))
+        won = near.join(first, "cell").groupBy("centre").agg(F.bool_and(F.col("first") == F.col("centre")).alias("won")).where("won").select("centre")
+        taken = near.join(won, "centre").select("cell", F.col("centre").alias("pool"))
+        pools = saved(store.megas().join(taken, "cell").select("mega_id", "cell", "pool"))
+        rows = store.rows(pools).join(pools.select("mega_id", "pool"), "mega_id")
+        store.replace(pools, pooled(rows, mini_size, minis_of))
+        todo = saved(todo.join(pools.select(F.col("cell").alias("vec_id")), "vec_id", "left_anti"))
+        rounds += 1
+    return rounds
+
+
 def recluster_on_score(index: DataFrame, neighbours: int, mini_size: int, minis_of: int) -> DataFrame:
-    """The worst mega and its nearest ones, again and again, until as many megas as there are have been done."""
-    done, n = 0, index.select("mega_id").distinct().count()
-    while done <= n:
-        megas = levels(index)[0].select("mega_id", "c")
-        worst = mega_scores(index).orderBy(F.desc("mse"), "mega_id").limit(1).join(megas, "mega_id").select(F.col("c").alias("w"))
-        near = megas.crossJoin(F.broadcast(worst)).select("mega_id", distance("l2", "c", "w").alias("dist")).orderBy("dist", "mega_id").limit(neighbours + 1)
-        pools = saved(near.select("mega_id", F.lit(0).cast("long").alias("pool")))
-        took = pools.count()
-        if not took:
-            break
-        index, done = replaced(index, pools, mini_size, minis_of), done + took
-    return index
+    """The worst megas and their nearest ones clustered anew, round by round, until all megas have been done."""
+    from ..sources.cellstore import CellStore
+    from ..sources.indexfiles import scratch
+
+    store = CellStore(index.sparkSession, scratch(index.sparkSession, "cells"))
+    store.append(index)
+    recluster_in_rounds(store, neighbours, mini_size, minis_of)
+    return store.rows()
 
 
 def merge_buffer(index: DataFrame | None, buffer: DataFrame, n_megas: int, mini_size: int, minis_of: int, pool: int) -> DataFrame:

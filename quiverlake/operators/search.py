@@ -127,9 +127,9 @@ def scanned(cells: DataFrame, rows: DataFrame, cell: str, k: int, metric: str) -
     both tables have a `mega_id` only probed megas, which a table laid out by either can
     skip.  Probes beyond the budget are joined by cell.
     """
-    if dense.size_of(cells, "qe") <= BROADCAST_BYTES:
-        megas = ["mega_id"] if "mega_id" in cells.columns and "mega_id" in rows.columns else []
-        found = cells.where(F.col("query_id").isNotNull()).select("query_id", "qe", cell, *megas).toArrow()
+    megas = ["mega_id"] if "mega_id" in cells.columns and "mega_id" in rows.columns else []
+    found = dense.fetched(cells.where(F.col("query_id").isNotNull()).select("query_id", "qe", cell, *megas), "qe")
+    if found is not None:
         for name in megas:
             wanted = np.unique(found.column(name).to_numpy())
             rows = rows.where(F.col(name).isin(wanted.tolist())) if len(wanted) <= 4096 else rows
