@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .operators import cluster as C
+from .operators import descent as D
 from .operators import graph as G
 from .operators import maintain as M
 from .operators import product as P
 from .operators import quantize as Q
+from .operators import rangegraph as R
 from .operators import search as S
 from .sources import indexfiles
 
@@ -512,6 +514,30 @@ def knn_graph(s, d):
     return rounded(S.knn_graph(base(s, d), 5))
 
 
+@query("range_graph_search", _knn(where="vec_id BETWEEN query_id // 2 AND query_id // 2 + (SELECT count(*) FROM v) * (CASE (query_id // 25) % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 50 END) // 100"))
+def range_graph_search(s, d):
+    """Ranges of one, ten and fifty percent of the ids, each by the few graphs that cover it."""
+    rows, n = base(s, d), vectors(s, d).count()
+    low, share = F.floor(F.col("query_id") / 2), F.element_at(F.array(F.lit(1), F.lit(10), F.lit(50)), (F.floor(F.col("query_id") / 25) % 3 + 1).cast("int"))
+    ranges = asked(s, d).withColumn("low", low).withColumn("high", low + F.floor(n * share / 100))
+    return rounded(R.search(R.build(rows), ranges, K, ef=256).drop("n_distances"))
+
+
+@query("nn_descent_graph", ORACLE_SQL["knn_graph"])
+def nn_descent_graph(s, d):
+    """Neighbours by rounds of joins over the whole table, until no link changes; of thirty links the five nearest."""
+    links = D.neighbours(base(s, d), 30, least=0.0).withColumnsRenamed({"src": "query_id", "dst": "vec_id"})
+    return rounded(S.top_k(links, 5).select("query_id", "rank", "vec_id", "dist"))
+
+
+@query("bulk_beam_search", _knn())
+def bulk_beam_search(s, d):
+    """All queries walk one graph over the whole table, round by round."""
+    rows = base(s, d).select("vec_id", "e")
+    links = C.saved(D.with_reverse(D.neighbours(rows, 20), 40))
+    return rounded(D.search(asked(s, d), rows, links, D.entries(rows), K, ef=128)[0])
+
+
 @query("graph_degree_stats")
 def graph_degree_stats(s, d):
     return G.degrees(G.build(G.partitioned(base(s, d), 4)))
