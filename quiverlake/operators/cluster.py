@@ -6,7 +6,7 @@ Means are taken in fixed point (1e-9), so that no order of rows changes them.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -185,30 +185,67 @@ def split_small(centroids: DataFrame, least: int) -> DataFrame:
     return centroids.sparkSession.createDataFrame(pa.table(columns))
 
 
-def capped(rows: DataFrame, centroids: DataFrame, cap: int, metric: str = "l2") -> DataFrame:
-    """(vec_id, cid, dist) with at most `cap` rows a cluster: the farthest of a full one try their next open centroid.
+#: Nearest centroids that a row bids for, rounds of an auction, and steps of a quantile of regrets.
+BIDS, ROUNDS, STEPS = 8, 10, 50
 
-    Rounds go on until every row has its place; only where all clusters are full do rows
-    stay out.  Each round but the last fills a cluster, so k centroids take k + 1 at most.
-    """
 
-    def options(some: DataFrame) -> DataFrame:
-        pairs = paired(some.select("vec_id", "e"), centroids).select("vec_id", "cid", distance(metric, "e", "c").alias("dist"))
-        return pairs.withColumn("choice", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "cid")))
-
-    def settled(tried: DataFrame) -> DataFrame:
-        place = Window.partitionBy("cid").orderBy("choice", "dist", "vec_id")
-        return saved(tried.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cap).drop("place"))
-
-    kept = settled(options(rows).where("choice = 1"))
-    total, before, placed = rows.count(), 0, kept.count()
-    while before < placed < total:
-        full = kept.groupBy("cid").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("cid")
-        left = options(rows.join(kept.select("vec_id"), "vec_id", "left_anti")).join(full, "cid", "left_anti")
-        more = left.groupBy("vec_id").agg(F.min_by(F.struct("cid", "dist", "choice"), "choice").alias("b")).select("vec_id", "b.*")
-        kept = settled(kept.unionByName(more))
-        before, placed = placed, kept.count()
-    return kept.select("vec_id", "cid", "dist")
+def capped(rows: DataFrame, centroids: DataFrame, cap: int, metric: str = "l2", bids: int = BIDS, rounds: int = ROUNDS) -> DataFrame:
+    """(vec_id, cid, dist) with at most `cap` rows a cluster, near the least sum of distances; ids are unique.
+
+    An auction: a row bids for the centroid of least distance plus price among its `bids`
+    nearest.  Where more than `cap` bid the price rises by what makes the surplus leave,
+    told from quantiles of what each would lose.  After `rounds`, or once no surplus is
+    left, each cluster takes those who would lose the most.  The others try the nearest
+    centroids with room, round by round: where many wait for the same places they spread
+    over the next ones, so equal rows fill several clusters at once.  Only where all
+    clusters are full do rows stay out.  Lists are bounded; no table has a row for each
+    row and centroid; places within a cluster come from one order of all rows, so a
+    cluster that everyone wants is no task's burden.
+    """
+    spark, kind = rows.sparkSession, centroids.schema["cid"].dataType
+    cells = dense.few(centroids, "cid", "c")
+    if cells is None:
+        raise ValueError("more centroids than may travel: cluster in two levels")
+    k, room = len(cells.ids), {int(i): cap for i in cells.ids}
+    lists = saved(dense.with_lists(rows, cells, min(bids, k), metric)) if k else None
+    placed = spark.createDataFrame([], StructType([rows.schema["vec_id"], StructField("cid", kind), StructField("dist", DoubleType())]))
+    if not k or cap < 1:
+        return placed
+    prices = dict.fromkeys(room, 0.0)
+    shares = [i / STEPS for i in range(STEPS + 1)]
+    for _ in range(rounds):
+        bid = dense.with_bids(lists, prices).groupBy("cid").agg(F.count("*").alias("n"), F.percentile_approx("regret", F.array(*map(F.lit, shares)), 1000).alias("q"))
+        surplus = bid.where(F.col("n") > cap).collect()  # a row a centroid at most
+        if not surplus:
+            break
+        for r in surplus:
+            rise = r.q[min(STEPS, -(-(r.n - cap) * STEPS // r.n))]
+            prices[r.cid] += rise * (1 + 1e-9) + 1e-12 if rise < float("inf") else 0.0
+    tried = dense.with_bids(lists, prices)
+    waiting = rows.select("vec_id", "e")
+    while True:
+        order, _ = numbered(tried, "cid", F.desc("regret"), "vec_id", name="place")
+        starts, begin = {}, 0
+        for r in tried.groupBy("cid").count().orderBy("cid").collect():
+            starts[r.cid], begin = begin, begin + r["count"]
+        if not starts:
+            return placed
+        known = spark.createDataFrame([(i, s, room[i]) for i, s in starts.items()], "cid long, start long, room long")
+        order = saved(order.join(F.broadcast(known), "cid").withColumn("place", F.col("place") - F.col("start")))
+        taken = order.where(F.col("place") < F.col("room"))
+        for r in taken.groupBy("cid").count().collect():
+            room[r.cid] -= r["count"]
+        placed = saved(placed.unionByName(taken.select("vec_id", F.col("cid").cast(kind).alias("cid"), "dist")))
+        late = order.where(F.col("place") >= F.col("room")).select("vec_id", ((F.col("place") - F.col("room")) / cap).cast("int").alias("turn"))
+        free = [i for i, n in enumerate(cells.ids.tolist()) if room[int(n)] > 0]
+        if not free or late.isEmpty():
+            return placed
+        left = saved(waiting.join(late, "vec_id"))
+        waiting = left.select("vec_id", "e")
+        open_ = dense.Few(cells.ids[free], cells.x[free], {})
+        near = dense.with_lists(waiting, open_, min(bids, len(free)), metric).join(left.select("vec_id", "turn"), "vec_id")
+        at = F.pmod(F.col("turn"), F.size("cids")) + 1
+        tried = saved(near.select("vec_id", F.element_at("cids", at).alias("cid"), F.element_at("dists", at).alias("dist"), (-F.element_at("dists", at)).alias("regret")))
 
 
 def histogram(assigned: DataFrame, centroids: DataFrame, key: str = "cid") -> DataFrame:

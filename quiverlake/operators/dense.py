@@ -312,6 +312,45 @@ def with_nearest(rows: DataFrame, cells: Few, kind, metric: str, penalty: np.nda
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cid", kind), StructField("dist", DoubleType())]))
 
 
+def with_lists(rows: DataFrame, cells: Few, k: int, metric: str) -> DataFrame:
+    """(vec_id, cids, dists): the k nearest cells of each row (vec_id, e) in order, where the row is read; rows without a usable vector go."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        c = shared.value
+        for batch in batches:
+            x, ok = matrix(batch.column("e"), c.x.shape[1])
+            for a, b in _pieces(len(x), len(c.ids)) if len(c.ids) else []:
+                places, dists = _first(near(metric, c.x, x[a:b]), x[a:b], c.x, metric, None, k, slack(x[a:b], c.x))
+                on = np.flatnonzero(ok[a:b] & (places >= 0).all(1))
+                offsets = np.arange(len(on) + 1, dtype=np.int32) * places.shape[1]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[on].ravel())) for v in (c.ids[places].astype(np.int64), dists)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(a + on)), *lists], names=["vec_id", "cids", "dists"])
+
+    return rows.select("vec_id", "e").mapInArrow(run, StructType([rows.schema["vec_id"], *StructType.fromDDL("cids array<long>, dists array<double>").fields]))
+
+
+def with_bids(lists: DataFrame, prices: dict[int, float]) -> DataFrame:
+    """(vec_id, cid, dist, regret) of rows with lists: the cell of least distance plus price, and what the second one would cost more (infinite with one)."""
+    names = np.array(sorted(prices), np.int64)
+    shared = lists.sparkSession.sparkContext.broadcast((names, np.array([prices[i] for i in names.tolist()])))
+
+    def run(batches):
+        ids, price = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = len(batch.column("cids")[0])
+            cids, dists = (batch.column(c).flatten().to_numpy().reshape(-1, k) for c in ("cids", "dists"))
+            cost = dists + price[np.searchsorted(ids, cids)]
+            order = np.argsort(cost, 1, kind="stable")
+            row, best = np.arange(len(cost)), order[:, 0]
+            regret = cost[row, order[:, 1]] - cost[row, best] if k > 1 else np.full(len(cost), np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cids[row, best]), pa.array(dists[row, best]), pa.array(regret)], names=["vec_id", "cid", "dist", "regret"])
+
+    return lists.mapInArrow(run, StructType([lists.schema["vec_id"], *StructType.fromDDL("cid long, dist double, regret double").fields]))
+
+
 def nearest_in(rows: DataFrame, group: str, minis: Few, kind, metric: str) -> DataFrame:
     """The rows (group, vec_id, e) with the nearest of the minis that belong to their group (mini_id, dist)."""
     shared = rows.sparkSession.sparkContext.broadcast(minis)

@@ -143,6 +143,22 @@ def test_cap_holds_and_keeps_all(spark):
     assert got.select("vec_id").distinct().count() == base.count()
 
 
+def test_caps_cost_little_more_than_the_best(spark):
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(2):
+        x, c = rng.normal(size=(9, 2)), rng.normal(size=(3, 2))
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        best = min(sum(d[i, a] for i, a in enumerate(own)) for own in itertools.product(range(3), repeat=9) if max(own.count(k) for k in range(3)) <= 3)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, e array<double>")
+        cents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cid long, c array<double>")
+        got = C.capped(rows, cents, 3)
+        assert got.groupBy("cid").count().where("count <> 3").isEmpty()
+        assert got.agg(F.sum("dist")).first()[0] <= 1.15 * best + 1e-9
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cap_keeps_all_of_many_equal_rows(spark):
     base, cents = catalog.base(spark, DATA), catalog.cents(spark, DATA)
     one = F.lit([float(x) for x in base.orderBy("vec_id").first().e])
