@@ -599,6 +599,19 @@ def hnsw_saved_search(s, d):
     return rounded(G.search(asked(s, d), found["rows"], found["edges"], K, ef=settings["ef"], m=settings["m"]))
 
 
+@query("filtered_benchmark", "SELECT CAST(p AS DOUBLE) AS selectivity, (SELECT count(*) FROM embeddings WHERE vec_id % 25 = 0) AS total_queries, CAST(100 AS DOUBLE) AS recall_percentage, true AS counted FROM (VALUES (50), (10), (1)) t(p)")
+def filtered_benchmark(s, d):
+    """Search at three selectivities with the effort that each needs, written as JSON and read back; times and counts stay in the file."""
+    from .operators import benchmark as X
+    from .sources import vecfiles
+
+    rows, at = G.partitioned(base(s, d).select("vec_id", "e"), 4), indexfiles.scratch(s, "benchmark")
+    masks = {float(p): S.mask(percent=p) for p in (50, 10, 1)}
+    vecfiles.write_results(X.sweep(asked(s, d), rows, C.saved(G.build(rows)), masks, K, [64, 128, 512], 99.99), at)
+    found = s.read.schema(X.FIELDS).json(at)
+    return found.select("selectivity", "total_queries", F.round("recall_percentage", 6).alias("recall_percentage"), ((F.col("avg_distance_computations") > 0) & (F.col("avg_list_nbrs_calls") > 0) & (F.col("avg_execution_time_ms") > 0)).alias("counted"))
+
+
 @query("hnsw_costs")
 def hnsw_costs(s, d):
     rows = G.partitioned(base(s, d), 4)
