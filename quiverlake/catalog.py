@@ -1070,6 +1070,32 @@ def vector_table_stats(s, d):
     return s.read.parquet(f"{d}/embeddings.parquet").agg(F.count("*").alias("n"), F.min(size).alias("min_dim"), F.max(size).alias("max_dim"), F.count_if(F.col("embedding").isNull()).alias("n_null"))
 
 
+@query("vector_table_footers", "SELECT count(*) AS n_rows, CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings")
+def vector_table_footers(s, d):
+    """The same from the files' footers."""
+    from .sources import footers
+
+    return footers.table_stats(s, f"{d}/embeddings.parquet").select("n_rows", "dim")
+
+
+_PACKED = f"{_PW}, de AS (SELECT vec_id, list(code * (w / 4) + (w / 8 + lo) ORDER BY pos) AS c FROM pc GROUP BY vec_id)"
+
+
+@query("pairwise2_packed_search", f"{_PACKED}, d AS (SELECT query_id, vec_id, {_d('l2', 'c', 'qe')} AS dist FROM de, q) {_top('d')}")
+def pairwise2_packed_search(s, d):
+    """The nearest by 2-bit codes, four to a byte, from tables of sums."""
+    p = C.saved(Q.train_pairwise(base(s, d)))
+    return rounded(Q.search_packed(asked(s, d), Q.packed(Q.encode_pairwise(base(s, d), p)), p, K))
+
+
+@query("pairwise2_packed_rerank", f"{_PACKED}, d0 AS (SELECT query_id, qe, vec_id, {_d('l2', 'c', 'qe')} AS dist FROM de, q), c100 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM d0) WHERE r <= 100), d AS (SELECT query_id, vec_id, {_d('l2', 'e', 'qe')} AS dist FROM c100 JOIN b USING (vec_id)) {_top('d')}")
+def pairwise2_packed_rerank(s, d):
+    """A hundred by packed codes, the ten nearest of them by their vectors."""
+    p = C.saved(Q.train_pairwise(base(s, d)))
+    found = Q.search_packed(asked(s, d), Q.packed(Q.encode_pairwise(base(s, d), p)), p, 100)
+    return rounded(Q.rerank(found, asked(s, d), base(s, d), K))
+
+
 @query("laid_out_search", ORACLE_SQL["two_level_search"])
 def laid_out_search(s, d):
     """A saved index whose vectors are laid out by mega: only the folders of probed megas are read."""

@@ -568,6 +568,83 @@ def group_sums(rows: DataFrame, key: str, vector: str, fixed: int, most_bytes: i
     return own.mapInArrow(run, StructType([own.schema[0], *StructType.fromDDL("sums array<long>, n long").fields]))
 
 
+def sides(rows: DataFrame, vector: str) -> DataFrame:
+    """(low, high): each task's smallest and largest component of each dimension, a row a task; rows without a usable vector are left out."""
+
+    def run(batches):
+        low = high = None
+        for batch in batches:
+            x, ok = matrix(batch.column(0), None if low is None else len(low))
+            if ok.any():
+                a, b = x[ok].min(0), x[ok].max(0)
+                low, high = (a, b) if low is None else (np.minimum(low, a), np.maximum(high, b))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64()))], names=["low", "high"])
+
+    return rows.select(vector).mapInArrow(run, "low array<double>, high array<double>")
+
+
+def packed_codes(rows: DataFrame) -> DataFrame:
+    """(vec_id, codes, tight) of rows with 2-bit codes and a mask of their groups: four codes a byte, the first in the lowest bits, and eight flags a byte."""
+
+    def run(batches):
+        for batch in batches:
+            codes, masks = batch.column("codes"), batch.column("mask")
+            made: tuple[list, list] = ([], [])
+            for i in range(batch.num_rows):
+                own, flags = codes[i].as_py() or [], masks[i].as_py() or []  # none: of another number of bytes than any query
+                four = np.zeros(-(-len(own) // 4) * 4, np.uint8)
+                four[: len(own)] = own
+                made[0].append((four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes())
+                made[1].append(np.packbits(np.array(flags, bool), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(v, pa.binary()) for v in made)], names=["vec_id", "codes", "tight"])
+
+    return rows.select("vec_id", "codes", "mask").mapInArrow(run, "vec_id long, codes binary, tight binary")
+
+
+def nearest_packed(queries: Few, packed: DataFrame, params: dict[str, np.ndarray], k: int) -> DataFrame:
+    """(query_id, vec_id, dist): each task's k nearest rows (vec_id, codes, tight) of each query by squared L2 to what codes decode to.
+
+    A query has a table of 256 sums for each byte and range, so a row costs a look-up and
+    an addition for each four dimensions; codes are not unpacked.
+    """
+    dim = queries.x.shape[1]
+    groups = -(-dim // 4)
+    shared = packed.sparkSession.sparkContext.broadcast((queries, params))
+
+    def tables(q: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+        digit = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3  # 256 bytes by four codes
+        out = np.zeros((len(q), groups, 2, 256))
+        for tight, (low, width) in enumerate((("low", "width"), ("tight_low", "tight_width"))):
+            for j in range(dim):
+                value = digit[:, j % 4] * (p[width][j] / 4) + (p[width][j] / 8 + p[low][j])
+                out[:, j // 4, tight] += (q[:, j, None] - value[None]) ** 2
+        return out.reshape(len(q), -1)
+
+    def run(batches):
+        asked, p = shared.value
+        table, best = tables(asked.x, p), [(np.zeros(0), np.zeros(0, np.int64)) for _ in asked.ids]
+        for batch in batches:
+            ids = batch.column("vec_id").to_numpy()
+            lengths = np.array([len(v) for v in batch.column("codes").to_pylist()])
+            keep = np.flatnonzero(lengths == groups)
+            if not len(keep):
+                continue
+            own = batch.take(pa.array(keep))
+            byte = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(-1, groups)
+            flags = np.unpackbits(np.frombuffer(b"".join(own.column("tight").to_pylist()), np.uint8).reshape(len(keep), -1), axis=1, bitorder="little")[:, :groups]
+            at = (np.arange(groups) * 512 + flags.astype(np.int64) * 256 + byte).astype(np.int64)
+            for number in range(len(asked.ids)):
+                d = table[number][at].sum(1)
+                dist, names = (np.concatenate(v) for v in zip(best[number], (d, ids[keep])))
+                order = np.lexsort((names, dist))[:k]
+                best[number] = dist[order], names[order]
+        columns = [np.repeat(asked.ids, [len(d) for d, _ in best]), np.concatenate([n for _, n in best] + [np.zeros(0, np.int64)]), np.concatenate([d for d, _ in best] + [np.zeros(0)])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "dist"])
+
+    return packed.where(F.col("vec_id").isNotNull()).mapInArrow(run, FOUND)
+
+
 def merged_sums(parts: DataFrame, key: str, fixed: int) -> DataFrame:
     """(key, c, n): means from group_sums' rows of all tasks; rows come sorted by key, so a task holds one group's sums."""
 

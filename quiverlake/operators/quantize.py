@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, pairwise_decode, pairwise_encode, pairwise_mask, sq8_decode, sq8_encode
+from . import dense
 from .search import knn, top_k
 
 
 def train(rows: DataFrame, vector: str = "e") -> DataFrame:
     """One row (low, width): minimum and range of each dimension."""
-    sides = rows.select(F.posexplode(vector).alias("pos", "v")).groupBy("pos").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    zipped = dense.sides(rows, vector).select(F.posexplode(F.arrays_zip("low", "high")).alias("pos", "v"))  # a row a task and dimension
+    sides = zipped.groupBy("pos").agg(F.min("v.low").alias("low"), F.max("v.high").alias("high"))
     packed = sides.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("d"))
     return packed.select(F.transform("d", lambda p: p["low"]).alias("low"), F.transform("d", lambda p: p["high"] - p["low"]).alias("width"))
 
@@ -77,10 +80,26 @@ def train_pairwise(rows: DataFrame, tight: float = 0.8, wide: float = 0.95, bins
 
 def encode_pairwise(rows: DataFrame, params: DataFrame, vector: str = "e") -> DataFrame:
     """The rows with 2-bit `codes` and a `mask`: which groups of four dimensions use the tight range."""
-    both = rows.crossJoin(F.broadcast(params)).withColumn("mask", pairwise_mask(F.col(vector), F.col("tight_low"), F.col("tight_width")))
+    mask = pairwise_mask(F.col(vector), F.col("tight_low"), F.col("tight_width"))
+    both = rows.crossJoin(F.broadcast(params)).withColumn("mask", F.explode(F.array(mask)))  # made once a row, not once for each use
     return both.withColumn("codes", pairwise_encode(F.col(vector), *map(F.col, ("mask", "low", "width", "tight_low", "tight_width")))).drop("low", "width", "tight_low", "tight_width")
 
 
 def decode_pairwise(rows: DataFrame, params: DataFrame) -> DataFrame:
     both = rows.crossJoin(F.broadcast(params))
     return both.withColumn("decoded", pairwise_decode(*map(F.col, ("codes", "mask", "low", "width", "tight_low", "tight_width")))).drop("low", "width", "tight_low", "tight_width")
+
+
+def packed(coded: DataFrame) -> DataFrame:
+    """(vec_id, codes, tight) of pairwise coded rows: two bits a dimension and one for each four, as bytes."""
+    return dense.packed_codes(coded)
+
+
+def search_packed(queries: DataFrame, packed: DataFrame, params: DataFrame, k: int) -> DataFrame:
+    """k nearest by squared L2 to what packed 2-bit codes decode to, by a table of each query for each byte."""
+    asked = dense.few(queries.select(F.col("query_id").cast("long").alias("query_id"), "qe"), "query_id", "qe")
+    if asked is None:
+        raise ValueError("more queries than may travel: ask in blocks")
+    one = params.select("low", "width", "tight_low", "tight_width").first()
+    arrays = {name: np.array(one[name]) for name in ("low", "width", "tight_low", "tight_width")}
+    return top_k(dense.nearest_packed(asked, packed, arrays, k), k).select("query_id", "rank", "vec_id", "dist")
