@@ -332,10 +332,15 @@ def _nodes(rows: DataFrame, edges: DataFrame | None, m: int) -> DataFrame:
         rows = rows if name in own else rows.withColumn(name, F.lit(value))
     rows = rows.select("part", "vec_id", "e", "level", "allowed", "gone", "new")
     if edges is None:
-        return rows.withColumn("links", F.lit(None).cast("array<struct<level:int,dst:bigint>>"))
+        return _dealt(rows.withColumn("links", F.lit(None).cast("array<struct<level:int,dst:bigint>>")))
     out = edges.groupBy("part", F.col("src").alias("vec_id")).agg(F.collect_list(F.struct("level", "pos", "dst")).alias("links"))
     out = out.withColumn("links", F.transform(F.array_sort("links"), lambda s: F.struct(s["level"].alias("level"), s["dst"].alias("dst"))))
-    return rows.join(out, ["part", "vec_id"], "left")
+    return _dealt(rows.join(out, ["part", "vec_id"], "left"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Partitions of the table over as many tasks as the session has: their rows are few and their graphs are work, so they are not to be gathered by bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
 
 
 #: Rows of a partition at most: its vectors, links and walks are one task's memory.
