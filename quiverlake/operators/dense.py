@@ -13,6 +13,7 @@ or not finite have no distance.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,36 +134,85 @@ def slack(x: np.ndarray, q: np.ndarray) -> float:
     return 1e-10 * (1.0 + float((x * x).sum(1).max(initial=0)) + float((q * q).sum(1).max(initial=0)))
 
 
-class Best:
-    """The k nearest of each query so far."""
+#: Queries and rows that are compared at a time, and pairs whose exact distances are held.
+TILE, PAIRS = (1024, 2048), 1 << 16
 
-    def __init__(self, q: np.ndarray, k: int, metric: str):
-        self.q, self.k, self.metric = q, k, metric
-        self.found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q]
+
+def exactly(metric: str, x: np.ndarray, at: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Distances of the rows `at` of x to the rows `row` of q, some pairs at a time."""
+    out = np.empty(len(at))
+    for a in range(0, len(at), PAIRS):
+        out[a : a + PAIRS] = distance(metric, x[at[a : a + PAIRS]], q[row[a : a + PAIRS]])
+    return out
+
+
+class Nearest:
+    """The k least distances of each query so far, ties to the smaller id; `limit` bounds what a query takes."""
+
+    def __init__(self, n: int, k: int, limit: np.ndarray | None = None):
+        self.k, self.limit = k, np.full(n, np.inf) if limit is None else limit.astype(np.float64)
+        self.dist, self.own, self.there = np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
+
+    def least(self, d: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """What no distance in a row of d (but for rounding) has to exceed to be among the k nearest of the row's query."""
+        limit = self.limit[queries]
+        fresh = np.flatnonzero(np.isinf(limit)) if d.shape[1] > self.k else []
+        if len(fresh):
+            limit[fresh] = np.nan_to_num(np.partition(d[fresh], self.k - 1, 1)[:, self.k - 1], nan=np.inf, posinf=np.inf)
+        return limit
+
+    def offer(self, queries: np.ndarray, row: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        """Distances and ids for the queries with the numbers queries[row]; row is in order."""
+        order = np.lexsort((ids, dist, row))
+        order = order[~np.isnan(dist[order])]
+        row, dist, ids = row[order], dist[order], ids[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        on = rank < self.k
+        row, dist, ids, rank = row[on], dist[on], ids[on], rank[on]
+        if not len(row):
+            return
+        some, at = np.unique(row, return_inverse=True)
+        wide, of = int(rank.max()) + 1, queries[some]
+        more = np.full((len(some), wide), np.inf), np.zeros((len(some), wide), np.int64), np.zeros((len(some), wide), bool)
+        for to, values in zip(more, (dist, ids, True)):
+            to[at, rank] = values
+        dist, own, there = (np.concatenate([old[of], new], 1) for old, new in zip((self.dist, self.own, self.there), more))
+        order = np.lexsort((own, dist, ~there))[:, : self.k]
+        self.dist[of], self.own[of], self.there[of] = (np.take_along_axis(v, order, 1) for v in (dist, own, there))
+        full = self.there[of, -1]
+        self.limit[of[full]] = np.minimum(self.limit[of[full]], self.dist[of[full], -1])
+
+    def rows(self, ids: np.ndarray, names: tuple[str, str, str] = ("query_id", "vec_id", "dist")) -> pa.RecordBatch:
+        row, at = np.nonzero(self.there)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[row], self.own[row, at], self.dist[row, at])], names=list(names))
+
+
+class Best(Nearest):
+    """The k nearest vectors of each query so far, at most `limit` away and with an id within the query's range (low, high) where those are given.
+
+    Tiles of queries and rows are compared by one product each, and what a tile has below
+    the limits is ordered for all its queries at once: no query is a turn of a Python loop.
+    """
+
+    def __init__(self, q: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None, within: tuple[np.ndarray, np.ndarray] | None = None):
+        super().__init__(len(q), k, limit)
+        self.q, self.metric, self.within = q, metric, within
 
     def add(self, ids: np.ndarray, x: np.ndarray, of: np.ndarray | None = None) -> None:
         """Offer vectors to all queries, or to those with the numbers `of`."""
         of = np.arange(len(self.q)) if of is None else of
-        step = max(1, CELLS // max(1, len(of)))
-        for a in range(0, len(ids), step):
-            part, names = x[a : a + step], ids[a : a + step]
-            d, room = near(self.metric, part, self.q[of]), slack(part, self.q[of])
-            for row, query in zip(d, of):
-                dist, own = self.found[query]
-                limit = dist[-1] if len(dist) == self.k else np.inf
-                if len(row) > self.k:
-                    limit = min(limit, np.partition(row, self.k - 1)[self.k - 1])
-                at = np.flatnonzero(row <= limit + room)
-                if not len(at):
-                    continue
-                dist, own = np.concatenate([dist, distance(self.metric, part[at], self.q[query])]), np.concatenate([own, names[at]])
-                order = np.lexsort((own, dist))
-                order = order[~np.isnan(dist[order])][: self.k]
-                self.found[query] = dist[order], own[order]
-
-    def rows(self, ids: np.ndarray, names: tuple[str, str, str] = ("query_id", "vec_id", "dist")) -> pa.RecordBatch:
-        columns = [np.repeat(ids, [len(d) for d, _ in self.found]), np.concatenate([i for _, i in self.found] + [np.zeros(0, np.int64)]), np.concatenate([d for d, _ in self.found] + [np.zeros(0)])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+        for a in range(0, len(ids), TILE[1]):
+            part, names = x[a : a + TILE[1]], ids[a : a + TILE[1]]
+            for b in range(0, len(of), TILE[0]):
+                own = of[b : b + TILE[0]]
+                q = self.q[own]
+                d, room = near(self.metric, part, q), slack(part, q)
+                if self.within is not None:
+                    low, high = (v[own][:, None] for v in self.within)
+                    d = np.where((names[None] >= low) & (names[None] <= high), d, np.nan)
+                row, at = np.nonzero(d <= (self.least(d, own) + room)[:, None])
+                if len(row):
+                    self.offer(own, row, exactly(self.metric, part, at, q, row), names[at])
 
 
 FOUND = "query_id long, vec_id long, dist double"
@@ -177,12 +227,15 @@ def _usable(batch: pa.RecordBatch, id_col: str, vector: str, dim: int) -> tuple[
 
 
 def nearest_rows(queries: Few, base: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, vec_id, dist): each task's k nearest rows (vec_id, e) of each query."""
+    """(query_id, vec_id, dist): each task's k nearest rows (vec_id, e) of each query.
+
+    Queries may have a `limit` (no row beyond it is taken) and a range of ids (low, high).
+    """
     shared = base.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         q = shared.value
-        best = Best(q.x, k, metric)
+        best = Best(q.x, k, metric, q.more.get("limit"), (q.more["low"], q.more["high"]) if "low" in q.more else None)
         for batch in batches:
             _, ids, x = _usable(batch, "vec_id", "e", q.x.shape[1])
             best.add(ids, x)
@@ -191,15 +244,22 @@ def nearest_rows(queries: Few, base: DataFrame, k: int, metric: str) -> DataFram
     return base.select(F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(run, FOUND)
 
 
+#: Pairs of blocks for each core at least.
+PAIRS_A_CORE = 4
+
+
 def nearest_in_blocks(queries: DataFrame, base: DataFrame, k: int, metric: str, most: int | None = None) -> DataFrame:
     """(query_id, vec_id, dist): as nearest_rows where the queries are more than may travel: both sides are dealt into blocks of at most about `most` bytes, and each pair of blocks is a task's unit.
 
-    The base is shuffled once for each block of queries.  No key holds more than two blocks.
+    The base is shuffled once for each block of queries.  No key holds more than two blocks,
+    and there are more keys than cores.  Queries may have a `limit`.
     """
     most = most or BROADCAST_BYTES // 2
     blocks = lambda df, v: max(1, -(-size_of(df, v) // most))
-    queries, base = queries.select("query_id", "qe"), base.select(F.col("vec_id").cast("long").alias("vec_id"), "e")
-    n, m = blocks(queries, "qe"), blocks(base, "e")
+    limited = "limit" in queries.columns
+    queries, base = queries.select("query_id", "qe", *["limit"] * limited), base.select(F.col("vec_id").cast("long").alias("vec_id"), "e")
+    least = math.isqrt(PAIRS_A_CORE * base.sparkSession.sparkContext.defaultParallelism) + 1
+    n, m = max(least, blocks(queries, "qe")), max(least, blocks(base, "e"))
     number = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = queries.withColumn("q", number("query_id", n)).withColumn("b", every(m))
@@ -209,7 +269,7 @@ def nearest_in_blocks(queries: DataFrame, base: DataFrame, k: int, metric: str,
         q, ok = matrix(asked.column("qe"))
         ids = asked.column("query_id").to_numpy()
         ok &= np.asarray(asked.column("query_id").is_valid())
-        best = Best(q[ok], k, metric)
+        best = Best(q[ok], k, metric, asked.column("limit").to_numpy()[ok] if limited else None)
         for batch in rows.to_batches(max_chunksize=10_000) if ok.any() else ():
             _, names, x = _usable(batch, "vec_id", "e", q.shape[1])
             best.add(names, x)
@@ -272,7 +332,7 @@ def _first(d: np.ndarray, x: np.ndarray, q: np.ndarray, metric: str, extra: np.n
     k = min(k, m)
     limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k < m else np.full(n, np.inf)
     row, at = np.nonzero((d <= (limit + 2 * room)[:, None]) & np.isfinite(d))
-    dist = distance(metric, x[row], q[at])
+    dist = exactly(metric, q, at, x, row)
     cost = dist + extra[at] if extra is not None else dist
     order = np.lexsort((at, cost, row))
     row, at, dist = row[order], at[order], dist[order]
@@ -450,23 +510,31 @@ def means_of_few(df: DataFrame, key: str, vector: str, fixed: int) -> DataFrame
     return placed(df.sparkSession, pa.table({key: pa.array(names), "c": c, "n": pa.array(n)}), schema)
 
 
-def with_probes(queries: DataFrame, cells: Few, kind, k: int, metric: str, name: str = "cid") -> DataFrame:
-    """(query_id, qe, cid, probe_dist, probe_rank): the k nearest cells of each query."""
+#: Rows that are made at a time.
+MADE = 1 << 16
+
+
+def with_probes(queries: DataFrame, cells: Few, kind, k: int, metric: str, name: str = "cid", carry: bool = True) -> DataFrame:
+    """(query_id, qe, cid, probe_dist, probe_rank): the k nearest cells of each query; without `carry` no qe, which would be repeated k times."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):
         c = shared.value
         for batch in batches:
             q, ok = matrix(batch.column("qe"), c.x.shape[1])
-            for a, b in _pieces(len(q), len(c.ids)) if len(c.ids) else []:
+            wide = max(len(c.ids), 8 * min(k, len(c.ids)))  # many probes: fewer queries at a time
+            for a, b in _pieces(len(q), wide) if len(c.ids) else []:
                 places, dists = _first(near(metric, c.x, q[a:b]), q[a:b], c.x, metric, None, k, slack(q[a:b], c.x))
                 places[~ok[a:b]] = -1
-                row, rank = np.nonzero(places >= 0)
-                picked = batch.take(pa.array(a + row))
-                yield pa.RecordBatch.from_arrays([picked.column("query_id"), picked.column("qe"), pa.array(c.ids[places[row, rank]]), pa.array(dists[row, rank]), pa.array((rank + 1).astype(np.int32))], names=["query_id", "qe", name, "probe_dist", "probe_rank"])
+                every, ranks = np.nonzero(places >= 0)
+                for at in range(0, max(1, len(every)), MADE):
+                    row, rank = every[at : at + MADE], ranks[at : at + MADE]
+                    picked = batch.take(pa.array(a + row)) if carry else batch.select(["query_id"]).take(pa.array(a + row))
+                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(c.ids[places[row, rank]]), pa.array(dists[row, rank]), pa.array((rank + 1).astype(np.int32))], names=[*picked.schema.names, name, "probe_dist", "probe_rank"])
 
     own = queries.select("query_id", "qe")
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(name, kind), StructField("probe_dist", DoubleType()), StructField("probe_rank", IntegerType())]))
+    fields = own.schema.fields if carry else own.schema.fields[:1]
+    return own.mapInArrow(run, StructType([*fields, StructField(name, kind), StructField("probe_dist", DoubleType()), StructField("probe_rank", IntegerType())]))
 
 
 def with_minis(queries: DataFrame, megas: Few, minis: Few, kind, n_megas: int, n_minis: int, metric: str, always: np.ndarray) -> DataFrame:
