@@ -670,6 +670,47 @@ def packed_codes(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "codes", "mask").mapInArrow(run, "vec_id long, codes binary, tight binary")
 
 
+#: Bytes of look-up tables that are held at a time.
+TABLES = 8 << 20
+
+
+def looked_up(best: Nearest, queries: np.ndarray, table: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+    """Offer rows to queries: a row's distance is the sum, in order, of the places at[row] of the query's table."""
+    step = max(1, TABLES // (8 * len(queries)))
+    for a in range(0, len(ids), step):
+        part = at[a : a + step]
+        d = table[:, part[:, 0]]
+        for place in part.T[1:]:
+            d += table[:, place]
+        row, found = np.nonzero(d <= best.least(d, queries)[:, None])
+        best.offer(queries, row, d[row, found], ids[a : a + step][found])
+
+
+def nearest_coded(queries: Few, tables: np.ndarray, coded: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, dist): each task's k nearest rows (vec_id, codes) of each query by sums of looked-up distances.
+
+    tables: queries by slices by codes; rows of another number of slices, or with a code that is not there, are left out.
+    """
+    _, slices, size = tables.shape
+    shared = coded.sparkSession.sparkContext.broadcast((queries.ids, tables.reshape(len(tables), -1)))
+
+    def run(batches):
+        names, table = shared.value
+        best = Nearest(len(names), k)
+        for batch in batches:
+            codes, ok = matrix(batch.column("codes"), slices)
+            ok &= ((codes >= 0) & (codes < size)).all(1)
+            on = np.flatnonzero(ok)
+            ids = batch.column("vec_id").take(pa.array(on)).to_numpy(zero_copy_only=False)
+            at = np.arange(slices) * size + codes[on].astype(np.int64)
+            for a in range(0, len(names) if len(on) else 0, TILE[0]):
+                own = np.arange(a, min(a + TILE[0], len(names)))
+                looked_up(best, own, table[a : a + TILE[0]], ids, at)
+        yield best.rows(names)
+
+    return coded.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "codes").mapInArrow(run, FOUND)
+
+
 def nearest_packed(queries: Few, packed: DataFrame, params: dict[str, np.ndarray], k: int) -> DataFrame:
     """(query_id, vec_id, dist): each task's k nearest rows (vec_id, codes, tight) of each query by squared L2 to what codes decode to.
 
@@ -691,7 +732,16 @@ def nearest_packed(queries: Few, packed: DataFrame, params: dict[str, np.ndarray
 
     def run(batches):
         asked, p = shared.value
-        table, best = tables(asked.x, p), [(np.zeros(0), np.zeros(0, np.int64)) for _ in asked.ids]
+        best, held, n = Nearest(len(asked.ids), k), [], 0
+
+        def compare():
+            """All queries with the rows held, some tables at a time: these are 64 kB a query for 64 dimensions."""
+            ids, at = (np.concatenate(v) for v in zip(*held))
+            step = max(1, TABLES // (groups * 512 * 8))
+            for a in range(0, len(asked.ids), step):
+                table, own = tables(asked.x[a : a + step], p), np.arange(a, min(a + step, len(asked.ids)))
+                looked_up(best, own, table, ids, at)
+
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
             lengths = np.array([len(v) for v in batch.column("codes").to_pylist()])
@@ -701,14 +751,14 @@ def nearest_packed(queries: Few, packed: DataFrame, params: dict[str, np.ndarray
             own = batch.take(pa.array(keep))
             byte = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(-1, groups)
             flags = np.unpackbits(np.frombuffer(b"".join(own.column("tight").to_pylist()), np.uint8).reshape(len(keep), -1), axis=1, bitorder="little")[:, :groups]
-            at = (np.arange(groups) * 512 + flags.astype(np.int64) * 256 + byte).astype(np.int64)
-            for number in range(len(asked.ids)):
-                d = table[number][at].sum(1)
-                dist, names = (np.concatenate(v) for v in zip(best[number], (d, ids[keep])))
-                order = np.lexsort((names, dist))[:k]
-                best[number] = dist[order], names[order]
-        columns = [np.repeat(asked.ids, [len(d) for d, _ in best]), np.concatenate([n for _, n in best] + [np.zeros(0, np.int64)]), np.concatenate([d for d, _ in best] + [np.zeros(0)])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "dist"])
+            held.append((ids[keep], (np.arange(groups) * 512 + flags.astype(np.int32) * 256 + byte).astype(np.int32)))
+            n += len(keep)
+            if n >= MADE:
+                compare()
+                held, n = [], 0
+        if held:
+            compare()
+        yield best.rows(asked.ids)
 
     return packed.where(F.col("vec_id").isNotNull()).mapInArrow(run, FOUND)
 

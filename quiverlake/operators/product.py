@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2, total
+from . import dense
 from .cluster import hashed_init, means, saved
 from .search import paired, top_k
 
@@ -58,6 +59,12 @@ def search(queries: DataFrame, coded: DataFrame, book: DataFrame, k: int, parts:
     """k nearest by sums of looked-up distances; symmetric: the query is coded too."""
     if symmetric:
         queries = decode(encode(queries, book, parts, "qe"), book).select("query_id", F.col("decoded").alias("qe"))
-    asked = queries.crossJoin(F.broadcast(book)).select("query_id", _tables(F.col("qe"), parts).alias("tables"))
+    asked = queries.crossJoin(F.broadcast(book)).select(F.col("query_id").cast("long").alias("query_id"), _tables(F.col("qe"), parts).alias("tables"))
+    few = dense.few(asked.withColumn("tables", F.flatten("tables")), "query_id", "tables")
+    cores = coded.sparkSession.sparkContext.defaultParallelism
+    if few is not None and len(few.ids):  # the tables travel, the codes are dealt over all cores
+        tables = few.x.reshape(len(few.ids), parts, -1)
+        pairs = dense.nearest_coded(few, tables, coded.select("vec_id", "codes").repartition(2 * cores), k)
+        return top_k(pairs, k).select("query_id", "rank", "vec_id", "dist")
     pairs = paired(coded.select("vec_id", "codes"), asked)
     return top_k(pairs.select("query_id", "vec_id", total(F.zip_with("codes", "tables", lambda c, t: F.get(t, c))).alias("dist")), k).select("query_id", "rank", "vec_id", "dist")

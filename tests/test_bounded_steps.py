@@ -76,3 +76,27 @@ def test_expansion_compares_a_frontier_and_not_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(S, "knn", lambda queries, *a: asked.append(queries.count()) or one(queries, *a))
     assert catalog.QUERIES["graph_expansion"](spark, DATA).count() > 0
     assert asked and max(asked) <= 20
+
+
+def test_tables_of_packed_codes_are_held_for_some_queries_at_a_time(spark, monkeypatch):
+    from quiverlake.operators import quantize as Q
+
+    base, asked = catalog.base(spark, DATA), catalog.asked(spark, DATA)
+    p = Q.train_pairwise(base).cache()
+    packed = Q.packed(Q.encode_pairwise(base, p)).cache()
+    want = sorted(map(tuple, Q.search_packed(asked, packed, p, 10).collect()))
+    for name, value in (("TABLES", 3 << 16), ("MADE", 64)):
+        monkeypatch.setattr(dense, name, value)
+    assert sorted(map(tuple, Q.search_packed(asked, packed, p, 10).collect())) == want
+
+
+def test_product_codes_are_looked_up_in_tasks(spark, monkeypatch):
+    from quiverlake.operators import product as P
+
+    base, asked = catalog.base(spark, DATA), catalog.asked(spark, DATA)
+    book = P.train(base, iterations=1).cache()
+    coded = P.encode(base, book).cache()
+    got = P.search(asked, coded, book, 10)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(dense, "few", lambda *a: None)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.search(asked, coded, book, 10).collect()))
