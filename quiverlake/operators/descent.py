@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, uniform
-from .cluster import saved
+from .cluster import settled
 from .search import top_k
 
 LINKS = "src long, dst long, dist double"
@@ -82,7 +82,7 @@ def neighbours(rows: DataFrame, k: int, rounds: int = 8, least: float = 0.002, b
     links = made[0]
     for more in made[1:]:
         links = links.unionByName(more)
-    links = saved(_best(links.withColumn("new", F.lit(True)), k))
+    links = settled(_best(links.withColumn("new", F.lit(True)), k))
 
     def met(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links among the rows that one row leads to, where at least one link to them is new."""
@@ -101,7 +101,7 @@ def neighbours(rows: DataFrame, k: int, rounds: int = 8, least: float = 0.002, b
         worst = links.groupBy(F.col("src").alias("vec_id")).agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("dist")).alias("worst"))
         lots = around.join(rows, "vec_id").join(worst, "vec_id")
         offered = lots.groupBy("centre").applyInPandas(met, LINKS).withColumn("new", F.lit(True))
-        after = saved(_best(links.withColumn("new", F.lit(False)).unionByName(offered), k))
+        after = settled(_best(links.withColumn("new", F.lit(False)).unionByName(offered), k))
         changed = after.where("new").count()
         links = after
         if changed <= least * n * k:
@@ -133,15 +133,15 @@ def search(queries: DataFrame, rows: DataFrame, links: DataFrame, starts: list[i
     """
     asked = queries.select("query_id", "qe")
     met = asked.withColumn("vec_id", F.explode(F.array(*map(F.lit, starts)).cast("array<long>"))).join(rows.select("vec_id", "e"), "vec_id")
-    seen = saved(met.select("query_id", "vec_id", distance("l2", "e", "qe").alias("dist"), F.lit(0).alias("round")).withColumn("followed", F.lit(False)))
+    seen = settled(met.select("query_id", "vec_id", distance("l2", "e", "qe").alias("dist"), F.lit(0).alias("round")).withColumn("followed", F.lit(False)))
     out = links.select(F.col("src").alias("vec_id"), "dst")
     for number in range(1, rounds + 1):
         beam = top_k(seen, ef).where("not followed").drop("rank")
-        front = saved(top_k(beam, follow).select("query_id", "vec_id"))
+        front = settled(top_k(beam, follow).select("query_id", "vec_id"))
         if front.isEmpty():
             break
         led = front.join(out, "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct().join(seen, ["query_id", "vec_id"], "left_anti")
         new = led.join(rows.select("vec_id", "e"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", distance("l2", "e", "qe").alias("dist"), F.lit(number).alias("round"), F.lit(False).alias("followed"))
         done = seen.join(front.withColumn("now", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "vec_id", "dist", "round", (F.col("followed") | F.coalesce("now", F.lit(False))).alias("followed"))
-        seen = saved(done.unionByName(new))
+        seen = settled(done.unionByName(new))
     return top_k(seen, k).select("query_id", "rank", "vec_id", "dist"), seen.select("query_id", "vec_id", "dist", "round", "followed")

@@ -100,3 +100,13 @@ def test_product_codes_are_looked_up_in_tasks(spark, monkeypatch):
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(dense, "few", lambda *a: None)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.search(asked, coded, book, 10).collect()))
+
+
+def test_rounds_of_joins_keep_no_growing_estimate(spark):
+    from quiverlake.operators import descent as D
+
+    base, asked = catalog.base(spark, DATA).where("vec_id < 150").select("vec_id", "e"), catalog.asked(spark, DATA).limit(3)
+    links = D.neighbours(base, 4, rounds=1)
+    digits = lambda df: len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    visited = [D.search(asked, base, links, [1, 2], 3, ef=16, follow=1, rounds=n)[1] for n in (2, 6)]
+    assert digits(visited[1]) <= digits(visited[0]) < 100
