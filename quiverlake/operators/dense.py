@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 #: Bytes of vectors that may travel to every task.
 BROADCAST_BYTES = 64 << 20
-#: Distances that are held at a time.
-CELLS = 2_000_000
+#: Distances that are held at a time, some four times over: what a task holds does not grow with the cells.
+CELLS = 1 << 19
 
 
 def size_of(df: DataFrame, *vectors: str) -> int:
@@ -600,6 +600,13 @@ def _groups(names: np.ndarray, order: np.ndarray):
     return names[at], np.split(order, at[1:]) if len(at) else []
 
 
+def summed(sums: dict, key: str, kind) -> pa.RecordBatch:
+    """(key, sums, n) of sums by name, whose numbers go into one array and are never Python's own."""
+    offsets = np.cumsum([0, *(len(s) for s, _ in sums.values())], dtype=np.int32)
+    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s for s, _ in sums.values()])))
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), values, pa.array([n for _, n in sums.values()], pa.int64())], names=[key, "sums", "n"])
+
+
 def group_sums(rows: DataFrame, key: str, vector: str, fixed: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, sums, n): element-wise sums of floor(x * fixed) and sizes by group, one row a group and task (or a few, if a task has many groups)."""
     own = rows.select(key, vector)
@@ -609,7 +616,7 @@ def group_sums(rows: DataFrame, key: str, vector: str, fixed: int, most_bytes: i
         dim = None
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([s.tolist() for s, _ in sums.values()], pa.list_(pa.int64())), pa.array([n for _, n in sums.values()], pa.int64())], names=[key, "sums", "n"])
+            made = summed(sums, key, kind)
             sums.clear()
             return made
 

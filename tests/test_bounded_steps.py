@@ -3,6 +3,8 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from quiverlake import catalog
 from quiverlake.operators import dense
@@ -129,3 +131,22 @@ def test_effort_is_tuned_on_one_graph(spark, monkeypatch):
     monkeypatch.setattr(catalog.S, "tune_effort", lambda search, *a: seen.append(search(10)._jdf.queryExecution().optimizedPlan().toString()) or 10)
     catalog.QUERIES["ef_tuning"](spark, DATA)
     assert seen[0].count("FlatMapGroupsInPandas") == 1  # the walks alone: no graph is built for an effort
+
+
+@pytest.mark.parametrize("cells", [984, 5900])
+def test_what_an_assignment_holds_does_not_grow_with_the_cells(cells):
+    rng = np.random.default_rng(3)
+    c, x = rng.normal(size=(cells, 64)), rng.normal(size=(4000, 64))
+
+    def step():
+        for a, b in dense._pieces(len(x), cells):
+            dense._first(dense.near("l2", c, x[a:b]), x[a:b], c, "l2", None, 1, dense.slack(x[a:b], c))
+
+    assert peak_mb(step) < 32
+
+
+def test_sums_of_many_groups_are_handed_on_as_one_array():
+    sums = {i: (np.full(64, i), i + 1) for i in range(5900)}
+    assert peak_mb(lambda: dense.summed(sums, "cid", pa.int64())) < 9  # thrice their bytes
+    made = dense.summed(sums, "cid", pa.int64())
+    assert made.slice(7, 1).to_pylist() == [{"cid": 7, "sums": [7] * 64, "n": 8}] and made.num_rows == 5900
