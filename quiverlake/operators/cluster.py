@@ -44,6 +44,18 @@ def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2", penalty: C
     return best.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*", "b.cid", "b.dist")
 
 
+def means_of_nearest(rows: DataFrame, centroids: DataFrame, metric: str = "l2", penalty: Column | None = None) -> DataFrame:
+    """(cid, c, n): `means` of the rows by their nearest centroid, as `assign` finds it.
+
+    Where the centroids travel, one Python pass finds a row's centroid and adds the row up.
+    """
+    named = dense.penalty_of(centroids, penalty if penalty is not None else F.lit(0.0))
+    cells = dense.few(named, "cid", "c", ("__penalty",))
+    if cells is None:
+        return means(assign(rows, centroids, metric, penalty).where(F.col("cid").isNotNull()), "cid")
+    return dense.merged_sums(dense.nearest_sums(rows, cells, centroids.schema["cid"], metric, cells.more["__penalty"] if penalty is not None else None, FIXED), "cid", FIXED)
+
+
 def num_centroids(n: int, size: int) -> int:
     """Clusters of about `size` for n rows: a rest counts as one more only above 0.6 of a cluster."""
     return max(1, n // size + (n % size > 0.6 * size))
@@ -116,8 +128,7 @@ def kmeans(rows: DataFrame, centroids: DataFrame, iterations: int, metric: str =
             centroids = table_of(spark, now, kind, {c: n.get(c, 0) for c in now})
         elif balance and "n" not in centroids.columns:
             centroids = centroids.withColumn("n", F.lit(0).cast("long"))
-        owned = assign(rows.select("vec_id", "e"), centroids, metric, penalty).where(F.col("cid").isNotNull())
-        new = means(owned, "cid").select("cid", F.col("c").alias("new"), F.col("n").alias("size"))
+        new = means_of_nearest(rows.select("vec_id", "e"), centroids, metric, penalty).select("cid", F.col("c").alias("new"), F.col("n").alias("size"))
         if spherical:
             new = new.withColumn("new", normalized(F.col("new")))
         if small:
@@ -343,11 +354,13 @@ def lloyd(x, size: int, iterations: int):
     """Cluster numbers of the rows of one matrix in clusters of about `size`, by Lloyd iterations from evenly spaced rows."""
     import numpy as np
 
+    k = max(1, round(len(x) / size))
+    step = min(4096, max(1, dense.CELLS // k))  # a large matrix has more clusters, and no more distances at a time
+
     def nearest(c):
         half = (c * c).sum(1) / 2
-        return np.concatenate([(half - x[at : at + 4096] @ c.T).argmin(1) for at in range(0, len(x), 4096)])
+        return np.concatenate([(half - x[at : at + step] @ c.T).argmin(1) for at in range(0, len(x), step)])
 
-    k = max(1, round(len(x) / size))
     c = x[np.arange(k) * (len(x) // k)]
     for _ in range(iterations):
         own = nearest(c)

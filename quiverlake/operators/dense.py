@@ -140,7 +140,7 @@ def slack(x: np.ndarray, q: np.ndarray) -> float:
 
 
 #: Queries and rows that are compared at a time, and pairs whose exact distances are held.
-TILE, PAIRS = (1024, 2048), 1 << 16
+TILE, PAIRS = (1024, 2048), 1 << 13
 
 
 def exactly(metric: str, x: np.ndarray, at: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -349,10 +349,18 @@ def _first(d: np.ndarray, x: np.ndarray, q: np.ndarray, metric: str, extra: np.n
 
 
 def _pieces(n: int, m: int):
-    step = max(1, CELLS // max(1, m))
+    step = min(PAIRS, max(1, CELLS // max(1, m)))
     return [(a, min(a + step, n)) for a in range(0, n, step)]
 
 
+def _closest(cells: Few, x: np.ndarray, metric: str, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the cell with the least distance plus extra for each row; -1 without any."""
+    d = near(metric, cells.x, x)
+    d = d + extra if extra is not None else d
+    places, dists = _first(d, x, cells.x, metric, extra, 1, slack(x, cells.x))
+    return places[:, 0], dists[:, 0]
+
+
 def with_nearest(rows: DataFrame, cells: Few, kind, metric: str, penalty: np.ndarray | None = None, vector: str = "e") -> DataFrame:
     """The rows with their nearest cell (cid of type `kind`, dist), by distance plus penalty; null where a row has no distance."""
     shared = rows.sparkSession.sparkContext.broadcast((cells, penalty))
@@ -363,15 +371,11 @@ def with_nearest(rows: DataFrame, cells: Few, kind, metric: str, penalty: np.nda
         for batch in batches:
             x, ok = matrix(batch.column(at), c.x.shape[1])
             cid, dist = np.zeros(len(x), c.ids.dtype), np.zeros(len(x))
-            for a, b in _pieces(len(x), len(c.ids)):
-                if not len(c.ids):
-                    ok[:] = False
-                    break
-                d = near(metric, c.x, x[a:b])
-                d = d + extra if extra is not None else d
-                places, dists = _first(d, x[a:b], c.x, metric, extra, 1, slack(x[a:b], c.x))
-                cid[a:b], dist[a:b] = c.ids[places[:, 0]], dists[:, 0]
-                ok[a:b] &= places[:, 0] >= 0
+            ok &= len(c.ids) > 0
+            for a, b in _pieces(len(x), len(c.ids)) if len(c.ids) else []:
+                places, dist[a:b] = _closest(c, x[a:b], metric, extra)
+                cid[a:b] = c.ids[places]
+                ok[a:b] &= places >= 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid, mask=~ok), pa.array(dist, mask=~ok)], names=[*names, "cid", "dist"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cid", kind), StructField("dist", DoubleType())]))
@@ -478,7 +482,7 @@ def own_distance(rows: DataFrame, cells: Few, key: str, kinds, metric: str) -> D
             ok &= c.ids[at] == names if len(c.ids) else False
             on = np.flatnonzero(ok)
             picked, at = batch.take(pa.array(on)), at[on]
-            yield pa.RecordBatch.from_arrays([picked.column(key), pa.array(c.more["mega_id"][at]), picked.column("vec_id"), pa.array(distance(metric, x[on], c.x[at]))], names=[key, "mega_id", "vec_id", "dist"])
+            yield pa.RecordBatch.from_arrays([picked.column(key), pa.array(c.more["mega_id"][at]), picked.column("vec_id"), pa.array(exactly(metric, c.x, at, x, on))], names=[key, "mega_id", "vec_id", "dist"])
 
     return own.mapInArrow(run, StructType([own.schema[key], StructField("mega_id", kinds), own.schema["vec_id"], StructField("dist", DoubleType())]))
 
@@ -618,36 +622,63 @@ def group_sums(rows: DataFrame, key: str, vector: str, fixed: int, most_bytes: i
 
     def run(batches):
         sums: dict = {}
-        dim = None
-
-        def out():
-            made = summed(sums, key, kind)
-            sums.clear()
-            return made
-
+        dim = kind = None
         for batch in batches:
             kind = batch.column(0).type
             x, ok = matrix(batch.column(1), dim)
             if not ok.any():
                 continue
             dim = x.shape[1]
-            codes = batch.column(0).take(pa.array(np.flatnonzero(ok))).dictionary_encode(null_encoding="encode")
-            at = codes.indices.to_numpy()
-            values = np.floor(x[ok] * fixed).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            begins = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
-            totals, counts = np.add.reduceat(values[order], begins, axis=0), np.diff(np.append(begins, len(order)))
-            for name, total, n in zip(codes.dictionary.take(pa.array(at[order][begins])).to_pylist(), totals, counts):
-                s, m = sums.get(name, (0, 0))
-                sums[name] = s + total, m + int(n)
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            at, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            for a, b in _pieces(len(x), dim):
+                on = a + np.flatnonzero(ok[a:b])
+                _add(sums, at[on], names, x[on], fixed)
             if len(sums) * dim * 8 > most_bytes:
-                yield out()
+                yield summed(sums, key, kind)
+                sums.clear()
         if sums:
-            yield out()
+            yield summed(sums, key, kind)
 
     return own.mapInArrow(run, StructType([own.schema[0], *StructType.fromDDL("sums array<long>, n long").fields]))
 
 
+def _add(sums: dict, at: np.ndarray, names, x: np.ndarray, fixed: int) -> None:
+    """Add rows to the sums and sizes by name: row i belongs to names[at[i]]."""
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+    totals, counts = np.add.reduceat(np.floor(x[order] * fixed).astype(np.int64), begins, axis=0), np.diff(np.append(begins, len(order)))
+    for place, total, n in zip(at[order][begins].tolist(), totals, counts.tolist()):
+        s, m = sums.get(names[place], (0, 0))
+        sums[names[place]] = s + total, m + n
+
+
+def nearest_sums(rows: DataFrame, cells: Few, key: StructField, metric: str, penalty: np.ndarray | None, fixed: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, sums, n): group_sums of the rows (e) by their nearest cell, in one pass: a task has one Python process for both and no row goes on."""
+    shared = rows.sparkSession.sparkContext.broadcast((cells, penalty))
+    name = key.name
+
+    def run(batches):
+        c, extra = shared.value
+        sums: dict = {}
+        kind, names, dim = pa.array(c.ids).type, c.ids.tolist(), c.x.shape[1]
+        for batch in batches if names else ():
+            x, ok = matrix(batch.column(0), dim)
+            for a, b in _pieces(len(x), max(dim, len(names))):
+                places, _ = _closest(c, x[a:b], metric, extra)
+                on = np.flatnonzero(ok[a:b] & (places >= 0))
+                _add(sums, places[on], names, x[a + on], fixed)
+            if len(sums) * dim * 8 > most_bytes:
+                yield summed(sums, name, kind)
+                sums.clear()
+        if sums:
+            yield summed(sums, name, kind)
+
+    return rows.select("e").mapInArrow(run, StructType([key, *StructType.fromDDL("sums array<long>, n long").fields]))
+
+
 def sides(rows: DataFrame, vector: str) -> DataFrame:
     """(low, high): each task's smallest and largest component of each dimension, a row a task; rows without a usable vector are left out."""
 

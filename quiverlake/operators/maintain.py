@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +34,23 @@ def levels(index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def pooled(rows: DataFrame, mini_size: int, minis_of: int, first_id: int = 0, iterations: int = 5) -> DataFrame:
     """An index of rows (vec_id, e, pool): each pool's vectors become minis, its minis megas.  New ids start at first_id."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["e"].to_numpy())
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
+        x, ok = dense.matrix(table.column("e"))
+        x = (x if ok.all() else np.stack(table.column("e").to_pylist()))[order]
         names, mini = np.unique(lloyd(x, mini_size, iterations), return_inverse=True)
         if len(names) > STRIDE:
             raise ValueError(f"a pool gives at most {STRIDE} minis: deal its rows into more pools")
         centres = np.zeros((len(names), x.shape[1]))
         np.add.at(centres, mini, x)
         mega = lloyd(centres / np.bincount(mini)[:, None], minis_of, iterations)
-        start = first_id + int(pdf["pool"].iloc[0]) * STRIDE
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "e": pdf["e"], "mini_id": start + mini, "mega_id": start + mega[mini]})
+        start = first_id + int(table.column("pool")[0].as_py()) * STRIDE
+        ids = np.empty((2, len(x)), np.int64)
+        ids[:, order] = start + mini, start + mega[mini]
+        return table.select(["vec_id", "e"]).append_column("mini_id", pa.array(ids[0])).append_column("mega_id", pa.array(ids[1]))
 
-    return rows.select("vec_id", "e", "pool").groupBy("pool").applyInPandas(run, "vec_id long, e array<double>, mini_id long, mega_id long")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "e", "pool")
+    return rows.groupBy("pool").applyInArrow(run, "vec_id long, e array<double>, mini_id long, mega_id long")
 
 
 def build(rows: DataFrame, mini_size: int, minis_of: int, pool: int, iterations: int = 5) -> DataFrame:

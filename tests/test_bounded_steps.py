@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 
 from quiverlake import catalog
+from quiverlake.operators import cluster as C
 from quiverlake.operators import dense
 from quiverlake.operators import graph as G
+from quiverlake.operators import maintain as M
 from quiverlake.operators import search as S
 
 DATA = "/root/testdata/sf0.001"
@@ -150,3 +152,45 @@ def test_sums_of_many_groups_are_handed_on_as_one_array():
     assert peak_mb(lambda: dense.summed(sums, "cid", pa.int64())) < 9  # thrice their bytes
     made = dense.summed(sums, "cid", pa.int64())
     assert made.slice(7, 1).to_pylist() == [{"cid": 7, "sums": [7] * 64, "n": 8}] and made.num_rows == 5900
+
+
+def test_a_kmeans_step_finds_and_adds_up_in_one_python_pass(spark, monkeypatch):
+    base, cents = catalog.base(spark, DATA).select("vec_id", "e"), catalog.cents(spark, DATA)
+    passes, one = [], dense.merged_sums
+    monkeypatch.setattr(dense, "merged_sums", lambda parts, *a: passes.append(parts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or one(parts, *a))
+    got = {r.cid: r.c for r in C.kmeans(base, cents, 1).collect()}
+    assert passes == [1]
+    want = {r.cid: r.c for r in C.means(C.assign(base, cents).where("cid IS NOT NULL"), "cid").collect()}
+    assert {k: got[k] for k in want} == want
+    monkeypatch.setattr(dense, "few", lambda *a: None)  # centroids that may not travel
+    assert {r.cid: r.c for r in C.means_of_nearest(base, cents).collect()} == want
+
+
+def test_rows_without_a_distance_are_in_no_mean(spark):
+    rows = [(0, [0.0, 1.0]), (1, None), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [9.0, 8.0]), (None, [9.0, 10.0])]
+    rows = spark.createDataFrame(rows, "vec_id long, e array<double>")
+    cents = spark.createDataFrame([(5, [0.0, 0.0]), (7, [9.0, 9.0]), (8, [99.0, 9.0])], "cid long, c array<double>")
+    assert sorted(map(tuple, C.means_of_nearest(rows, cents).collect())) == [(5, [0.0, 1.0], 1), (7, [9.0, 9.0], 2)]
+    assert C.means_of_nearest(rows, cents.limit(0)).collect() == C.means_of_nearest(rows.limit(0), cents).collect() == []
+
+
+def test_a_large_pool_holds_some_distances_at_a_time():
+    x = np.random.default_rng(5).normal(size=(12_000, 8))
+    peak = peak_mb(lambda: C.lloyd(x, 3, 1))
+    assert peak < 40  # 4,096 rows by 4,000 clusters would be 131 MB
+
+
+def test_exact_distances_are_held_for_some_pairs_at_a_time():
+    x = np.random.default_rng(6).normal(size=(40_000, 64))
+    row = np.arange(len(x))
+    assert peak_mb(lambda: dense.exactly("l2", x, row, x, row[::-1])) < 30
+
+
+def test_a_pool_is_clustered_in_order_of_id_whatever_the_order_of_its_rows(spark):
+    x = np.random.default_rng(7).normal(size=(90, 4))
+    order = np.random.default_rng(8).permutation(90)
+    rows = spark.createDataFrame([(int(i), x[i].tolist(), 2) for i in order], "vec_id int, e array<double>, pool long")
+    got = {r.vec_id: r for r in M.pooled(rows, 9, 3, first_id=11).collect()}
+    own = np.unique(C.lloyd(x, 9, 5), return_inverse=True)[1]
+    assert [got[i].mini_id for i in range(90)] == (11 + 2 * M.STRIDE + own).tolist()
+    assert all(got[i].e == x[i].tolist() for i in range(90))
