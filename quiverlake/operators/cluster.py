@@ -185,8 +185,13 @@ def settled(df: DataFrame) -> DataFrame:
     tables' estimates: over rounds that join a table with what was made of it, the number
     of digits of that product grows by a factor a round, and with it the driver.
     """
-    spark, kept = df.sparkSession, saved(df)
-    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+    return unsized(saved(df))
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """The same rows, of a size that Spark takes as unknown."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
 
 
 def split_small(centroids: DataFrame, least: int) -> DataFrame:

@@ -56,6 +56,52 @@ def matrix(column: pa.ListArray, dim: int | None = None) -> tuple[np.ndarray, np
     return x, ok
 
 
+def packed(df: DataFrame, vector: str) -> DataFrame:
+    """df with its usable vectors as bytes, for shuffles: `<vector>` of floats where all components of a batch are floats, else of doubles (`wide`); rows without one are left out.
+
+    A list of numbers goes from Spark to Python element by element, bytes go as they are.
+    """
+    names = [c for c in df.columns if c != vector]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(vector)
+            offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            ok = np.asarray(lists.is_valid().to_numpy(zero_copy_only=False), bool) & (bad[offsets[1:]] == bad[offsets[:-1]])
+            kept = values[np.repeat(ok, np.diff(offsets))] if not ok.all() else values[offsets[0] : offsets[-1]]
+            with np.errstate(over="ignore"):
+                floats = kept.astype(np.float32)
+            wide = bool((floats != kept).any())
+            data = kept if wide else floats
+            ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[ok])]) * data.itemsize
+            made = pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            own = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), made, pa.array(np.full(len(made), wide))], names=[*names, vector, "wide"])
+
+    return df.select(*names, vector).mapInArrow(run, StructType([*(df.schema[c] for c in names), *StructType.fromDDL(f"{vector} binary, wide boolean").fields]))
+
+
+def unpacked(table: pa.Table | pa.RecordBatch, vector: str, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As `matrix`, of the columns that `packed` makes."""
+    column, wide = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(vector), table.column("wide")))
+    if not len(column):
+        return np.zeros((0, dim or 0)), np.zeros(0, bool)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data, size = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.where(np.asarray(wide), 8, 4)
+    lengths = np.diff(offsets) // size
+    dim = int(np.bincount(lengths).argmax()) if dim is None else dim
+    ok = lengths == dim
+    x = np.zeros((len(column), dim))
+    for bytes_of, kind in ((4, np.float32), (8, np.float64)):
+        on = ok & (size == bytes_of)
+        if on.all():
+            return data[offsets[0] : offsets[-1]].view(kind).reshape(-1, dim).astype(np.float64), ok
+        if on.any():
+            x[on] = data[offsets[:-1][on, None] + np.arange(dim * bytes_of)].view(kind)
+    return x, ok
+
+
 @dataclass
 class Few:
     """A small table: ids, vectors, and other columns by name."""
@@ -267,17 +313,18 @@ def nearest_in_blocks(queries: DataFrame, base: DataFrame, k: int, metric: str,
     n, m = max(least, blocks(queries, "qe")), max(least, blocks(base, "e"))
     number = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = queries.withColumn("q", number("query_id", n)).withColumn("b", every(m))
-    right = base.withColumn("b", number("vec_id", m)).withColumn("q", every(n))
+    left = packed(queries, "qe").withColumn("q", number("query_id", n)).withColumn("b", every(m))
+    right = packed(base, "e").withColumn("b", number("vec_id", m)).withColumn("q", every(n))
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        q, ok = matrix(asked.column("qe"))
+        q, ok = unpacked(asked, "qe")
         ids = asked.column("query_id").to_numpy()
         ok &= np.asarray(asked.column("query_id").is_valid())
         best = Best(q[ok], k, metric, asked.column("limit").to_numpy()[ok] if limited else None)
         for batch in rows.to_batches(max_chunksize=10_000) if ok.any() else ():
-            _, names, x = _usable(batch, "vec_id", "e", q.shape[1])
-            best.add(names, x)
+            x, there = unpacked(batch, "e", q.shape[1])
+            at = np.flatnonzero(there & np.asarray(batch.column("vec_id").is_valid()))
+            best.add(batch.column("vec_id").take(pa.array(at)).to_numpy(zero_copy_only=False), x[at])
         return pa.Table.from_batches([best.rows(ids[ok].astype(np.int64))])
 
     return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(run, FOUND)

@@ -32,6 +32,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged_rows(df: DataFrame, path: str) -> DataFrame:
+    """df written to a folder and read back: lineage ends there, sizes are those of its files, and its shuffle files go once it is written."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def save(path: str, settings: dict, layout: dict[str, str] | None = None, **tables: DataFrame) -> None:
     """A folder a table, laid out by the column that `layout` names for it (a search then skips the cells it does not probe).
 
